@@ -8,9 +8,10 @@ pairs of a bucket:
 1. Every member of a bucket is paired with the bucket's hub, the member that is
    first in one order for all bands.  Verified links join most groups at once.
 2. Members that are still in different components of the verified links are
-   paired, within buckets that hold more than one component: each member
+   compared, within buckets that hold more than one component: each member
    outside the bucket's largest component with the members of the other
-   components.  Members of one component need no more pairs.
+   components.  Members of one component need no more pairs.  Large buckets are
+   compared in blocks, and only pairs that survive the test below become rows.
 
 A pair is verified step by step: batches of signature rows are compared, and it
 is dropped once the posterior probability of a similarity at the threshold or
@@ -49,7 +50,9 @@ PERCENT = 75
 BANDS, BAND_ROWS = 36, 5
 HASHES = BANDS * BAND_ROWS
 #: Signature rows compared at a time, and the probability of dropping a true link.
-BATCH, MISS = 36, 1e-7
+BATCH, MISS = 36, 1e-5
+#: Members of a block in the second round, on average.
+BLOCK = 256
 _LOWER = bytes(range(256)).translate(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 )
@@ -88,8 +91,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     """MinHash signature of a non-empty set of shingle hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 4096):  # keeps the table of products small
-        part = _MULTIPLY[:, None] * x[None, at : at + 4096] + _ADD[:, None]
+    for at in range(0, len(x), 1024):  # keeps the table of products small
+        part = _MULTIPLY[:, None] * x[None, at : at + 1024]
+        part += _ADD[:, None]
         part ^= part >> np.uint32(15)
         part *= np.uint32(0x2C1B3C6D)
         np.minimum(out, part.min(axis=1), out=out)
@@ -248,30 +252,101 @@ def first_pairs(buckets: DataFrame) -> DataFrame:
     )
 
 
-def second_pairs(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of a bucket in different components, at least one outside its largest one."""
-    labelled = (
-        buckets.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
-        .withColumn("root", F.coalesce("root", "set_key"))
+def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between a bucket's members in different components.
+
+    At least one of the two is outside the bucket's largest component.  Buckets
+    are compared in blocks: a member meets the others through copies of its row,
+    one for each block, and pairs exist only inside a task's arrays.  A pair is
+    looked at in the first band that it shares, tested in sequence and, if it
+    survives, verified on the sets; only links become rows.
+    """
+    labelled = buckets.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
+        "root", F.coalesce("root", "set_key")
     )
     parts = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = (
+    mixed = (
         parts.groupBy("band")
-        .agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts"))
+        .agg(
+            F.max(F.struct("n", "root")).alias("m"),
+            F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("parts"),
+        )
         .where("parts > 1")
-        .select("band", F.col("m.root").alias("largest"))
+        .select(
+            "band",
+            F.col("m.root").alias("largest"),
+            F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"),
+            F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("few_blocks"),
+        )
     )
-    mixed = labelled.join(largest, "band")
-    few = mixed.where("root <> largest").select(
-        "band", F.col("set_key").alias("x"), F.col("root").alias("root_x")
+    members = labelled.join(mixed, "band").join(sets.select("set_key", "sig", "shingles"), "set_key")
+    row = ["band", "number", "set_key", "root", "largest", "sig", "shingles"]
+    own = F.pmod(F.xxhash64("set_key"), "all_blocks")
+    left = members.select(
+        *row, F.lit(0).alias("side"), own.alias("i"), F.explode(F.expr("sequence(0, few_blocks - 1)")).alias("j")
     )
-    pairs = mixed.join(few, "band").where(
-        (F.col("root") != F.col("root_x"))
-        & ((F.col("root") == F.col("largest")) | (F.col("set_key") < F.col("x")))
+    own = F.pmod(F.xxhash64("set_key", F.lit(1)), "few_blocks")
+    right = members.where("root <> largest").select(
+        *row, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("i"), own.alias("j")
     )
-    return pairs.select(
-        F.least("set_key", "x").alias("a"), F.greatest("set_key", "x").alias("b")
-    ).distinct()
+    blocks = left.union(right.select(left.columns)).repartition("band", "i", "j")
+    return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(_block_links, "a long, b long")
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each block (band, i, j) of rows sorted by block and side."""
+    held, key = [], None
+    for batch in batches:
+        table = batch.to_pandas()
+        keys = table[["band", "i", "j"]].to_numpy(np.int64)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for part in np.split(np.arange(len(table)), cuts) if len(table) else []:
+            if held and tuple(keys[part[0]]) != key:
+                yield from _compared(held)
+                held = []
+            key = tuple(keys[part[0]])
+            held.append(table.iloc[part])
+    if held:
+        yield from _compared(held)
+
+
+def _compared(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    block = held[0] if len(held) == 1 else pd.concat(held)
+    side = block["side"].to_numpy()
+    few = np.flatnonzero(side == 1)
+    rest = np.flatnonzero(side == 0)
+    if not len(few) or not len(rest):
+        return
+    key, root = (block[c].to_numpy(np.int64) for c in ("set_key", "root"))
+    largest, number = block["largest"].iloc[0], block["number"].iloc[0]
+    sig = np.frombuffer(b"".join(block["sig"]), np.uint32).reshape(len(block), HASHES)
+    sets = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
+    size = np.array([len(x) for x in sets])
+    for x in few:
+        y = rest[(root[rest] != root[x]) & ((root[rest] == largest) | (key[rest] < key[x]))]
+        y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
+        same = sig[y] == sig[x]
+        first = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
+        y, same = y[first == number], same[first == number]
+        matches = np.zeros(len(y), np.int64)
+        for i, least in enumerate(least_matches()):
+            matches += same[:, i * BATCH : (i + 1) * BATCH].sum(axis=1)
+            stay = matches >= least
+            y, matches, same = y[stay], matches[stay], same[stay]
+        if not len(y):
+            continue
+        # shingles of all survivors, looked up in this member's set
+        found = np.concatenate([sets[i] for i in y])
+        at = np.searchsorted(sets[x], found)
+        at[at == size[x]] = 0
+        hits = np.concatenate([[0], np.cumsum(sets[x][at] == found)])
+        ends = np.cumsum(size[y])
+        both = hits[ends] - hits[ends - size[y]]
+        y = y[100 * both >= PERCENT * (size[x] + size[y] - both)]
+        if len(y):
+            pair = np.minimum(key[y], key[x]), np.maximum(key[y], key[x])
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -284,13 +359,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(*(F.first(c).alias(c) for c in ("n_shingles", "shingles", "sig", "bands"))),
         "distinct-sets",
     )
-    buckets = sets.select("set_key", F.explode("bands").alias("band"))
+    buckets = sets.select("set_key", F.posexplode("bands").alias("number", "band"))
     shared = buckets.groupBy("band").count().where("count > 1").select("band")
     buckets = saved(buckets.join(shared, "band"), "buckets")
     links = saved(verified(first_pairs(buckets), sets), "links")
     roots = saved(components(links), "roots")
-    more = saved(verified(second_pairs(buckets, roots), sets), "links")
-    roots = saved(components(roots.where("node <> root").select("root", "node").toDF("a", "b").union(more)), "roots")
+    more = saved(second_links(buckets, roots, sets), "links")
+    joined = roots.where("node <> root").select("root", "node").toDF("a", "b")
+    roots = saved(components(joined.union(more)), "roots")
     labelled = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "doc_id", F.coalesce("root", "set_key").alias("root")
     )
