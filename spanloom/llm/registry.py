@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, near_dedup, packing, pieces, token_files
+from . import exact_dedup, fingerprints, near_dedup, packing, pieces, substring_dedup, token_files
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_pieces": pieces.op6_pieces,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op8_token_files": token_files.op8_token_files,
 }
 
