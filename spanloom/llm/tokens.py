@@ -15,7 +15,7 @@ from functools import lru_cache
 from tokenizers import Tokenizer
 
 #: Chunks in each of a memo's two generations; bounds a worker's memory.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 400_000
 
 
 class Memo(dict):
@@ -36,6 +36,17 @@ class Memo(dict):
         return value
 
 
+def _byte_characters() -> list[str]:
+    """The character that byte-level vocabularies use for each byte: itself if it is printable
+    and no space, else the next one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+_BYTES = dict(enumerate(_byte_characters()))
+
+
 class WordTokenizer:
     """Ids of a text, packed as little-endian unsigned 32-bit integers.
 
@@ -54,12 +65,22 @@ class WordTokenizer:
         ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str, space: str = "") -> bytes:
+        """A chunk with ``space`` in front.  Letters, and letters with one common mark behind
+        them, need no pre-tokenizer to be cut."""
         if self.normalizer is not None:
-            chunk = self.normalizer.normalize_str(chunk)
-        cut = self.pieces.pre_tokenize_str(chunk)
+            chunk = chunk.lower() if chunk.isascii() else self.normalizer.normalize_str(chunk)
+        if chunk.isalpha():
+            return self.piece_ids[self._letters(space + chunk)]
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return self.piece_ids[self._letters(space + chunk[:-1])] + self.piece_ids[chunk[-1]]
+        cut = self.pieces.pre_tokenize_str(space + chunk)
         return b"".join(self.piece_ids[piece] for piece, _ in cut)
 
+    @staticmethod
+    def _letters(piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(_BYTES)
+
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -70,8 +91,7 @@ class SpaceDroppingTokenizer(WordTokenizer):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.chunks = Memo(self._chunk)
-        self.chunks.compute = lambda c: self._chunk(c) if c else b""
+        self.chunks = Memo(lambda c: self._chunk(c) if c else b"")
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
@@ -89,7 +109,7 @@ class ByteLevelTokenizer(WordTokenizer):
     def __init__(self, path: str):
         super().__init__(path)
         self.first = Memo(lambda c: self._chunk(c) if c else b"", MEMO_CHUNKS // 4)
-        self.later = Memo(lambda c: self._chunk(" " + c))
+        self.later = Memo(lambda c: self._chunk(c, " "))
         self.newline = self._chunk("\n")
 
     def encode(self, text: str) -> bytes:
