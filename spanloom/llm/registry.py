@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, near_dedup, packing, pieces, substring_dedup, token_files
+from . import exact_dedup, fingerprints, near_dedup, packing, pieces, quality, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op4_packing": packing.op4_packing,
+    "op3_quality": quality.op3_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_pieces": pieces.op6_pieces,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
