@@ -80,7 +80,7 @@ def known_features(names) -> Memo:
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray,
-    weights: np.ndarray, n_features: int, *, ridge: float = 1e-4, steps: int = 400,
+    weights: np.ndarray, n_features: int, *, ridge: float = 1e-6, steps: int = 400,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(feature weights, thresholds) of the penalised likelihood, by Adam.
 
