@@ -382,3 +382,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, near_dedup, packing, pieces, quality, substring_dedup, token_files, toxicity
+from . import exact_dedup, fingerprints, fixity, near_dedup
+from . import packing, pieces, quality, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op4_packing": packing.op4_packing,
+    "op2_fixity": fixity.op2_fixity,
     "op3_quality": quality.op3_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_pieces": pieces.op6_pieces,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_fixity": fixity.OP2_SQL,
     "op7_exact_dedup": """
         with d as (
             select doc_id, length(coalesce(text, '')) as chars,
