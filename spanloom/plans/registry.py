@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import timeline_queries
+from . import agreement_queries, timeline_queries
 
-MODULES = (timeline_queries,)
+MODULES = (agreement_queries, timeline_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
-ENTRY = "wn01_core_windows"
+ENTRY = "pairwise_agreement"
