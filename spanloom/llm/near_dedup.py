@@ -1,8 +1,8 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 A document's set holds its distinct five-word shingles.  Sets that are equal are
-represented by one row, so exact copies cost one comparison in all.  Bands of
-the MinHash signature give candidate pairs, in two rounds that never list all
+represented by one document, so exact copies cost one comparison in all.  Bands
+of the MinHash signature give candidate pairs, in two rounds that never list all
 pairs of a bucket:
 
 1. Every member of a bucket is paired with the bucket's hub, the member that is
@@ -16,7 +16,9 @@ pairs of a bucket:
 A pair is verified step by step: batches of signature rows are compared, and it
 is dropped once the posterior probability of a similarity at the threshold or
 above, given the matches so far, falls under the miss probability.  Survivors
-are verified exactly, on their full sets.
+are verified exactly, on their full sets, which are made anew from the texts:
+texts are smaller than sets.  Only texts that share a band with another set are
+kept for that, after one shuffle of all texts.
 
 Components come from iterated minimum labels over the verified links, by joins;
 nothing is collected.
@@ -29,6 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -39,9 +42,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
-from .common import arrow_schema, documents, saved, text_of
+from .common import documents, map_rows, saved, text_of
 from .tokens import Memo
 
 WORDS = 5
@@ -53,6 +56,8 @@ HASHES = BANDS * BAND_ROWS
 BATCH, MISS = 36, 1e-5
 #: Members of a block in the second round, on average.
 BLOCK = 256
+#: Sets that a worker keeps from earlier blocks.
+RECENT = 4096
 _LOWER = bytes(range(256)).translate(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 )
@@ -100,12 +105,17 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band."""
-    bands = sig.reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def short(sig: np.ndarray) -> np.ndarray:
+    """The low halves of a signature's rows; they find every match of whole rows."""
+    return sig.astype(np.uint16)
+
+
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """One 64-bit key a band, for rows of short signatures."""
+    bands = sigs.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
     for i in range(BAND_ROWS):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, i])
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i])
     return key.view(np.int64)
 
 
@@ -127,43 +137,40 @@ def least_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> tuple
     return tuple(out)
 
 
-SETS = "doc_id long, n_shingles long, set_key long, shingles binary, sig binary, bands array<long>"
+SETS = "doc_id long, n_shingles long, set_key long, sig binary"
+
+
+def _described(text: str) -> tuple[int, int | None, bytes | None]:
+    """(set size, set key, short signature) of a text."""
+    found = shingles(text)
+    if not len(found):
+        return 0, None, None
+    key = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+    return len(found), key, short(signature(found)).tobytes()
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Each document's set, its key, signature and band keys; no shuffle."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(SETS)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out: list[tuple] = []
-                ids, texts = (c.to_pylist() for c in part.columns)
-                for doc_id, text in zip(ids, texts, strict=True):
-                    found = shingles(text)
-                    if len(found):
-                        key = xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
-                        sig = signature(found)
-                        row = (doc_id, len(found), key, found.tobytes(), sig.tobytes(), band_keys(sig))
-                    else:
-                        row = (doc_id, 0, None, None, None, None)
-                    out.append(row)
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],
-                    schema=schema,
-                )
+    """Each document's set size, set key and short signature; no shuffle."""
+
+    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text in found:
+            yield doc_id, *_described(text)
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return columns.mapInArrow(rows, SETS)
+    return map_rows(columns, rows, SETS)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def bands_of(sigs: pd.Series) -> pd.Series:
+    table = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), HASHES)
+    return pd.Series(list(band_keys(table)))
 
 
 @F.pandas_udf(BooleanType())
 def may_link(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two signatures survive the sequential test."""
-    x = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), HASHES)
-    y = np.frombuffer(b"".join(b), np.uint32).reshape(len(b), HASHES)
+    x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), HASHES)
+    y = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), HASHES)
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, least in enumerate(least_matches()):
         part = slice(i * BATCH, (i + 1) * BATCH)
@@ -174,40 +181,78 @@ def may_link(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(BooleanType())
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two sets of sorted shingle hashes are a link, exactly."""
-    out = []
-    for p, q in zip(a, b, strict=True):
-        x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-        small, large = (x, y) if len(x) <= len(y) else (y, x)
-        if 100 * len(small) < PERCENT * len(large):
-            out.append(False)
-            continue
-        at = np.searchsorted(large, small)
-        at[at == len(large)] = 0
-        both = int(np.count_nonzero(large[at] == small))
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pd.Series(out)
+def shared_buckets(table: DataFrame) -> DataFrame:
+    """(set_key, number, band) of the bands that different sets share."""
+    each = table.where("set_key is not null").select(
+        "set_key", F.posexplode(bands_of("sig")).alias("number", "band")
+    )
+    found = each.groupBy("band").count().where("count > 1").select("band")
+    rows = saved(each.join(found, "band").distinct(), "buckets")  # without copies
+    found = rows.groupBy("band").count().where("count > 1").select("band")
+    return rows.join(found, "band").select("set_key", "number", "band")
+
+
+def candidate_sets(docs: DataFrame, table: DataFrame, buckets: DataFrame) -> DataFrame:
+    """set_key, n_shingles, sig and a text of every set that shares a band."""
+    wanted = buckets.select("set_key").distinct()
+    first = table.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+
+    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
+        for set_key, text in found:
+            size, key, sig = _described(text)
+            if key == set_key:  # else it is another text with the same doc_id
+                yield key, size, sig, text
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    joined = texts.join(first, texts["doc_id"].eqNullSafe(first["doc_id"])).select("set_key", "text")
+    schema = "set_key long, n_shingles long, sig binary, text string"
+    return map_rows(joined, rows, schema).dropDuplicates(["set_key"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a < b) of set keys that are links."""
+    """The pairs (hub, member) of set keys that are links, as (a, b) with a < b.
+
+    A hub's members meet it in groups of about BLOCK; the hub's text goes to each.
+    """
     sigs = sets.select("set_key", "sig", "n_shingles")
     found = (
-        pairs.join(sigs.toDF("a", "sig_a", "n_a"), "a")
-        .join(sigs.toDF("b", "sig_b", "n_b"), "b")
+        pairs.join(sigs.toDF("hub", "sig_a", "n_a"), "hub")
+        .join(sigs.toDF("member", "sig_b", "n_b"), "member")
         .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
         .where(may_link("sig_a", "sig_b"))
-        .select("a", "b")
-    )
-    full = sets.select("set_key", "shingles")
-    return (
-        found.join(full.toDF("a", "set_a"), "a")
-        .join(full.toDF("b", "set_b"), "b")
-        .where(linked("set_a", "set_b"))
-        .select("a", "b")
+        .select("hub", "member")
     )
+    found = saved(found, "survivors")
+    groups = found.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
+    dealt = found.join(groups, "hub").withColumn("part", F.pmod(F.xxhash64("member"), "groups"))
+    texts = sets.select("set_key", "text")
+    members = dealt.select("hub", "part", "member").join(texts.toDF("member", "text"), "member")
+    hubs = groups.select("hub", F.explode(F.expr("sequence(0l, groups - 1)")).alias("part"))
+    hubs = hubs.join(texts.toDF("hub", "text"), "hub").withColumn("member", F.lit(None).cast("long"))
+    columns = ["hub", "part", "member", "text"]
+
+    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
+        own = None
+        for hub, _, member, text in found:
+            if member is None:
+                own = shingles(text)
+            elif _linked(own, shingles(text)):
+                yield min(hub, member), max(hub, member)
+
+    together = hubs.select(columns).union(members.select(columns)).repartition("hub", "part")
+    together = together.sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
+    return map_rows(together, rows, "a long, b long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are a link."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < PERCENT * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int(np.count_nonzero(large[at] == small))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,11 +288,11 @@ def _checksum(links: DataFrame) -> tuple:
 def first_pairs(buckets: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's hub."""
     hub = F.min(F.struct(F.xxhash64("set_key").alias("order"), F.col("set_key").alias("hub")))
-    hubs = buckets.groupBy("band").agg(hub.alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = buckets.groupBy("band").agg(hub.alias("h"))
     return (
         buckets.join(hubs.select("band", "h.hub"), "band")
         .where("set_key <> hub")
-        .select(F.least("set_key", "hub").alias("a"), F.greatest("set_key", "hub").alias("b"))
+        .select("hub", F.col("set_key").alias("member"))
         .distinct()
     )
 
@@ -280,8 +325,8 @@ def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
             F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("few_blocks"),
         )
     )
-    members = labelled.join(mixed, "band").join(sets.select("set_key", "sig", "shingles"), "set_key")
-    row = ["band", "number", "set_key", "root", "largest", "sig", "shingles"]
+    members = labelled.join(mixed, "band").join(sets, "set_key")
+    row = ["band", "number", "set_key", "root", "largest", "n_shingles", "sig", "text"]
     own = F.pmod(F.xxhash64("set_key"), "all_blocks")
     left = members.select(
         *row, F.lit(0).alias("side"), own.alias("i"), F.explode(F.expr("sequence(0, few_blocks - 1)")).alias("j")
@@ -294,6 +339,21 @@ def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
     return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(_block_links, "a long, b long")
 
 
+_recent: OrderedDict[int, np.ndarray] = OrderedDict()
+
+
+def _recent_sets(key: int, text: str) -> np.ndarray:
+    """The set of a text; a worker keeps the last ones, since buckets share members."""
+    found = _recent.get(key)
+    if found is None:
+        found = _recent[key] = shingles(text)
+        if len(_recent) > RECENT:
+            _recent.popitem(last=False)
+    else:
+        _recent.move_to_end(key)
+    return found
+
+
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each block (band, i, j) of rows sorted by block and side."""
     held, key = [], None
@@ -320,9 +380,8 @@ def _compared(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         return
     key, root = (block[c].to_numpy(np.int64) for c in ("set_key", "root"))
     largest, number = block["largest"].iloc[0], block["number"].iloc[0]
-    sig = np.frombuffer(b"".join(block["sig"]), np.uint32).reshape(len(block), HASHES)
-    sets = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
-    size = np.array([len(x) for x in sets])
+    size, texts = block["n_shingles"].to_numpy(np.int64), block["text"].to_list()
+    sig = np.frombuffer(b"".join(block["sig"]), np.uint16).reshape(len(block), HASHES)
     for x in few:
         y = rest[(root[rest] != root[x]) & ((root[rest] == largest) | (key[rest] < key[x]))]
         y = y[100 * np.minimum(size[y], size[x]) >= PERCENT * np.maximum(size[y], size[x])]
@@ -336,14 +395,8 @@ def _compared(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
             y, matches, same = y[stay], matches[stay], same[stay]
         if not len(y):
             continue
-        # shingles of all survivors, looked up in this member's set
-        found = np.concatenate([sets[i] for i in y])
-        at = np.searchsorted(sets[x], found)
-        at[at == size[x]] = 0
-        hits = np.concatenate([[0], np.cumsum(sets[x][at] == found)])
-        ends = np.cumsum(size[y])
-        both = hits[ends] - hits[ends - size[y]]
-        y = y[100 * both >= PERCENT * (size[x] + size[y] - both)]
+        own = _recent_sets(int(key[x]), texts[x])
+        y = y[[_linked(own, _recent_sets(int(key[i]), texts[i])) for i in y]]
         if len(y):
             pair = np.minimum(key[y], key[x]), np.maximum(key[y], key[x])
             yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["a", "b"])
@@ -353,15 +406,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     table = saved(document_sets(docs), "sets")
     members = table.where("set_key is not null").select("doc_id", "set_key")
-    sets = saved(
-        table.where("set_key is not null")
-        .groupBy("set_key")
-        .agg(*(F.first(c).alias(c) for c in ("n_shingles", "shingles", "sig", "bands"))),
-        "distinct-sets",
-    )
-    buckets = sets.select("set_key", F.posexplode("bands").alias("number", "band"))
-    shared = buckets.groupBy("band").count().where("count > 1").select("band")
-    buckets = saved(buckets.join(shared, "band"), "buckets")
+    buckets = saved(shared_buckets(table), "buckets")
+    sets = saved(candidate_sets(docs, table, buckets), "candidates")
     links = saved(verified(first_pairs(buckets), sets), "links")
     roots = saved(components(links), "roots")
     more = saved(second_links(buckets, roots, sets), "links")
