@@ -84,7 +84,12 @@ def shortest_pack_first(
         while left:
             emptiest = -rooms[0] if rooms else 0
             if emptiest < length:
-                put(left, (length,), size - length)
+                # each new pack takes as many as fit before the next one is opened
+                fit = size // length
+                if left >= fit:
+                    put(left // fit, (length,) * fit, size - fit * length)
+                if left % fit:
+                    put(1, (length,) * (left % fit), size - left % fit * length)
                 break
             count, lengths = open_packs[emptiest].pop()
             if not open_packs[emptiest]:
