@@ -280,7 +280,7 @@ def ag18(spark, d):
 
 @query("ag19_bootstrap_interval", sql("""select count(*) as rounds, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.975), 6) as high from (
     select r, sum(same)::double / sum(n) as v from (
-        select r, ('0x' || substr(md5('s|' || r || '|' || slot), 1, 12))::bigint % 150 as pick from range(200) t(r), range(150) u(slot)) draws
+        select r, ('0x' || substr(md5('s|' || r || '|' || slot), 1, 12))::bigint % (select count(*) from episodes) as pick from range(200) t(r), (select row_number() over (order by episode) - 1 as slot from episodes) u) draws
     join (select row_number() over (order by episode) - 1 as slot, count(*) filter (a = b) as same, count(*) as n from frames group by episode) e on e.slot = pick group by r)"""))
 def ag19(spark, d):
     each = frames(spark, d).groupBy("episode").agg(F.count_if(F.col("a") == F.col("b")).alias("same"), F.count(F.lit(1)).alias("n"))

@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the folder that all executors share, and read back: cuts the lineage."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; a local
+    session without that setting gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType, *, whole_files: bool = False, strict: bool = True) -> DataFrame:
@@ -93,7 +98,7 @@ def export_jsonl(df: DataFrame, path: str, split: str = "split") -> None:
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
     """A report table of at most ``most`` rows; numbers with four digits, nulls as N/A."""
-    show = lambda f: F.format_string("%.4f", f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name).cast("string")
+    show = lambda f: F.when(F.col(f.name).isNotNull(), F.format_string("%.4f", f.name)) if isinstance(f.dataType, T.DoubleType) else F.col(f.name).cast("string")
     text = df.select(*(F.coalesce(show(f), F.lit("N/A")).alias(f.name) for f in df.schema))
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in text.limit(most).collect())])
