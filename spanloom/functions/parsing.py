@@ -215,3 +215,70 @@ def cue_times(text: Column) -> Column:
     """Seconds of the m:ss times of a line, in order."""
     found = F.regexp_extract_all(text, F.lit(r"(?<![\d:])(\d{1,2}:[0-5]\d)(?![\d]|:\d)"), F.lit(1))
     return F.transform(found, lambda x: F.split_part(x, F.lit(":"), F.lit(1)).cast("int") * 60 + F.split_part(x, F.lit(":"), F.lit(2)).cast("int"))
+
+
+def failure_annotations(text: Column, episode: Column, end: Column, cameras: Column) -> Column:
+    """A binary table from frame 0, and one Frames/Categories/Explanation block for each Yes row."""
+    parts = F.split(text, r"(?m)^## Failure annotations\s*$")
+    part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+    lines = lines_of(part(0))
+    rows, rules = table_rules(F.slice(lines, 4, F.greatest(F.size(lines), F.lit(1))), F.lit(0), end, adjacent_yes=False)
+    blocks = _blocks(part(1))
+    yes = F.filter(rows, lambda r: r["failure"])
+    zipped = F.zip_with(blocks, yes, lambda b, s: F.struct(b.alias("b"), s.alias("s")))
+    bounds = lambda z: F.regexp_replace(z["b"]["frames"], r"\s*(?:[-–]|to)\s*", "-") == F.concat_ws(
+        "-", z["s"]["start"].cast("string"), z["s"]["end"].cast("string")
+    )
+    categories = lambda b: F.transform(F.split(b["categories"], ","), lambda c: F.trim(c))
+    known = lambda c: (F.size(F.array_except(c, F.array(*map(F.lit, CATEGORIES)))) == 0) & (F.size(F.array_distinct(c)) == F.size(c))
+    cited = lambda t: (
+        (F.size(cited_frames(t)) > 0)
+        & F.forall(cited_frames(t), lambda f: f < end)
+        & F.exists(cameras, lambda c: F.concat(F.lit(" "), F.regexp_replace(t, r"[^\w]", " "), F.lit(" ")).contains(F.concat(F.lit(" "), c, F.lit(" "))))
+    )
+    numbers = F.transform(blocks, lambda b: b["number"])
+    head = {
+        "sections": F.size(parts) == 2,
+        "heading": F.get(lines, F.lit(0)) == F.concat(F.lit("# Episode: "), episode.cast("string")),
+        "columns": (F.get(lines, F.lit(1)) == HEADER) & F.get(lines, F.lit(2)).rlike(SEPARATOR),
+    }
+    tail = {
+        "none": (F.size(yes) > 0) | (stripped(part(1)) == "None"),
+        "numbering": (F.size(blocks) == F.size(yes))
+        & ((F.size(yes) == 0) | (numbers == F.sequence(F.lit(1), F.greatest(F.size(yes), F.lit(1))))),
+        "fields": F.forall(blocks, lambda b: F.concat_ws(",", b["names"]) == "Frames,Categories,Explanation"),
+        "frames": F.forall(zipped, bounds),
+        "categories": F.forall(blocks, lambda b: (b["categories"] == "Unclear") | known(categories(b))),
+        "explanation": F.forall(blocks, lambda b: cited(b["explanation"])),
+    }
+    return checked(F.struct(rows.alias("segments"), blocks.alias("failures")), head | rules | tail)
+
+
+def selection(text: Column, allowed: Column, count: int) -> Column:
+    """A list of ``count`` distinct allowed frames in ascending order."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,9})"), F.lit(1)), lambda x: x.cast("int"))
+    return checked(
+        found,
+        {
+            "count": F.size(found) == count,
+            "distinct": F.size(F.array_distinct(found)) == F.size(found),
+            "order": found == F.array_sort(found),
+            "membership": F.size(F.array_except(found, allowed)) == 0,
+        },
+    )
+
+
+def index_entries(text: Column) -> Column:
+    """'id: file, sha' lines as structs."""
+    pattern = r"^([^:\s]+):\s*([^,\s]+),\s*([0-9a-f]{64})$"
+    entry = lambda x: F.struct(*(F.regexp_extract(x, pattern, i).alias(n) for i, n in ((1, "id"), (2, "file"), (3, "sha256"))))
+    return F.transform(F.filter(lines_of(text), lambda x: x.rlike(pattern)), entry)
+
+
+def response_text(response: Column) -> Column:
+    """(text, complete) of a provider's JSON answer: its text parts joined, and whether it ended."""
+    parsed = F.from_json(response, "status string, content array<struct<type string, text string>>")
+    parts = F.filter(parsed["content"], lambda c: c["type"] == "text")
+    return F.struct(
+        F.array_join(F.transform(parts, lambda c: c["text"]), "").alias("text"), (parsed["status"] == "complete").alias("complete")
+    )

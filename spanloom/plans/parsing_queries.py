@@ -114,3 +114,42 @@ def prs14_intervals(spark, d):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, d, "events").withColumn("following", F.lead("ts").over(w))  # times are unique within a user
     return rows.select("event_id", "ts", F.coalesce("following", F.lit("2100-01-01").cast("timestamp_ntz")).alias("until"))
+
+
+@query("prs03_failure_annotations", sql("""select episode, case episode % 4 when 1 then 'categories' when 2 then 'frames' when 3 then 'explanation' end as error from episodes where n_frames > 4"""))
+def prs03(spark, d):
+    n, kind = F.col("n_frames").cast("int"), F.col("episode") % 4
+    text = F.concat(
+        F.lit("# Episode: "), F.col("episode").cast("string"),
+        F.lit("\n| Start frame | End frame | Failure |\n|---|---|---|\n| 0 | 2 | No |\n| 2 | "), n.cast("string"),
+        F.lit(" | Yes |\n## Failure annotations\n### Failure 1\n- Frames: 2 to "), F.when(kind == 2, n - 1).otherwise(n).cast("string"),
+        F.lit("\n- Categories: "), F.when(kind == 1, "grasp, Unclear").otherwise("grasp"),
+        F.lit("\n- Explanation: in top, "), F.when(kind == 3, "late").otherwise("frame 2"), F.lit(" slips\n"),
+    )
+    parsed = pr.failure_annotations(text, F.col("episode"), n, F.array(F.lit("top")))
+    return episodes(spark, d).where("n_frames > 4").select("episode", parsed["error"].alias("error"))
+
+
+@query("prs08_selections", """select event_id, case event_id % 4 when 1 then 'count' when 2 then 'order' when 3 then 'membership' end as error from events""")
+def prs08(spark, d):
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 1, "0, 5").when(kind == 2, "5, 0, 10").when(kind == 3, "0, 5, 11").otherwise("0, 5, 10")
+    parsed = pr.selection(text, F.sequence(F.lit(0), F.lit(100), F.lit(5)), 3)
+    return table(spark, d, "events").select("event_id", parsed["error"].alias("error"))
+
+
+@query("prs11_reference_index", """select doc_id, source as id, sha256(text) as sha256 from documents""")
+def prs11(spark, d):
+    text = F.concat(F.lit("# Index\n"), F.col("source"), F.lit(": a.json, "), F.sha2("text", 256), F.lit("\nbroken line"))
+    entry = F.element_at(pr.index_entries(text), 1)
+    return table(spark, d, "documents").select("doc_id", entry["id"].alias("id"), entry["sha256"].alias("sha256"))
+
+
+@query("prs13_response_text", """select conv_id, turn, text, role = 'user' as complete from conversations""")
+def prs13(spark, d):
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    half = (F.length("text") / 2).cast("int")
+    parts = F.array(part("thinking", F.lit("x")), part("text", F.substring("text", F.lit(1), half)), part("text", F.substring("text", half + 1, F.length("text"))))
+    status = F.when(F.col("role") == "user", "complete").otherwise("cut")
+    answer = pr.response_text(F.to_json(F.struct(status.alias("status"), parts.alias("content"))))
+    return table(spark, d, "conversations").select("conv_id", "turn", answer["text"].alias("text"), answer["complete"].alias("complete"))

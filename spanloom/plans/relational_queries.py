@@ -435,3 +435,80 @@ def ag34(spark, d):
 @query("fn_sort_natural", "select p_partkey, lpad(regexp_extract(p_brand, '\\d+'), 12, '0') as k from part")
 def fn_natural(spark, d):
     return table(spark, d, "part").select("p_partkey", F.substring(tx.natural_key(F.col("p_brand")), 7, 12).alias("k"))
+
+
+@query("src05_projected_scan", "select event_id, value > 100 or event_type = 'error' as contact from events where user_id = 7")
+def src05(spark, d):
+    rows = table(spark, d, "events").where("user_id = 7")
+    return rows.select("event_id", ((F.col("value") > 100) | (F.col("event_type") == "error")).alias("contact"))
+
+
+@query("src09_chunk_runs", sql('''select episode, frame, count(*) filter (new) over (partition by episode order by frame) as chunk from (
+    select episode, frame, coalesce(lag(c) over (partition by episode order by frame) <> c, true) as new from frames)'''))
+def src09(spark, d):
+    w = Window.partitionBy("episode").orderBy("frame")
+    new = F.coalesce(F.lag("c").over(w) != F.col("c"), F.lit(True))
+    rows = frames(spark, d).withColumn("new", new)
+    return rows.select("episode", "frame", F.count_if("new").over(w).alias("chunk"))
+
+
+@query("src12_clock_checks", """select user_id, count(*) filter (ts <= was) as backward, count(*) as frames from (
+    select user_id, ts, lag(ts) over (partition by user_id order by event_id) as was from events) group by user_id""")
+def src12(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, d, "events").withColumn("was", F.lag("ts").over(w))
+    return rows.groupBy("user_id").agg(F.count_if(F.col("ts") <= F.col("was")).alias("backward"), F.count(F.lit(1)).alias("frames"))
+
+
+@query("prj05_onset_supplied", sql("""select episode, frame from (select episode, frame, a and not coalesce(lag(a) over (partition by episode order by frame), false) as onset from frames) where onset and frame % 5 <> 0"""))
+def prj05(spark, d):
+    supplied = frames(spark, d).where("frame % 5 = 0").select("episode", "frame")
+    onsets = positives(spark, d, "a").select("episode", F.col("start").alias("frame"))
+    return onsets.join(supplied, ["episode", "frame"], "left_anti")
+
+
+@query("prj07_disjoint_from_uncertain", sql('''select distinct x.episode, x."start" from runs_a x join runs_c u on u.episode = x.episode and u.state = 2 and u."start" < x."end" and x."start" < u."end" where x.state''', "a", "c"))
+def prj07(spark, d):
+    unsure = runs(spark, d, "c").where("state = 2")
+    hit = tl.overlaps(positives(spark, d, "a"), unsure)
+    return hit.select("episode", F.col("left_start").alias("start")).distinct()
+
+
+@query("prj09_complete_annotations", sql('''select episode, n_frames = covered and touching as complete from (
+    select episode, n_frames, sum("end" - "start") as covered, bool_and("start" = was) as touching from (
+        select *, lag("end", 1, 0) over (partition by episode order by "start") as was from runs_p) join episodes using (episode) group by 1, 2)''', "p"))
+def prj09(spark, d):
+    w = Window.partitionBy("episode").orderBy("start")
+    rows = runs(spark, d, "p").withColumn("was", F.lag("end", 1, 0).over(w)).join(episodes(spark, d).select("episode", "n_frames"), "episode")
+    per = rows.groupBy("episode", "n_frames").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.every(F.col("start") == F.col("was")).alias("touching"))
+    return per.select("episode", ((F.col("n_frames") == F.col("covered")) & F.col("touching")).alias("complete"))
+
+
+@query("prj18_supported_details", sql('''select w.episode, w.s // 32 as "window", r."start", r."end" from (select episode, n_frames, unnest(generate_series(0, n_frames - 1, 32)) as s from episodes) w
+    join runs_a r on r.episode = w.episode and r.state and r."start" < least(w.s + 32, n_frames) and r."end" > w.s and r."start" >= greatest(w.s - 8, 0) and r."end" <= least(w.s + 40, n_frames)''', "a"))
+def prj18(spark, d):
+    windows = tl.core_windows(episodes(spark, d), 32, 8).drop("lab", "fps", "n_frames")
+    inside = "start < core_end and end > core_start and start >= context_start and end <= context_end"
+    return positives(spark, d, "a").join(windows, "episode").where(inside).select("episode", "window", "start", "end")
+
+
+@query("prj24_nested_identities", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def prj24(spark, d):
+    # a known path of a variant; deeper trees are exploded level by level
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return table(spark, d, "events").select("event_id", k.alias("k"))
+
+
+@query("ag37_fitted_threshold", """with x as (select doc_id, n_chars, toxic from documents join labels using (doc_id)), best as (
+    select t.n_chars as threshold from (select distinct n_chars from x where doc_id % 2 = 0) t, x where x.doc_id % 2 = 0 group by t.n_chars
+    order by 2 * count(*) filter (x.n_chars >= t.n_chars and toxic = 1) / (count(*) filter (x.n_chars >= t.n_chars) + count(*) filter (toxic = 1))::double desc, t.n_chars limit 1)
+    select threshold, count(*) filter (n_chars >= threshold and toxic = 1) as tp, count(*) filter (n_chars >= threshold and toxic <> 1) as fp, count(*) filter (n_chars < threshold and toxic = 1) as fn
+    from x, best where doc_id % 2 = 1 group by threshold""")
+def ag37(spark, d):
+    from ..operators import stats
+
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").where("toxic is not null")
+    best = stats.best_threshold(rows.where("doc_id % 2 = 0"), "n_chars", F.col("toxic") == 1).select("threshold")
+    held = rows.where("doc_id % 2 = 1").crossJoin(F.broadcast(best))  # one row
+    at, toxic = F.col("n_chars") >= F.col("threshold"), F.col("toxic") == 1
+    return held.groupBy("threshold").agg(F.count_if(at & toxic).alias("tp"), F.count_if(at & ~toxic).alias("fp"), F.count_if(~at & toxic).alias("fn"))

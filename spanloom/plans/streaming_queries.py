@@ -102,3 +102,23 @@ def hourly(spark, d):
     return finished(journal.hourly(rows, watermark="2 hours"), folder).select(
         F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n"
     )
+
+
+@query("st04_sequential_queue", "select event_type as queue, count(*) as finished from events group by 1")
+def st04(spark, d):
+    # every job is submitted, refused once and then done, in the order of the queue
+    events = table(spark, d, "events").select(F.col("event_type").alias("queue"), F.col("event_id").alias("id"))
+    steps = F.posexplode(F.array(F.lit("submit"), F.lit("full"), F.lit("done"))).alias("step", "event")
+    rows = events.select("queue", "id", steps).orderBy("queue", "id", "step").coalesce(1)
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/in")
+    done = finished(journal.sequential_queue(journal.read_journal(spark, f"{folder}/in", rows.schema)), folder)
+    return done.where("event = 'finished'").groupBy("queue").agg(F.count_distinct("id").alias("finished"))
+
+
+@query("st11_frame_requests", """select user_id as episode, sum(least(n, 8))::bigint as granted from (select user_id, event_id % 3 as r, count(*) as n from events where event_id % 3 < 2 group by 1, 2) group by user_id""")
+def st11(spark, d):
+    asks = table(spark, d, "events").select(F.col("user_id").alias("episode"), (F.col("event_id") % 3).alias("round"), F.col("event_id").alias("frame"))
+    rows, folder = stream(spark, d, asks)
+    done = finished(journal.frame_requests(rows), folder)
+    return done.groupBy("episode").agg(F.count_if("granted").alias("granted")).where("granted > 0")

@@ -115,3 +115,60 @@ def admit_within_budget(stream: DataFrame, budget: float) -> DataFrame:
     return stream.groupBy("account").applyInPandasWithState(
         step, ADMITTED, "ids array<long>, amounts array<double>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+QUEUED = "queue string, id long, event string"
+
+
+def sequential_queue(stream: DataFrame) -> DataFrame:
+    """One active job a queue.  Input (queue, id, event) with event submit, done or full: a job
+    that is refused for capacity goes to the end of its queue, and the next one starts."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting = list(state.get[0]) if state.exists else []
+        out = []
+        for pdf in pdfs:
+            for i, event in zip(pdf["id"], pdf["event"], strict=True):
+                i = int(i)
+                if event == "submit" and i not in waiting:
+                    waiting.append(i)
+                    if len(waiting) == 1:
+                        out.append((key[0], i, "started"))
+                elif waiting and i == waiting[0] and event in ("done", "full"):
+                    waiting.pop(0)
+                    if event == "full":
+                        waiting.append(i)
+                    out.append((key[0], i, "finished" if event == "done" else "requeued"))
+                    if waiting:
+                        out.append((key[0], waiting[0], "started"))
+        state.update((waiting,))
+        yield pd.DataFrame(out, columns=["queue", "id", "event"])
+
+    return stream.groupBy("queue").applyInPandasWithState(
+        step, QUEUED, "waiting array<long>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+REQUESTED = "episode long, frame long, granted boolean"
+
+
+def frame_requests(stream: DataFrame, most: int = 8, rounds: int = 2) -> DataFrame:
+    """Grant requests (episode, round, frame) of up to ``rounds`` rounds with ``most`` frames each,
+    and only frames that weren't seen."""
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen, counts = (list(x) for x in state.get) if state.exists else ([], [0] * rounds)
+        out = []
+        for pdf in pdfs:
+            for r, f in sorted(zip(pdf["round"], pdf["frame"], strict=True)):
+                granted = r < rounds and counts[int(r)] < most and f not in seen
+                if granted:
+                    counts[int(r)] += 1
+                    seen.append(int(f))
+                out.append((key[0], int(f), granted))
+        state.update((seen, counts))
+        yield pd.DataFrame(out, columns=["episode", "frame", "granted"])
+
+    return stream.groupBy("episode").applyInPandasWithState(
+        step, REQUESTED, "seen array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout
+    )
