@@ -14,6 +14,10 @@ from spanloom.llm import exact_dedup, near_dedup, packing, substring_dedup, toxi
 from spanloom.llm.common import documents, saved
 
 
+#: Chunks that a worker keeps while it tokenises; workers still hold what earlier stages left.
+MEMO = 150_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the labels, finds toxic go."""
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,7 +40,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenised documents with their places in sequences of 2048."""
-    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed_documents(docs, path, end_id=1, memo=MEMO)
 
 
 STAGES = [

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A list that grows to this many rows is handed on as one Arrow batch.
 ROWS_PER_BATCH = 4096
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,7 +72,9 @@ class _Rows:
 
         def tuples():
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
         held: list[tuple] = []
         for row in self.rows(tuples()):

@@ -75,7 +75,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
+    return Memo(xxhash.xxh64_intdigest, 100_000, "near_dedup")
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -186,7 +186,7 @@ def shared_buckets(table: DataFrame) -> DataFrame:
     each = table.where("set_key is not null").select(
         "set_key", F.posexplode(bands_of("sig")).alias("number", "band")
     )
-    found = each.groupBy("band").count().where("count > 1").select("band")
+    found = saved(each.groupBy("band").count().where("count > 1").select("band"), "bands")
     rows = saved(each.join(found, "band").distinct(), "buckets")  # without copies
     found = rows.groupBy("band").count().where("count > 1").select("band")
     return rows.join(found, "band").select("set_key", "number", "band")
@@ -416,8 +416,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "doc_id", F.coalesce("root", "set_key").alias("root")
     )
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = labelled.join(least, "root").select("doc_id", "component_id").distinct()
+    # a table of its own: a join of two plain shuffles can split a hot component's rows
+    least = saved(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
+    found = labelled.join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return (
         table.select("doc_id", "n_shingles")
         .join(found, "doc_id", "left")

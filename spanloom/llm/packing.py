@@ -30,19 +30,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, map_rows, saved, text_of
-from .tokens import space_dropping
+from .tokens import MEMO_CHUNKS, space_dropping
 
 SEQUENCE = 2048
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SEQUENCE, with_ids: bool = False
-) -> DataFrame:
-    """The documents' ids, each followed by the end id, cut into pieces of at most ``size``."""
+    docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SEQUENCE, with_ids: bool = False,
+    memo: int = MEMO_CHUNKS,
+) -> DataFrame:
+    """The documents' ids, each followed by the end id, cut into pieces of at most ``size``.
+
+    memo: chunks that a worker keeps; more cost memory and save time.
+    """
 
     def pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
-        tokenizer = space_dropping(tokenizer_path)
+        tokenizer = space_dropping(tokenizer_path, memo)
         end = np.uint32(end_id).tobytes()
         for doc_id, text in rows:
             ids = tokenizer.encode(text) + end
@@ -168,8 +172,10 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     )
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    return pack(saved(token_pieces(docs, tokenizer_path, end_id), "pieces"))
+def packed_documents(
+    docs: DataFrame, tokenizer_path: str, end_id: int = 1, memo: int = MEMO_CHUNKS
+) -> DataFrame:
+    return pack(saved(token_pieces(docs, tokenizer_path, end_id, memo=memo), "pieces"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,9 +64,9 @@ class PieceModel:
         surface |= {i: bytes([b]) for b, i in self.bytes.items()}
         surface[self.unknown] = " ⁇ ".encode()
         self.surface = {str(i): surface.get(i, b"") for i in ids}
-        self.whole = Memo(lambda p: self.merged(p) == [p], PAIRS)
-        self.compatible = Memo(lambda ab: self.merged(ab[0] + ab[1]) == [ab[0], ab[1]], PAIRS)
-        self.units = Memo(self._unit)
+        self.whole = Memo(lambda p: self.merged(p) == [p], PAIRS, "pieces")
+        self.compatible = Memo(lambda ab: self.merged(ab[0] + ab[1]) == [ab[0], ab[1]], PAIRS, "pieces")
+        self.units = Memo(self._unit, 250_000, "pieces")
 
     def merged(self, text: str) -> list[str]:
         """Symbols after merging: the best score first, the leftmost of equal ones."""

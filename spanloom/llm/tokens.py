@@ -10,22 +10,33 @@ from __future__ import annotations
 
 import re
 import struct
+import weakref
 from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-#: Chunks in each of a memo's two generations; bounds a worker's memory.
+#: Entries in each of a memo's two generations; bounds a worker's memory.
 MEMO_CHUNKS = 400_000
 
 
 class Memo(dict):
-    """key -> compute(key); when full, the entries not met since the last turn go."""
+    """key -> compute(key); when full, the entries not met since the last turn go.
 
-    def __init__(self, compute, limit: int = MEMO_CHUNKS):
+    A worker runs the tasks of many operators one after another.  Memos of other
+    users are emptied when a user's memo starts to fill, so their sizes don't add up.
+    """
+
+    user = None
+    memos: list[weakref.ref[Memo]] = []
+
+    def __init__(self, compute, limit: int = MEMO_CHUNKS, user: str = "tokens"):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.own, self.old = compute, limit, user, {}
+        Memo.memos.append(weakref.ref(self))
 
     def __missing__(self, key):
+        if Memo.user != self.own:
+            self._take_over()
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
@@ -35,6 +46,14 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def _take_over(self) -> None:
+        Memo.user = self.own
+        Memo.memos[:] = [r for r in Memo.memos if r() is not None]
+        for other in (r() for r in Memo.memos):
+            if other is not None and other.own != self.own:
+                other.clear()
+                other.old = {}
+
 
 def _byte_characters() -> list[str]:
     """The character that byte-level vocabularies use for each byte: itself if it is printable
@@ -53,13 +72,13 @@ class WordTokenizer:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO_CHUNKS):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.model = self.library.model
         self.normalizer = self.library.normalizer
         self.pieces = self.library.pre_tokenizer
-        self.piece_ids = Memo(self._piece)
+        self.piece_ids = Memo(self._piece, memo)
 
     def _piece(self, piece: str) -> bytes:
         ids = [t.id for t in self.model.tokenize(piece)]
@@ -89,9 +108,9 @@ class WordTokenizer:
 class SpaceDroppingTokenizer(WordTokenizer):
     """For vocabularies whose pre-tokenizer drops white space: any space is a cut."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.chunks = Memo(lambda c: self._chunk(c) if c else b"")
+    def __init__(self, path: str, memo: int = MEMO_CHUNKS):
+        super().__init__(path, memo)
+        self.chunks = Memo(lambda c: self._chunk(c) if c else b"", memo)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
@@ -106,10 +125,10 @@ class ByteLevelTokenizer(WordTokenizer):
 
     IRREGULAR = re.compile(r"\s\s\s|\s\s\Z")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.first = Memo(lambda c: self._chunk(c) if c else b"", MEMO_CHUNKS // 4)
-        self.later = Memo(lambda c: self._chunk(c, " "))
+    def __init__(self, path: str, memo: int = MEMO_CHUNKS):
+        super().__init__(path, memo)
+        self.first = Memo(lambda c: self._chunk(c) if c else b"", memo // 4)
+        self.later = Memo(lambda c: self._chunk(c, " "), memo)
         self.newline = self._chunk("\n")
 
     def encode(self, text: str) -> bytes:
@@ -125,10 +144,10 @@ class ByteLevelTokenizer(WordTokenizer):
 
 
 @lru_cache(maxsize=4)
-def space_dropping(path: str) -> SpaceDroppingTokenizer:
-    return SpaceDroppingTokenizer(path)
+def space_dropping(path: str, memo: int = MEMO_CHUNKS) -> SpaceDroppingTokenizer:
+    return SpaceDroppingTokenizer(path, memo)
 
 
 @lru_cache(maxsize=4)
-def byte_level(path: str) -> ByteLevelTokenizer:
-    return ByteLevelTokenizer(path)
+def byte_level(path: str, memo: int = MEMO_CHUNKS) -> ByteLevelTokenizer:
+    return ByteLevelTokenizer(path, memo)

@@ -26,12 +26,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import documents, map_rows, text_of
+from .common import SLICE, documents, map_rows, text_of
 from .tokens import Memo
 
 GRADES = 4
@@ -75,7 +75,7 @@ def features_of(text: str, known: Memo) -> Counter:
 
 
 def known_features(names) -> Memo:
-    return Memo(lambda chunk: tuple(f for f in word_features(chunk) if f in names))
+    return Memo(lambda chunk: tuple(f for f in word_features(chunk) if f in names), 50_000, "toxicity")
 
 
 def fit_ordinal(
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
 
     def presence(found: Iterator[tuple]) -> Iterator[tuple]:
         seen: Counter = Counter()
-        cut = Memo(word_features)
+        cut = Memo(word_features, 50_000, "toxicity")
         for _, text, toxic in found:
             for feature in {f for chunk in set(text.split()) for f in cut[chunk]}:
                 seen[feature, int(toxic > 0)] += 1
@@ -199,20 +199,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """docs with __sl_grades: P(grade > k) for each threshold; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
-    memo: dict[str, Memo] = {}
+    at = docs.columns.index("text")
+    names = [*docs.columns, "__sl_grades"]
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def above(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        known = memo.setdefault("known", known_features(model.weights))
-        weights = model.weights
-        scores = [
-            sum(weights[f] * np.log1p(n) for f, n in sorted(features_of(t, known).items()))
-            for t in texts
-        ]
-        return pd.Series(list(model.probabilities(np.array(scores, float))))
-
-    return docs.withColumn("__sl_grades", above(text_of()))
+        known, weights = known_features(model.weights), model.weights
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                scores = [
+                    sum(weights[f] * np.log1p(n) for f, n in sorted(features_of(t or "", known).items()))
+                    for t in part.column(at).to_pylist()
+                ]
+                grades = model.probabilities(np.array(scores, float)).tolist()
+                grades = pa.array(grades, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, grades], names=names)
+
+    schema = StructType([*docs.schema.fields, StructField("__sl_grades", ArrayType(DoubleType()))])
+    return docs.mapInArrow(score, schema)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -122,6 +122,9 @@ def test_op9_near_duplicates(spark, odd, none, sf, monkeypatch):
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.kept_documents(odd)
     assert kept.columns == odd.columns
+    two = spark.createDataFrame(rows([(1, "a b c d e f"), (1, "u v w x y z"), (0, "u v w x y z")]), SCHEMA)
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(two).collect())
+    assert found == [(0, 2, 0), (1, 2, 0), (1, 2, 0)]
 
 
 def test_sequential_bounds_follow_the_posterior():
