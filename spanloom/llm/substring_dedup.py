@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, documents, map_rows, saved, text_of
+from .common import SLICE, arrow_schema, documents, map_rows, saved, text_of
 from .near_dedup import _mix
 from .suffix_arrays import hashes_of, permuted_prefixes, prefix_hashes, suffix_array
 
@@ -85,7 +85,8 @@ def anchor_ranges(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _version(text: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int")
+    # never null, so that both joins read the texts through the same plan
+    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int"), F.lit(0))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -112,8 +113,9 @@ def anchors(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-        for batch in batches:
-            for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        parts = (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+        for part in parts:
+            for doc_id, version, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 whole = np.frombuffer(text.encode(), np.uint8)
                 for start in range(0, len(whole) - LENGTH + 1, SEGMENT):
                     data = whole[start : start + SEGMENT + LENGTH - 1]
@@ -289,11 +291,11 @@ def hot_repeats(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_starts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, version and runs (lo, hi) of the starts of repeated windows."""
     table = saved(anchors(docs), "anchors")
-    repeated = table.groupBy("anchor").count().where("count > 1").select("anchor")
+    # tables of their own: a join of two plain shuffles can split a hot anchor's rows
+    repeated = saved(table.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
     found = saved(table.join(repeated, "anchor"), "repeated-anchors")
-    kinds = found.groupBy("anchor", "range").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "lo", "span")).alias("r")
-    )
+    first = F.min(F.struct("doc_id", "version", "lo", "span")).alias("r")
+    kinds = saved(found.groupBy("anchor", "range").agg(F.count(F.lit(1)).alias("n"), first), "kinds")
     whole = found.join(kinds.where("n > 1").select("anchor", "range"), ["anchor", "range"])
     whole = whole.select(
         "doc_id", "version", F.col("lo").cast("long"), (F.col("lo") + F.col("span") % 256).cast("long").alias("hi")
