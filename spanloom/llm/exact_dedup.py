@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, text_of
+from .common import documents, map_rows, saved, text_of
 
 #: [\x20\x09-\x0D]
 SPACE = " \t\n\x0b\x0c\r"
 HASHES = 3
 CELLS_PER_ROW = 24
-#: Cells of the filter at most: 2 x 16 MiB of bits.
-MAX_CELLS = 1 << 27
+#: Cells of the filter at most: 8 MiB of bits a level, and 64 MiB of flags in a task.
+MAX_CELLS = 1 << 26
 #: Cells of a segment, the unit in which parts of the filter are merged.
 SEGMENT = 1 << 19
 #: Rows that one task of the first pass puts into its own copy of the filter.
@@ -83,9 +83,8 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
             x = np.unique(batch.column(0).to_numpy(), return_counts=True)
             for cell in _cells(x[0], cells):
                 # distinct hashes of this batch that share a cell, or a hash met twice
-                met = np.bincount(cell, x[1], minlength=0)
-                hit = np.flatnonzero(met)
-                again[hit] |= once[hit] | (met[hit] > 1)
+                hit, index = np.unique(cell, return_inverse=True)
+                again[hit] |= once[hit] | (np.bincount(index, x[1]) > 1)
                 once[hit] = True
         for k in range(cells // SEGMENT):
             part = slice(k * SEGMENT, (k + 1) * SEGMENT)
@@ -96,22 +95,26 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
                     names=["segment", "once", "again"],
                 )
 
-    def merge(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        segment, once, again = None, None, None
-        for pdf in parts:
-            for k, a, b in zip(pdf["segment"], pdf["once"], pdf["again"], strict=True):
-                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-                if once is None:
-                    segment, once, again = k, a, b
-                else:
-                    again = again | b | (once & a)
-                    once = once | a
-        return pd.DataFrame({"segment": [segment], "again": [again.tobytes()]})
+    def merge(found: Iterator[tuple]) -> Iterator[tuple]:
+        """One row a segment, of parts sorted by segment: one part at a time is held."""
+        last, once, again = None, None, None
+        for segment, a, b in found:
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            if segment == last:
+                again = again | b | (once & a)
+                once = once | a
+                continue
+            if last is not None:
+                yield last, again.tobytes()
+            last, once, again = segment, a, b
+        if last is not None:
+            yield last, again.tobytes()
 
     spark = hashes.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILTER))
     parts = hashes.coalesce(tasks).mapInArrow(fill, "segment long, once binary, again binary")
-    merged = parts.groupBy("segment").applyInPandas(_whole(merge), "segment long, again binary")
+    together = parts.repartition("segment").sortWithinPartitions("segment")
+    merged = map_rows(together, merge, "segment long, again binary")
     bits = np.zeros(cells // 8, np.uint8)
     for row in merged.toLocalIterator():  # MAX_CELLS / 8 bytes at most
         at = row["segment"] * SEGMENT // 8
@@ -119,10 +122,6 @@ def repeat_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return bits, cells
 
 
-def _whole(merge):
-    return lambda pdf: merge(iter([pdf]))
-
-
 def repeat_test(table: DataFrame):
     """A function of a text_sha256 column: false for texts that certainly occur once in table."""
     rows = table.count()
@@ -159,7 +158,9 @@ def decisions(table: DataFrame) -> DataFrame:
         "text_sha256",
     )
     others = marked.where("_maybe")
-    joined = others.join(_groups(others), "text_sha256").select(
+    # a table of its own: a join of two plain shuffles can split a hot text's rows
+    groups = saved(_groups(others), "groups")
+    joined = others.join(groups, "text_sha256").select(
         "doc_id",
         F.col("first.b").alias("keep_id"),
         "group_size",
