@@ -476,6 +476,17 @@ def ag41(spark, d):
     from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1 and x.l_linenumber % 2 = 1""")
 def ag42(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
-    back = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_discount").alias("back"))
-    both = rows.where("l_linenumber % 2 = 1").join(back, ["l_orderkey", "l_linenumber"])
+    return neighbour_scores(rows.where("l_linenumber % 2 = 1"), rows)
+
+
+@query("ag42_all_neighbours", """select x.l_orderkey, x.l_linenumber, round((x.l_discount + y.l_discount) / 2, 6) as mean_score, least(x.l_discount, y.l_discount) as least_score
+    from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1""")
+def ag42_all(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    return neighbour_scores(rows, rows)
+
+
+def neighbour_scores(rows, following):
+    back = following.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_discount").alias("back"))
+    both = rows.join(back, ["l_orderkey", "l_linenumber"])
     return both.select("l_orderkey", "l_linenumber", F.round((F.col("l_discount") + F.col("back")) / 2, 6).alias("mean_score"), F.least("l_discount", "back").alias("least_score"))

@@ -42,6 +42,18 @@ def tl03(spark, d):
     return tl.coalesce_segments(rows).select("episode", "start", "end", "state", "parts")
 
 
+@query("tl03_coalesce_known", sql('''select episode, min("start") as "start", max("end") as "end", state, count(*) as parts from (
+    select *, sum(new) over (partition by episode order by "start") as island from (
+        select *, case when lag("end") over w = "start" and lag(state) over w = state then 0 else 1 end as new
+        from (select episode, frame as "start", frame + 1 as "end", p as state from frames where p is not null) window w as (partition by episode order by "start")))
+    group by episode, island, state'''))
+def tl03_known(spark, d):
+    # every frame with a state; the gaps are the track's unknowns
+    rows = frames(spark, d).where("p is not null")
+    rows = rows.select("episode", F.col("frame").alias("start"), (F.col("frame") + 1).alias("end"), F.col("p").alias("state"))
+    return tl.coalesce_segments(rows).select("episode", "start", "end", "state", "parts")
+
+
 @query("tl04_bouts", sql('''select episode, min(frame) as "start", max(frame) + 1 as "end" from (
     select episode, frame, frame - row_number() over (partition by episode order by frame) as g from frames where c <> 3) group by episode, g'''))
 def tl04(spark, d):
@@ -59,6 +71,19 @@ def prj11(spark, d):
     return tl.coalesce_segments(binary, contiguous=False).select("episode", "start", "end", "state")
 
 
+@query("prj11_all_runs", sql('''select track, episode, min("start") as "start", max("end") as "end", state from (
+    select *, sum(new) over (partition by track, episode order by "start") as island from (
+        select *, case when lag(state) over (partition by track, episode order by "start") = state then 0 else 1 end as new
+        from (select 'c' as track, episode, "start", "end", state = 1 as state from runs_c union all select 'p', episode, "start", "end", state from runs_p)))
+    group by track, episode, island, state''', "c", "p"))
+def prj11_all(spark, d):
+    # every run of the 3-class score, and of a track whose unknowns are the gaps to be bridged
+    c = runs(spark, d, "c").select(F.lit("c").alias("track"), "episode", "start", "end", (F.col("state") == 1).alias("state"))
+    p = runs(spark, d, "p").select(F.lit("p").alias("track"), "episode", "start", "end", "state")
+    found = tl.coalesce_segments(c.union(p), ["track", "episode"], contiguous=False)
+    return found.select("track", "episode", "start", "end", "state")
+
+
 @query("tl05_clip_to_cores", sql('''select w.episode, w.core // 32 as "window", greatest("start", w.core) as "start", least("end", w.core + 32, w.n_frames) as "end", state
     from (select episode, n_frames, unnest(generate_series(0, n_frames - 1, 32)) as core from episodes) w
     join runs_a r on r.episode = w.episode and r."start" < least(w.core + 32, w.n_frames) and r."end" > w.core''', "a"))
