@@ -62,11 +62,23 @@ def st02(spark, d):
 
 @query("st05_chained_parts", """select user_id as episode, count(*) as released from (select user_id, row_number() over (partition by user_id order by ts, event_id) as r from events) where r <= 20 group by user_id""")
 def st05(spark, d):
+    return released(spark, d, numbered(spark, d).where("part < 20"))
+
+
+@query("st05_all_parts", "select user_id as episode, count(*) as released from events group by user_id")
+def st05_all(spark, d):
+    return released(spark, d, numbered(spark, d))
+
+
+def numbered(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    parts = table(spark, d, "events").select(F.col("user_id").alias("episode"), (F.row_number().over(w) - 1).cast("long").alias("part"), F.lit(True).alias("valid"))
-    rows, folder = stream(spark, d, parts.where("part < 20"))
+    return table(spark, d, "events").select(F.col("user_id").alias("episode"), (F.row_number().over(w) - 1).cast("long").alias("part"), F.lit(True).alias("valid"))
+
+
+def released(spark, d, parts):
+    rows, folder = stream(spark, d, parts)
     done = finished(journal.chained_parts(rows), folder)
     return done.where("state = 'released'").groupBy("episode").agg(F.count_distinct("part").alias("released"))
 

@@ -67,19 +67,20 @@ def chained_parts(stream: DataFrame, repairs: int = 2) -> DataFrame:
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         following, failures, waiting = state.get if state.exists else (0, 0, [])
-        waiting, out = list(waiting), []
+        waiting, out = set(waiting), []
         for pdf in pdfs:
             for part, valid in zip(pdf["part"], pdf["valid"], strict=True):
                 if valid:
-                    waiting.append(int(part))
+                    if part >= following:  # else released before
+                        waiting.add(int(part))
                 else:
                     failures += 1
                     out.append((key[0], int(part), "repair" if failures <= repairs else "stopped"))
         while following in waiting and failures <= repairs:
             out.append((key[0], following, "released"))
-            waiting = [p for p in waiting if p != following]
+            waiting.remove(following)
             following += 1
-        state.update((following, failures, waiting))
+        state.update((following, failures, sorted(waiting)))
         yield pd.DataFrame(out, columns=["episode", "part", "state"])
 
     return stream.groupBy("episode").applyInPandasWithState(
