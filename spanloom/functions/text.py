@@ -90,16 +90,16 @@ def common_subsequence(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(a, zeros, next_row), -1)
 
 
-def token_f1(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Multiset F1 of the words of two text columns, by counting words, not by loops."""
-    each = F.explode(
+def token_f1(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Multiset F1 of the words of two text columns, by counting words, not by loops; null where neither has words."""
+    each = F.explode_outer(
         F.concat(
             F.transform(words(F.col(left)), lambda w: F.struct(w.alias("w"), F.lit(1).alias("l"), F.lit(0).alias("r"))),
             F.transform(words(F.col(right)), lambda w: F.struct(w.alias("w"), F.lit(0).alias("l"), F.lit(1).alias("r"))),
         )
     )
-    counts = rows.select(key, each.alias("e")).groupBy(key, "e.w").agg(F.sum("e.l").alias("l"), F.sum("e.r").alias("r"))
-    return counts.groupBy(key).agg(F.try_divide(2.0 * F.sum(F.least("l", "r")), F.sum(F.col("l") + F.col("r")).cast("double")).alias("f1"))
+    counts = rows.select(*keys, each.alias("e")).groupBy(*keys, "e.w").agg(F.sum("e.l").alias("l"), F.sum("e.r").alias("r"))
+    return counts.groupBy(*keys).agg(F.try_divide(2.0 * F.sum(F.least("l", "r")), F.sum(F.col("l") + F.col("r")).cast("double")).alias("f1"))
 
 
 def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:

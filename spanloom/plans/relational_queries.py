@@ -412,8 +412,8 @@ def fn_jaccard(spark, d):
 @query("fn_token_f1")
 def fn_token_f1(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").withColumn("other", F.lead("text").over(w)).where("other is not null and turn = 0")
-    return tx.token_f1(rows, "conv_id", "text", "other").withColumn("f1", F.round("f1", 6))
+    rows = table(spark, d, "conversations").withColumn("other", F.lead("text").over(w)).where("other is not null")
+    return tx.token_f1(rows, ["conv_id", "turn"], "text", "other").withColumn("f1", F.round("f1", 6))
 
 
 @query("fn_tf_idf_lengths", """select item_id, round(sum(w * w), 6) as squared from (select item_id, w / sqrt(sum(w * w) over (partition by item_id)) as w from (
@@ -435,6 +435,14 @@ def fn_edit(spark, d):
     return rows.where("size(x) > 0 and size(y) > 0").select("episode", tx.edit_distance(labels("x"), labels("y")).alias("distance"))
 
 
+@query("fn_track_edit_distance", sql("""select episode, levenshtein(string_agg(case when a then 'y' else 'n' end, '' order by frame), string_agg(case when p is null then 'u' when p then 'y' else 'n' end, '' order by frame))::int as distance from frames group by episode"""))
+def fn_track_edit(spark, d):
+    # two tracks of an episode over all of its frames
+    label = lambda c: F.when(F.col(c).isNull(), "u").when(F.col(c), "y").otherwise("n")
+    rows = frames(spark, d).groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("frame", label("a").alias("a"), label("p").alias("p")))).alias("s"))
+    return rows.select("episode", tx.edit_distance(F.col("s.a"), F.col("s.p")).alias("distance"))
+
+
 @query("ag34_text_statistics", """select doc_id, len(regexp_extract_all(text, '[^ ]+')) as words, len(regexp_extract_all(text, ' the ')) as the_count from documents""")
 def ag34(spark, d):
     return table(spark, d, "documents").select(

@@ -71,3 +71,17 @@ def test_chained_parts_of_long_episodes(spark, tmp_path):
     found = spark.read.parquet(f"{tmp_path}/out").collect()
     assert Counter((r.episode, r.part) for r in found if r.state == "released") == Counter([(1, k) for k in range(n)] + [(2, k) for k in range(60)])
     assert took < 25  # work in proportion to the parts
+
+
+def test_fn_token_f1_of_every_pair_of_turns(spark, tmp_path):
+    texts = {1: ["a b b", "b b c", "", "", "A x"], 2: ["only one"], 3: ["p q", "r s", "s r r"]}
+    rows = [(c, t, text) for c, turns in texts.items() for t, text in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    wanted = {}
+    for c, turns in texts.items():
+        for t, (x, y) in enumerate(zip(turns, turns[1:], strict=False)):
+            x, y = Counter(x.lower().split()), Counter(y.lower().split())
+            n = x.total() + y.total()
+            wanted[c, t] = round(2 * (x & y).total() / n, 6) if n else None
+    found = QUERIES["fn_token_f1"](spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.turn): r.f1 for r in found} == wanted
