@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 
 #: Entries in each of a memo's two generations; bounds a worker's memory.
 MEMO_CHUNKS = 400_000
+#: Longer keys aren't kept, so that texts without spaces don't fill a worker's memory.
+LONGEST = 64
 
 
 class Memo(dict):
@@ -37,6 +39,8 @@ class Memo(dict):
     def __missing__(self, key):
         if Memo.user != self.own:
             self._take_over()
+        if len(key) > LONGEST:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
