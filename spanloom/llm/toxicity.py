@@ -4,8 +4,10 @@ Features are the words of a text, without case and outer punctuation, and their
 beginnings of four to six letters; a feature counts with the logarithm of one
 plus its occurrences.  P(grade > k) is the logistic function of w.x - t_k: all
 thresholds t_0 < t_1 < ... share the weights w.  A document's severity is the
-expected grade, the sum of these probabilities, and it is toxic when grade 0 is
-less likely than not.
+expected grade, the sum of these probabilities.  It is toxic when P(grade > 0) is
+at least the model's cut: that at which recall less false alarms is largest on
+labelled rows which the scoring fit hasn't seen (FOLDS fits, each with features of
+its own).
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents of each class
 (the lowest hashes of their ids; weights restore the classes' shares).  Labels
@@ -15,8 +17,10 @@ every text whole, in one pass without a shuffle.
 
 Cases: a null or empty text has no features; without labels of both classes no
 document is toxic; labels that are null or belong to no document are left out; a
-doc_id with several labels counts once, with its highest; an empty table
-gives no rows; other columns pass through ``scored``.
+doc_id with several labels counts once, with its highest, and one of several
+labelled texts, the smallest; a very long text is one row, read word by word, and
+its words of over 64 characters aren't kept; repeated rows and ties have equal
+scores; an empty table gives no rows; other columns pass through ``scored``.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import SLICE, documents, map_rows, text_of
+from .common import SLICE, documents, map_rows, saved, text_of
 from .tokens import Memo
 
 GRADES = 4
@@ -42,6 +47,11 @@ FEATURES = 4096
 #: A feature occurs in so many sampled documents, and is so many times as common in one class.
 LEAST_DOCUMENTS, LEAST_LIFT = 5, 4.0
 PREFIXES = (4, 5, 6)
+#: Weight of the squared weights against the mean log-likelihood, chosen on held-out labels.
+RIDGE = 1e-3
+STEPS = 300
+#: Parts of the sample that are scored by a fit on the others, for the cut.
+FOLDS = 3
 OUTER = ".,;:!?\"'()[]{}<>«»“”‘’¡¿…*-_"
 
 
@@ -54,10 +64,12 @@ def word_features(chunk: str) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Thresholds, and a weight for each feature."""
+    """A weight for each feature, the thresholds and the cut."""
 
     weights: dict[str, float]
     thresholds: tuple[float, ...]
+    #: A document is toxic from this P(grade > 0) on.
+    cut: float = 0.5
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k), one column for each threshold."""
@@ -80,7 +92,7 @@ def known_features(names) -> Memo:
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray,
-    weights: np.ndarray, n_features: int, *, ridge: float = 1e-6, steps: int = 400,
+    weights: np.ndarray, n_features: int, *, ridge: float = RIDGE, steps: int = STEPS,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(feature weights, thresholds) of the penalised likelihood, by Adam.
 
@@ -122,20 +134,64 @@ def fit_ordinal(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, toxic) of the sampled labelled documents, and the labels' class counts."""
+    """Saved (doc_id, text, toxic, fold) of the sampled labelled documents, and the labels' class counts."""
     known = (
         labels.where("doc_id is not null and toxic is not null")
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
-    counts = {int(r["toxic"] > 0): r["count"] for r in known.groupBy("toxic").count().collect()}
-    parts = [
-        known.where("toxic > 0" if c else "toxic <= 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        for c in (0, 1)
-    ]
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    parts = [known.where(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for c in (0, 1)]
     chosen = parts[0].union(parts[1])  # 2 * SAMPLE rows at most
-    texts = docs.select("doc_id", text_of().alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id"), counts
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return saved(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")), "toxic-sample"), counts
+
+
+@dataclass
+class _Sample:
+    """The sampled documents' features on the driver: at most 2 * SAMPLE rows of known features."""
+
+    toxic: np.ndarray
+    fold: np.ndarray
+    words: np.ndarray
+    rows: np.ndarray
+    columns: np.ndarray
+    counted: np.ndarray
+    weights: np.ndarray
+
+    def fitted(self, chosen: np.ndarray, marks: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, thresholds) on the rows ``train``, for the features ``chosen``."""
+        local = np.full(int(self.columns.max(initial=0)) + 1 + len(chosen), -1)
+        local[chosen] = np.arange(len(chosen))
+        place = np.cumsum(train) - 1
+        use = train[self.rows] & (local[self.columns] >= 0)
+        rows, columns, counted = place[self.rows[use]], local[self.columns[use]], self.counted[use]
+        toxic, n = self.toxic[train], int(train.sum())
+        density = np.bincount(rows, counted * marks[columns], minlength=n) / np.maximum(1, self.words[train])
+        bounds = np.quantile(density[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+        grades = np.where(toxic == 1, 1 + np.searchsorted(bounds, density, side="right"), 0)
+        return fit_ordinal(rows, columns, np.log1p(counted), grades, self.weights[train], len(chosen))
+
+    def scores(self, chosen: np.ndarray, w: np.ndarray) -> np.ndarray:
+        full = np.zeros(int(self.columns.max(initial=0)) + 1 + len(chosen))
+        full[chosen] = w
+        return np.bincount(self.rows, np.log1p(self.counted) * full[self.columns], minlength=len(self.toxic))
+
+
+def best_cut(p: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
+    """The cut at which recall less the rate of false alarms is largest; the middle between
+    the two probabilities around it, and the highest of equally good ones."""
+    order = np.argsort(-p, kind="stable")
+    p, toxic, weights = p[order], toxic[order], weights[order]
+    gain = np.cumsum(weights * (toxic == 1)) / (weights * (toxic == 1)).sum()
+    loss = np.cumsum(weights * (toxic == 0)) / (weights * (toxic == 0)).sum()
+    last = np.flatnonzero(np.r_[p[1:] != p[:-1], True])  # equal probabilities fall together
+    at = last[np.argmax((gain - loss)[last])]
+    return float((p[at] + (p[at + 1] if at + 1 < len(p) else 0.0)) / 2)
+
+
+NO_MODEL = (60.0,) * (GRADES - 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
@@ -144,56 +200,75 @@ def fit(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     def presence(found: Iterator[tuple]) -> Iterator[tuple]:
         seen: Counter = Counter()
         cut = Memo(word_features, 50_000, "toxicity")
-        for _, text, toxic in found:
+        for _, text, toxic, fold in found:
             for feature in {f for chunk in set(text.split()) for f in cut[chunk]}:
-                seen[feature, int(toxic > 0)] += 1
+                seen[feature, toxic, fold] += 1
             if len(seen) > 500_000:
-                yield from ((f, c, n) for (f, c), n in seen.items())
+                yield from ((*key, n) for key, n in seen.items())
                 seen.clear()
-        yield from ((f, c, n) for (f, c), n in seen.items())
-
-    each = map_rows(sample, presence, "feature string, class long, n long")
-    total = sample.groupBy((F.col("toxic") > 0).cast("int").alias("c")).count().collect()
-    total = {r["c"]: r["count"] for r in total}
-    if len(total) < 2:
-        return OrdinalModel({}, (60.0,) * (GRADES - 1))
-    table = (
-        each.groupBy("feature")
-        .agg(F.sum(F.expr("if(class = 1, n, 0)")).alias("n1"), F.sum(F.expr("if(class = 0, n, 0)")).alias("n0"))
-        .where(F.col("n1") + F.col("n0") >= LEAST_DOCUMENTS)
-        .withColumn("p1", (F.col("n1") + 0.5) / (total[1] + 1))
-        .withColumn("p0", (F.col("n0") + 0.5) / (total[0] + 1))
-        .where(F.greatest(F.expr("p1 / p0"), F.expr("p0 / p1")) >= LEAST_LIFT)
-    )
-    best = table.orderBy(F.abs(F.expr("(p1 - p0) / sqrt(p1 + p0)")).desc(), "feature").limit(FEATURES)
-    best = best.select("feature", "p1", "p0").collect()
-    if not best:
-        return OrdinalModel({}, (60.0,) * (GRADES - 1))
-    index = {r["feature"]: i for i, r in enumerate(best)}
-    marks = np.array([r["p1"] > r["p0"] for r in best])
+        yield from ((*key, n) for key, n in seen.items())
+
+    total = {(r["toxic"], r["fold"]): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
+    size = {c: sum(n for (k, _), n in total.items() if k == c) for c in (0, 1)}
+    if not size[0] or not size[1]:
+        return OrdinalModel({}, NO_MODEL)
+    each = map_rows(sample, presence, "feature string, class int, fold int, n long")
+    part = lambda condition, name: F.sum(F.expr(f"if({condition}, n, 0)")).alias(name)
+    held = [part(f"class = {c} and fold = {k}", f"n{c}_{k}") for c in (0, 1) for k in range(FOLDS)]
+    table = each.groupBy("feature").agg(part("class = 0", "n0"), part("class = 1", "n1"), *held)
+    table = saved(table.where(F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS), "toxic-features")
+
+    def best(fold: int | None) -> list:
+        """The features that tell the classes apart best outside a fold."""
+        out = 0 if fold is None else 1
+        n = {c: size[c] - out * total.get((c, fold), 0) for c in (0, 1)}
+        shares = [(F.col(f"n{c}") - (F.col(f"n{c}_{fold}") if out else 0) + 0.5) / (n[c] + 1) for c in (0, 1)]
+        shares = table.select("feature", shares[0].alias("p0"), shares[1].alias("p1"))
+        shares = shares.where(F.greatest(F.expr("p1 / p0"), F.expr("p0 / p1")) >= LEAST_LIFT)
+        order = F.abs(F.expr("(p1 - p0) / sqrt(p1 + p0)")).desc()
+        return shares.orderBy(order, "feature").limit(FEATURES).collect()
+
+    sets = {fold: best(fold) for fold in (None, *range(FOLDS))}
+    if not sets[None]:
+        return OrdinalModel({}, NO_MODEL)
+    index = {f: i for i, f in enumerate(dict.fromkeys(r["feature"] for rows in sets.values() for r in rows))}
 
     def sparse(found: Iterator[tuple]) -> Iterator[tuple]:
         known = known_features(index)
-        for doc_id, text, toxic in found:
+        for doc_id, text, toxic, fold in found:
             counted = features_of(text, known)
-            yield (
-                doc_id, int(toxic > 0), len(text.split()),
-                [index[f] for f in counted], list(map(float, counted.values())),
-            )
-
-    schema = "doc_id long, toxic long, words long, columns array<long>, counts array<double>"
-    data = sorted(map(tuple, map_rows(sample, sparse, schema).collect()), key=lambda r: (r[0], r[1:]))
-    toxic = np.array([r[1] for r in data])
-    sizes = [len(r[3]) for r in data]
-    rows = np.repeat(np.arange(len(data)), sizes)
-    columns = np.array([c for r in data for c in r[3]], np.int64)
-    counted = np.array([c for r in data for c in r[4]])
-    density = np.bincount(rows, counted * marks[columns], minlength=len(data)) / np.maximum(1, [r[2] for r in data])
-    bounds = np.quantile(density[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grades = np.where(toxic == 1, 1 + np.searchsorted(bounds, density, side="right"), 0)
-    shares = np.array([counts[c] / np.count_nonzero(toxic == c) for c in (0, 1)])
-    w, t = fit_ordinal(rows, columns, np.log1p(counted), grades, shares[toxic] / shares.max(), len(index))
-    return OrdinalModel({f: float(w[i]) for f, i in index.items()}, tuple(t.tolist()))
+            columns = np.array([index[f] for f in counted], "<i4").tobytes()
+            yield doc_id, toxic, fold, len(text.split()), columns, np.array(list(counted.values()), "<f4").tobytes()
+
+    schema = "doc_id long, toxic int, fold int, words long, columns binary, counts binary"
+    data = map_rows(sample, sparse, schema).orderBy("doc_id").collect()  # as many rows as the sample
+    columns = [np.frombuffer(r["columns"], "<i4") for r in data]
+    toxic = np.array([r["toxic"] for r in data])
+    shares = np.array([counts[c] / size[c] for c in (0, 1)])
+    known = _Sample(
+        toxic,
+        np.array([r["fold"] for r in data]),
+        np.array([r["words"] for r in data]),
+        np.repeat(np.arange(len(data)), [len(c) for c in columns]),
+        np.concatenate(columns).astype(np.int64),
+        np.concatenate([np.frombuffer(r["counts"], "<f4") for r in data]).astype(float),
+        shares[toxic] / shares.max(),
+    )
+    chosen = {k: np.array([index[r["feature"]] for r in rows], np.int64) for k, rows in sets.items()}
+    marks = {k: np.array([r["p1"] > r["p0"] for r in rows], bool) for k, rows in sets.items()}
+    outside = np.full(len(data), np.nan)
+    for k in range(FOLDS):
+        train = known.fold != k
+        if len(chosen[k]) and {0, 1} <= set(toxic[train].tolist()):
+            w, t = known.fitted(chosen[k], marks[k], train)
+            p = OrdinalModel({}, tuple(t.tolist())).probabilities(known.scores(chosen[k], w))[:, 0]
+            outside[~train] = p[~train]
+    seen = ~np.isnan(outside)
+    both = {0, 1} <= set(toxic[seen].tolist())
+    cut = best_cut(outside[seen], toxic[seen], known.weights[seen]) if both else 0.5
+    w, t = known.fitted(chosen[None], marks[None], np.ones(len(data), bool))
+    weights = {r["feature"]: float(x) for r, x in zip(sets[None], w, strict=True)}
+    return OrdinalModel(weights, tuple(t.tolist()), cut)
 
 
 def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -209,7 +284,7 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
             for first in range(0, batch.num_rows, SLICE):
                 part = batch.slice(first, SLICE)
                 scores = [
-                    sum(weights[f] * np.log1p(n) for f, n in sorted(features_of(t or "", known).items()))
+                    sum(weights[f] * log1p(n) for f, n in sorted(features_of(t or "", known).items()))
                     for t in part.column(at).to_pylist()
                 ]
                 grades = model.probabilities(np.array(scores, float)).tolist()
@@ -222,19 +297,25 @@ def scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
-    return scored(docs, fit(docs, labels)).where("__sl_grades[0] < 0.5").select(*docs.columns)
+    model = fit(docs, labels)
+    return scored(docs, model).where(F.col("__sl_grades")[0] < model.cut).select(*docs.columns)
 
 
-def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    severity = F.aggregate("__sl_grades", F.lit(0.0), lambda a, b: a + b)
-    grade = F.size(F.filter("__sl_grades", lambda p: p >= 0.5))
-    return scored(docs, model).select(
+def graded(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """doc_id, p_toxic, expected_severity, grade, toxic and kept of every document."""
+    p = F.col("__sl_grades")[0]
+    toxic = p >= model.cut
+    above = F.size(F.filter("__sl_grades", lambda x: x >= 0.5))
+    return scored(docs.select("doc_id", "text"), model).select(
         "doc_id",
-        F.col("__sl_grades")[0].alias("p_toxic"),
-        severity.alias("expected_severity"),
-        grade.alias("grade"),
-        (grade > 0).alias("toxic"),
-        (grade == 0).alias("kept"),
+        p.alias("p_toxic"),
+        F.aggregate("__sl_grades", F.lit(0.0), lambda a, b: a + b).alias("expected_severity"),
+        F.when(toxic, F.greatest(above, F.lit(1))).otherwise(0).alias("grade"),
+        toxic.alias("toxic"),
+        (~toxic).alias("kept"),
     )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return graded(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -49,14 +49,53 @@ def test_ordinal_regression_recovers_order():
     assert np.allclose(t, [0, 1.5, 3], atol=0.25)
 
 
-def test_op5_finds_toxic_documents(spark):
+def test_gradient_of_the_likelihood_vanishes_at_the_fit():
+    rng = np.random.default_rng(4)
+    n, ridge = 600, 1e-2
+    x = rng.integers(0, 3, (n, 4)).astype(float)
+    grades = np.searchsorted([0.5, 2.0, 3.0], x @ [1.0, -0.5, 0.3, 0.0] + rng.logistic(size=n))
+    weights = np.where(grades > 0, 0.5, 1.0)
+    rows, columns = np.nonzero(x)
+
+    def objective(w, t):
+        above = np.c_[np.ones(n), 1 / (1 + np.exp(t - (x @ w)[:, None])), np.zeros(n)]
+        chance = above[np.arange(n), grades] - above[np.arange(n), grades + 1]
+        return (weights * np.log(chance)).sum() / weights.sum() - ridge * (w**2).sum() / 2
+
+    w, t = toxicity.fit_ordinal(rows, columns, x[rows, columns], grades, weights, 4, ridge=ridge, steps=2000)
+    for i, h in [(i, h) for i in range(7) for h in (1e-4, -1e-4)]:
+        moved = np.r_[w, t]
+        moved[i] += h
+        assert (objective(moved[:4], moved[4:]) - objective(w, t)) / abs(h) < 2e-3
+
+
+def test_best_cut_by_hand():
+    p, toxic = np.array([0.9, 0.6, 0.6, 0.3, 0.2, 0.1]), np.array([1, 1, 0, 1, 0, 0])
+    assert toxicity.best_cut(p, toxic, np.ones(6)) == 0.25  # recall 1, false alarms 1/3
+    assert toxicity.best_cut(p, toxic, np.array([1.0, 1, 100, 1, 1, 1])) == 0.75  # recall 1/3, no false alarm
+
+
+def test_op5_on_rows_that_the_fit_never_saw(spark):
+    large = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where("crc32(cast(doc_id as string)) % 5 <> 0"))
+    held = labels.where("crc32(cast(doc_id as string)) % 5 = 0").withColumnRenamed("toxic", "label")
+    found = toxicity.graded(docs, model).join(held, "doc_id").toPandas()
+    assert found.loc[found["label"] == 1, "toxic"].mean() >= 0.9
+    assert found.loc[found["label"] == 0, "toxic"].mean() <= 0.03
+
+
+def test_op5_columns(spark):
     found = toxicity.op5_toxicity(spark, LARGE).toPandas()
     labels = spark.read.parquet(f"{LARGE}/labels.parquet").toPandas()
     both = found.merge(labels.rename(columns={"toxic": "label"}), on="doc_id")
-    assert both.loc[both["label"] == 1, "toxic"].mean() > 0.85
-    assert both.loc[both["label"] == 0, "toxic"].mean() < 0.01
+    assert both.loc[both["label"] == 1, "toxic"].mean() > 0.9
+    assert both.loc[both["label"] == 0, "toxic"].mean() < 0.03
     assert found["expected_severity"].between(0, toxicity.GRADES - 1).all()
+    assert ((found["grade"] > 0) == found["toxic"]).all()
     assert (found["toxic"] != found["kept"]).all()
+    clean = toxicity.clean_documents(spark.read.parquet(f"{LARGE}/documents.parquet"), spark.read.parquet(f"{LARGE}/labels.parquet"))
+    assert {r.doc_id for r in clean.select("doc_id").collect()} == set(found.loc[found["kept"], "doc_id"])
 
 
 def test_op5_odd_rows(spark, odd, none):
