@@ -42,6 +42,25 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with at least one in so many rows is joined by broadcast.
+SPREAD = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """left.join(right, on) for a right side with one row a key, without a hot task.
+
+    ``sizes`` has the rows of ``left`` for each key as ``n``.  At most SPREAD keys hold one in
+    SPREAD rows or more; only their rows of ``right`` are broadcast.  All other keys are shuffled.
+    """
+    total = left.count()
+    hot = sizes.where(F.col("n") * SPREAD >= total).select(*on)  # SPREAD rows at most
+    hot = saved(right.join(F.broadcast(hot), on, "left_semi"), "hot")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    few = F.broadcast(hot)
+    return left.join(few, on).unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right, on, how))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

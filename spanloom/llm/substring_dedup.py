@@ -6,24 +6,29 @@ the corpus goes.  Strings are judged on the input; matches never cross documents
 1. Anchors.  Each window of LENGTH bytes is represented by its smallest K-gram
    hash, the leftmost of equal ones.  Equal windows have the same anchor, so only
    documents with an anchor that occurs twice can share a window.  The windows of
-   one anchor form a range; anchor, range and a hash of the range's bytes are one
-   row, about one for each 80 bytes.
+   one anchor form a range; anchor, range and 80 bits of a BLAKE2 hash of the range's
+   bytes are one row, about one for each 80 bytes.
 2. Whole ranges.  Where two occurrences have the same anchor and range hash, all
    their windows are repeated.  That settles the inside of repeated passages.
 3. Edges.  Other ranges of a repeated anchor are cut out of the texts, one of each
    kind, and dealt by anchor into shards.  A shard's suffix array is built by
    induced sorting, and windows whose common prefix with a neighbour is LENGTH or
-   more are repeated.
-4. Hot anchors.  An anchor with more than HOT different ranges isn't gathered:
-   tasks settle what repeats among their own share, and send one hash for each
-   remaining kind of window, dealt by hash, to find those of different tasks.
-
+   more are repeated.  Bytes are compared there, not hashes.
+4. Hot anchors.  The different ranges of an anchor with more than SHARE of them are
+   dealt to several shards by their hashes.  Each builds its suffix array; one
+   BLAKE2 hash of 128 bits for each of its kinds of windows then goes, dealt by hash,
+   to where equal windows of different shards meet.
+
+Cheap hashes only choose anchors; an error there costs time and no result.  Keys
+that hold a thousandth of the rows or more are joined by broadcast (``spread_join``).
 The texts are shuffled once: both joins use the same exchange.
 
-Cases: a null or empty text, or one shorter than LENGTH, loses nothing; rows with
-equal doc_id are told apart by their texts' hashes, and identical rows lose
-the same bytes; an empty table gives no rows; other columns are ignored by the
-digest and kept by ``without_repeats``, which drops code points that lose a byte.
+Cases: a null or empty text, or one shorter than LENGTH, loses nothing; a very long
+text is read in segments of SEGMENT window starts; rows are told apart by doc_id and
+text (by the text's SHA-256 alone where doc_id is null), so identical rows lose the
+same bytes; an empty table gives no rows; other columns, whatever their names, are
+ignored by the digest and kept by ``without_repeats``, which drops code points that
+lose a byte.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE, arrow_schema, documents, map_rows, saved, text_of
+from .common import SLICE, arrow_schema, documents, map_rows, saved, spread_join, text_of
 from .near_dedup import _mix
 from .suffix_arrays import hashes_of, permuted_prefixes, prefix_hashes, suffix_array
 
@@ -47,12 +52,12 @@ K = 40
 GRAMS = LENGTH - K + 1
 #: Window starts that are handled at a time; bounds a task's memory for long texts.
 SEGMENT = 1 << 20
-#: Different ranges of an anchor from which on it isn't gathered in one shard.
-HOT = 512
+#: Different ranges of an anchor that go to one shard; more are dealt to several.
+SHARE = 512
 #: Bytes after which a shard's suffix array is built.
 SHARD_BYTES = 1_500_000
 
-ANCHORS = "doc_id long, version int, anchor long, range long, lo int, span int"
+ANCHORS = "k1 long, k2 long, anchor long, range long, place long"
 
 
 def _sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
@@ -66,11 +71,14 @@ def _sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchor_ranges(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor, range hash, first window start, last window start, anchor position)."""
+def anchor_ranges(data: np.ndarray, start: int = 0) -> tuple[np.ndarray, ...]:
+    """(anchor, range hash, place) of the ranges of a stretch of text that begins at ``start``.
+
+    place: the first window start, 16 more bits of the range's hash, the bytes from
+    the first window start to the anchor, and those to the last window start.
+    """
     prefix = prefix_hashes(data)
-    n = len(data)
-    places = np.arange(n - K + 1)
+    places = np.arange(len(data) - K + 1)
     grams = _mix(hashes_of(prefix, places, places + K))
     low = np.uint64((1 << 24) - 1)
     least = _sliding_argmin((grams & ~low) | places.astype(np.uint64), GRAMS)
@@ -78,30 +86,38 @@ def anchor_ranges(data: np.ndarray) -> tuple[np.ndarray, ...]:
     lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     hi = np.r_[lo[1:], len(at)] - 1
     at = at[lo]
-    whole = hashes_of(prefix, lo, hi + LENGTH)
-    extent = ((at - lo) * 256 + (hi - lo)).astype(np.uint64)
-    ranges = _mix(whole + extent * np.uint64(0xD1B54A32D192ED03))
-    return grams[at].view(np.int64), ranges.view(np.int64), lo, hi, at
+    bytes_of, blake = data.tobytes(), hashlib.blake2b
+    ends = (hi + LENGTH).tolist()
+    digests = b"".join([blake(bytes_of[a:b], digest_size=10).digest() for a, b in zip(lo.tolist(), ends, strict=True)])
+    digests = np.frombuffer(digests, "<u2").reshape(-1, 5)
+    ranges = np.ascontiguousarray(digests[:, :4]).view("<i8")[:, 0]
+    place = (lo + start) << 32 | digests[:, 4].astype(np.int64) << 16 | (at - lo) << 8 | (hi - lo)
+    return grams[at].view(np.int64), ranges, place
+
+
+def _key() -> tuple[F.Column, F.Column]:
+    """A row's key.  First doc_id, or 60 bits of the text's hash in its place; then 60 other
+    bits, negative where doc_id is null."""
+    text, doc_id = text_of(), F.col("doc_id").cast("long")
+    return (
+        F.coalesce(doc_id, _bits(text, 16)),
+        F.when(doc_id.isNull(), -1 - _bits(text, 1)).otherwise(_bits(text, 1)),
+    )
 
 
-def _version(text: F.Column) -> F.Column:
-    # never null, so that both joins read the texts through the same plan
-    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(1 << 31)).cast("int"), F.lit(0))
+def _keyed(docs: DataFrame) -> DataFrame:
+    k1, k2 = _key()
+    return docs.select(k1.alias("k1"), k2.alias("k2"), text_of().alias("text"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, version (tells texts with the same doc_id apart) and the text."""
-    text = text_of()
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-        _version(text).alias("version"),
-        text.alias("text"),
-    )
+def _bits(text: F.Column, first: int) -> F.Column:
+    """Fifteen hexadecimal digits of a text's SHA-256; never null, so that both joins read the
+    texts through the same plan."""
+    return F.coalesce(F.conv(F.substring(F.sha2(text, 256), first, 15), 16, 10).cast("long"), F.lit(0))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """A row for each anchor of each document; no shuffle.  span: bytes from the range's
-    first window start to the anchor, times 256, plus those to the last window start."""
+    """A row for each anchor of each document; no shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(ANCHORS)
@@ -115,22 +131,12 @@ def anchors(docs: DataFrame) -> DataFrame:
 
         parts = (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
         for part in parts:
-            for doc_id, version, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for k1, k2, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 whole = np.frombuffer(text.encode(), np.uint8)
                 for start in range(0, len(whole) - LENGTH + 1, SEGMENT):
-                    data = whole[start : start + SEGMENT + LENGTH - 1]
-                    anchor, ranges, lo, hi, at = anchor_ranges(data)
-                    n = len(lo)
-                    held.append(
-                        [
-                            np.full(n, doc_id, np.int64),
-                            np.full(n, version, np.int32),
-                            anchor,
-                            ranges,
-                            lo + start,
-                            (at - lo) * 256 + (hi - lo),
-                        ]
-                    )
+                    found = anchor_ranges(whole[start : start + SEGMENT + LENGTH - 1], start)
+                    n = len(found[0])
+                    held.append([np.full(n, k1, np.int64), np.full(n, k2, np.int64), *found])
                     size += n
                 if size > 20_000:
                     yield flush()
@@ -141,23 +147,23 @@ def anchors(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(rows, ANCHORS)
 
 
-WANTED = "struct(lo, span, anchor, salt, salts)"
-CUT = "doc_id long, version int, lo long, at long, anchor long, salt long, salts long, bytes binary"
+WANTED = "struct(place, anchor, salt, salts)"
+CUT = "k1 long, k2 long, lo long, anchor long, salt long, salts long, bytes binary"
 
 
 def _cut(texts: DataFrame, fine: DataFrame) -> DataFrame:
     """The bytes of the wanted ranges; ``texts`` is the shuffled side that both joins share."""
-    wanted = fine.groupBy("doc_id", "version").agg(F.collect_list(F.expr(WANTED)).alias("wanted"))
+    wanted = fine.groupBy("k1", "k2").agg(F.collect_list(F.expr(WANTED)).alias("wanted"))
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, version, text, wanted in found:
+        for k1, k2, text, wanted in found:
             data = text.encode()
             for w in wanted:
-                at, more = divmod(w["span"], 256)
-                own = data[w["lo"] : w["lo"] + more + LENGTH]
-                yield doc_id, version, w["lo"], at, w["anchor"], w["salt"], w["salts"], own
+                lo = w["place"] >> 32
+                own = data[lo : lo + (w["place"] & 255) + LENGTH]
+                yield k1, k2, lo, w["anchor"], w["salt"], w["salts"], own
 
-    joined = texts.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted")
+    joined = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted")
     return map_rows(joined, rows, CUT)
 
 
@@ -169,116 +175,119 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cuts + 1]].tolist(), starts[np.r_[cuts, len(starts) - 1]].tolist(), strict=True))
 
 
-FOUND = "doc_id long, version int, lo long, hi long"
+FOUND = "k1 long, k2 long, lo long, hi long"
+
+
+def _in_groups(found: Iterator[tuple], key) -> Iterator[list[tuple]]:
+    """Lists of neighbouring rows with the same key."""
+    held, last = [], None
+    for row in found:
+        if held and key(row) != last:
+            yield held
+            held = []
+        last = key(row)
+        held.append(row)
+    if held:
+        yield held
 
 
 def shard_repeats(cut: DataFrame) -> DataFrame:
     """Repeated window starts, as runs, by a suffix array for each shard of whole anchors."""
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        held, size, last = [], 0, None
-        for row in found:
-            anchor = row[4]
-            if size >= SHARD_BYTES and anchor != last:
+        held, size = [], 0
+        for group in _in_groups(found, lambda r: r[3]):
+            held += group
+            size += sum(len(r[6]) for r in group)
+            if size >= SHARD_BYTES:
                 yield from _repeats_of(held)
                 held, size = [], 0
-            held.append(row)
-            size += len(row[7])
-            last = anchor
         if held:
             yield from _repeats_of(held)
 
     return map_rows(cut.repartition("anchor").sortWithinPartitions("anchor"), rows, FOUND)
 
 
-def _repeats_of(held: list[tuple]) -> Iterator[tuple]:
-    sizes = np.array([len(r[7]) for r in held])
-    data = np.frombuffer(b"".join(r[7] + b"\xff" for r in held), np.uint8)
+def _shard(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first byte of each range, whether a window starts there, its kind) of a shard.
+
+    Windows are of one kind when their LENGTH bytes are equal; ranges are set apart by
+    a byte that UTF-8 doesn't have, so a common prefix of LENGTH lies inside of ranges.
+    """
+    sizes = np.array([len(r[6]) for r in held])
+    data = np.frombuffer(b"".join(r[6] + b"\xff" for r in held), np.uint8)
     begin = np.cumsum(np.r_[0, sizes[:-1] + 1])
-    valid = np.zeros(len(data), bool)
-    for b, s in zip(begin.tolist(), sizes.tolist(), strict=True):
-        valid[b : b + s - LENGTH + 1] = True
+    valid = np.zeros(len(data) + 1, np.int64)
+    np.add.at(valid, begin, 1)
+    np.add.at(valid, begin + sizes - LENGTH + 1, -1)
     order = suffix_array(data)
-    order = order[valid[order]]
-    shared = permuted_prefixes(prefix_hashes(data), order, LENGTH)
-    repeated = shared >= LENGTH
-    pairs = np.flatnonzero(repeated[order])  # each with the one sorted before it
-    repeated[order[pairs - 1]] = True
-    for row, b, s in zip(held, begin.tolist(), sizes.tolist(), strict=True):
-        for lo, hi in _runs(np.flatnonzero(repeated[b : b + s - LENGTH + 1])):
+    shared, _ = permuted_prefixes(data, order)
+    kind = np.empty(len(data), np.int64)
+    kind[order] = np.cumsum(shared[order] < LENGTH)
+    return data, begin, np.cumsum(valid)[:-1] > 0, kind
+
+
+def _repeated(valid: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    counts = np.bincount(kind[valid], minlength=int(kind.max()) + 1)
+    return valid & (counts[kind] > 1)
+
+
+def _runs_of(held: list[tuple], begin: np.ndarray, repeated: np.ndarray) -> Iterator[tuple]:
+    for row, b in zip(held, begin.tolist(), strict=True):
+        for lo, hi in _runs(np.flatnonzero(repeated[b : b + len(row[6])])):
             yield row[0], row[1], row[2] + lo, row[2] + hi
 
 
+def _repeats_of(held: list[tuple]) -> Iterator[tuple]:
+    _, begin, valid, kind = _shard(held)
+    yield from _runs_of(held, begin, _repeated(valid, kind))
+
+
 SENT = FOUND + ", anchor long, part long, hashes binary, docs binary, starts binary"
 
 
 def hot_repeats(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For anchors with many different ranges: (runs settled in tasks, window starts that
-    repeat in another task's share)."""
+    """For anchors with many different ranges: (runs settled in a shard, window starts that
+    repeat in another shard)."""
 
     def first(found: Iterator[tuple]) -> Iterator[tuple]:
-        held, key = [], None
-        for row in found:
-            if held and (row[4], row[5]) != key:
-                yield from share(held)
-                held = []
-            key = row[4], row[5]
-            held.append(row)
-        if held:
-            yield from share(held)
+        for held in _in_groups(found, lambda r: (r[3], r[4])):
+            for at in range(0, len(held), SHARE):  # a salt's ranges are SHARE on average
+                yield from share(held[at : at + SHARE])
 
     def share(held: list[tuple]) -> Iterator[tuple]:
-        hashes, owner, start = [], [], []
-        for i, row in enumerate(held):
-            data = np.frombuffer(row[7], np.uint8)
-            places = np.arange(len(data) - LENGTH + 1)
-            # the place of the anchor in the window tells windows of one anchor apart
-            own = hashes_of(prefix_hashes(data), places, places + LENGTH)
-            hashes.append(_mix(own + (row[3] - places).astype(np.uint64)))
-            owner.append(np.full(len(places), i))
-            start.append(places)
-        hashes, owner, start = (np.concatenate(x) for x in (hashes, owner, start))
-        kinds, index, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = counts[index] > 1
-        for i, row in enumerate(held):
-            for lo, hi in _runs(start[(owner == i) & again]):
-                yield row[0], row[1], row[2] + lo, row[2] + hi, None, None, None, None, None
-        parts = held[0][6]
+        data, begin, valid, kind = _shard(held)
+        again = _repeated(valid, kind)
+        for run in _runs_of(held, begin, again):
+            yield *run, None, None, None, None, None
         # one hash for each kind that repeats here (no document), and each single window's
-        known = kinds[counts > 1]
-        ids = np.array([(r[0], r[1], r[2]) for r in held], np.int64)
-        once = ~again
-        hashes = np.r_[known, hashes[once]]
-        docs = np.r_[np.zeros((len(known), 2), np.int64), ids[owner[once], :2]]
-        starts = np.r_[np.full(len(known), -1), ids[owner[once], 2] + start[once]]
-        part = (hashes % np.uint64(parts)).astype(np.int64)
+        at = np.flatnonzero(valid)
+        _, first = np.unique(kind[at], return_index=True)
+        at = at[first]
+        owner = np.searchsorted(begin, at, side="right") - 1
+        ids = np.array([r[:3] for r in held], np.int64)
+        starts = np.where(again[at], -1, ids[owner, 2] + at - begin[owner])
+        bytes_of, blake = data.tobytes(), hashlib.blake2b
+        hashes = [blake(bytes_of[a : a + LENGTH], digest_size=16).digest() for a in at.tolist()]
+        hashes = np.frombuffer(b"".join(hashes), "<u8").reshape(-1, 2)
+        part = (hashes[:, 0] % np.uint64(held[0][5])).astype(np.int64)
         for p in np.unique(part).tolist():
             own = part == p
-            yield (
-                None, None, None, None, held[0][4], p,
-                hashes[own].tobytes(), docs[own].tobytes(), starts[own].astype(np.int64).tobytes(),
-            )
+            sent = hashes[own], ids[owner[own], :2], starts[own].astype(np.int64)
+            yield None, None, None, None, held[0][3], p, *(x.tobytes() for x in sent)
 
     def second(found: Iterator[tuple]) -> Iterator[tuple]:
-        held, key = [], None
-        for anchor, part, *arrays in found:
-            if held and (anchor, part) != key:
-                yield from merged(held)
-                held = []
-            key = anchor, part
-            held.append(arrays)
-        if held:
-            yield from merged(held)
-
-    def merged(held: list[list[bytes]]) -> Iterator[tuple]:
-        hashes, docs, starts = (
-            np.frombuffer(b"".join(x), kind)
-            for x, kind in zip(zip(*held, strict=True), (np.uint64, np.int64, np.int64), strict=True)
-        )
-        docs = docs.reshape(-1, 2)
-        _, index, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        for i in np.flatnonzero((counts[index] > 1) & (starts >= 0)).tolist():
-            yield int(docs[i, 0]), int(docs[i, 1]), int(starts[i]), int(starts[i])
+        for held in _in_groups(found, lambda r: r[:2]):
+            hashes, docs, starts = (
+                np.frombuffer(b"".join(x), kind)
+                for x, kind in zip(list(zip(*held, strict=True))[2:], ("<u8", np.int64, np.int64), strict=True)
+            )
+            hashes, docs = hashes.reshape(-1, 2), docs.reshape(-1, 2)
+            order = np.lexsort(hashes.T)
+            new = np.r_[True, (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)]
+            kind = np.cumsum(new) - 1
+            for i in order[(np.bincount(kind)[kind] > 1) & (starts[order] >= 0)].tolist():
+                yield int(docs[i, 0]), int(docs[i, 1]), int(starts[i]), int(starts[i])
 
     dealt = cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
     sent = saved(map_rows(dealt, first, SENT), "hot-windows")
@@ -289,27 +298,27 @@ def hot_repeats(cut: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_starts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, version and runs (lo, hi) of the starts of repeated windows."""
+    """Row keys and runs (lo, hi) of the starts of repeated windows."""
     table = saved(anchors(docs), "anchors")
-    # tables of their own: a join of two plain shuffles can split a hot anchor's rows
-    repeated = saved(table.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
-    found = saved(table.join(repeated, "anchor"), "repeated-anchors")
-    first = F.min(F.struct("doc_id", "version", "lo", "span")).alias("r")
-    kinds = saved(found.groupBy("anchor", "range").agg(F.count(F.lit(1)).alias("n"), first), "kinds")
-    whole = found.join(kinds.where("n > 1").select("anchor", "range"), ["anchor", "range"])
-    whole = whole.select(
-        "doc_id", "version", F.col("lo").cast("long"), (F.col("lo") + F.col("span") % 256).cast("long").alias("hi")
-    )
-    sizes = (
-        kinds.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-        .where("kinds > 1 and least = 1")
-    )
-    salts = F.ceil(F.col("kinds") / HOT).cast("long")
+    # tables of their own, for the sizes by which hot keys are told apart
+    repeated = saved(table.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    found = spread_join(table, repeated.select("anchor"), ["anchor"], repeated)
+    found = saved(found.withColumn("more", F.expr("cast(shiftright(place, 16) & 65535 as int)")), "repeated-anchors")
+    same = ["anchor", "range", "more"]
+    first = F.min(F.struct("k1", "k2", "place")).alias("r")
+    kinds = saved(found.groupBy(same).agg(F.count(F.lit(1)).alias("n"), first), "kinds")
+    twice = kinds.where("n > 1").select(*same, "n")
+    whole = spread_join(found, twice.select(*same), same, twice)
+    lo = F.shiftright("place", 32)
+    whole = whole.select("k1", "k2", lo.alias("lo"), (lo + F.expr("place & 255")).alias("hi"))
+    sizes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least"))
+    sizes = saved(sizes.where("n > 1 and least = 1"), "edge-anchors")
+    salts = F.ceil(F.col("kinds") / SHARE).cast("long")
+    fine = spread_join(kinds.drop("n"), sizes.select("anchor", F.col("n").alias("kinds")), ["anchor"], sizes)
     fine = saved(
-        kinds.join(sizes, "anchor").select(
+        fine.select(
             "r.*",
-            F.col("anchor"),
+            "anchor",
             F.when(salts > 1, F.pmod("range", salts)).otherwise(0).alias("salt"),
             salts.alias("salts"),
         ),
@@ -324,11 +333,11 @@ def repeated_starts(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _with_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, version, text and the runs of repeated window starts of every row."""
+    """Key, text and the runs of repeated window starts of every row."""
     texts = _keyed(docs)
     runs = repeated_starts(docs, texts)
-    runs = runs.groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    return texts.join(runs, ["doc_id", "version"], "left").select("doc_id", "version", "text", "runs")
+    runs = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    return texts.join(runs, ["k1", "k2"], "left").select("k1", "k2", "text", "runs")
 
 
 def removed_spans(runs) -> list[tuple[int, int]]:
@@ -355,12 +364,12 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     """What each document loses, and the hash of what is left."""
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, _, text, runs in found:
+        for k1, k2, text, runs in found:
             data = text.encode()
             spans = removed_spans(runs)
             left = kept_bytes(data, spans)
             yield (
-                None if doc_id == -(1 << 63) else doc_id,
+                None if k2 < 0 else k1,
                 len(data),
                 len(data) - len(left),
                 len(spans),
@@ -374,28 +383,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with their repeated strings removed, and n_chars counted anew.
 
     Code points that lose a byte go as a whole.  Documents of which nothing is
-    left stay, with an empty text; rows that are alike in doc_id and text must
-    not differ in the other columns.
+    left stay, with an empty text.
     """
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, version, text, runs in found:
-            left = kept_bytes(text.encode(), removed_spans(runs)).decode("utf-8", "ignore")
-            yield doc_id, version, left
-
-    trimmed = map_rows(
-        _with_runs(docs).where("runs is not null"), rows, "key long, version int, left_text string"
-    )
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    version = _version(text_of())
-    trimmed = trimmed.dropDuplicates(["key", "version"])
-    out = docs.withColumn("__sl_version", version).join(
-        trimmed, (key == F.col("key")) & (F.col("__sl_version") == F.col("version")), "left"
-    )
-    columns = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
-    text = F.when(F.col("key").isNull(), docs["text"]).otherwise(F.col("left_text")).alias("text")
-    by_name = {"text": text, "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return out.select(*(by_name.get(c, docs[c]) for c in docs.columns))
+        for k1, k2, text, runs in found:
+            yield k1, k2, kept_bytes(text.encode(), removed_spans(runs)).decode("utf-8", "ignore")
+
+    own = ["__sl_k1", "__sl_k2", "__sl_left"]
+    trimmed = map_rows(_with_runs(docs).where("runs is not null"), rows, ", ".join(f"{c} {t}" for c, t in zip(own, ("long", "long", "string"), strict=True)))
+    trimmed = trimmed.dropDuplicates(own[:2])
+    k1, k2 = _key()
+    out = docs.withColumns({"__sl_k1": k1, "__sl_k2": k2}).join(trimmed, own[:2], "left")
+    text = F.coalesce("__sl_left", "text")
+    by_name = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
+    return out.select(*(by_name.get(c, c) for c in docs.columns))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

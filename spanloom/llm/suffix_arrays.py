@@ -1,14 +1,18 @@
-"""Suffix arrays by induced sorting, on NumPy arrays.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as larger (L) or smaller (S) than the one behind them.
 Leftmost S suffixes (LMS) are put into their first symbol's bucket; going through
 the buckets upwards places the L suffixes, and downwards the S suffixes, which
-also sorts the LMS substrings.  Equal substrings get equal names.  Where names
-repeat, the order of the LMS suffixes comes from the shorter string of names;
+also sorts the LMS substrings.  Equal substrings, compared symbol by symbol, get equal
+names.  Where names repeat, the string of names is sorted the same way, recursively;
 one more round of inducing gives the order of all suffixes.
 
-Inside a bucket, suffixes are handled as whole arrays: those that a bucket
-places into itself (runs of its symbol) follow in waves.
+Strings of bytes are handled with NumPy, a bucket's suffixes as whole arrays: those
+that a bucket places into itself (runs of its symbol) follow in waves.  Strings of
+names have about as many buckets as symbols, and are handled one suffix at a time.
+
+Prefix hashes are for the choice of anchors only; nothing here takes equal hashes
+for equal bytes.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hashes(symbols: np.ndarray) -> np.ndarray:
-    """out[j] - out[i], times the inverse power of i, identifies symbols[i:j]."""
+    """out[j] - out[i], times the inverse power of i, is a hash of symbols[i:j]."""
     out = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(SYMBOLS[symbols] * powers(len(symbols))[0], out=out[1:])
     return out
@@ -45,6 +49,29 @@ def hashes_of(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of data[a:] and data[b:], up to ``most``; data are bytes.
+
+    Eight bytes of all pairs at a time; pairs that differ leave.
+    """
+    n = len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    words = np.ndarray((n + 9,), "<u8", padded.data, strides=(1,))
+    most = np.minimum(most, n - np.maximum(a, b))
+    out = np.zeros(len(a), np.int64)
+    alive = np.flatnonzero(most > 0)
+    at = 0
+    while len(alive):
+        differ = words[a[alive] + at] ^ words[b[alive] + at]
+        lowest = differ & (~differ + np.uint64(1))
+        equal = np.where(differ == 0, 8, np.log2(np.maximum(lowest, 1)).astype(np.int64) >> 3)
+        out[alive] = at + equal
+        at += 8
+        alive = alive[(equal == 8) & (most[alive] > at)]
+    return np.minimum(out, np.maximum(most, 0))
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last symbol is the smallest and unique."""
     n = len(text)
@@ -112,25 +139,76 @@ def _induce(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.nda
 
 
 def _name_order(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of names, by ranks of doubling lengths."""
-    rank, n, step = names, len(names), 1
-    while True:
-        behind = np.zeros(n, np.int64)
-        behind[:-step] = rank[step:] + 1
-        both = rank * (int(rank.max()) + 2) + behind
-        order = np.argsort(both, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[0, np.diff(both[order]) != 0])
-        rank, step = new, 2 * step
-        if rank.max() == n - 1 or step >= n:
-            return np.argsort(rank, kind="stable")
+    """The suffix array of a string of names, 0 to its largest one, by induced sorting.
+
+    The end is no symbol of the string, and counts as smaller than all of them.
+    """
+    n = len(names)
+    if n < 2:
+        return np.arange(n)
+    rise = np.r_[np.sign(np.diff(names)), -1]
+    place = np.where(rise != 0, np.arange(n), n - 1)
+    small = rise[np.minimum.accumulate(place[::-1])[::-1]] > 0
+    leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    ends = np.cumsum(np.bincount(names))
+    begins = np.r_[0, ends[:-1]].tolist()
+    ends = ends.tolist()
+    # of the suffix before each one: its symbol, and whether it is L or S; -1 (nothing) has neither
+    before = [0, *names[:-1].tolist(), 0]
+    before_large = [False, *(~small[:-1]).tolist(), False]
+    before_small = [False, *small[:-1].tolist(), False]
+
+    def induced(seeds: np.ndarray) -> list[int]:
+        order = [-1] * n
+        free = ends.copy()
+        for i, x in zip(seeds[::-1].tolist(), names[seeds[::-1]].tolist(), strict=True):
+            free[x] -= 1
+            order[free[x]] = i
+        free = begins.copy()
+        x = int(names[-1])
+        order[free[x]] = n - 1
+        free[x] += 1
+        for j in order:  # sees what it places
+            if before_large[j]:
+                x = before[j]
+                order[free[x]] = j - 1
+                free[x] += 1
+        free = ends.copy()
+        for j in reversed(order):
+            if before_small[j]:
+                x = before[j]
+                free[x] = at = free[x] - 1
+                order[at] = j - 1
+        return order
+
+    if len(leftmost) > 1:
+        is_leftmost = np.zeros(n, bool)
+        is_leftmost[leftmost] = True
+        first = np.array(induced(leftmost))
+        first = first[is_leftmost[first]]
+        behind = np.full(n, n)  # the last substring runs to the end, and is one of its own
+        behind[leftmost[:-1]] = leftmost[1:] + 1
+        a, b = first[:-1], first[1:]
+        alike = (behind[a] - a == behind[b] - b) & (a != leftmost[-1]) & (b != leftmost[-1])
+        pairs, at = np.flatnonzero(alike), 0
+        while len(pairs):
+            same = names[a[pairs] + at] == names[b[pairs] + at]
+            alike[pairs[~same]] = False
+            at += 1
+            pairs = pairs[same & (a[pairs] + at < behind[a[pairs]])]
+        named = np.empty(n, np.int64)
+        named[first] = np.cumsum(np.r_[0, ~alike])
+        named = named[leftmost]
+        leftmost = leftmost[_name_order(named)] if named.max() < len(named) - 1 else first
+    return np.array(induced(leftmost))
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of an array of small non-negative integers (under 511)."""
+    """The suffix array of an array of bytes."""
     if not len(symbols):
         return np.zeros(0, np.int64)
-    text = np.zeros(len(symbols) + 1, np.int64)
+    n = len(symbols)
+    text = np.zeros(n + 1, np.int64)
     text[:-1] = symbols
     text[:-1] += 1
     small = _types(text)
@@ -141,14 +219,15 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     if len(leftmost) > 1:
         order = _induce(text, small, leftmost)
         order = order[is_leftmost[order]]
-        # an LMS substring ends with the first symbol of the next one
-        ends = np.full(len(text), len(text), np.int64)
+        # an LMS substring ends with the first symbol of the next one; the end is one of its own
+        ends = np.full(n + 1, n + 1, np.int64)
         ends[leftmost[:-1]] = leftmost[1:] + 1
-        substring = hashes_of(prefix_hashes(text), order, ends[order])
-        size = ends[order] - order
-        new = (np.diff(substring.view(np.int64)) != 0) | (np.diff(size) != 0)
-        names = np.empty(len(text), np.int64)
-        names[order] = np.cumsum(np.r_[0, new])
+        a, b = order[:-1], order[1:]
+        size = ends[a] - a
+        alike = (size == ends[b] - b) & (ends[a] <= n) & (ends[b] <= n)
+        alike[alike] = common_prefixes(symbols, a[alike], b[alike], size[alike]) == size[alike]
+        names = np.empty(n + 1, np.int64)
+        names[order] = np.cumsum(np.r_[0, ~alike])
         names = names[leftmost]
         if names.max() < len(names) - 1:
             leftmost = leftmost[_name_order(names)]
@@ -157,24 +236,22 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return _induce(text, small, leftmost)[1:]
 
 
-def permuted_prefixes(prefix: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each position of a sorted list of suffixes, in text order, the length (up to
-    ``most``) of the prefix that it shares with the suffix sorted before it; 0 elsewhere."""
-    n = len(prefix) - 1
+def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(common prefix with the suffix sorted before it, that suffix) of each position, in text order.
+
+    Where a suffix and the one sorted before it follow equal bytes, the prefix is that of
+    the position before, less one.  Only the others are compared; their sum is about linear.
+    """
+    n = len(order)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int64)
-    if len(order) < 2:
-        return out
-    here, there = order[1:], order[:-1]
-    shared = np.zeros(len(here), np.int64)
-    step = 1 << most.bit_length()
-    while step:
-        tried = shared + step
-        fits = (np.maximum(here, there) + tried <= n) & (tried <= most)
-        a = np.where(fits, here, 0)
-        b = np.where(fits, there, 0)
-        size = np.where(fits, tried, 0)
-        same = fits & (hashes_of(prefix, a, a + size) == hashes_of(prefix, b, b + size))
-        shared = np.where(same, tried, shared)
-        step >>= 1
-    out[here] = shared
-    return out
+    if n < 2:
+        return out, before
+    here = np.arange(n)
+    known = np.ones(n, bool)
+    known[1:] = (before[1:] <= 0) | (before[:-1] < 0) | (data[:-1] != data[before[1:] - 1])
+    at = np.flatnonzero(known & (before >= 0))
+    out[at] = common_prefixes(data, at, before[at], np.full(len(at), n))
+    last = np.maximum.accumulate(np.where(known, here, 0))
+    return np.maximum(out[last] - (here - last), 0), before
