@@ -11,7 +11,10 @@ pairs of a bucket:
    compared, within buckets that hold more than one component: each member
    outside the bucket's largest component with the members of the other
    components.  Members of one component need no more pairs.  Large buckets are
-   compared in blocks, and only pairs that survive the test below become rows.
+   compared in blocks of signatures, and only pairs that survive the test below become
+   rows.  While there are more of them than sets, one pair of each member is verified
+   and the components it joins are taken together, as in Boruvka's algorithm; after
+   PICKS such rounds all that is left is verified.
 
 A pair is verified step by step: batches of signature rows are compared, and it
 is dropped once the posterior probability of a similarity at the threshold or
@@ -24,14 +27,16 @@ Components come from iterated minimum labels over the verified links, by joins;
 nothing is collected.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked
-with nothing; a text of fewer than five words is one shingle; repeated rows with
-the same doc_id share their component; an empty table gives no rows; other
-columns are ignored.
+with nothing; a text of fewer than five words is one shingle; a very long text is one
+row, whose shingles take eight bytes each; repeated rows with the same doc_id share
+their component.  A row without doc_id is linked like any other; the component_id is
+the smallest doc_id that isn't null, or null without one.  Such a row stays if its
+component has no doc_id and its set is the component's root, or if its set is empty.
+An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 from math import comb
@@ -44,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType
 
-from .common import documents, map_rows, saved, text_of
+from .common import documents, map_rows, saved, spread_join, text_of
 from .tokens import Memo
 
 WORDS = 5
@@ -56,8 +61,8 @@ HASHES = BANDS * BAND_ROWS
 BATCH, MISS = 36, 1e-5
 #: Members of a block in the second round, on average.
 BLOCK = 256
-#: Sets that a worker keeps from earlier blocks.
-RECENT = 4096
+#: Rounds in which one pair of each member is verified, if there are many pairs.
+PICKS = 3
 _LOWER = bytes(range(256)).translate(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 )
@@ -137,7 +142,7 @@ def least_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> tuple
     return tuple(out)
 
 
-SETS = "doc_id long, n_shingles long, set_key long, sig binary"
+SETS = "doc_id long, text_key long, n_shingles long, set_key long, sig binary"
 
 
 def _described(text: str) -> tuple[int, int | None, bytes | None]:
@@ -150,14 +155,18 @@ def _described(text: str) -> tuple[int, int | None, bytes | None]:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Each document's set size, set key and short signature; no shuffle."""
+    """Each document's text hash, set size, set key and short signature; no shuffle."""
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in found:
-            yield doc_id, *_described(text)
+        for doc_id, text_key, text in found:
+            yield doc_id, text_key, *_described(text)
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return map_rows(columns, rows, SETS)
+    return map_rows(_keyed(docs), rows, SETS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = text_of()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -194,37 +203,49 @@ def shared_buckets(table: DataFrame) -> DataFrame:
 
 def candidate_sets(docs: DataFrame, table: DataFrame, buckets: DataFrame) -> DataFrame:
     """set_key, n_shingles, sig and a text of every set that shares a band."""
-    wanted = buckets.select("set_key").distinct()
-    first = table.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    place = ["place", "text_key"]  # of a row; text_key stands in where doc_id is null
+    first = F.min(F.struct(F.coalesce("doc_id", "text_key").alias("place"), "text_key")).alias("r")
+    first = table.where("set_key is not null").groupBy("set_key").agg(first)
+    wanted = first.join(buckets.select("set_key").distinct(), "set_key").select("set_key", "r.*")
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
         for set_key, text in found:
             size, key, sig = _described(text)
-            if key == set_key:  # else it is another text with the same doc_id
+            if key == set_key:  # else it is another text with the same place
                 yield key, size, sig, text
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    joined = texts.join(first, texts["doc_id"].eqNullSafe(first["doc_id"])).select("set_key", "text")
+    texts = _keyed(docs).select(F.coalesce("doc_id", "text_key").alias("place"), "text_key", "text")
+    joined = texts.join(wanted, place).select("set_key", "text")
     schema = "set_key long, n_shingles long, sig binary, text string"
     return map_rows(joined, rows, schema).dropDuplicates(["set_key"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (hub, member) of set keys that are links, as (a, b) with a < b.
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
-    A hub's members meet it in groups of about BLOCK; the hub's text goes to each.
-    """
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The saved pairs (hub, member) of set keys that are links, as (a, b) with a < b."""
     sigs = sets.select("set_key", "sig", "n_shingles")
     found = (
-        pairs.join(sigs.toDF("hub", "sig_a", "n_a"), "hub")
+        spread_join(pairs, sigs.toDF("hub", "sig_a", "n_a"), ["hub"], _sizes(pairs, "hub"))
         .join(sigs.toDF("member", "sig_b", "n_b"), "member")
         .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
         .where(may_link("sig_a", "sig_b"))
         .select("hub", "member")
     )
-    found = saved(found, "survivors")
-    groups = found.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
-    dealt = found.join(groups, "hub").withColumn("part", F.pmod(F.xxhash64("member"), "groups"))
+    return confirmed(saved(found, "survivors"), sets)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The saved pairs (hub, member) that are links on their full sets, as (a, b) with a < b.
+
+    A hub's members meet it in groups of about BLOCK; the hub's text goes to each.
+    """
+    groups = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
+    groups = saved(groups, "hubs")
+    dealt = spread_join(pairs, groups.select("hub", "groups"), ["hub"], groups)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), "groups"))
     texts = sets.select("set_key", "text")
     members = dealt.select("hub", "part", "member").join(texts.toDF("member", "text"), "member")
     hubs = groups.select("hub", F.explode(F.expr("sequence(0l, groups - 1)")).alias("part"))
@@ -298,13 +319,32 @@ def first_pairs(buckets: DataFrame) -> DataFrame:
 
 
 def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between a bucket's members in different components.
+    """Links between members of a bucket that are in different components."""
+    pairs = saved(cross_pairs(buckets, roots, sets), "survivors")
+    links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    enough = sets.count()
+    for _ in range(PICKS):
+        if pairs.count() <= enough:
+            break
+        least = F.min(F.struct(F.xxhash64("hub", "member").alias("order"), "member")).alias("r")
+        picked = saved(pairs.groupBy("hub").agg(least).select("hub", "r.member"), "picked")
+        links = saved(links.union(confirmed(picked, sets)), "links")
+        now = saved(components(links), "roots")
+        pairs = pairs.join(picked, ["hub", "member"], "left_anti")
+        for side in ("hub", "member"):
+            pairs = pairs.join(now.toDF(side, f"{side}_root"), side, "left")
+        other = F.coalesce("hub_root", "hub") != F.coalesce("member_root", "member")
+        pairs = saved(pairs.where(other).select("hub", "member"), "survivors")
+    return links.union(confirmed(pairs, sets))
+
+
+def cross_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (hub, member) of a bucket's members in different components that survive the test.
 
     At least one of the two is outside the bucket's largest component.  Buckets
-    are compared in blocks: a member meets the others through copies of its row,
+    are compared in blocks: a member meets the others through copies of its signature,
     one for each block, and pairs exist only inside a task's arrays.  A pair is
-    looked at in the first band that it shares, tested in sequence and, if it
-    survives, verified on the sets; only links become rows.
+    looked at in the first band that it shares.
     """
     labelled = buckets.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
         "root", F.coalesce("root", "set_key")
@@ -325,8 +365,8 @@ def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
             F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("few_blocks"),
         )
     )
-    members = labelled.join(mixed, "band").join(sets, "set_key")
-    row = ["band", "number", "set_key", "root", "largest", "n_shingles", "sig", "text"]
+    members = labelled.join(mixed, "band").join(sets.select("set_key", "n_shingles", "sig"), "set_key")
+    row = ["band", "number", "set_key", "root", "largest", "n_shingles", "sig"]
     own = F.pmod(F.xxhash64("set_key"), "all_blocks")
     left = members.select(
         *row, F.lit(0).alias("side"), own.alias("i"), F.explode(F.expr("sequence(0, few_blocks - 1)")).alias("j")
@@ -336,26 +376,11 @@ def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
         *row, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("i"), own.alias("j")
     )
     blocks = left.union(right.select(left.columns)).repartition("band", "i", "j")
-    return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(_block_links, "a long, b long")
-
-
-_recent: OrderedDict[int, np.ndarray] = OrderedDict()
-
+    return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(_block_pairs, "hub long, member long")
 
-def _recent_sets(key: int, text: str) -> np.ndarray:
-    """The set of a text; a worker keeps the last ones, since buckets share members."""
-    found = _recent.get(key)
-    if found is None:
-        found = _recent[key] = shingles(text)
-        if len(_recent) > RECENT:
-            _recent.popitem(last=False)
-    else:
-        _recent.move_to_end(key)
-    return found
 
-
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each block (band, i, j) of rows sorted by block and side."""
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Surviving pairs of each block (band, i, j) of rows sorted by block and side."""
     held, key = [], None
     for batch in batches:
         table = batch.to_pandas()
@@ -380,7 +405,7 @@ def _compared(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         return
     key, root = (block[c].to_numpy(np.int64) for c in ("set_key", "root"))
     largest, number = block["largest"].iloc[0], block["number"].iloc[0]
-    size, texts = block["n_shingles"].to_numpy(np.int64), block["text"].to_list()
+    size = block["n_shingles"].to_numpy(np.int64)
     sig = np.frombuffer(b"".join(block["sig"]), np.uint16).reshape(len(block), HASHES)
     for x in few:
         y = rest[(root[rest] != root[x]) & ((root[rest] == largest) | (key[rest] < key[x]))]
@@ -393,37 +418,45 @@ def _compared(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
             matches += same[:, i * BATCH : (i + 1) * BATCH].sum(axis=1)
             stay = matches >= least
             y, matches, same = y[stay], matches[stay], same[stay]
-        if not len(y):
-            continue
-        own = _recent_sets(int(key[x]), texts[x])
-        y = y[[_linked(own, _recent_sets(int(key[i]), texts[i])) for i in y]]
         if len(y):
-            pair = np.minimum(key[y], key[x]), np.maximum(key[y], key[x])
-            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["a", "b"])
+            pair = np.full(len(y), key[x]), key[y]
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["hub", "member"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    return _decided(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame) -> DataFrame:
     table = saved(document_sets(docs), "sets")
-    members = table.where("set_key is not null").select("doc_id", "set_key")
     buckets = saved(shared_buckets(table), "buckets")
     sets = saved(candidate_sets(docs, table, buckets), "candidates")
-    links = saved(verified(first_pairs(buckets), sets), "links")
+    links = saved(verified(saved(first_pairs(buckets), "pairs"), sets), "links")
     roots = saved(components(links), "roots")
-    more = saved(second_links(buckets, roots, sets), "links")
-    joined = roots.where("node <> root").select("root", "node").toDF("a", "b")
-    roots = saved(components(joined.union(more)), "roots")
-    labelled = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "doc_id", F.coalesce("root", "set_key").alias("root")
-    )
-    # a table of its own: a join of two plain shuffles can split a hot component's rows
-    least = saved(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
-    found = labelled.join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    roots = saved(components(second_links(buckets, roots, sets)), "roots")
+    # sets first, rows then: copies are joined once
+    own = table.where("set_key is not null").groupBy("set_key")
+    own = saved(own.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "own-sets")
+    own = own.join(roots.toDF("set_key", "root"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    own = saved(own, "own-sets")
+    least = own.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    least = saved(least, "components")
+    named = spread_join(own.select("set_key", "root", "n"), least.select("root", "component_id"), ["root"], least)
+    named = saved(named, "named-sets")
+    rows = table.select("doc_id", "text_key", "n_shingles", "set_key")
+    rows = spread_join(rows, named.drop("n"), ["set_key"], named, "left")
+    # rows with the same doc_id share the smallest component
+    shared = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("shared"))
     return (
-        table.select("doc_id", "n_shingles")
-        .join(found, "doc_id", "left")
-        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        rows.join(shared, "doc_id", "left")
+        .withColumn("component_id", F.coalesce("shared", "component_id", "doc_id"))
+        .withColumn(
+            "kept",
+            F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == F.col("component_id")).otherwise(
+                F.col("component_id").isNull() & (F.col("set_key").isNull() | (F.col("set_key") == F.col("root")))
+            ),
+        )
     )
 
 
@@ -433,5 +466,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = _decided(docs).where("not kept")
+    named = gone.where("doc_id is not null").select(F.col("doc_id").alias("__sl_id")).distinct()
+    unnamed = gone.where("doc_id is null").select(F.col("text_key").alias("__sl_text")).distinct()
+    with_id = docs.where(F.col("doc_id").isNotNull()).join(named, F.col("doc_id").cast("long") == F.col("__sl_id"), "left_anti")
+    without = docs.where(F.col("doc_id").isNull()).join(unnamed, F.xxhash64(text_of()) == F.col("__sl_text"), "left_anti")
+    return with_id.unionByName(without).select(*docs.columns)
