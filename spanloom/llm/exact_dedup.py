@@ -12,13 +12,14 @@ The filter has a fixed upper size (``MAX_CELLS``); beyond that it lets more
 unique rows take part in the second pass.
 
 Groups are aggregated before they are joined back, so a text that makes up a
-third of all rows moves as one row per task and group.  The join back is a plain
-equi-join, whose hot keys Spark's adaptive execution splits.
+third of all rows moves as one row per task and group.  Groups that hold a
+thousandth of the rows or more are joined back by broadcast, others by a shuffle.
 
 Cases: a null text counts as empty; empty texts are equal to each other; of equal
-rows the one with the most code points, then the smallest doc_id stays, then
-the one that is read first, so that exactly one stays; an empty table gives no
-rows; all columns beside doc_id and text pass through ``kept_documents``.
+rows the one with the most code points, then the smallest doc_id stays (null after
+all others), then the one that is read first, so that exactly one stays; a very long
+text is hashed as a whole, in the JVM; an empty table gives no rows; all columns beside
+doc_id and text, whatever their names, pass through ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, saved, text_of
+from .common import documents, map_rows, saved, spread_join, text_of
 
 #: [\x20\x09-\x0D]
 SPACE = " \t\n\x0b\x0c\r"
@@ -140,11 +141,9 @@ def repeat_test(table: DataFrame):
 
 def _groups(others: DataFrame) -> DataFrame:
     order = F.struct(
-        (-F.col("_chars")).alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c")
-    )
-    return others.groupBy("text_sha256").agg(
-        F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")
+        (-F.col("_chars")).alias("less"), F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("_row").alias("row")
     )
+    return others.groupBy("text_sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
 
 
 def decisions(table: DataFrame) -> DataFrame:
@@ -160,11 +159,12 @@ def decisions(table: DataFrame) -> DataFrame:
     others = marked.where("_maybe")
     # a table of its own: a join of two plain shuffles can split a hot text's rows
     groups = saved(_groups(others), "groups")
-    joined = others.join(groups, "text_sha256").select(
+    sizes = groups.select("text_sha256", F.col("group_size").alias("n"))
+    joined = spread_join(others, groups, ["text_sha256"], sizes).select(
         "doc_id",
-        F.col("first.b").alias("keep_id"),
+        F.col("first.id").alias("keep_id"),
         "group_size",
-        (F.col("_row") == F.col("first.c")).alias("kept"),
+        (F.col("_row") == F.col("first.row")).alias("kept"),
         "text_sha256",
     )
     return alone.unionByName(joined)
@@ -182,15 +182,14 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     marked = marked.withColumn("__sl_maybe", maybe("__sl_sha"))
     alone = marked.where(~F.col("__sl_maybe"))
     first = _groups(table.where(maybe("text_sha256"))).select(
-        F.col("text_sha256").alias("k"), F.col("first.a").alias("a"), F.col("first.b").alias("b")
+        F.col("text_sha256").alias("__sl_first"), (-F.col("first.less")).alias("__sl_most"), F.col("first.id").alias("__sl_id")
     )
     others = marked.where("__sl_maybe")
     stay = (
-        (F.col("__sl_sha") == F.col("k"))
-        & (F.col("__sl_chars") == -F.col("a"))
-        & F.col("doc_id").cast("long").eqNullSafe(F.col("b"))
+        (F.col("__sl_sha") == F.col("__sl_first"))
+        & (F.col("__sl_chars") == F.col("__sl_most"))
+        & F.col("doc_id").cast("long").eqNullSafe(F.col("__sl_id"))
     )
-    # rows that also share their doc_id are alike in all that counts: any one stays
     others = others.join(first, stay, "left_semi").dropDuplicates(["__sl_sha"])
     return alone.unionByName(others).select(*docs.columns)
 
