@@ -3,7 +3,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import types as T
 
-#: Columns of documents, and an extra one whose name the operators use themselves.
+#: Extra columns whose names the operators' plans use themselves.
+EXTRA = """kept _row band k a b key version left_text k1 k2 place anchor range more n lo hi runs salt first_id root
+    set_key text_key sig least component_id n_shingles hub member group_size text_sha256 keep_id _chars _maybe slot
+    copy fingerprint fold feature class grade p_toxic score x length start offset ids sequence_id doc_tokens""".split()
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -11,9 +14,7 @@ SCHEMA = T.StructType(
         T.StructField("lang", T.StringType()),
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
-        T.StructField("kept", T.StringType()),
-        T.StructField("_row", T.LongType()),
-        T.StructField("band", T.LongType()),
+        *(T.StructField(name, T.StringType()) for name in EXTRA),
     ]
 )
 LONG = " ".join(f"w{i % 977} x{i % 31}" for i in range(9000))
@@ -27,7 +28,7 @@ TEXTS = [
 
 
 def rows(texts):
-    return [(i, t, None, "src0", None, "k", 1, 2) for i, t in texts]
+    return [(i, t, None, "src0", None, *EXTRA) for i, t in texts]
 
 
 @pytest.fixture(scope="session")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, fixity, near_dedup, substring_dedup
-from spanloom.llm.suffix_arrays import permuted_prefixes, prefix_hashes, suffix_array
+from spanloom.llm.suffix_arrays import permuted_prefixes, suffix_array
 
 from .conftest import SCHEMA, TEXTS, rows
 
@@ -55,6 +55,13 @@ def test_op7_exact_dedup(spark, odd, none, sf):
     assert exact_dedup.kept_documents(none).count() == 0
 
 
+def test_op7_rows_without_doc_id(spark):
+    docs = spark.createDataFrame(rows([(None, "a b"), (2, "ab"), (5, "a b"), (None, "c"), (None, "c")]), SCHEMA)
+    found = sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in exact_dedup.decisions(saved(docs)).collect())
+    assert found == sorted(map(repr, [(None, 5, 3, False), (2, 5, 3, False), (5, 5, 3, True), (None, None, 2, True), (None, None, 2, False)]))
+    assert sorted(repr((r.doc_id, r.text)) for r in exact_dedup.kept_documents(docs).collect()) == ["(5, 'a b')", "(None, 'c')"]
+
+
 def test_filter_finds_every_repeat(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MAX_CELLS", exact_dedup.SEGMENT)
     values = [i // 2 for i in range(0, 4000)] + list(range(10_000, 30_000))
@@ -127,6 +134,30 @@ def test_op9_near_duplicates(spark, odd, none, sf, monkeypatch):
     assert found == [(0, 2, 0), (1, 2, 0), (1, 2, 0)]
 
 
+def test_op9_verifies_one_pair_of_each_member_first(spark, monkeypatch):
+    class NoSets:
+        """A table of sets that counts as empty, so that there are always many pairs."""
+
+        def __init__(self, sets):
+            self.select, self.count = sets.select, lambda: 0
+
+    second = near_dedup.second_links
+    monkeypatch.setattr(near_dedup, "second_links", lambda b, r, sets: second(b, r, NoSets(sets)))
+    group = near_copies(60)
+    check_near(spark.createDataFrame(rows(group), SCHEMA), group)
+
+
+def test_op9_rows_without_doc_id(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    texts = [(1, text), (None, text), (None, text + " more"), (None, other), (None, other + " end"), (None, other), (None, None)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    found = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.n_shingles, r.component_id) for r in found if r.component_id is not None) == [(56, 1), (56, 1), (57, 1)]
+    assert {r.kept for r in found if r.component_id == 1 and r.doc_id is None} == {False}
+    kept = [r.text for r in near_dedup.kept_documents(docs).collect()]
+    assert sorted(map(str, kept)) in (["None", other, other, text], sorted(["None", other + " end", text]))
+
+
 def test_sequential_bounds_follow_the_posterior():
     least = near_dedup.least_matches()
     assert list(least) == sorted(least)
@@ -150,12 +181,12 @@ def check_substrings(docs, texts, length=200):
         left = np.frombuffer(b, np.uint8)[~gone].tobytes()
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         wanted.append((doc_id, len(b), int(gone.sum()), spans, hashlib.sha256(left).hexdigest()))
-    assert sorted(map(tuple, found)) == sorted(wanted)
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
 
 
-@pytest.mark.parametrize("hot", [512, 2])
-def test_op10_repeated_substrings(spark, odd, none, sf, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("share", [512, 2])
+def test_op10_repeated_substrings(spark, odd, none, sf, monkeypatch, share):
+    monkeypatch.setattr(substring_dedup, "SHARE", share)
     monkeypatch.setattr(substring_dedup, "SEGMENT", 5000)
     monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 50_000)
     short = [(i, t if t is None or len(t) < 20_000 else t[:9000]) for i, t in TEXTS]
@@ -164,7 +195,25 @@ def test_op10_repeated_substrings(spark, odd, none, sf, monkeypatch, hot):
     assert substring_dedup.repeat_digests(none).count() == 0
     out = substring_dedup.without_repeats(odd)
     assert out.columns == odd.columns
-    assert out.count() == len(TEXTS)
+    found = sorted((r.doc_id, r.text, r.n_chars, r.k1, r.left_text) for r in out.collect())
+    wanted = {i: t for i, t in TEXTS if i in (22, 23, 14)}
+    assert [r[1] for r in found if r[0] in wanted] == [wanted[i] for i in sorted(wanted)]
+    assert len(found) == len(TEXTS)
+    assert all(r[2] == len(r[1]) and r[3:] == ("k1", "left_text") for r in found if r[1] is not None)
+
+
+#: Documents without a common string of 200 bytes whose hashes modulo 2**64 are alike.
+ALIKE = [
+    "!::!:!!::!!:!::!:!!:!::!!::!:!!:.11.1..11..1.11.1..1.11..11.1..1#aa#a##aa##a#aa#a##a#aa##aa#a##a(..(.((..((.(..(.((.(..((..(.((.dadajecpkjmpkp adnnkjl odllgaipgnpmjfnpgkpalml cohjamelifcakimjeniofnpbi",
+    "!!:!::!!::!:!!:!::!:!!::!!:!::!1..1.11..11.1..1.11.1..11..1.11.a##a#aa##aa#a##a#aa#a##aa##a#aa#.((.(..((..(.((.(..(.((..((.(..(dadajecpkjmpkp adnnkjl odllgaipgnpmjfnpgkpalml cohjamelifcakimjeniofnpbi",
+]
+
+
+def test_op10_compares_bytes(spark):
+    texts = [*enumerate(ALIKE, 1), (None, ALIKE[0][:150] + "x"), (None, "z" * 10 + ALIKE[1])]
+    check_substrings(spark.createDataFrame(rows(texts), SCHEMA), texts)
+    found = substring_dedup.repeat_digests(spark.createDataFrame(rows(texts[:2]), SCHEMA)).collect()
+    assert [r.n_removed for r in found] == [0, 0]
 
 
 def test_suffix_arrays():
@@ -175,12 +224,12 @@ def test_suffix_arrays():
         symbols = np.frombuffer(data, np.uint8)
         order = suffix_array(symbols)
         assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
-        shared = permuted_prefixes(prefix_hashes(symbols), order, 20)
+        shared, before = permuted_prefixes(symbols, order)
         for here, there in zip(order[1:], order[:-1], strict=True):
             n = 0
-            while n < 20 and max(here, there) + n < len(data) and data[here + n] == data[there + n]:
+            while max(here, there) + n < len(data) and data[here + n] == data[there + n]:
                 n += 1
-            assert shared[here] == n
+            assert (shared[here], before[here]) == (n, there)
 
 
 def test_op2_audit_finds_damage(spark, none):
