@@ -1,8 +1,11 @@
-"""One-to-one matchings inside an episode, one Arrow group at a time.
-
-Ordered matchings are dynamic programs over the two sequences of one group, which
-no window function expresses.  A group is the segments of one episode and pair of
-labelers, so its size doesn't grow with the corpus.
+"""One-to-one matchings of segments or boundaries inside an episode.
+
+Candidate pairs come from a range join in bins of frames.  A pair that contests
+nothing, neither side having another candidate, is settled there; only contested pairs
+go to a program, one Arrow group for each episode, as no window function expresses it.
+Candidates that share no side, directly or through others, don't affect each other:
+neither overlapping segments of two tracks nor points within a tolerance can cross
+from one such cluster into another.
 """
 
 from __future__ import annotations
@@ -10,18 +13,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def tiou(a: tuple, b: tuple) -> float:
-    shared = min(a[1], b[1]) - max(a[0], b[0])
-    return max(0.0, shared / (max(a[1], b[1]) - min(a[0], b[0])))
+from .timeline import BIN, binned, overlaps
 
 
-def ordered(left: Sequence, right: Sequence, score: Callable, *, count_first: bool = True) -> list[tuple[int, int, float]]:
-    """Order-preserving pairs with the most pairs, then the largest total score (or the total
-    alone).  score(a, b) is None where a pair isn't allowed.  Of equal optima, later elements
-    are left single first."""
+def ordered(left: Sequence, right: Sequence, score: Callable, *, count_first: bool = True) -> list[tuple]:
+    """Order-preserving pairs (a, b) with the most pairs, then the largest total score; or with
+    the largest total, then the most pairs.  score(a, b) is None where a pair isn't allowed.
+    Of equal optima, later elements are left single first."""
     n, m = len(left), len(right)
     best = [[(0, 0.0)] * (m + 1) for _ in range(n + 1)]
     value = lambda c: c if count_first else (c[1], c[0])
@@ -38,7 +39,7 @@ def ordered(left: Sequence, right: Sequence, score: Callable, *, count_first: bo
         s = score(left[i], right[j])
         count, total = best[i + 1][j + 1]
         if s is not None and value((count + 1, total + s)) >= value(best[i][j]):
-            pairs.append((i, j, s))
+            pairs.append((left[i], right[j]))
             i, j = i + 1, j + 1
         elif best[i + 1][j] == best[i][j]:
             i += 1
@@ -65,76 +66,88 @@ def most_pairs(edges: dict[int, list[int]], n_left: int) -> list[tuple[int, int]
     return sorted((i, j) for j, i in owner.items())
 
 
-def greedy(left: Sequence, right: Sequence, score: Callable, least: float) -> list[tuple[int, int, float]]:
-    """Pairs by descending score, each side once; of equal scores the larger indices first."""
-    scored = [(score(a, b), i, j) for i, a in enumerate(left) for j, b in enumerate(right)]
+def greedy(scored: dict[tuple, float]) -> list[tuple]:
+    """Pairs by descending score, each side once; of equal scores the later ones first."""
     used_left, used_right, pairs = set(), set(), []
-    for s, i, j in sorted((x for x in scored if x[0] is not None and x[0] >= least), reverse=True):
-        if i not in used_left and j not in used_right:
-            used_left.add(i)
-            used_right.add(j)
-            pairs.append((i, j, s))
-    return sorted(pairs)
-
-
-def greedy_nearest(left: Sequence[float], right: Sequence[float], tolerance: float) -> list[tuple[int, int, float]]:
-    """Each left point, in order, takes the nearest free right point within the tolerance."""
-    free, pairs = set(range(len(right))), []
-    for i, a in enumerate(left):
-        near = min(((abs(a - right[j]), j) for j in free), default=None)
-        if near and near[0] <= tolerance:
-            free.discard(near[1])
-            pairs.append((i, near[1], near[0]))
+    for (a, b), _ in sorted(scored.items(), key=lambda x: (x[1], x[0]), reverse=True):
+        if a not in used_left and b not in used_right:
+            used_left.add(a)
+            used_right.add(b)
+            pairs.append((a, b))
     return pairs
 
 
-def _by_tiou(least: float) -> Callable:
-    return lambda a, b: s if (s := tiou(a, b)) >= least and s > 0 else None
-
-
-def _within(tolerance: float) -> Callable:
-    """Closeness of two points; the tolerance is inclusive, with slack for rounding."""
-    return lambda a, b: tolerance - abs(a - b) if abs(a - b) <= tolerance + 1e-9 else None
-
-
-METHODS = {
-    "ordered": lambda a, b, least: ordered(a, b, _by_tiou(least)),
-    "total": lambda a, b, least: ordered(a, b, _by_tiou(least), count_first=False),
-    "greedy": lambda a, b, least: greedy(a, b, tiou, least),
-    "most": lambda a, b, least: [
-        (i, j, tiou(a[i], b[j]))
-        for i, j in most_pairs(
-            {i: [j for j, y in enumerate(b) if tiou(x, y) >= least and tiou(x, y) > 0] for i, x in enumerate(a)}, len(a)
-        )
-    ],
-}
+def greedy_nearest(scored: dict[tuple, float]) -> list[tuple]:
+    """Each left point, in order, takes the free right point of the best score, the lower of equal ones."""
+    options: dict = {}
+    for (a, b), s in scored.items():
+        options.setdefault(a, []).append((-s, b))
+    taken, pairs = set(), []
+    for a in sorted(options):
+        b = min(((s, b) for s, b in options[a] if b not in taken), default=(0, None))[1]
+        if b is not None:
+            taken.add(b)
+            pairs.append((a, b))
+    return pairs
 
 
-def match_segments(left: DataFrame, right: DataFrame, least: float, method: str = "ordered") -> DataFrame:
-    """Matched pairs (episode, left_start, left_end, right_start, right_end, iou)."""
-    schema = "episode long, left_start long, left_end long, right_start long, right_end long, iou double"
+def _sides(scored: dict[tuple, float]) -> tuple[list, list]:
+    return tuple(sorted({pair[k] for pair in scored}) for k in (0, 1))
 
-    def pairs(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x = sorted(zip(a["start"], a["end"], strict=True))
-        y = sorted(zip(b["start"], b["end"], strict=True))
-        rows = [(key[0], *x[i], *y[j], s) for i, j, s in METHODS[method](x, y, least)]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    columns = ["episode", "start", "end"]
-    groups = left.select(columns).groupBy("episode").cogroup(right.select(columns).groupBy("episode"))
-    return groups.applyInPandas(pairs, schema)
+def _most(scored: dict[tuple, float]) -> list[tuple]:
+    left, right = _sides(scored)
+    place = {b: j for j, b in enumerate(right)}
+    edges = {i: sorted(place[b] for a2, b in scored if a2 == a) for i, a in enumerate(left)}
+    return [(left[i], right[j]) for i, j in most_pairs(edges, len(left))]
 
 
-def match_points(left: DataFrame, right: DataFrame, tolerance: float, method: str = "ordered") -> DataFrame:
-    """Matched boundaries (episode, direction, left_frame, right_frame, distance)."""
-    schema = "episode long, direction int, left_frame long, right_frame long, distance double"
+#: Programs over the scores of contested candidates.
+METHODS: dict[str, Callable[[dict[tuple, float]], list[tuple]]] = {
+    "ordered": lambda s: ordered(*_sides(s), lambda a, b: s.get((a, b))),
+    "alignment": lambda s: ordered(*_sides(s), lambda a, b: s.get((a, b)), count_first=False),
+    "greedy": greedy,
+    "nearest": greedy_nearest,
+    "most": _most,
+}
 
-    def pairs(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(a["frame"]), sorted(b["frame"])
-        found = greedy_nearest(x, y, tolerance) if method == "nearest" else ordered(x, y, _within(tolerance))
-        rows = [(*key, x[i], y[j], float(abs(x[i] - y[j]))) for i, j, _ in found]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    keys = ["episode", "direction"]
-    columns = [*keys, "frame"]
-    return left.select(columns).groupBy(*keys).cogroup(right.select(columns).groupBy(*keys)).applyInPandas(pairs, schema)
+def matched(candidates: DataFrame, keys: Sequence[str], method: str) -> DataFrame:
+    """The matched ones of candidate pairs (keys..., left, right, score), one candidate a pair."""
+    rivals = lambda side: F.count(F.lit(1)).over(Window.partitionBy(*keys, side))
+    marked = candidates.withColumns({"_l": rivals("left"), "_r": rivals("right")})
+    alone = (F.col("_l") == 1) & (F.col("_r") == 1)
+    program = METHODS[method]
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        scored = {(a, b): s for a, b, s in zip(pdf["left"], pdf["right"], pdf["score"], strict=True)}
+        stay = set(program(scored))
+        return pdf[[pair in stay for pair in zip(pdf["left"], pdf["right"], strict=True)]]
+
+    contested = marked.where(~alone).select(candidates.columns).groupBy(*keys).applyInPandas(settle, candidates.schema)
+    return marked.where(alone).select(candidates.columns).unionByName(contested)
+
+
+def match_segments(left: DataFrame, right: DataFrame, least: float, method: str = "ordered", keys: Sequence[str] = ("episode",)) -> DataFrame:
+    """Matched pairs (keys..., left_start, left_end, right_start, right_end, iou) of two tracks."""
+    columns = [*keys, "start", "end"]
+    pairs = overlaps(left.select(columns), right.select(columns), keys).where(F.col("iou") >= least)
+    places = pairs.select(*keys, F.col("left_start").alias("left"), F.col("right_start").alias("right"), F.col("iou").alias("score"), "left_end", "right_end")
+    return matched(places, keys, method).select(
+        *keys, F.col("left").alias("left_start"), "left_end", F.col("right").alias("right_start"), "right_end", F.col("score").alias("iou")
+    )
+
+
+def match_points(
+    left: DataFrame, right: DataFrame, tolerance: float | Column, method: str = "ordered", keys: Sequence[str] = ("episode", "direction")
+) -> DataFrame:
+    """Matched boundaries (keys..., left_frame, right_frame, distance) within ``tolerance`` frames,
+    a number or a column of ``left``; it is inclusive, with slack for rounding."""
+    reach = (F.lit(tolerance) if isinstance(tolerance, (int, float)) else tolerance) + 1e-9
+    a = left.select(*keys, F.col("frame").alias("left"), reach.alias("_reach"))
+    a = binned(a, F.floor(F.col("left") - F.col("_reach")), F.floor(F.col("left") + F.col("_reach")) + 1)
+    b = right.select(*keys, F.col("frame").alias("right"), F.floor(F.col("frame") / BIN).alias("_bin"))
+    distance = F.abs(F.col("left") - F.col("right")).cast("double")
+    pairs = a.join(b, [*keys, "_bin"]).where(distance <= F.col("_reach"))
+    pairs = pairs.select(*keys, "left", "right", (F.col("_reach") - distance).alias("score"), distance.alias("distance"))
+    return matched(pairs, keys, method).select(*keys, F.col("left").alias("left_frame"), F.col("right").alias("right_frame"), "distance")

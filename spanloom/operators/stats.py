@@ -65,6 +65,20 @@ def bootstrap_interval(draws: DataFrame, values: DataFrame, key: str, tops: str,
     )
 
 
+def paired_bootstrap(
+    draws: DataFrame, values: DataFrame, key: str, left: tuple[str, str], right: tuple[str, str]
+) -> DataFrame:
+    """Percentile interval of the difference of two ratios (top, bottom) over the same draws."""
+    total = lambda c: F.sum(F.col(c) * F.col("times")).cast("double")
+    ratio = lambda x: F.try_divide(total(x[0]), total(x[1]))
+    each = draws.join(values, key).groupBy("round").agg((ratio(left) - ratio(right)).alias("v"))
+    each = each.where("v is not null and not isnan(v)")
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return each.agg(q.alias("q"), F.count(F.lit(1)).alias("rounds")).select(
+        "rounds", F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high")
+    )
+
+
 def shift_null(frames: DataFrame, a: str, b: str, keys: Sequence[str] = ("episode",)) -> DataFrame:
     """Overlap of two tracks against all circular shifts of one: observed, the null's mean (the
     product of the tracks' shares) and the share of shifts that reach the observed value.

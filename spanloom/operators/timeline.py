@@ -62,7 +62,9 @@ def coalesce_segments(
 def clip(segments: DataFrame, windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """The parts of segments inside windows (keys..., window, core_start, core_end)."""
     inside = (F.col("start") < F.col("core_end")) & (F.col("core_start") < F.col("end"))
-    return segments.join(windows, list(keys)).where(inside).select(
+    windows = binned(windows.where("core_end > core_start"), "core_start", "core_end")
+    both = binned(segments.where("end > start"), "start", "end").join(windows, [*keys, "_bin"]).where(inside)
+    return both.where(F.floor(F.greatest("start", "core_start") / BIN) == F.col("_bin")).select(
         *keys, "window",
         F.greatest("start", "core_start").alias("start"),
         F.least("end", "core_end").alias("end"), "state",
@@ -94,16 +96,33 @@ def boundaries(frames: DataFrame, state: str, keys: Sequence[str] = KEYS) -> Dat
     return frames.withColumn("direction", step).where("direction <> 0").select(*keys, "frame", "direction")
 
 
+#: Frames of a bin in range joins.
+BIN = 64
+
+
+def binned(rows: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
+    """Rows with each bin (_bin) of frames that [start, end) reaches into."""
+    start, end = (F.col(x) if isinstance(x, str) else x for x in (start, end))
+    return rows.withColumn("_bin", F.explode(F.sequence(F.floor(start / BIN), F.floor((end - 1) / BIN))))
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pairs of segments of one episode that share frames, with overlap and IoU."""
+    """Pairs of segments of one episode that share frames, with overlap and IoU.
+
+    Segments meet in bins of frames, not in whole episodes; a pair counts in the bin
+    in which its overlap starts.
+    """
     a = left.select(*keys, *(F.col(c).alias(f"left_{c}") for c in left.columns if c not in keys))
     b = right.select(*keys, *(F.col(c).alias(f"right_{c}") for c in right.columns if c not in keys))
     shared = F.least("left_end", "right_end") - F.greatest("left_start", "right_start")
     union = F.greatest("left_end", "right_end") - F.least("left_start", "right_start")
+    a, b = binned(a.where("left_end > left_start"), "left_start", "left_end"), binned(b.where("right_end > right_start"), "right_start", "right_end")
     return (
-        a.join(b, list(keys))
+        a.join(b, [*keys, "_bin"])
         .where((F.col("left_start") < F.col("right_end")) & (F.col("right_start") < F.col("left_end")))
+        .where(F.floor(F.greatest("left_start", "right_start") / BIN) == F.col("_bin"))
         .withColumns({"overlap": shared, "iou": shared / union})
+        .drop("_bin")
     )
 
 
@@ -113,7 +132,8 @@ def step_labels(segments: DataFrame, episodes: DataFrame) -> DataFrame:
         "step", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_frames") / F.col("fps")) - 1))
     ).select("episode", "step", (F.col("step") * F.col("fps")).alias("lo"), ((F.col("step") + 1) * F.col("fps")).alias("hi"))
     s = segments.select("episode", "start", "end")
-    hit = steps.join(s, "episode").where("start < hi and end > lo").select("episode", "step").distinct()
+    steps_in, s = binned(steps, F.floor("lo"), F.ceil("hi")), binned(s.where("end > start"), "start", "end")
+    hit = steps_in.join(s, ["episode", "_bin"]).where("start < hi and end > lo").select("episode", "step").distinct()
     return (
         steps.join(hit.withColumn("positive", F.lit(True)), ["episode", "step"], "left")
         .select("episode", "step", F.coalesce("positive", F.lit(False)).alias("positive"))

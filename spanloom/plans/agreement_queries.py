@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import agreement as ag
 from ..operators import matching, stats
 from ..operators import timeline as tl
-from .binding import episodes, frames, positives, runs, sql, table
+from .binding import FRAMES, episodes, frames, positives, runs, runs_sql, sql, table
 
 QUERIES, SQL = {}, {}
 
@@ -116,57 +116,177 @@ def fleiss(spark, d):
     return rounded(out, "unanimity", "jaccard", "fleiss_kappa")
 
 
-EVENTS = sql('''select count(*) as matched from runs_a x join runs_b y on x.episode = y.episode and x.state and y.state
-    where (least(x."end", y."end") - greatest(x."start", y."start")) / (greatest(x."end", y."end") - least(x."start", y."start"))::double >= 0.75''', "a", "b")
+def program_sql(left: str, right: str, candidate: str, gain: str, tracks: str = "ab") -> str:
+    """Best value of an ordered matching for each key k, by a row-wise dynamic program.
 
+    left, right: selects of (k, i, s, e) with i from 1 in order; candidate, gain: expressions of
+    a pair (x, y) with its iou.
+    """
+    return f"""with recursive {FRAMES}{''.join(map(runs_sql, tracks))}, l as ({left}), r as ({right}), w as (
+        select * from (select x.k, x.i, y.i as j, x.s as xs, y.s as ys,
+            greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / (greatest(x.e, y.e) - least(x.s, y.s))::double as iou
+        from l x join r y on x.k = y.k) where {candidate}
+    ), sizes as (select k, max(i) as n from l group by k), dp(k, i, j, v) as (
+        select k, 0::bigint, i, 0::double from r
+        union all
+        select k, i + 1, j, max(c) over (partition by k order by j rows unbounded preceding) from (
+            select d.k, d.i, d.j, greatest(d.v, coalesce(lag(d.v, 1, 0::double) over (partition by d.k order by d.j) + w.gain, 0)) as c
+            from dp d join sizes on sizes.k = d.k and d.i < sizes.n
+            left join (select k, i, j, {gain} as gain from w) w on w.k = d.k and w.i = d.i + 1 and w.j = d.j)
+    ), optimum as (select k, max(v) as v from dp group by k)"""
 
-@query("tl12_ag09_ordered_event_matches", EVENTS)
+
+def segments_of(track: str) -> str:
+    return f"""select episode as k, row_number() over (partition by episode order by "start") as i, "start" as s, "end" as e from runs_{track} where not state"""
+
+
+def quiet(spark, d, track):
+    """Stretches in which a track is off: long enough for several of one to meet several of another."""
+    return runs(spark, d, track).where("not state")
+
+
+def events_sql(least: float, gain: str) -> str:
+    return program_sql(segments_of("a"), segments_of("b"), f"iou >= {least} and iou > 0", gain)
+
+
+#: Value of a pair: 1,000 for the pair and its IoU, so that pairs count first.
+COUNT_FIRST = "1000 + iou"
+LEAST = 0.1
+
+
+def event_pairs(spark, d, method, least=LEAST):
+    return matching.match_segments(quiet(spark, d, "a"), quiet(spark, d, "b"), least, method)
+
+
+def per_episode(pairs):
+    return pairs.groupBy("episode").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum("iou"), 6).alias("total"))
+
+
+ORDERED = events_sql(LEAST, COUNT_FIRST) + """ select k as episode, floor(v / 1000)::bigint as matched, round(v - 1000 * floor(v / 1000), 6) as total from optimum where v > 0"""
+
+
+@query("tl12_ordered_event_matches", ORDERED)
 def tl12(spark, d):
-    pairs = matching.match_segments(positives(spark, d, "a"), positives(spark, d, "b"), 0.75)
-    return pairs.agg(F.count(F.lit(1)).alias("matched"))
+    return per_episode(event_pairs(spark, d, "ordered"))
 
 
-@query("tl13_total_matching")
+@query("tl13_total_matching", events_sql(LEAST, "iou") + " select k as episode, round(v, 6) as total from optimum where v > 0")
 def tl13(spark, d):
-    return matching.match_segments(positives(spark, d, "a"), positives(spark, d, "b"), 0.1, "total")
+    return per_episode(event_pairs(spark, d, "alignment")).select("episode", "total")
 
 
-@query("tl14_tl15_alignment_counts")
+@query("tl14_total_then_count", events_sql(LEAST, "round(iou * 1000000) * 1000 + 1") + " select k as episode, (v % 1000)::bigint as matched, floor(v / 1000) / 1000000 as total from optimum where v > 0")
 def tl14(spark, d):
-    pairs = matching.match_segments(runs(spark, d, "a"), runs(spark, d, "b"), 0.25)
-    return pairs.groupBy("episode").agg(F.count(F.lit(1)).alias("matched"), F.round(F.avg("iou"), 6).alias("mean_iou"))
+    """The largest total IoU (in millionths) first, then the most pairs: three weak pairs may give
+    way to one good one."""
+    pairs = tl.overlaps(quiet(spark, d, "a"), quiet(spark, d, "b")).where(F.col("iou") >= LEAST)
+    pairs = pairs.select("episode", F.col("left_start").alias("left"), F.col("right_start").alias("right"), F.round(F.col("iou") * 1000000).alias("score"))
+    found = matching.matched(pairs, ["episode"], "alignment").groupBy("episode")
+    return found.agg(F.count(F.lit(1)).alias("matched"), (F.sum("score") / 1000000).alias("total"))
+
 
+@query("tl15_assignment", ORDERED)
+def tl15(spark, d):
+    """Most pairs, then the largest total; overlapping segments of two tracks can't cross, so
+    the ordered program finds the best assignment."""
+    return per_episode(event_pairs(spark, d, "ordered"))
 
-@query("tl16_most_matches", EVENTS)
+
+@query("tl16_most_matches", events_sql(LEAST, COUNT_FIRST) + " select k as episode, floor(v / 1000)::bigint as matched from optimum where v > 0")
 def tl16(spark, d):
-    pairs = matching.match_segments(positives(spark, d, "a"), positives(spark, d, "b"), 0.75, "most")
-    return pairs.agg(F.count(F.lit(1)).alias("matched"))
+    return per_episode(event_pairs(spark, d, "most")).select("episode", "matched")
+
+
+#: Pairs by descending IoU, each side once, with the larger starts first of equal ones.
+GREEDY = program_sql(segments_of("a"), segments_of("b"), "iou >= 0.1 and iou > 0", "iou") + """, ranked as (
+        select *, row_number() over (partition by k order by iou desc, i desc, j desc) as n from w
+    ), taken(k, n, ls, rs, pairs) as (
+        select k, 0::bigint, []::bigint[], []::bigint[], []::bigint[] from sizes
+        union all
+        select t.k, t.n + 1, case when free then list_append(ls, i) else ls end, case when free then list_append(rs, j) else rs end,
+            case when free then list_append(pairs, t.n + 1) else pairs end
+        from (select t.*, q.i, q.j, not list_contains(ls, q.i) and not list_contains(rs, q.j) as free from taken t join ranked q on q.k = t.k and q.n = t.n + 1) t
+    ), chosen as (
+        select r.* from ranked r join (select k, unnest(arg_max(pairs, n)) as n from taken group by k) t on t.k = r.k and t.n = r.n
+    )"""
 
 
-@query("tl17_greedy_iou", EVENTS)
+@query("tl17_greedy_iou", GREEDY + """ select k as episode, xs as left_start, ys as right_start, round(iou, 6) as iou from chosen where iou >= 0.3""")
 def tl17(spark, d):
-    pairs = matching.match_segments(positives(spark, d, "a"), positives(spark, d, "b"), 0.75, "greedy")
-    return pairs.agg(F.count(F.lit(1)).alias("matched"))
+    pairs = event_pairs(spark, d, "greedy", 0.3)
+    return pairs.select("episode", "left_start", "right_start", F.round("iou", 6).alias("iou"))
+
+
+@query("ag09_event_metrics", GREEDY + """ , n as (select (select count(*) from l) as nl, (select count(*) from r) as nr)
+    select t.least as least, count(*) as matched, round(2 * count(*) / (any_value(nl) + any_value(nr))::double, 6) as f1,
+        round(count(*) / any_value(nl)::double, 6) as "precision", round(count(*) / any_value(nr)::double, 6) as recall,
+        round(avg(abs(c.xs - c.ys) / fps), 6) as onset_mae, round(avg((c.xs - c.ys) / fps), 6) as onset_signed,
+        round(quantile_cont(abs(c.xs - c.ys) / fps, 0.5), 6) as onset_median, round(avg(abs(l.e - r.e) / fps), 6) as offset_mae
+    from chosen c join l on l.k = c.k and l.i = c.i join r on r.k = c.k and r.i = c.j join episodes on episode = c.k cross join n
+    cross join (values (0.1::double), (0.3::double), (0.5::double)) t(least) where c.iou >= t.least group by t.least""")
+def ag09(spark, d):
+    """Greedy pairs at 0.1 hold those of every larger threshold; errors are in seconds."""
+    a, b = quiet(spark, d, "a"), quiet(spark, d, "b")
+    sizes = a.agg(F.count(F.lit(1)).alias("nl")).crossJoin(b.agg(F.count(F.lit(1)).alias("nr")))  # single rows
+    pairs = event_pairs(spark, d, "greedy").join(episodes(spark, d).select("episode", "fps"), "episode")
+    onset, offset = ((F.col(f"left_{x}") - F.col(f"right_{x}")) / F.col("fps") for x in ("start", "end"))
+    pairs = pairs.select("iou", onset.alias("onset"), offset.alias("offset"), F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5)))).alias("least"))
+    n = F.count(F.lit(1))
+    found = pairs.where("iou >= least").groupBy("least").agg(
+        n.alias("matched"), F.avg(F.abs("onset")).alias("onset_mae"), F.avg("onset").alias("onset_signed"),
+        F.percentile(F.abs("onset"), F.lit(0.5)).alias("onset_median"), F.avg(F.abs("offset")).alias("offset_mae"),
+    )
+    found = found.crossJoin(F.broadcast(sizes)).withColumns(  # one row
+        {"f1": ag.ratio(2 * F.col("matched"), F.col("nl") + F.col("nr")), "precision": ag.ratio(F.col("matched"), F.col("nl")), "recall": ag.ratio(F.col("matched"), F.col("nr"))}
+    ).drop("nl", "nr")
+    return rounded(found, "f1", "precision", "recall", "onset_mae", "onset_signed", "onset_median", "offset_mae")
 
 
 def boundary_frames(spark, d, track):
     return tl.boundaries(frames(spark, d), track)
 
 
-@query("tl18_greedy_nearest_boundaries")
+BOUNDARIES = """boundaries_{t} as (select episode, frame, d from (
+        select episode, frame, {t}::int - lag({t}::int) over (partition by episode order by frame) as d from frames) where d <> 0)"""
+BOTH = f"{BOUNDARIES.format(t='a')}, {BOUNDARIES.format(t='b')}"
+
+
+@query("tl18_greedy_nearest_boundaries", f"""with recursive {FRAMES}, {BOTH}, l as (
+        select episode, d, frame, row_number() over (partition by episode, d order by frame) as i from boundaries_a
+    ), r as (select episode, d, list(frame) as fs from boundaries_b group by 1, 2), taken(episode, d, i, used, left_frame, right_frame) as (
+        select episode, d, 0::bigint, []::bigint[], null::bigint, null::bigint from r
+        union all
+        select episode, d, i, case when best is null then used else list_append(used, best % 1000000) end, frame, best % 1000000 from (
+            select t.episode, t.d, t.i + 1 as i, used, l.frame,
+                list_min(list_transform(list_filter(fs, lambda x: abs(x - l.frame) <= 5 and not list_contains(used, x)), lambda x: abs(x - l.frame) * 1000000 + x)) as best
+            from taken t join l on l.episode = t.episode and l.d = t.d and l.i = t.i + 1 join r on r.episode = t.episode and r.d = t.d))
+    select episode, d as direction, left_frame, right_frame, abs(left_frame - right_frame)::double as distance from taken where right_frame is not null""")
 def tl18(spark, d):
     return matching.match_points(boundary_frames(spark, d, "a"), boundary_frames(spark, d, "b"), 5, "nearest")
 
 
-@query("ag08_ag10_boundary_f1")
+def boundary_program(seconds: float) -> str:
+    """Most boundaries within the tolerance, then the smallest total distance."""
+    points = "select episode * 2 + (d > 0)::int as k, row_number() over (partition by episode, d order by frame) as i, frame as s, frame + 1 as e from boundaries_{t}"
+    text = program_sql(points.format(t="a"), points.format(t="b"), "abs(xs - ys) <= (10 + 5 * ((k // 2) % 3)) * {s} + 1e-9".replace("{s}", str(seconds)), "1000000 - abs(xs - ys)", "")
+    return text.replace(", l as (", f", {BOTH}, l as (", 1) + f""" select {seconds}::double as seconds, sum(matched)::bigint as matched,
+        round(2 * sum(matched) / ((select count(*) from l) + (select count(*) from r))::double, 6) as f1, round(sum(off / fps) / sum(matched), 6) as mae from (
+            select k // 2 as episode, ceil(v / 1000000) as matched, ceil(v / 1000000) * 1000000 - v as off from optimum) join episodes using (episode)"""
+
+
+@query("ag08_ag10_boundary_f1", " union all ".join(f"({boundary_program(s)})" for s in (0.25, 0.5, 1.0)))
 def ag08(spark, d):
+    """Boundaries matched in order within 0.25, 0.5 and 1 second, pooled over episodes."""
+    eps = episodes(spark, d).select("episode", "fps")
     a, b = boundary_frames(spark, d, "a"), boundary_frames(spark, d, "b")
-    hits = matching.match_points(a, b, 5).groupBy("direction").agg(
-        F.count(F.lit(1)).alias("matched"), F.avg("distance").alias("mae"), F.avg(F.col("left_frame") - F.col("right_frame")).alias("signed")
-    )
-    sizes = a.groupBy("direction").agg(F.count(F.lit(1)).alias("left")).join(b.groupBy("direction").agg(F.count(F.lit(1)).alias("right")), "direction")
-    out = sizes.join(hits, "direction", "left").withColumn("f1", ag.ratio(2 * F.col("matched"), F.col("left") + F.col("right")))
-    return rounded(out, "mae", "signed", "f1")
+    seconds = F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0)))).alias("seconds")
+    each = lambda rows: rows.join(eps, "episode").select("episode", "direction", "frame", "fps", seconds)
+    keys = ["episode", "direction", "seconds"]
+    pairs = matching.match_points(each(a), each(b), F.col("seconds") * F.col("fps"), keys=keys).join(eps, "episode")
+    sizes = a.agg(F.count(F.lit(1)).alias("nl")).crossJoin(b.agg(F.count(F.lit(1)).alias("nr")))  # single rows
+    out = pairs.groupBy("seconds").agg(F.count(F.lit(1)).alias("matched"), F.avg(F.col("distance") / F.col("fps")).alias("mae"))
+    out = out.crossJoin(F.broadcast(sizes)).withColumn("f1", ag.ratio(2 * F.col("matched"), F.col("nl") + F.col("nr")))  # one row
+    return rounded(out, "mae", "f1").select("seconds", "matched", "f1", "mae")
 
 
 @query("ag08_exact_boundaries", sql("""select count(*) filter (da = db) as matched, count(*) filter (da <> 0) as n_left, count(*) filter (db <> 0) as n_right from (
@@ -201,6 +321,40 @@ def ag11(spark, d):
     return both.agg(F.count(F.lit(1)).alias("steps"), F.count_if(X & Y).alias("tp"), F.count_if(X & ~Y).alias("fp"), F.count_if(~X & Y).alias("fn"))
 
 
+@query("ag11_segment_f1_per_episode", events_sql(0.5, COUNT_FIRST) + """ select round(avg(2 * coalesce(floor(v / 1000), 0) / (coalesce(nl, 0) + coalesce(nr, 0))), 6) as segment_f1, count(*) as episodes
+    from (select k, count(*) as nl from l group by k) x full join (select k, count(*) as nr from r group by k) y using (k) left join optimum using (k)""")
+def ag11_segments(spark, d):
+    """F1 of segments matched at 0.5, averaged over the episodes that have any."""
+    sizes = [quiet(spark, d, t).groupBy("episode").agg(F.count(F.lit(1)).alias(n)) for t, n in (("a", "nl"), ("b", "nr"))]
+    hits = per_episode(event_pairs(spark, d, "ordered", 0.5)).select("episode", "matched")
+    each = sizes[0].join(sizes[1], "episode", "full_outer").join(hits, "episode", "left").na.fill(0)
+    return each.agg(F.round(F.avg(2 * F.col("matched") / (F.col("nl") + F.col("nr"))), 6).alias("segment_f1"), F.count(F.lit(1)).alias("episodes"))
+
+
+def window_segments(track: str) -> str:
+    return f"""select k, row_number() over (partition by k order by s) as i, s, e from (select episode * 100000 + w as k, greatest("start", w * 32) as s, least("end", w * 32 + 32) as e
+        from (select *, unnest(generate_series("start" // 32, ("end" - 1) // 32)) as w from runs_{track} where state))"""
+
+
+def window_program(least: float) -> str:
+    return program_sql(window_segments("a"), window_segments("b"), f"iou >= {least}", COUNT_FIRST) + f""" select {least}::double as least, sum(floor(v / 1000))::bigint as matched,
+        round(2 * sum(floor(v / 1000)) / ((select count(*) from l) + (select count(*) from r)), 6) as event_f1 from optimum"""
+
+
+@query("ag12_window_event_f1", " union all ".join(f"({window_program(t)})" for t in (0.3, 0.5, 0.7)))
+def ag12_events(spark, d):
+    """Events clipped to windows of 32 frames and matched inside them, at three thresholds."""
+    eps = tl.core_windows(episodes(spark, d), 32, 0)
+    a, b = (tl.clip(positives(spark, d, t), eps) for t in "ab")
+    least = F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.7)))).alias("least")
+    pairs = tl.overlaps(a.drop("state"), b.drop("state"), ["episode", "window"]).select("*", least).where("iou >= least")
+    pairs = pairs.select("episode", "window", "least", F.col("left_start").alias("left"), F.col("right_start").alias("right"), F.col("iou").alias("score"))
+    sizes = a.agg(F.count(F.lit(1)).alias("nl")).crossJoin(b.agg(F.count(F.lit(1)).alias("nr")))  # single rows
+    hits = matching.matched(pairs, ["episode", "window", "least"], "ordered").groupBy("least").agg(F.count(F.lit(1)).alias("matched"))
+    out = hits.crossJoin(F.broadcast(sizes))  # one row
+    return out.select("least", "matched", F.round(2 * F.col("matched") / (F.col("nl") + F.col("nr")), 6).alias("event_f1"))
+
+
 @query("ag12_window_scores", sql("""select arm, round(2 * sum(tp) / sum(2 * tp + fp + fn), 6) as frame_f1, count(*) filter (fp > 0 and tp + fn = 0) as false_alarms, count(*) filter (tp + fn = 0) as clean from (
     select episode, frame // 32 as w, arm, count(*) filter (g and a)::double as tp, count(*) filter (g and not a)::double as fp, count(*) filter (not g and a)::double as fn from (
         select episode, frame, a, 'b' as arm, b as g from frames union all select episode, frame, a, 'always', true from frames union all select episode, frame, a, 'never', false from frames)
@@ -267,15 +421,31 @@ def ag17(spark, d):
     return rounded(ag.defined_mean(per, ["f1"], ["lab"]), "mean_f1")
 
 
-@query("ag18_time_weighted_similarity", sql('''select x.episode, round(sum(ov * sim) / sum(ov), 6) as similarity, sum(ov)::bigint as covered from (
-    select x.episode, least(x."end", y."end") - greatest(x."start", y."start") as ov, case when x.state = y.state then 1.0::double else 0.25::double end as sim
-    from runs_a x join runs_b y on x.episode = y.episode and x."start" < y."end" and y."start" < x."end") x group by x.episode''', "a", "b"))
+@query("ag18_time_weighted_similarity", sql('''select episode, round(sum(ov * sim) / sum(ov), 4) as similarity, sum(ov)::bigint as covered,
+        round(sum(ov * sim) filter (same) / sum(ov) filter (same), 4) as same_state_similarity from (
+    select x.episode, x.state = y.state as same, least(x."end", y."end") - greatest(x."start", y."start") as ov,
+        list_dot_product(u.e, v.e) / (sqrt(list_dot_product(u.e, u.e)) * sqrt(list_dot_product(v.e, v.e))) as sim
+    from runs_a x join runs_b y on x.episode = y.episode and x."start" < y."end" and y."start" < x."end"
+    join (select vec_id, list_transform(embedding, lambda z: z::double) as e from embeddings) u on u.vec_id = (x.episode + x."start") % (select count(*) from embeddings)
+    join (select vec_id, list_transform(embedding, lambda z: z::double) as e from embeddings) v on v.vec_id = (y.episode + 2 * y."start") % (select count(*) from embeddings)) group by episode''', "a", "b"))
 def ag18(spark, d):
-    pairs = tl.overlaps(runs(spark, d, "a"), runs(spark, d, "b"))
-    sim = F.when(F.col("left_state") == F.col("right_state"), 1.0).otherwise(0.25)
-    return pairs.groupBy("episode").agg(
-        F.round(F.sum(F.col("overlap") * sim) / F.sum("overlap"), 6).alias("similarity"), F.sum("overlap").alias("covered")
+    """Cosine of the vectors of overlapping segments, weighted by their common frames; a segment's
+    vector is found by its place."""
+    from ..functions import text as tx
+
+    e = table(spark, d, "embeddings")
+    n = e.count()
+    pairs = tl.overlaps(runs(spark, d, "a"), runs(spark, d, "b")).withColumns(
+        {"u": (F.col("episode") + F.col("left_start")) % n, "v": (F.col("episode") + 2 * F.col("right_start")) % n}
     )
+    for side in ("u", "v"):
+        pairs = pairs.join(e.select(F.col("vec_id").alias(side), F.col("embedding").alias(f"{side}_vector")), side)
+    pairs = pairs.withColumn("weighted", F.col("overlap") * tx.cosine(F.col("u_vector"), F.col("v_vector")))
+    same = lambda c: F.sum(F.when(F.col("left_state") == F.col("right_state"), F.col(c)))
+    return pairs.groupBy("episode").agg(
+        F.round(F.sum("weighted") / F.sum("overlap"), 4).alias("similarity"), F.sum("overlap").alias("covered"),
+        F.round(same("weighted") / same("overlap"), 4).alias("same_state_similarity"),
+    )
 
 
 @query("ag19_bootstrap_interval", sql("""select count(*) as rounds, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.975), 6) as high from (
@@ -369,14 +539,21 @@ def ag27(spark, d):
     )
 
 
-@query("ag28_category_dice", """select conv_id, round(2 * sum(least(u, v)) / sum(u + v)::double, 6) as dice from (
-    select conv_id, left(text, 1) as c, count(*) filter (role = 'user') as u, count(*) filter (role <> 'user') as v from conversations group by 1, 2) group by conv_id""")
+OCCURRENCES = "(select conv_id, role, turn, row_number() over (partition by conv_id, role order by turn) as k, text from conversations)"
+
+
+@query("ag28_category_dice", f"""with words as (select conv_id, k, role = 'user' as u, unnest(string_split(lower(text), ' ')) as w from {OCCURRENCES} where role in ('user', 'assistant')),
+    counts as (select conv_id, k, w, count(*) filter (u) as nu, count(*) filter (not u) as nv from words group by 1, 2, 3)
+    select conv_id, k as occurrence, round(2 * sum(least(nu, nv)) / sum(nu + nv)::double, 6) as dice from counts group by 1, 2 having sum(nu) > 0 and sum(nv) > 0""")
 def ag28(spark, d):
+    """Dice with multiplicity of the words of the n-th turns of both roles."""
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    rows = table(spark, d, "conversations").where("role in ('user', 'assistant')").withColumn("occurrence", F.row_number().over(w).cast("long"))
     user = F.col("role") == "user"
-    counts = table(spark, d, "conversations").groupBy("conv_id", F.substring("text", 1, 1).alias("c")).agg(
-        F.count_if(user).alias("u"), F.count_if(~user).alias("v")
-    )
-    return counts.groupBy("conv_id").agg(F.round(2 * F.sum(F.least("u", "v")) / F.sum(F.col("u") + F.col("v")), 6).alias("dice"))
+    words = rows.select("conv_id", "occurrence", user.alias("u"), F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    counts = words.groupBy("conv_id", "occurrence", "w").agg(F.count_if("u").alias("nu"), F.count_if(~F.col("u")).alias("nv"))
+    each = counts.groupBy("conv_id", "occurrence").agg(F.sum(F.least("nu", "nv")).alias("both"), F.sum("nu").alias("nu"), F.sum("nv").alias("nv"))
+    return each.where("nu > 0 and nv > 0").select("conv_id", "occurrence", F.round(2 * F.col("both") / (F.col("nu") + F.col("nv")), 6).alias("dice"))
 
 
 @query("ag29_order_balanced_scores", """select k, round(avg(m), 6) as score, count(*) filter (abs(ab - ba) > 50) as order_disagreements from (
@@ -448,11 +625,20 @@ def ag38(spark, d):
     )
 
 
-@query("ag39_cost_pivot", """select o_orderpriority, coalesce(cast(round(sum(o_totalprice) filter (o_orderstatus = 'O'), 2) as varchar), 'not run') is not null as has_o,
-    round(sum(o_totalprice) filter (o_orderstatus = 'O'), 2) as "O", round(sum(o_totalprice) filter (o_orderstatus = 'F'), 2) as "F", round(sum(o_totalprice) filter (o_orderstatus = 'P'), 2) as "P" from orders group by o_orderpriority""")
+@query("ag39_cost_pivot", """select o_custkey, case when count(*) filter (o_orderstatus = 'O') = 0 then 'not run' when count(*) filter (o_orderstatus = 'O' and o_orderpriority = '4-NOT SPECIFIED') > 0 then 'unknown' else cast(cast(round(sum(o_totalprice) filter (o_orderstatus = 'O'), 2) as decimal(18, 2)) as varchar) end as "O", case when count(*) filter (o_orderstatus = 'F') = 0 then 'not run' when count(*) filter (o_orderstatus = 'F' and o_orderpriority = '4-NOT SPECIFIED') > 0 then 'unknown' else cast(cast(round(sum(o_totalprice) filter (o_orderstatus = 'F'), 2) as decimal(18, 2)) as varchar) end as "F", case when count(*) filter (o_orderstatus = 'P') = 0 then 'not run' when count(*) filter (o_orderstatus = 'P' and o_orderpriority = '4-NOT SPECIFIED') > 0 then 'unknown' else cast(cast(round(sum(o_totalprice) filter (o_orderstatus = 'P'), 2) as decimal(18, 2)) as varchar) end as "P" from orders group by o_custkey""")
 def ag39(spark, d):
-    cost = table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["O", "F", "P"]).agg(F.round(F.sum("o_totalprice"), 2))
-    return cost.withColumn("has_o", F.lit(True))
+    """Cost by customer and status; a cell without orders was not run, one with an order of
+    unspecified priority has no known cost."""
+    known = F.count_if(F.col("o_orderpriority") == "4-NOT SPECIFIED") == 0
+    cost = F.round(F.sum("o_totalprice"), 2).cast("decimal(18, 2)").cast("string")
+    cells = table(spark, d, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["O", "F", "P"]).agg(F.when(known, cost).otherwise("unknown"))
+    return cells.na.fill("not run")
+
+
+@query("ag39_running_ledger", """select o_custkey, o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding), 2) as spent from orders""")
+def ag39_ledger(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("spent"))
 
 
 @query("ag40_error_histogram", sql("""select case when p is null then 'missing' when p and not a then 'false_alarm' when not p and a then 'missed' else 'right' end as reason, count(*) as n from frames group by 1"""))
@@ -464,6 +650,22 @@ def ag40(spark, d):
     return rows.groupBy(F.coalesce("reason", F.lit("right")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ag40_paired_bootstrap", sql("""select count(*) as rounds, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.975), 6) as high from (
+    select r, sum(xt)::double / nullif(sum(xn), 0) - sum(yt)::double / nullif(sum(yn), 0) as v from (
+        select r, ('0x' || substr(md5('q|' || r || '|' || slot), 1, 12))::bigint % (select count(*) from episodes) as pick from range(100) t(r), (select row_number() over (order by episode) - 1 as slot from episodes) u) draws
+    join (select row_number() over (order by episode) - 1 as slot, count(*) filter (a and b) as xt, count(*) filter (a or b) as xn, count(*) filter (a and p) as yt, count(*) filter (a or p) as yn
+        from frames group by episode) e on e.slot = pick group by r) where v is not null"""))
+def ag40_paired(spark, d):
+    """Interval of the difference of two arms' IoU with track a, over the same draws of episodes;
+    draws in which an arm is undefined are left out."""
+    A, B, P = F.col("a"), F.col("b"), F.col("p")
+    each = frames(spark, d).groupBy("episode").agg(
+        F.count_if(A & B).alias("xt"), F.count_if(A | B).alias("xn"), F.count_if(A & P).alias("yt"), F.count_if(A | P).alias("yn")
+    )
+    draws = stats.bootstrap_draws(each.select("episode"), "episode", 100, "q")
+    return rounded(stats.paired_bootstrap(draws, each, "episode", ("xt", "xn"), ("yt", "yn")), "low", "median", "high")
+
+
 @query("ag41_frame_budget_arms", sql("""select arm, count(*) as frames, count(*) filter (a = b) as agreed, round(sum(value) / 100, 4) as cost from (
     select 1 as arm, * from frames union all select 2, * from frames where frame % 2 = 0 or frame = n_frames - 1 union all select 4, * from frames where frame % 4 = 0 or frame = n_frames - 1) group by arm"""))
 def ag41(spark, d):
@@ -473,15 +675,8 @@ def ag41(spark, d):
 
 
 @query("ag42_bidirectional_scores", """select x.l_orderkey, x.l_linenumber, round((x.l_discount + y.l_discount) / 2, 6) as mean_score, least(x.l_discount, y.l_discount) as least_score
-    from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1 and x.l_linenumber % 2 = 1""")
-def ag42(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
-    return neighbour_scores(rows.where("l_linenumber % 2 = 1"), rows)
-
-
-@query("ag42_all_neighbours", """select x.l_orderkey, x.l_linenumber, round((x.l_discount + y.l_discount) / 2, 6) as mean_score, least(x.l_discount, y.l_discount) as least_score
     from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1""")
-def ag42_all(spark, d):
+def ag42(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
     return neighbour_scores(rows, rows)
 

@@ -38,10 +38,10 @@ def jn02(spark, d):
 
 
 @query("jn03_multi_key_scores", """select l_orderkey, l_linenumber, round(s.score, 6) as score from lineitem l left join (
-    select l_partkey, l_suppkey, avg(l_discount) as score from lineitem where l_linenumber = 1 group by 1, 2) s using (l_partkey, l_suppkey)""")
+    select l_partkey, l_suppkey, avg(l_discount) as score from lineitem where l_returnflag = 'R' group by 1, 2) s using (l_partkey, l_suppkey)""")
 def jn03(spark, d):
     li = table(spark, d, "lineitem")
-    scores = li.where("l_linenumber = 1").groupBy("l_partkey", "l_suppkey").agg(F.avg("l_discount").alias("score"))
+    scores = li.where("l_returnflag = 'R'").groupBy("l_partkey", "l_suppkey").agg(F.avg("l_discount").alias("score"))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(scores, ["l_partkey", "l_suppkey"], "left").select(
         "l_orderkey", "l_linenumber", F.round("score", 6).alias("score")
     )
@@ -105,12 +105,12 @@ def jn12(spark, d):
     return frames(spark, d).withColumn("threshold", grid).groupBy("lab", "threshold").agg(F.count_if(F.col("value") > F.col("threshold")).alias("n"))
 
 
-@query("jn13_reconcile_ids", """select o_orderkey as id, 'missing' as problem from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 1)
-    union all select l_orderkey, 'unexpected' from lineitem where l_linenumber = 1 and l_orderkey not in (select o_orderkey from orders) group by 1
-    union all select l_orderkey, 'duplicate' from lineitem where l_linenumber = 1 and l_orderkey in (select o_orderkey from orders) group by l_orderkey having count(*) > 1""")
+@query("jn13_reconcile_ids", """select o_orderkey as id, 'missing' as problem from orders where o_orderkey not in (select l_orderkey from lineitem)
+    union all select l_orderkey, 'unexpected' from lineitem where l_orderkey not in (select o_orderkey from orders) group by 1
+    union all select l_orderkey, 'duplicate' from lineitem where l_orderkey in (select o_orderkey from orders) group by l_orderkey having count(*) > 1""")
 def jn13(spark, d):
     expected = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    found = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"))
+    found = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"))
     return va.reconcile(expected, found, "id")
 
 
@@ -120,15 +120,9 @@ def jn14(spark, d):
     return sp.matched_pairs(docs.where("quality = 0"), docs.where("quality = 1"), "source", "len", "doc_id")
 
 
-@query("jn15_components", """with recursive e as (select distinct x.l_suppkey as a, y.l_suppkey as b from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and x.l_orderkey % 97 = 0),
-    r(node, seen) as (select a, b from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as root from r group by node""")
+@query("jn15_components", """with recursive hub as (select l_orderkey, min(l_suppkey) as h from lineitem group by 1), e as (select distinct l_suppkey as a, h as b from lineitem join hub using (l_orderkey)),
+    both_ways as (select a, b from e union select b, a from e), r(node, seen) as (select a, b from both_ways union select r.node, w.b from r join both_ways w on w.a = r.seen) select node, min(seen) as root from r group by node""")
 def jn15(spark, d):
-    return suppliers_linked(table(spark, d, "lineitem").where("l_orderkey % 97 = 0"))
-
-
-@query("jn15_all_components")
-def jn15_all(spark, d):
-    """Over every order; jn15_components is the part of it that recursive SQL can check."""
     return suppliers_linked(table(spark, d, "lineitem"))
 
 
@@ -186,13 +180,35 @@ def prj03(spark, d):
     return va.equal_neighbours(runs(spark, d, "c").withColumn("s", F.col("state") == 1), "s")
 
 
-@query("prj04_atomic_actions", """select 'chronological' as rule, conv_id, turn from (select *, lag(turn) over (partition by conv_id order by turn) as was from conversations) where turn <> coalesce(was + 1, 0)
-    union all select 'alternating', conv_id, turn from (select *, lag(role) over (partition by conv_id order by turn) as was from conversations) where role = was""")
+ACTIONS = """(select user_id as episode, event_type as action, ts, event_id, row_number() over w - 1 as start_frame, lead(event_type) over w as next_action,
+        lead(cast(json_extract_string(props, '$.k') as bigint)) over w as next_k, cast(json_extract_string(props, '$.k') as bigint) as k,
+        row_number() over (partition by user_id, event_type order by ts, event_id) as nth from events window w as (partition by user_id order by ts, event_id))"""
+
+
+@query("prj04_atomic_actions", f"""select 'severity_without_failure' as rule, episode, start_frame as place from {ACTIONS} where action <> 'error' and k >= 95
+    union all select 'failure_without_severity', episode, start_frame from {ACTIONS} where action = 'error' and k < 5
+    union all select 'split_action', episode, start_frame from {ACTIONS} where action = next_action and k = next_k
+    union all select 'category_count', episode, start_frame from {ACTIONS} where action = 'error' and k % 7 = 0""")
 def prj04(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").withColumns({"was": F.lag("turn").over(w), "before": F.lag("role").over(w)})
-    rules = {"chronological": F.col("turn") == F.coalesce(F.col("was") + 1, F.lit(0)), "alternating": ~F.col("role").eqNullSafe(F.col("before"))}
-    return va.violations(rows, rules, "conv_id", "turn")
+    """Segments of one action each: failures have a severity and categories, others have none, and
+    neighbours of equal action and state have to be one segment."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = table(spark, d, "events").withColumns({"k": k, "start_frame": (F.row_number().over(w) - 1).cast("long")})
+    failure = F.col("event_type") == "error"
+    seg = rows.select(
+        F.col("user_id").alias("episode"), F.col("start_frame").alias("place"), F.col("event_type").alias("action"), failure.alias("failure"), "k",
+        F.when(failure & (k >= 5), "set").when(~failure & (k >= 95), "set").alias("severity"),
+        F.when(failure, F.array_repeat(F.lit("type"), (k % 7).cast("int"))).otherwise(F.array().cast("array<string>")).alias("categories"),
+        F.struct(F.lead("event_type").over(w).alias("action"), F.lead(k).over(w).alias("k")).alias("following"),
+    )
+    rules = {
+        "severity_without_failure": F.col("failure") | F.col("severity").isNull(),
+        "failure_without_severity": ~F.col("failure") | F.col("severity").isNotNull(),
+        "split_action": ~F.struct("action", "k").eqNullSafe(F.col("following")),
+        "category_count": ~F.col("failure") | (F.size("categories") > 0),
+    }
+    return va.violations(seg, rules, "episode", "place")
 
 
 @query("prj06_prj20_split_leaks", """select l_partkey, count(distinct l_orderkey % 3) as splits from lineitem group by 1 having count(distinct l_orderkey % 3) > 1""")
@@ -216,10 +232,21 @@ def prj08(spark, d):
     )
 
 
-@query("prj15_field_masks", """select doc_id, not list_has_any([source], ['src0', 'src1']) as source_allowed, not list_has_any([lang], ['en']) as lang_allowed from documents""")
+#: Fields whose supervision an uncertain field takes away, itself among them.
+DEPENDENTS = {"identity": ["identity", "object", "result"], "object": ["object", "result"], "boundary": ["boundary", "action"], "result": ["result"]}
+
+
+@query("prj15_field_masks", """with f(doc_id, field) as (select doc_id, unnest(case when n_chars % 5 = 0 then ['identity'] when n_chars % 5 = 1 then ['object', 'boundary'] when n_chars % 5 = 2 then ['result'] else [] end) from documents),
+    d(field, masked) as (values ('identity', 'identity'), ('identity', 'object'), ('identity', 'result'), ('object', 'object'), ('object', 'result'), ('boundary', 'boundary'), ('boundary', 'action'), ('result', 'result'))
+    select doc_id, string_agg(distinct masked, ',' order by masked) as masked, count(distinct masked) as n from f join d using (field) group by doc_id""")
 def prj15(spark, d):
-    allowed = lambda c, bad: ~F.arrays_overlap(F.array(c), F.array(*(F.lit(x) for x in bad)))
-    return table(spark, d, "documents").select("doc_id", allowed("source", ["src0", "src1"]).alias("source_allowed"), allowed("lang", ["en"]).alias("lang_allowed"))
+    """The fields that a document's uncertain fields mask, by the dependency table."""
+    n = F.col("n_chars") % 5
+    uncertain = F.when(n == 0, F.array(F.lit("identity"))).when(n == 1, F.array(F.lit("object"), F.lit("boundary"))).when(n == 2, F.array(F.lit("result")))
+    rules = spark.createDataFrame([(k, v) for k, many in DEPENDENTS.items() for v in many], "field string, masked string")
+    rows = table(spark, d, "documents").select("doc_id", F.explode(uncertain).alias("field")).join(F.broadcast(rules), "field")  # eight rules
+    fields = F.array_sort(F.collect_set("masked"))
+    return rows.groupBy("doc_id").agg(F.concat_ws(",", fields).alias("masked"), F.size(fields).cast("long").alias("n"))
 
 
 @query("prj16_excluded_spans", """select doc_id, s as "start", e as "end" from (
@@ -234,12 +261,18 @@ def prj16(spark, d):
     return gaps.select("doc_id", "g.start", "g.end")
 
 
-@query("prj17_token_masks", """select doc_id, count(*) as words, count(*) filter (i % 5 = 0) as masked from (
-    select doc_id, unnest(generate_series(1, len(regexp_extract_all(text, '[^ ]+')))) as i from documents) group by doc_id""")
+@query("prj17_token_masks", """with w as (select doc_id, unnest(list_transform(string_split(text, ' '), lambda t, i: {'t': t, 'i': i})) as x, text from documents where text is not null),
+    t as (select doc_id, x.t as t, sum(length(x.t) + 1) over (partition by doc_id order by x.i rows unbounded preceding) - length(x.t) - 1 as s from w)
+    select doc_id, count(*) as tokens, count(*) filter ((s < 20 and s + length(t) > 10) or (s < 60 and s + length(t) > 40)) as masked from t where t <> '' group by doc_id""")
 def prj17(spark, d):
-    words = F.posexplode(F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1))).alias("i", "w")
-    rows = table(spark, d, "documents").select("doc_id", words)
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count_if((F.col("i") + 1) % 5 == 0).alias("masked"))
+    """Tokens whose character offsets overlap an excluded span, [10, 20) or [40, 60)."""
+    words = F.split("text", " ")
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(words).alias("i", "t"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("t") + 1).over(before), F.lit(0))
+    rows = rows.withColumn("start", start).where("t <> ''").withColumn("end", F.col("start") + F.length("t"))
+    hit = lambda a, b: (F.col("start") < b) & (F.col("end") > a)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(hit(10, 20) | hit(40, 60)).alias("masked"))
 
 
 @query("prj19_equality_modulo_fields", """select x.o_orderkey, x.o_orderstatus = y.o_orderstatus as same from orders x join orders y on y.o_orderkey = x.o_orderkey + 1""")
@@ -358,9 +391,9 @@ def snk06(spark, d):
     return sp.next_fit_shards(rows, "day", ["o_orderkey"], "o_totalprice", 1_000_000.0, 5)
 
 
-@query("so01_union_with_duplicates", """select id, count(*) as times from (select o_orderkey as id from orders union all select l_orderkey from lineitem where l_linenumber = 2) group by id having count(*) > 1""")
+@query("so01_union_with_duplicates", """select id, count(*) as times from (select o_orderkey as id from orders union all select l_orderkey from lineitem) group by id having count(*) > 1""")
 def so01(spark, d):
-    both = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).unionByName(table(spark, d, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("id")))
+    both = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).unionByName(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id")))
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
@@ -424,18 +457,7 @@ def fn_tf_idf(spark, d):
     return weights.groupBy("item_id").agg(F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squared"))
 
 
-@query("fn_label_edit_distance", sql("""select episode, levenshtein(x, y)::int as distance from (
-    select episode, string_agg(left(event_type, 1), '' order by frame) filter (frame < 12) as x, string_agg(left(event_type, 1), '' order by frame) filter (frame >= 12 and frame < 22) as y from frames where event_type <> 'error' group by episode) where x is not null and y is not null"""))
-def fn_edit(spark, d):
-    rows = frames(spark, d).where("event_type <> 'error'").groupBy("episode").agg(
-        F.array_sort(F.collect_list(F.when(F.col("frame") < 12, F.struct("frame", "event_type")))).alias("x"),
-        F.array_sort(F.collect_list(F.when((F.col("frame") >= 12) & (F.col("frame") < 22), F.struct("frame", "event_type")))).alias("y"),
-    )
-    labels = lambda c: F.transform(c, lambda s: s["event_type"])
-    return rows.where("size(x) > 0 and size(y) > 0").select("episode", tx.edit_distance(labels("x"), labels("y")).alias("distance"))
-
-
-@query("fn_track_edit_distance", sql("""select episode, levenshtein(string_agg(case when a then 'y' else 'n' end, '' order by frame), string_agg(case when p is null then 'u' when p then 'y' else 'n' end, '' order by frame))::int as distance from frames group by episode"""))
+@query("fn_label_edit_distance", sql("""select episode, levenshtein(string_agg(case when a then 'y' else 'n' end, '' order by frame), string_agg(case when p is null then 'u' when p then 'y' else 'n' end, '' order by frame))::int as distance from frames group by episode"""))
 def fn_track_edit(spark, d):
     # two tracks of an episode over all of its frames
     label = lambda c: F.when(F.col(c).isNull(), "u").when(F.col(c), "y").otherwise("n")

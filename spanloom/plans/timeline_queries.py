@@ -32,22 +32,11 @@ def tl02(spark, d):
 
 
 @query("tl03_coalesce", sql('''select episode, min("start") as "start", max("end") as "end", state, count(*) as parts from (
-    select *, sum(new) over (partition by episode order by "start") as island from (
-        select *, case when lag("end") over w = "start" and lag(state) over w = state then 0 else 1 end as new
-        from (select episode, frame as "start", frame + 1 as "end", c = 1 as state from frames where frame % 11 <> 0) window w as (partition by episode order by "start")))
-    group by episode, island, state'''))
-def tl03(spark, d):
-    rows = frames(spark, d).where("frame % 11 <> 0")
-    rows = rows.select("episode", F.col("frame").alias("start"), (F.col("frame") + 1).alias("end"), (F.col("c") == 1).alias("state"))
-    return tl.coalesce_segments(rows).select("episode", "start", "end", "state", "parts")
-
-
-@query("tl03_coalesce_known", sql('''select episode, min("start") as "start", max("end") as "end", state, count(*) as parts from (
     select *, sum(new) over (partition by episode order by "start") as island from (
         select *, case when lag("end") over w = "start" and lag(state) over w = state then 0 else 1 end as new
         from (select episode, frame as "start", frame + 1 as "end", p as state from frames where p is not null) window w as (partition by episode order by "start")))
     group by episode, island, state'''))
-def tl03_known(spark, d):
+def tl03(spark, d):
     # every frame with a state; the gaps are the track's unknowns
     rows = frames(spark, d).where("p is not null")
     rows = rows.select("episode", F.col("frame").alias("start"), (F.col("frame") + 1).alias("end"), F.col("p").alias("state"))
@@ -61,22 +50,12 @@ def tl04(spark, d):
     return tl.coalesce_segments(touching, any_state=True).select("episode", "start", "end")
 
 
-@query("prj11_binary_projection", sql('''select episode, min("start") as "start", max("end") as "end", state from (
-    select *, sum(new) over (partition by episode order by "start") as island from (
-        select *, case when lag(state) over (partition by episode order by "start") = state then 0 else 1 end as new
-        from (select episode, "start", "end", state = 1 as state from runs_c where "start" % 5 <> 0)))
-    group by episode, island, state''', "c"))
-def prj11(spark, d):
-    binary = runs(spark, d, "c").where("start % 5 <> 0").withColumn("state", F.col("state") == 1)
-    return tl.coalesce_segments(binary, contiguous=False).select("episode", "start", "end", "state")
-
-
-@query("prj11_all_runs", sql('''select track, episode, min("start") as "start", max("end") as "end", state from (
+@query("prj11_binary_projection", sql('''select track, episode, min("start") as "start", max("end") as "end", state from (
     select *, sum(new) over (partition by track, episode order by "start") as island from (
         select *, case when lag(state) over (partition by track, episode order by "start") = state then 0 else 1 end as new
         from (select 'c' as track, episode, "start", "end", state = 1 as state from runs_c union all select 'p', episode, "start", "end", state from runs_p)))
     group by track, episode, island, state''', "c", "p"))
-def prj11_all(spark, d):
+def prj11(spark, d):
     # every run of the 3-class score, and of a track whose unknowns are the gaps to be bridged
     c = runs(spark, d, "c").select(F.lit("c").alias("track"), "episode", "start", "end", (F.col("state") == 1).alias("state"))
     p = runs(spark, d, "p").select(F.lit("p").alias("track"), "episode", "start", "end", "state")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import struct
-from itertools import combinations, permutations
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -70,25 +71,51 @@ points = st.lists(st.integers(0, 40), max_size=5, unique=True).map(sorted)
 @settings(max_examples=150, deadline=None)
 @given(points, points, st.integers(0, 8))
 def test_ordered_matching_is_optimal(a, b, tolerance):
-    score = matching._within(tolerance)
-    best = (0, 0.0)
+    scored = {(x, y): float(tolerance + 1 - abs(x - y)) for x in a for y in b if abs(x - y) <= tolerance}
+    counts, totals = [(0, 0.0)], [(0.0, 0)]
     for k in range(1, min(len(a), len(b)) + 1):
-        for x in combinations(range(len(a)), k):
-            for y in permutations(range(len(b)), k):
-                values = [score(a[i], b[j]) for i, j in zip(x, y, strict=True)]
+        for x in combinations(a, k):
+            for y in combinations(b, k):  # in order
+                values = [scored.get(pair) for pair in zip(x, y, strict=True)]
                 if None not in values:
-                    best = max(best, (k, sum(values)))
-    pairs = matching.ordered(a, b, score)
-    assert (len(pairs), round(sum(s for *_, s in pairs), 9)) == (best[0], round(best[1], 9))
-    edges = {i: [j for j, y in enumerate(b) if score(x, y) is not None] for i, x in enumerate(a)}
-    assert len(matching.most_pairs(edges, len(a))) == best[0]
-
-
-def test_greedy_prefers_larger_indices_on_ties():
-    pairs = matching.greedy([(0, 10), (20, 30)], [(0, 10), (20, 30)], matching.tiou, 0.3)
-    assert [(i, j) for i, j, _ in pairs] == [(0, 0), (1, 1)]
-    assert matching.greedy([(0, 4)], [(0, 2), (2, 4)], matching.tiou, 0.3)[0][1] == 1
-    assert matching.greedy_nearest([10, 11], [11], 5) == [(0, 0, 1)]
+                    counts.append((k, sum(values)))
+                    totals.append((sum(values), k))
+    found = {m: matching.METHODS[m](scored) for m in ("ordered", "alignment", "most")}
+    total = {m: sum(scored[p] for p in pairs) for m, pairs in found.items()}
+    assert (len(found["ordered"]), total["ordered"]) == max(counts)
+    assert (total["alignment"], len(found["alignment"])) == max(totals)
+    assert len(found["most"]) == max(counts)[0]
+
+
+def test_total_first_and_count_first_differ():
+    scored = {("a", "x"): 0.3, ("a", "y"): 0.8, ("b", "y"): 0.3}
+    assert sorted(matching.METHODS["ordered"](scored)) == [("a", "x"), ("b", "y")]
+    assert matching.METHODS["alignment"](scored) == [("a", "y")]
+
+
+def test_greedy_prefers_later_ones_on_ties():
+    assert matching.greedy({(0, 0): 0.5, (0, 2): 0.5}) == [(0, 2)]
+    assert matching.greedy({(0, 0): 0.5, (4, 2): 0.5, (4, 0): 0.9}) == [(4, 0)]
+    assert matching.greedy_nearest({(10, 11): 4.0, (11, 11): 5.0}) == [(10, 11)]
+    assert matching.greedy_nearest({(10, 9): 4.0, (10, 11): 4.0}) == [(10, 9)]
+
+
+def test_uncontested_pairs_do_not_change_the_matching(spark):
+    rng = random.Random(3)
+    rows = [(e, *sorted(rng.sample(range(60), 2))) for e in range(40) for _ in range(6)]
+    left, right = (spark.createDataFrame(rows[k::2], "episode long, start long, end long").distinct() for k in (0, 1))
+    pairs = timeline.overlaps(left, right).where("iou >= 0.1").collect()
+    for method in ("greedy", "most"):
+        found = matching.match_segments(left.dropDuplicates(["episode", "start"]), right.dropDuplicates(["episode", "start"]), 0.1, method).collect()
+        assert {(r.episode, r.left_start, r.right_start) for r in found} <= {(r.episode, r.left_start, r.right_start) for r in pairs}
+        assert len({(r.episode, r.left_start) for r in found}) == len({(r.episode, r.right_start) for r in found}) == len(found)
+
+
+def test_overlaps_over_many_bins(spark):
+    a = spark.createDataFrame([(1, 0, 500), (1, 700, 701)], "episode long, start long, end long")
+    b = spark.createDataFrame([(1, 100, 400), (1, 450, 900), (1, 64, 64)], "episode long, start long, end long")
+    found = sorted((r.left_start, r.right_start, r.overlap) for r in timeline.overlaps(a, b).collect())
+    assert found == [(0, 100, 300), (0, 450, 50), (700, 450, 1)]
 
 
 def test_balanced_order_starts_with_different_groups(spark):

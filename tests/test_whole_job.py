@@ -10,7 +10,7 @@ from spanloom.streaming import journal
 
 
 def test_jn15_links_orders_of_every_key(spark, tmp_path):
-    """Chains of suppliers whose links lie in orders that the modulo of jn15_components leaves out."""
+    """Chains of suppliers whose links lie in orders that no small part of the keys holds."""
     orders = {k: [10 * (k // 7) + k % 7, 10 * (k // 7) + k % 7 + 1] for k in range(1, 60)} | {97: [900], 98: [901, 905], 194: [905, 907]}
     lines = [(k, s) for k, members in orders.items() for s in members]
     spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
@@ -25,7 +25,7 @@ def test_jn15_links_orders_of_every_key(spark, tmp_path):
         for s in members[1:]:
             a, b = sorted((root(members[0]), root(s)))
             parent[b] = a
-    found = QUERIES["jn15_all_components"](spark, str(tmp_path)).collect()
+    found = QUERIES["jn15_components"](spark, str(tmp_path)).collect()
     assert sorted((r.node, r.root) for r in found) == sorted((s, root(s)) for s in parent)
 
 
@@ -33,26 +33,26 @@ def test_ag42_scores_every_neighbouring_pair(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()
     keys = Counter(map(tuple, lines))  # numbers repeat within an order
     wanted = Counter({(k, n): c * keys[k, n + 1] for (k, n), c in keys.items() if (k, n + 1) in keys})
-    found = QUERIES["ag42_all_neighbours"](spark, sf).collect()
+    found = QUERIES["ag42_bidirectional_scores"](spark, sf).collect()
     assert Counter((r.l_orderkey, r.l_linenumber) for r in found) == wanted
 
 
 def test_tl03_covers_every_known_frame(spark, sf):
     known = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 7 <> 0 and value is not null").count()
-    found = QUERIES["tl03_coalesce_known"](spark, sf).collect()
+    found = QUERIES["tl03_coalesce"](spark, sf).collect()
     assert sum(r.end - r.start for r in found) == sum(r.parts for r in found) == known
 
 
 def test_prj11_covers_every_frame(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").count()
-    found = QUERIES["prj11_all_runs"](spark, sf).where("track = 'c'").collect()
+    found = QUERIES["prj11_binary_projection"](spark, sf).where("track = 'c'").collect()
     assert sum(r.end - r.start for r in found) == events
 
 
 def test_st05_releases_every_part(spark, sf):
     events = Counter(r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").collect())
     assert max(events.values()) > 20
-    found = QUERIES["st05_all_parts"](spark, sf).collect()
+    found = QUERIES["st05_chained_parts"](spark, sf).collect()
     assert {r.episode: r.released for r in found} == events
 
 
