@@ -12,9 +12,9 @@ pairs of a bucket:
    outside the bucket's largest component with the members of the other
    components.  Members of one component need no more pairs.  Large buckets are
    compared in blocks of signatures, and only pairs that survive the test below become
-   rows.  While there are more of them than sets, one pair of each member is verified
-   and the components it joins are taken together, as in Boruvka's algorithm; after
-   PICKS such rounds all that is left is verified.
+   rows.  Where buckets are dense, each block first gives a spanning forest of its
+   members, best matches first; its verified links are taken together, and only what
+   then is still in different components is compared in full.
 
 A pair is verified step by step: batches of signature rows are compared, and it
 is dropped once the posterior probability of a similarity at the threshold or
@@ -38,7 +38,7 @@ An empty table gives no rows; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from math import comb
 
 import numpy as np
@@ -61,8 +61,10 @@ HASHES = BANDS * BAND_ROWS
 BATCH, MISS = 36, 1e-5
 #: Members of a block in the second round, on average.
 BLOCK = 256
-#: Rounds in which one pair of each member is verified, if there are many pairs.
-PICKS = 3
+#: Pairs to compare for each set from which on buckets count as dense.
+DENSE = 10_000
+#: Hubs that share the texts of their members.
+HUBS = 16
 _LOWER = bytes(range(256)).translate(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 )
@@ -240,28 +242,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The saved pairs (hub, member) that are links on their full sets, as (a, b) with a < b.
 
-    A hub's members meet it in groups of about BLOCK; the hub's text goes to each.
+    A group of about HUBS hubs gets each of its members' texts once.  Groups with many pairs
+    are cut by member, and the hubs' texts go to each part.
     """
-    groups = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
-    groups = saved(groups, "hubs")
-    dealt = spread_join(pairs, groups.select("hub", "groups"), ["hub"], groups)
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), "groups"))
+    groups = -(-pairs.select("hub").distinct().count() // HUBS) or 1
+    dealt = pairs.withColumn("group", F.pmod(F.xxhash64("hub"), F.lit(groups)))
+    sizes = dealt.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / (BLOCK * HUBS)).alias("parts"))
+    sizes = saved(sizes, "hubs")
+    dealt = spread_join(dealt, sizes.select("group", "parts"), ["group"], sizes)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), "parts"))
     texts = sets.select("set_key", "text")
-    members = dealt.select("hub", "part", "member").join(texts.toDF("member", "text"), "member")
-    hubs = groups.select("hub", F.explode(F.expr("sequence(0l, groups - 1)")).alias("part"))
-    hubs = hubs.join(texts.toDF("hub", "text"), "hub").withColumn("member", F.lit(None).cast("long"))
-    columns = ["hub", "part", "member", "text"]
+    members = dealt.groupBy("group", "part", F.col("member").alias("set_key")).agg(F.collect_list("hub").alias("hubs"))
+    hubs = dealt.select("group", "part", F.col("hub").alias("set_key")).distinct()
+    hubs = hubs.withColumn("hubs", F.lit(None).cast("array<long>"))
+    together = hubs.join(texts, "set_key").unionByName(members.join(texts, "set_key"))
+    together = together.select("group", "part", "set_key", "hubs", "text").repartition("group", "part")
 
     def rows(found: Iterator[tuple]) -> Iterator[tuple]:
-        own = None
-        for hub, _, member, text in found:
-            if member is None:
-                own = shingles(text)
-            elif _linked(own, shingles(text)):
-                yield min(hub, member), max(hub, member)
-
-    together = hubs.select(columns).union(members.select(columns)).repartition("hub", "part")
-    together = together.sortWithinPartitions("hub", "part", F.col("member").asc_nulls_first())
+        own, last = {}, None
+        for group, part, key, wanted, text in found:
+            if (group, part) != last:
+                own, last = {}, (group, part)
+            if wanted is None:
+                own[key] = shingles(text)
+                continue
+            its = shingles(text)
+            for hub in wanted:
+                if _linked(own[hub], its):
+                    yield min(hub, key), max(hub, key)
+
+    together = together.sortWithinPartitions("group", "part", F.col("hubs").isNotNull())
     return map_rows(together, rows, "a long, b long")
 
 
@@ -320,52 +330,44 @@ def first_pairs(buckets: DataFrame) -> DataFrame:
 
 def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of a bucket that are in different components."""
-    pairs = saved(cross_pairs(buckets, roots, sets), "survivors")
     links = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    enough = sets.count()
-    for _ in range(PICKS):
-        if pairs.count() <= enough:
-            break
-        least = F.min(F.struct(F.xxhash64("hub", "member").alias("order"), "member")).alias("r")
-        picked = saved(pairs.groupBy("hub").agg(least).select("hub", "r.member"), "picked")
-        links = saved(links.union(confirmed(picked, sets)), "links")
-        now = saved(components(links), "roots")
-        pairs = pairs.join(picked, ["hub", "member"], "left_anti")
-        for side in ("hub", "member"):
-            pairs = pairs.join(now.toDF(side, f"{side}_root"), side, "left")
-        other = F.coalesce("hub_root", "hub") != F.coalesce("member_root", "member")
-        pairs = saved(pairs.where(other).select("hub", "member"), "survivors")
-    return links.union(confirmed(pairs, sets))
-
-
-def cross_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    mixed = saved(mixed_buckets(buckets, roots), "mixed")
+    if (mixed.agg(F.sum(F.expr("n * few"))).first()[0] or 0) > DENSE * sets.count():
+        forest = saved(cross_pairs(buckets, roots, mixed, sets, forest=True), "forest")
+        links = saved(links.union(confirmed(forest, sets)), "links")
+        roots = saved(components(links), "roots")
+        mixed = saved(mixed_buckets(buckets, roots), "mixed")
+    return links.union(confirmed(saved(cross_pairs(buckets, roots, mixed, sets), "survivors"), sets))
+
+
+def labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    found = buckets.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    return found.withColumn("root", F.coalesce("root", "set_key"))
+
+
+def mixed_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets of several components: the largest one, all members and those outside of it."""
+    parts = labelled(buckets, roots).groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        parts.groupBy("band")
+        .agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select("band", F.col("m.root").alias("largest"), "n", (F.col("n") - F.col("m.n")).alias("few"))
+    )
+
+
+def cross_pairs(buckets: DataFrame, roots: DataFrame, mixed: DataFrame, sets: DataFrame, *, forest: bool = False) -> DataFrame:
     """Pairs (hub, member) of a bucket's members in different components that survive the test.
 
     At least one of the two is outside the bucket's largest component.  Buckets
     are compared in blocks: a member meets the others through copies of its signature,
     one for each block, and pairs exist only inside a task's arrays.  A pair is
-    looked at in the first band that it shares.
+    looked at in the first band that it shares.  forest: only those that join the
+    components of a block, best matches first.
     """
-    labelled = buckets.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn(
-        "root", F.coalesce("root", "set_key")
-    )
-    parts = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        parts.groupBy("band")
-        .agg(
-            F.max(F.struct("n", "root")).alias("m"),
-            F.sum("n").alias("n"),
-            F.count(F.lit(1)).alias("parts"),
-        )
-        .where("parts > 1")
-        .select(
-            "band",
-            F.col("m.root").alias("largest"),
-            F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"),
-            F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("few_blocks"),
-        )
-    )
-    members = labelled.join(mixed, "band").join(sets.select("set_key", "n_shingles", "sig"), "set_key")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mixed = mixed.select("band", "largest", blocks("n").alias("all_blocks"), blocks("few").alias("few_blocks"))
+    members = labelled(buckets, roots).join(mixed, "band").join(sets.select("set_key", "n_shingles", "sig"), "set_key")
     row = ["band", "number", "set_key", "root", "largest", "n_shingles", "sig"]
     own = F.pmod(F.xxhash64("set_key"), "all_blocks")
     left = members.select(
@@ -376,11 +378,19 @@ def cross_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFr
         *row, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("i"), own.alias("j")
     )
     blocks = left.union(right.select(left.columns)).repartition("band", "i", "j")
-    return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(_block_pairs, "hub long, member long")
+    return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(partial(_block_pairs, forest), "hub long, member long")
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_pairs(forest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surviving pairs of each block (band, i, j) of rows sorted by block and side."""
+
+    def pairs_of(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        found = _compared(held)
+        if forest:
+            found = _forest(found)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["hub", "member"])
+
     held, key = [], None
     for batch in batches:
         table = batch.to_pandas()
@@ -388,21 +398,41 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         for part in np.split(np.arange(len(table)), cuts) if len(table) else []:
             if held and tuple(keys[part[0]]) != key:
-                yield from _compared(held)
+                yield from pairs_of(held)
                 held = []
             key = tuple(keys[part[0]])
             held.append(table.iloc[part])
     if held:
-        yield from _compared(held)
+        yield from pairs_of(held)
+
+
+def _forest(found: np.ndarray) -> np.ndarray:
+    """The pairs that join components, best matches first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = up = parent.get(up, up)
+            x = up
+        return x
+
+    chosen = []
+    order = np.argsort(-found[:, 4], kind="stable")
+    for at, (a, b) in zip(order.tolist(), found[order, 2:4].tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[a] = b
+            chosen.append(at)
+    return found[chosen]
 
 
-def _compared(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+def _compared(held: list[pd.DataFrame]) -> np.ndarray:
+    """Surviving pairs of a block: rows of two set keys, their two roots and the matches."""
     block = held[0] if len(held) == 1 else pd.concat(held)
     side = block["side"].to_numpy()
     few = np.flatnonzero(side == 1)
     rest = np.flatnonzero(side == 0)
-    if not len(few) or not len(rest):
-        return
+    out = [np.zeros((0, 5), np.int64)]
     key, root = (block[c].to_numpy(np.int64) for c in ("set_key", "root"))
     largest, number = block["largest"].iloc[0], block["number"].iloc[0]
     size = block["n_shingles"].to_numpy(np.int64)
@@ -419,8 +449,9 @@ def _compared(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
             stay = matches >= least
             y, matches, same = y[stay], matches[stay], same[stay]
         if len(y):
-            pair = np.full(len(y), key[x]), key[y]
-            yield pa.RecordBatch.from_arrays([pa.array(p) for p in pair], names=["hub", "member"])
+            own = [np.full(len(y), v) for v in (key[x], root[x])]
+            out.append(np.stack([own[0], key[y], own[1], root[y], matches], axis=1))
+    return np.concatenate(out)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -134,15 +134,10 @@ def test_op9_near_duplicates(spark, odd, none, sf, monkeypatch):
     assert found == [(0, 2, 0), (1, 2, 0), (1, 2, 0)]
 
 
-def test_op9_verifies_one_pair_of_each_member_first(spark, monkeypatch):
-    class NoSets:
-        """A table of sets that counts as empty, so that there are always many pairs."""
-
-        def __init__(self, sets):
-            self.select, self.count = sets.select, lambda: 0
-
-    second = near_dedup.second_links
-    monkeypatch.setattr(near_dedup, "second_links", lambda b, r, sets: second(b, r, NoSets(sets)))
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_op9_dense_and_sparse_buckets(spark, monkeypatch, dense):
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
     group = near_copies(60)
     check_near(spark.createDataFrame(rows(group), SCHEMA), group)
 
