@@ -128,20 +128,16 @@ def matched_pairs(left: DataFrame, right: DataFrame, stratum: str, value: str, k
 
 
 def quota_take(rows: DataFrame, group: str, outcome: str, order: Sequence[str], count: int) -> DataFrame:
-    """``count`` rows of each group that keep the outcomes balanced, taken one by one."""
-
-    def take(pdfs: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdfs.sort_values(list(order), kind="stable")
-        queues: dict = {k: list(v.index) for k, v in pdf.groupby(outcome, sort=True)}
-        taken: dict = {k: 0 for k in queues}
-        chosen: list = []
-        while len(chosen) < count and any(queues.values()):
-            k = min((k for k in queues if queues[k]), key=lambda k: (taken[k], k))
-            chosen.append(queues[k].pop(0))
-            taken[k] += 1
-        return pdf.loc[chosen]
-
-    return rows.groupBy(group).applyInPandas(take, rows.schema)
+    """``count`` rows of each group that keep the outcomes balanced.
+
+    Taken one by one, the next row is of the outcome with the fewest so far, the least of
+    equal ones: that is the order of (place within the outcome, outcome).  At most ``count``
+    rows of an outcome are ranked together, so a hot group is no hot task in the second window.
+    """
+    within = Window.partitionBy(group, outcome).orderBy(*order)
+    ranked = rows.withColumn("_place", F.row_number().over(within)).where(F.col("_place") <= count)
+    window = Window.partitionBy(group).orderBy("_place", outcome)
+    return ranked.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= count).drop("_place", "_r")
 
 
 def components(edges: DataFrame, save) -> DataFrame:

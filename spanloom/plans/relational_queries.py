@@ -24,10 +24,14 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-@query("jn01_prj14_lookup_corrections", """select doc_id, case when toxic = 1 then 'drop' when quality = 0 then 'relabel' else 'keep' end as decision from documents join labels using (doc_id)""")
+@query("jn01_prj14_lookup_corrections", """select doc_id, n_chars, case when toxic = 1 then 'drop' when quality = 0 then 'relabel' else 'keep' end as decision from labels left join documents using (doc_id)""")
 def jn01(spark, d):
+    """Every label finds its document; a label without one is an error, not a lost row."""
     decision = F.when(F.col("toxic") == 1, "drop").when(F.col("quality") == 0, "relabel").otherwise("keep")
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id").select("doc_id", decision.alias("decision"))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.lit(True).alias("there"))
+    unknown = F.raise_error(F.concat(F.lit("no document "), F.col("doc_id").cast("string"))).cast("long")
+    rows = table(spark, d, "labels").join(docs, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("there"), F.col("n_chars")).otherwise(unknown).alias("n_chars"), decision.alias("decision"))
 
 
 @query("jn02_positional_zip", """select conv_id, x.turn, x.role as left_role, y.role as right_role from conversations x join conversations y using (conv_id) where y.turn = x.turn + 1""")
@@ -49,7 +53,10 @@ def jn03(spark, d):
 
 @query("jn05_aligned_tracks", sql("select episode, frame, a, b, c = 1 as c1 from frames"))
 def jn05(spark, d):
-    return frames(spark, d).select("episode", "frame", "a", "b", (F.col("c") == 1).alias("c1"))
+    """Three tracks, each a table of its own, aligned frame by frame; a frame that one lacks is kept."""
+    rows = frames(spark, d).withColumn("c1", F.col("c") == 1)
+    tracks = [rows.select("episode", "frame", t) for t in ("a", "b", "c1")]
+    return tracks[0].join(tracks[1], ["episode", "frame"], "full_outer").join(tracks[2], ["episode", "frame"], "full_outer")
 
 
 @query("jn06_point_in_interval", sql('''select f.episode, f.frame, r."start", r.state from frames f join runs_c r on r.episode = f.episode and f.frame >= r."start" and f.frame < r."end" where f.a''', "c"))
@@ -332,7 +339,8 @@ def sl05(spark, d):
     return sp.balanced_order(rows, "s", "doc_id", ["source", "toxic"]).select("doc_id", "turn")
 
 
-@query("sl06_quota_take")
+@query("sl06_quota_take", """select source, doc_id, quality from (select *, row_number() over (partition by source order by place, quality) as r from (
+    select source, doc_id, quality, row_number() over (partition by source, quality order by doc_id) as place from documents join labels using (doc_id))) where r <= 6""")
 def sl06(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("source", "doc_id", "quality")
     return sp.quota_take(rows, "source", "quality", ["doc_id"], 6)
@@ -404,7 +412,9 @@ def so02(spark, d):
 
 @query("so03_symmetric_difference", sql("(select episode, frame from frames where a except select episode, frame from frames where b) union all (select episode, frame from frames where b except select episode, frame from frames where a)"))
 def so03(spark, d):
-    return frames(spark, d).where(F.col("a") != F.col("b")).select("episode", "frame")
+    rows = frames(spark, d)
+    x, y = (rows.where(t).select("episode", "frame") for t in "ab")
+    return x.subtract(y).unionByName(y.subtract(x))
 
 
 @query("so04_set_fingerprints", """select min(l_orderkey) as first_order, count(*) as orders from (select l_orderkey, list_sort(list(distinct l_returnflag || l_linestatus)) as fp from lineitem group by 1) group by fp""")

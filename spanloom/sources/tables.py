@@ -96,9 +96,35 @@ def export_jsonl(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.partitionBy(split).json(path)
 
 
-def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A report table of at most ``most`` rows; numbers with four digits, nulls as N/A."""
+def markdown_table(df: DataFrame) -> str:
+    """A report table of all rows; numbers with four digits, nulls as N/A.  For reports: the
+    text is one string on the driver."""
     show = lambda f: F.when(F.col(f.name).isNotNull(), F.format_string("%.4f", f.name)) if isinstance(f.dataType, T.DoubleType) else F.col(f.name).cast("string")
     text = df.select(*(F.coalesce(show(f), F.lit("N/A")).alias(f.name) for f in df.schema))
     line = lambda cells: "| " + " | ".join(cells) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in text.limit(most).collect())])
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(r) for r in text.toLocalIterator())])
+
+
+def export_portable(df: DataFrame, path: str, split: str = "split") -> None:
+    """JSON lines by split, with a manifest of every file's name, length and SHA-256."""
+    df.write.partitionBy(split).json(f"{path}/data")
+    files = _portable_files(df.sparkSession, path)
+    files.coalesce(1).write.option("header", True).csv(f"{path}/manifest")  # a row for each file
+
+
+def _portable_files(spark: SparkSession, path: str) -> DataFrame:
+    found = discovered(spark, f"{path}/data", "*.json")
+    return found.withColumn("path", F.regexp_extract("path", r"/data/(.*)$", 1)).select("path", "length", "sha256")
+
+
+def read_portable(spark: SparkSession, path: str, schema: str | T.StructType, key: str, split: str = "split") -> DataFrame:
+    """The rows of a portable export.  Fails if files are missing, unlisted or changed, or if a key
+    is there twice or in two splits."""
+    manifest = read_csv(spark, f"{path}/manifest")
+    files = _portable_files(spark, path)
+    if not unverified(files, manifest).isEmpty() or not unverified(manifest, files).isEmpty():
+        raise ValueError(f"{path}: files don't agree with the manifest")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/data")
+    if not rows.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{path}: {key} isn't unique")
+    return rows

@@ -224,3 +224,36 @@ def test_sources(spark, tmp_path):
     assert report.splitlines()[2:] == ["| 1 | 0.5000 |", "| 2 | N/A |"]
     wide = tables.union_of_columns(spark.range(1).select("id"), spark.range(1).withColumn("x", F.lit(1)))
     assert wide.columns == ["id", "x"]
+
+
+def test_portable_export_is_verified(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}", "train" if i % 3 else "eval") for i in range(9)], "id long, text string, split string")
+    path = f"{tmp_path}/export"
+    tables.export_portable(rows, path)
+    schema = "id long, text string, split string"
+    assert sorted(map(tuple, tables.read_portable(spark, path, schema, "id").collect())) == sorted(map(tuple, rows.collect()))
+    changed = next(tmp_path.glob("export/data/split=eval/*.json"))
+    whole = changed.read_text()
+    changed.write_text(whole.replace("text", "next"))
+    with pytest.raises(ValueError, match="manifest"):
+        tables.read_portable(spark, path, schema, "id")
+    changed.unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        tables.read_portable(spark, path, schema, "id")
+    tables.export_portable(rows.union(rows.where("id = 1")), f"{tmp_path}/twice")
+    with pytest.raises(ValueError, match="unique"):
+        tables.read_portable(spark, f"{tmp_path}/twice", schema, "id")
+
+
+def test_quota_take_is_the_greedy_choice(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("ab"), rng.choice([0, 0, 0, 1, 2]), i) for i in range(60)]
+    found = sampling.quota_take(spark.createDataFrame(data, "g string, outcome long, id long"), "g", "outcome", ["id"], 11).collect()
+    for g in "ab":
+        queues = {o: sorted(i for h, p, i in data if (h, p) == (g, o)) for o in (0, 1, 2)}
+        taken, chosen = {o: 0 for o in queues}, []
+        while len(chosen) < 11 and any(queues.values()):
+            o = min((o for o in queues if queues[o]), key=lambda o: (taken[o], o))
+            chosen.append(queues[o].pop(0))
+            taken[o] += 1
+        assert sorted(r.id for r in found if r.g == g) == sorted(chosen)
