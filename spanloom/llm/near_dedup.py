@@ -222,15 +222,11 @@ def candidate_sets(docs: DataFrame, table: DataFrame, buckets: DataFrame) -> Dat
     return map_rows(joined, rows, schema).dropDuplicates(["set_key"])
 
 
-def _sizes(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The saved pairs (hub, member) of set keys that are links, as (a, b) with a < b."""
+    """The pairs (hub, member) of set keys that are links, as (a, b) with a < b."""
     sigs = sets.select("set_key", "sig", "n_shingles")
     found = (
-        spread_join(pairs, sigs.toDF("hub", "sig_a", "n_a"), ["hub"], _sizes(pairs, "hub"))
+        pairs.join(sigs.toDF("hub", "sig_a", "n_a"), "hub")
         .join(sigs.toDF("member", "sig_b", "n_b"), "member")
         .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
         .where(may_link("sig_a", "sig_b"))
@@ -247,9 +243,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     groups = -(-pairs.select("hub").distinct().count() // HUBS) or 1
     dealt = pairs.withColumn("group", F.pmod(F.xxhash64("hub"), F.lit(groups)))
-    sizes = dealt.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / (BLOCK * HUBS)).alias("parts"))
-    sizes = saved(sizes, "hubs")
-    dealt = spread_join(dealt, sizes.select("group", "parts"), ["group"], sizes)
+    sizes = dealt.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * HUBS)).alias("parts"))
+    dealt = dealt.join(sizes, "group")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), "parts"))
     texts = sets.select("set_key", "text")
     members = dealt.groupBy("group", "part", F.col("member").alias("set_key")).agg(F.collect_list("hub").alias("hubs"))
@@ -463,7 +458,7 @@ def _decided(docs: DataFrame) -> DataFrame:
     table = saved(document_sets(docs), "sets")
     buckets = saved(shared_buckets(table), "buckets")
     sets = saved(candidate_sets(docs, table, buckets), "candidates")
-    links = saved(verified(saved(first_pairs(buckets), "pairs"), sets), "links")
+    links = saved(verified(first_pairs(buckets), sets), "links")
     roots = saved(components(links), "roots")
     roots = saved(components(second_links(buckets, roots, sets)), "roots")
     # sets first, rows then: copies are joined once
