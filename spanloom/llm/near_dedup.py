@@ -11,8 +11,8 @@ pairs of a bucket:
    compared, within buckets that hold more than one component: each member
    outside the bucket's largest component with the members of the other
    components.  Members of one component need no more pairs.  Large buckets are
-   compared in blocks of signatures, and only pairs that survive the test below become
-   rows.  Where buckets are dense, each block first gives a spanning forest of its
+   compared in blocks of signatures.  A block's survivors become one row for each member,
+   with its partners as a list, so that its text meets theirs once.  Where buckets are dense, each block first gives a spanning forest of its
    members, best matches first; its verified links are taken together, and only what
    then is still in different components is compared in full.
 
@@ -65,6 +65,8 @@ BLOCK = 256
 DENSE = 10_000
 #: Hubs that share the texts of their members.
 HUBS = 16
+#: Shingles of the sets that a task of the second round holds at a time, but for the last one.
+HELD = 1_000_000
 _LOWER = bytes(range(256)).translate(
     bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 )
@@ -243,31 +245,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     groups = -(-pairs.select("hub").distinct().count() // HUBS) or 1
     dealt = pairs.withColumn("group", F.pmod(F.xxhash64("hub"), F.lit(groups)))
-    sizes = dealt.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * HUBS)).alias("parts"))
-    dealt = dealt.join(sizes, "group")
+    sizes = saved(dealt.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "groups")
+    parts = sizes.select("group", F.ceil(F.col("n") / (BLOCK * HUBS)).alias("parts"))
+    dealt = spread_join(dealt, parts, ["group"], sizes)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("member"), "parts"))
-    texts = sets.select("set_key", "text")
     members = dealt.groupBy("group", "part", F.col("member").alias("set_key")).agg(F.collect_list("hub").alias("hubs"))
     hubs = dealt.select("group", "part", F.col("hub").alias("set_key")).distinct()
-    hubs = hubs.withColumn("hubs", F.lit(None).cast("array<long>"))
-    together = hubs.join(texts, "set_key").unionByName(members.join(texts, "set_key"))
-    together = together.select("group", "part", "set_key", "hubs", "text").repartition("group", "part")
+    return _met(hubs.withColumn("hubs", F.lit(None).cast("array<long>")).unionByName(members), ["group", "part"], sets)
 
-    def rows(found: Iterator[tuple]) -> Iterator[tuple]:
+
+def _met(rows: DataFrame, place: list[str], sets: DataFrame) -> DataFrame:
+    """Links (a, b) of the rows (place, set_key, hubs), whose texts meet at a place.
+
+    hubs: the set keys of a member's partners at its place; null for a hub.
+    """
+    together = rows.join(sets.select("set_key", "text"), "set_key").select(*place, "set_key", "hubs", "text")
+    together = together.repartition(*place).sortWithinPartitions(*place, F.col("hubs").isNotNull())
+
+    def links(found: Iterator[tuple]) -> Iterator[tuple]:
         own, last = {}, None
-        for group, part, key, wanted, text in found:
-            if (group, part) != last:
-                own, last = {}, (group, part)
+        for *at, key, wanted, text in found:
+            if at != last:
+                own, last = {}, at
+            its = shingles(text)
             if wanted is None:
-                own[key] = shingles(text)
+                own[key] = its
                 continue
-            its = shingles(text)
             for hub in wanted:
                 if _linked(own[hub], its):
                     yield min(hub, key), max(hub, key)
 
-    together = together.sortWithinPartitions("group", "part", F.col("hubs").isNotNull())
-    return map_rows(together, rows, "a long, b long")
+    return map_rows(together, links, "a long, b long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -329,10 +337,10 @@ def second_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataF
     mixed = saved(mixed_buckets(buckets, roots), "mixed")
     if (mixed.agg(F.sum(F.expr("n * few"))).first()[0] or 0) > DENSE * sets.count():
         forest = saved(cross_pairs(buckets, roots, mixed, sets, forest=True), "forest")
-        links = saved(links.union(confirmed(forest, sets)), "links")
+        links = saved(links.union(_met(forest, PLACE, sets)), "links")
         roots = saved(components(links), "roots")
         mixed = saved(mixed_buckets(buckets, roots), "mixed")
-    return links.union(confirmed(saved(cross_pairs(buckets, roots, mixed, sets), "survivors"), sets))
+    return links.union(_met(saved(cross_pairs(buckets, roots, mixed, sets), "survivors"), PLACE, sets))
 
 
 def labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -351,8 +359,15 @@ def mixed_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+#: A block of a bucket, and a part of it whose hubs have about HELD shingles.
+PLACE = ["band", "i", "j", "part"]
+SURVIVORS = "band long, i long, j long, part long, set_key long, hubs array<long>"
+
+
 def cross_pairs(buckets: DataFrame, roots: DataFrame, mixed: DataFrame, sets: DataFrame, *, forest: bool = False) -> DataFrame:
-    """Pairs (hub, member) of a bucket's members in different components that survive the test.
+    """Pairs of a bucket's members in different components that survive the test, by PLACE.
+
+    A row for each hub, and one for each member with its hubs.
 
     At least one of the two is outside the bucket's largest component.  Buckets
     are compared in blocks: a member meets the others through copies of its signature,
@@ -373,18 +388,18 @@ def cross_pairs(buckets: DataFrame, roots: DataFrame, mixed: DataFrame, sets: Da
         *row, F.lit(1).alias("side"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("i"), own.alias("j")
     )
     blocks = left.union(right.select(left.columns)).repartition("band", "i", "j")
-    return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(partial(_block_pairs, forest), "hub long, member long")
+    return blocks.sortWithinPartitions("band", "i", "j", "side").mapInArrow(partial(_block_pairs, forest), SURVIVORS)
 
 
 def _block_pairs(forest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surviving pairs of each block (band, i, j) of rows sorted by block and side."""
+    """SURVIVORS of each block (band, i, j) of rows sorted by block and side."""
 
     def pairs_of(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
         found = _compared(held)
         if forest:
             found = _forest(found)
         if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["hub", "member"])
+            yield _by_member(key, found)
 
     held, key = [], None
     for batch in batches:
@@ -401,6 +416,23 @@ def _block_pairs(forest: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         yield from pairs_of(held)
 
 
+def _by_member(block: tuple[int, int, int], found: np.ndarray) -> pa.RecordBatch:
+    """A block's pairs as SURVIVORS."""
+    hubs, first, which = np.unique(found[:, 0], return_index=True, return_inverse=True)
+    hub_part = (np.cumsum(found[first, 5]) - found[first, 5]) // HELD
+    part, member = hub_part[which], found[:, 1]
+    order = np.lexsort((member, part))
+    part, member = part[order], member[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (part[1:] != part[:-1]) | (member[1:] != member[:-1])
+    starts = np.flatnonzero(new)
+    partners = pa.ListArray.from_arrays(np.append(starts, len(order)).astype(np.int32), pa.array(found[order, 0]))
+    n = len(hubs) + len(starts)
+    columns = [np.full(n, v) for v in block] + [np.append(hub_part, part[starts]), np.append(hubs, member[starts])]
+    lists = pa.concat_arrays([pa.nulls(len(hubs), partners.type), partners])
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=[*PLACE, "set_key", "hubs"])
+
+
 def _forest(found: np.ndarray) -> np.ndarray:
     """The pairs that join components, best matches first."""
     parent: dict[int, int] = {}
@@ -422,12 +454,12 @@ def _forest(found: np.ndarray) -> np.ndarray:
 
 
 def _compared(held: list[pd.DataFrame]) -> np.ndarray:
-    """Surviving pairs of a block: rows of two set keys, their two roots and the matches."""
+    """Surviving pairs of a block: rows of two set keys, their two roots, the matches and the first set's size."""
     block = held[0] if len(held) == 1 else pd.concat(held)
     side = block["side"].to_numpy()
     few = np.flatnonzero(side == 1)
     rest = np.flatnonzero(side == 0)
-    out = [np.zeros((0, 5), np.int64)]
+    out = [np.zeros((0, 6), np.int64)]
     key, root = (block[c].to_numpy(np.int64) for c in ("set_key", "root"))
     largest, number = block["largest"].iloc[0], block["number"].iloc[0]
     size = block["n_shingles"].to_numpy(np.int64)
@@ -444,8 +476,8 @@ def _compared(held: list[pd.DataFrame]) -> np.ndarray:
             stay = matches >= least
             y, matches, same = y[stay], matches[stay], same[stay]
         if len(y):
-            own = [np.full(len(y), v) for v in (key[x], root[x])]
-            out.append(np.stack([own[0], key[y], own[1], root[y], matches], axis=1))
+            own = [np.full(len(y), v) for v in (key[x], root[x], size[x])]
+            out.append(np.stack([own[0], key[y], own[1], root[y], matches, own[2]], axis=1))
     return np.concatenate(out)
 
 
