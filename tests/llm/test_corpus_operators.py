@@ -142,6 +142,21 @@ def test_op9_dense_and_sparse_buckets(spark, monkeypatch, dense):
     check_near(spark.createDataFrame(rows(group), SCHEMA), group)
 
 
+def test_op9_survivors_by_member(monkeypatch):
+    monkeypatch.setattr(near_dedup, "HELD", 100)
+    sizes = {1: 80, 2: 70, 3: 10, 4: 500}
+    pairs = [(4, 9), (1, 7), (2, 7), (3, 8), (2, 8), (3, 7), (1, 9)]
+    found = np.array([(hub, member, 0, 0, 0, sizes[hub]) for hub, member in pairs])
+    held = near_dedup._by_member((5, 6, 7), found).to_pylist()
+    assert {(r["band"], r["i"], r["j"]) for r in held} == {(5, 6, 7)}
+    hubs = {r["set_key"]: r["part"] for r in held if r["hubs"] is None}
+    members = [r for r in held if r["hubs"] is not None]
+    assert hubs == {1: 0, 2: 0, 3: 1, 4: 1}
+    assert sorted((hub, r["set_key"]) for r in members for hub in r["hubs"]) == sorted(pairs)
+    assert all(hubs[hub] == r["part"] for r in members for hub in r["hubs"])
+    assert len({(r["part"], r["set_key"]) for r in members}) == len(members)
+
+
 def test_op9_rows_without_doc_id(spark):
     text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
     texts = [(1, text), (None, text), (None, text + " more"), (None, other), (None, other + " end"), (None, other), (None, None)]
