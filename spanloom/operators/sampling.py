@@ -18,19 +18,40 @@ def sample(rows: DataFrame, seed: str, key: str, count: int) -> DataFrame:
     return rows.orderBy(hash_key(seed, key), key).limit(count)
 
 
+def hash_ranked(rows: DataFrame, seed: str, key: str, groups: Sequence[str]) -> DataFrame:
+    """Adds ``_place`` (from 1, in order of the hash, then of the key) and ``_size`` of each group.
+
+    Rows are ranked within the 4,096 ranges of a hash's first three digits and the sizes of the
+    ranges before are added, so that a hot group is many tasks' work.
+    """
+    hashed = rows.withColumn("_hash", hash_key(seed, key)).withColumn("_range", F.substring("_hash", 1, 3))
+    sizes = hashed.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    all_rows = Window.partitionBy(*groups)
+    earlier = all_rows.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_range").alias("_r"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(all_rows).alias("_size"),
+    )
+    same = F.col("_range") == F.col("_r")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    place = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy("_hash", key))
+    placed = hashed.withColumn("_in", place).join(sizes, same)
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_in")).alias("_place"), "_size")
+
+
 def balanced_order(rows: DataFrame, seed: str, key: str, groups: Sequence[str]) -> DataFrame:
     """Round robin over groups: ``turn`` is a row's place in its shuffled group, and rows are in
     order of (turn, hash of the group, ...)."""
-    order = Window.partitionBy(*groups).orderBy(hash_key(seed, key), key)
-    return rows.withColumn("turn", F.row_number().over(order)).withColumn("group_order", hash_key(seed, *groups))
+    ranked = hash_ranked(rows, seed, key, groups).withColumn("turn", F.col("_place").cast("int")).drop("_place", "_size")
+    return ranked.withColumn("group_order", hash_key(seed, *groups))
 
 
 def proportional_split(rows: DataFrame, seed: str, key: str, groups: Sequence[str], share: float) -> DataFrame:
     """``split`` is eval for round(share * size) rows of each group, train for the others."""
-    order = Window.partitionBy(*groups).orderBy(hash_key(seed, key), key)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*groups))
-    chosen = F.row_number().over(order) <= F.bround(size * share)
-    return rows.withColumn("split", F.when(chosen, "eval").otherwise("train"))
+    chosen = F.col("_place") <= F.bround(F.col("_size") * share)
+    ranked = hash_ranked(rows, seed, key, groups)
+    return ranked.withColumn("split", F.when(chosen, "eval").otherwise("train")).drop("_place", "_size")
 
 
 def hash_mod3(column: str) -> Column:

@@ -4,16 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running(rows: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (), parts: int = 256) -> DataFrame:
+    """Adds ``before_<c>``, the sum of c over the rows before this one in ``order`` (a number) within
+    ``keys``, and ``total_<c>``, the sum over all rows of the keys.
+
+    Rows are cut into about ``parts`` ranges of equal size, summed within a range, and the sums of the
+    ranges before are added, so that neither one key nor a table without keys is one task's work.
+    Null comes first, NaN last.
+    """
+    probes = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx(order, probes, 10_000)).first()[0] or []
+    cuts = sorted({float(c) for c in found if float("-inf") < c < float("inf")})
+    score = F.col(order).cast("double")
+    placed = rows.withColumn("_range", F.lit(0.0))
+    if cuts:
+        splits = [float("-inf"), *cuts, float("inf")]
+        bucketizer = Bucketizer(splits=splits, inputCol="_score", outputCol="_range", handleInvalid="keep")
+        placed = bucketizer.transform(rows.withColumn("_score", F.coalesce(score, F.lit(float("-inf"))))).drop("_score")
+    added = placed.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_of_{c}") for c in sums))
+    all_rows = Window.partitionBy(*keys)
+    earlier = all_rows.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    added = added.select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"),
+        *(F.coalesce(F.sum(f"_of_{c}").over(earlier), F.lit(0)).alias(f"_from_{c}") for c in sums),
+        *(F.sum(f"_of_{c}").over(all_rows).alias(f"total_{c}") for c in sums),
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return summed.join(added, same).select(
+        *(F.col(c) for c in rows.columns),
+        *((F.col(f"_from_{c}") + F.col(f"_in_{c}")).alias(f"before_{c}") for c in sums),
+        *(f"total_{c}" for c in sums),
+    )
+
+
 def average_rank(rows: DataFrame, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1, ties sharing their mean: counts per value first, then one running sum."""
     counts = rows.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("avg_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2)
-    return rows.join(ranks.drop("_n"), [*keys, score])
+    ranks = running(counts, score, ["_n"], keys).withColumn("avg_rank", F.col("before__n") + (F.col("_n") + 1) / 2)
+    return rows.join(ranks.select(*keys, score, "avg_rank"), [*keys, score])
 
 
 def auroc(rows: DataFrame, score: str, label: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -21,9 +58,7 @@ def auroc(rows: DataFrame, score: str, label: Column, keys: Sequence[str] = ())
     is missing."""
     pos, neg = F.count_if(label), F.count_if(~label)
     counts = rows.groupBy(*keys, score).agg(pos.alias("p"), neg.alias("n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(before), F.lit(0))
-    wins = counts.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    wins = running(counts, score, ["n"], keys).withColumn("w", F.col("p") * (F.col("before_n") + F.col("n") / 2))
     return wins.groupBy(*keys).agg(
         F.try_divide(F.sum("w"), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"),
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
@@ -33,19 +68,15 @@ def auroc(rows: DataFrame, score: str, label: Column, keys: Sequence[str] = ())
 def best_threshold(rows: DataFrame, score: str, label: Column) -> DataFrame:
     """The threshold (predict at or above it) with the largest F1; ties: the lowest one."""
     counts = rows.groupBy(score).agg(F.count_if(label).alias("p"), F.count(F.lit(1)).alias("k"))
-    above = Window.orderBy(F.col(score).desc())
-    total = Window.partitionBy()
-    swept = counts.withColumns(
-        {"tp": F.sum("p").over(above), "predicted": F.sum("k").over(above), "positives": F.sum("p").over(total)}
-    ).withColumn("f1", 2 * F.col("tp") / (F.col("predicted") + F.col("positives")))
+    tp, predicted = F.col("total_p") - F.col("before_p"), F.col("total_k") - F.col("before_k")
+    swept = running(counts, score, ["p", "k"]).withColumn("f1", 2 * tp / (predicted + F.col("total_p")))
     return swept.orderBy(F.col("f1").desc(), score).limit(1).select(F.col(score).alias("threshold"), "f1")
 
 
 def bootstrap_draws(ids: DataFrame, key: str, rounds: int, seed: str) -> DataFrame:
     """(round, key, times): draws with replacement from hashes of seed, round and slot, so that
-    any engine can repeat them."""
-    order = Window.orderBy(key)
-    numbered = ids.select(key, (F.row_number().over(order) - 1).alias("slot"))
+    any engine can repeat them.  The key is a number."""
+    numbered = running(ids.select(key, F.lit(1).cast("long").alias("_one")), key, ["_one"]).select(key, F.col("before__one").alias("slot"))
     n = ids.count()
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "round", "slot")), 1, 12), 16, 10).cast("long") % n
     slots = numbered.select(F.col("slot")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))

@@ -85,3 +85,32 @@ def test_fn_token_f1_of_every_pair_of_turns(spark, tmp_path):
             wanted[c, t] = round(2 * (x & y).total() / n, 6) if n else None
     found = QUERIES["fn_token_f1"](spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): r.f1 for r in found} == wanted
+
+
+def test_running_sums_over_ranges(spark):
+    """Ties, nulls and keys that are null, against a loop; one key holds most rows."""
+    from spanloom.operators.stats import running
+
+    values = [(("h" if i % 3 else None) if i % 5 else "g", None if i % 17 == 0 else float(i % 29), i % 4) for i in range(700)]
+    rows = spark.createDataFrame(values, "g string, v double, n long").groupBy("g", "v").sum("n").withColumnRenamed("sum(n)", "n")
+    found = {(r.g, r.v): (r.before_n, r.total_n) for r in running(rows, "v", ["n"], ["g"], parts=7).collect()}
+    place = lambda v: float("-inf") if v is None else v
+    wanted = {
+        (g, v): (sum(n for h, w, n in values if h == g and place(w) < place(v)), sum(n for h, _, n in values if h == g))
+        for g, v, _ in values
+    }
+    assert found == wanted
+    assert running(rows.where("false"), "v", ["n"]).collect() == []
+
+
+def test_hash_ranks_of_a_hot_group(spark):
+    import hashlib
+
+    from spanloom.operators.sampling import hash_ranked
+
+    rows = [(i, None if i % 7 == 0 else "hot") for i in range(500)] + [(3, "hot")]
+    found = hash_ranked(spark.createDataFrame(rows, "id long, g string"), "s", "id", ["g"]).collect()
+    for g in (None, "hot"):
+        order = sorted((hashlib.sha256(f"s:{i}".encode()).hexdigest(), i) for i, h in rows if h == g)
+        assert [r.id for r in sorted((r for r in found if r.g == g), key=lambda r: r._place)] == [i for _, i in order]
+        assert {r._size for r in found if r.g == g} == {len(order)}
