@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as tx
 from ..operators import sampling as sp
 from ..operators import timeline as tl
 from ..operators import validate as va
+from ..sources.tables import read_current, replace_table, saved, shared_dir, tar_archives, tar_faults, tar_members
 from .binding import episodes, frames, positives, runs, sql, table
 
 QUERIES, SQL = {}, {}
@@ -562,3 +565,21 @@ def ag37(spark, d):
     held = rows.where("doc_id % 2 = 1").crossJoin(F.broadcast(best))  # one row
     at, toxic = F.col("n_chars") >= F.col("threshold"), F.col("toxic") == 1
     return held.groupBy("threshold").agg(F.count_if(at & toxic).alias("tp"), F.count_if(at & ~toxic).alias("fp"), F.count_if(~at & toxic).alias("fn"))
+
+
+@query("src14_tar_members", "select doc_id || '.txt' as name, cast(octet_length(encode(coalesce(text, ''))) as bigint) as length, sha256(coalesce(text, '')) as sha256, cast(null as varchar) as fault from documents")
+def src14(spark, d):
+    docs = table(spark, d, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = saved(tar_archives(docs, "name", "text", max(1, docs.count() // 1000)), "tar")
+    members = tar_members(packed).select("name", "length", "sha256")
+    manifest = docs.select("name", F.octet_length("text").cast("long").alias("length"), F.sha2("text", 256).alias("sha256"))
+    return members.join(tar_faults(members, manifest), "name", "full")
+
+
+@query("snk03_replaced_table", "select o_orderkey, o_totalprice * 2 as price from orders")
+def snk03(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    path = f"{shared_dir(spark)}/replaced-{uuid.uuid4().hex}"
+    replace_table(orders, path)
+    replace_table(read_current(spark, path).withColumn("price", F.col("price") * 2), path)
+    return read_current(spark, path)

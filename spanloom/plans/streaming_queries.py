@@ -129,3 +129,68 @@ def st11(spark, d):
     rows, folder = stream(spark, d, asks)
     done = finished(journal.frame_requests(rows), folder)
     return done.groupBy("episode").agg(F.count_if("granted").alias("granted")).where("granted > 0")
+
+
+@query("st06_producer_consumer", "select user_id as episode, row_number() over (partition by user_id order by ts, event_id) - 1 as part from events")
+def st06(spark, d):
+    rows, folder = stream(spark, d, numbered(spark, d).drop("valid"))
+    done = journal.prepared_and_checked(rows, lambda items: items.withColumn("valid", F.col("part") >= 0), folder)
+    return done.where("state = 'released'").select("episode", "part")
+
+
+@query("st08_publish_gate", """select o_orderkey as job, case when o_orderdate >= date '1998-01-01' then 'late'
+    when o_orderstatus <> 'F' then 'invalid' else 'published' end as outcome from orders""")
+def st08(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderdate").cast("date").alias("at"), F.col("o_orderstatus").alias("status"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # the watcher is started twice; the second time it finds only the reports that came since
+    for reports in (orders.where("at < date'1995-01-01'"), orders.where("not at < date'1995-01-01' or at is null")):
+        reports.write.mode("append").parquet(f"{folder}/in")
+        found = journal.read_journal(spark, f"{folder}/in", orders.schema, files_per_batch=4)
+        journal.publish_gate(found, F.col("status") == "F", F.col("at") < F.lit("1998-01-01").cast("date"), folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("job", "outcome")
+
+
+@query("st09_phase_queue", """with firsts as (select user_id, min(case when event_type = 'error' then event_id end) as f from events group by 1)
+    select user_id as queue, event_id as phase, case when f is null or event_id < f then 'done' when event_id = f then 'failed' else 'waiting' end as state
+    from events join firsts using (user_id)""")
+def st09(spark, d):
+    log = table(spark, d, "events").select(F.col("user_id").alias("queue"), F.col("event_id").alias("phase"), "event_type")
+    return journal.phase_states(log, "queue", "phase", F.col("event_type") == "error").select("queue", "phase", "state")
+
+
+LINES = """with items as (select l_orderkey, l_linenumber, max(l_returnflag) as l_returnflag, max(l_linestatus) as l_linestatus from lineitem group by 1, 2),
+    last as (select l_orderkey, max(l_linenumber) as m from items group by 1), lines as (
+    select l_orderkey as log, l_linenumber as line, l_linenumber - 1 as seq, case when l_returnflag = 'R' then 'rejected' else 'verified' end as status,
+        l_linenumber = m and l_linestatus = 'O' as torn from items join last using (l_orderkey)), entries as (select * from lines where not torn)"""
+
+
+def log_lines(spark, d):
+    """A log for each order; where the last line is still open, its write was cut off."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber")  # numbers repeat in an order, a log's lines don't
+    items = items.agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
+    last = items.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m"))
+    status = F.when(F.col("l_returnflag") == "R", "rejected").otherwise("verified")
+    text = F.concat(F.lit('{"seq":'), F.col("l_linenumber") - 1, F.lit(',"status":"'), status, F.lit('"}'))
+    torn = (F.col("l_linenumber") == F.col("m")) & (F.col("l_linestatus") == "O")
+    whole = items.join(last, "l_orderkey")
+    return whole.select(F.col("l_orderkey").alias("log"), F.col("l_linenumber").cast("long").alias("line"), F.when(torn, F.substring(text, 1, 9)).otherwise(text).alias("text"))
+
+
+@query("st12_recovered_prefix", LINES + """, firsts as (select log, seq from entries where status = 'verified' union select log, -1 from entries)
+    select f.log, min(f.seq + 1) as verified from firsts f left join (select distinct log, seq from entries where status = 'verified') g
+    on f.log = g.log and f.seq + 1 = g.seq where g.log is null group by f.log""")
+def st12_prefix(spark, d):
+    return journal.verified_prefix(journal.log_entries(log_lines(spark, d), "log", "line", "text"), "log")
+
+
+@query("st12_rejections", LINES + """ select log, line, '{"seq":' || seq || ',"status":"rejected"}' as text from entries where status = 'rejected'""")
+def st12_rejected(spark, d):
+    return journal.rejections(journal.log_entries(log_lines(spark, d), "log", "line", "text"), "log", "line", "text")
+
+
+@query("st12_never_sent", LINES + """ select distinct l.log, l.seq from lines l where not exists (select 1 from entries e where e.log = l.log and e.seq = l.seq)""")
+def st12_unsent(spark, d):
+    lines = log_lines(spark, d)
+    expected = lines.select("log", (F.col("line") - 1).alias("seq")).distinct()
+    return journal.never_sent(expected, journal.log_entries(lines, "log", "line", "text"), "log")

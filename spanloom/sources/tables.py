@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import tarfile
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,3 +134,89 @@ def read_portable(spark: SparkSession, path: str, schema: str | T.StructType, ke
     if not rows.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"{path}: {key} isn't unique")
     return rows
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Replace a table in one step: the rows are written as a new version, and then one row in the
+    list of versions makes them current.  Readers see the old rows or the new ones, whole."""
+    folder = f"{path}/data-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    spark = df.sparkSession
+    listed = spark.createDataFrame([(_current(spark, path)[0] + 1, folder)], _VERSIONS)
+    listed.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+_VERSIONS = "version long, folder string"
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    try:
+        versions = spark.read.schema(_VERSIONS).parquet(f"{path}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None
+    return tuple(versions.agg(F.max("version"), F.max_by("folder", "version")).first())
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last version that ``replace_table`` made current."""
+    folder = _current(spark, path)[1]
+    if folder is None:
+        raise ValueError(f"{path} has no version")
+    return spark.read.parquet(folder)
+
+
+def tar_archives(members: DataFrame, name: str, content: str, archives: int) -> DataFrame:
+    """(archive, content): members packed into tar archives, dealt by the hash of their names, in
+    order of names and with no times or owners, so that equal members give equal bytes.  Choose
+    ``archives`` so that one fits a task; a binary value has at most 2 GB."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as tar:
+            for member, data in sorted(zip(pdf["name"], pdf["content"], strict=True)):
+                info = tarfile.TarInfo(member)
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"archive": [int(pdf["archive"].iloc[0])], "content": [out.getvalue()]})
+
+    dealt = F.pmod(F.xxhash64(name), F.lit(archives)).alias("archive")
+    rows = members.select(dealt, F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    return rows.groupBy("archive").applyInPandas(pack, "archive long, content binary")
+
+
+def tar_members(archives: DataFrame, archive: str = "archive", content: str = "content") -> DataFrame:
+    """(archive, name, length, sha256, content) of the files in tar archives, a row each, streamed an
+    archive at a time; ``archives`` may be such a table or a scan in the binaryFile format.  An
+    archive that ends early, or has a member that is no plain file, fails."""
+    names = archives.schema[archive].dataType.simpleString()
+
+    def unpack(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for where, data in zip(pdf["a"], pdf["c"], strict=True):
+                rows = []
+                with tarfile.open(fileobj=io.BytesIO(data), mode="r|") as tar:
+                    for member in tar:
+                        if not member.isreg():
+                            raise ValueError(f"{where}: {member.name} is no plain file")
+                        body = tar.extractfile(member).read()
+                        if len(body) != member.size:
+                            raise ValueError(f"{where}: {member.name} ends early")
+                        rows.append((where, member.name, len(body), hashlib.sha256(body).hexdigest(), body))
+                yield pd.DataFrame(rows, columns=["archive", "name", "length", "sha256", "content"])
+
+    schema = f"archive {names}, name string, length long, sha256 string, content binary"
+    return archives.select(F.col(archive).alias("a"), F.col(content).alias("c")).mapInPandas(unpack, schema)
+
+
+def tar_faults(members: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, fault) where members and a manifest (name, length, sha256) disagree: missing, extra,
+    repeated, length or sha256."""
+    found = members.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("_l"), F.first("sha256").alias("_s"))
+    both = found.join(manifest.select("name", "length", "sha256", F.lit(True).alias("_listed")), "name", "full")
+    fault = (
+        F.when(F.col("n").isNull(), "missing").when(F.col("_listed").isNull(), "extra").when(F.col("n") > 1, "repeated")
+        .when(F.col("_l") != F.col("length"), "length").when(F.col("_s") != F.col("sha256"), "sha256")
+    )
+    return both.select("name", fault.alias("fault")).where("fault is not null")

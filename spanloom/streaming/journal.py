@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -173,3 +173,83 @@ def frame_requests(stream: DataFrame, most: int = 8, rounds: int = 2) -> DataFra
     return stream.groupBy("episode").applyInPandasWithState(
         step, REQUESTED, "seen array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def prepared_and_checked(items: DataFrame, prepare, folder: str) -> DataFrame:
+    """Two streams at once: one writes prepared items, the other releases an episode's parts in
+    order as they come.  Returns the released parts (episode, part, state).
+
+    ``prepare`` maps the items to (episode, part, valid).  Both streams keep their own checkpoint,
+    so that either goes on from its last batch after a failure.
+    """
+    spark, ready, out = items.sparkSession, f"{folder}/ready", f"{folder}/out"
+    prepared = prepare(items)
+    spark.createDataFrame([], prepared.schema).write.mode("ignore").parquet(ready)  # the consumer needs the folder
+    sink = lambda df, path, name: df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{folder}/{name}")
+    producer = sink(prepared, ready, "producer").trigger(availableNow=True).start()
+    checked = chained_parts(spark.readStream.schema(prepared.schema).parquet(ready))
+    consumer = sink(checked, out, "consumer").start()
+    try:
+        producer.awaitTermination()
+        consumer.processAllAvailable()
+    finally:
+        consumer.stop()
+    return spark.read.schema(checked.schema).parquet(out)
+
+
+def publish_gate(reports: DataFrame, valid: Column, in_time: Column, folder: str):
+    """Publish a job's report if it is valid and in time; others are kept with the reason.
+
+    A batch overwrites its own folder, so that one run again after a failure adds nothing; the
+    checkpoint lets a restarted watcher go on with the reports that came since.
+    """
+    outcome = F.when(~F.coalesce(in_time, F.lit(False)), "late").when(~F.coalesce(valid, F.lit(False)), "invalid").otherwise("published")
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("outcome", outcome).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    return reports.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def phase_states(log: DataFrame, queue: str, order: str, failed: Column) -> DataFrame:
+    """Adds ``state`` to the phases of a queue that stops on failure: done before the first failed
+    one, failed, and waiting behind it.  A hot queue is one partial aggregate, not a window."""
+    first = log.groupBy(F.col(queue).alias("_queue")).agg(F.min(F.when(failed, F.col(order))).alias("_first"))
+    state = F.when(F.col("_first").isNull() | (F.col(order) < F.col("_first")), "done").when(F.col(order) == F.col("_first"), "failed")
+    joined = log.join(first, F.col(queue).eqNullSafe(F.col("_queue")))
+    return joined.withColumn("state", state.otherwise("waiting")).drop("_queue", "_first")
+
+
+class TornLine(ValueError):
+    """A line that can't be read stands before the last one of its log."""
+
+
+def log_entries(lines: DataFrame, log: str, line: str, text: str) -> DataFrame:
+    """(log, line, text, seq, status) of JSON log lines.  The last line of a log may be torn (a write
+    that was cut off) and is left out; a torn line before it raises TornLine."""
+    entry = F.from_json(text, "seq long, status string", {"mode": "PERMISSIVE"})
+    read = lines.select(log, line, text, entry.alias("_e")).select(log, line, text, F.col("_e.seq").alias("seq"), F.col("_e.status").alias("status"))
+    torn = F.col("seq").isNull() | F.col("status").isNull()
+    last = read.groupBy(F.col(log).alias("_log")).agg(F.max(line).alias("_last"), F.max(F.when(~torn, F.col(line))).alias("_read"), F.min(F.when(torn, F.col(line))).alias("_torn"))
+    if not last.where("_torn < _last or _torn = _read").isEmpty():
+        raise TornLine("a line before the last one can't be read")
+    return read.where(~torn)
+
+
+def verified_prefix(entries: DataFrame, log: str) -> DataFrame:
+    """(log, verified): the number of entries 0, 1, 2, ... that are verified without a gap.  The first
+    gap is the least successor that isn't there, found by an anti-join; logs without entry 0 have 0."""
+    good = entries.where("status = 'verified'").select(log, "seq").distinct()
+    start = entries.select(log, F.lit(-1).cast("long").alias("seq")).distinct()
+    following = good.union(start).select(log, (F.col("seq") + 1).alias("seq"))
+    return following.join(good, [log, "seq"], "left_anti").groupBy(log).agg(F.min("seq").alias("verified"))
+
+
+def rejections(entries: DataFrame, log: str, line: str, text: str) -> DataFrame:
+    """The lines of explicit rejections, verbatim, for the archive."""
+    return entries.where("status = 'rejected'").select(log, line, text)
+
+
+def never_sent(expected: DataFrame, entries: DataFrame, log: str) -> DataFrame:
+    """Expected (log, seq) that no entry of any status names: the only work to resume."""
+    return expected.join(entries.select(log, "seq"), [log, "seq"], "left_anti")
