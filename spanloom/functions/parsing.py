@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEADER = "| Start frame | End frame | Failure |"
@@ -282,3 +282,133 @@ def response_text(response: Column) -> Column:
     return F.struct(
         F.array_join(F.transform(parts, lambda c: c["text"]), "").alias("text"), (parsed["status"] == "complete").alias("complete")
     )
+
+
+#: Fixed values of the full annotation: names of fields and subsections.
+IDENTITY_FIELDS = ("Requested object", "Manipulated object", "Match status", "Uncertainty")
+SEGMENT_FIELDS = (
+    "Frames", "Action ID", "Action", "Object", "Destination", "Failure", "Categories", "Recovery", "Severity", "Resetability",
+    "Review required", "Uncertainty",
+)
+SUBSECTIONS = ("Observed result", "Boundary reason", "What happened", "Evidence")
+UNCERTAIN_FIELDS = (
+    "timing", "action", "identity", "failure", "categories", "outcome", "mechanism", "recovery", "severity", "resetability",
+)
+BULLET = r"(?m)^- ([^:\n]+): ([^\n]*(?:\n  [^\n]*)*)$"
+SPAN = r"^(\d{1,9})\s*(?:–|-|to)\s*(\d{1,9})$"
+
+
+def _texts(values: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _bullets(block: Column) -> Column:
+    """Names and values of '- name: value' lines; indented lines go on with a value.  ``rest`` is what
+    is no such line."""
+    dense = F.regexp_replace(block, r"(?m)^[ \t]*\n", "")
+    dense = F.regexp_replace(dense, r"\n+[ \t]*$", "")
+    return F.struct(
+        F.regexp_extract_all(dense, F.lit(BULLET), F.lit(1)).alias("names"),
+        F.transform(F.regexp_extract_all(dense, F.lit(BULLET), F.lit(2)), lambda v: F.replace(v, F.lit("\n  "), F.lit("\n"))).alias("values"),
+        F.length(F.trim(F.regexp_replace(F.regexp_replace(dense, BULLET, ""), "\n", ""))).alias("rest"),
+    )
+
+
+def _section(block: Column) -> Column:
+    """A section behind its heading line: its bullets, subsections by name, and evidence."""
+    parts = F.split(block, r"(?m)^(?=### )")
+    named = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    heads = F.transform(named, lambda p: F.regexp_extract(p, r"^### ([^\n]+?)[ \t]*(?:\n|$)", 1))
+    bodies = F.transform(named, lambda p: F.regexp_replace(F.regexp_replace(p, r"^### [^\n]*\n*", ""), r"\n+$", ""))
+    evidence = F.get(bodies, (F.array_position(heads, "Evidence") - 1).cast("int"))
+    return F.struct(_bullets(F.get(parts, F.lit(0))).alias("fields"), heads.alias("heads"), bodies.alias("bodies"), _bullets(F.coalesce(evidence, F.lit(""))).alias("evidence"))
+
+
+def _value(section: Column, name: str) -> Column:
+    fields = section["fields"]
+    return F.get(fields["values"], (F.array_position(fields["names"], name) - 1).cast("int"))
+
+
+def _list(value: Column) -> Column:
+    return F.when(value == "None", F.array().cast("array<string>")).otherwise(F.transform(F.split(value, ","), lambda x: F.trim(x)))
+
+
+def _evidence(section: Column) -> Column:
+    place = r"^Frame (\d{1,9}), camera (.+)$"
+    return F.zip_with(
+        section["evidence"]["names"], section["evidence"]["values"],
+        lambda n, v: F.struct(
+            F.regexp_extract(n, place, 1).try_cast("int").alias("frame"), F.regexp_extract(n, place, 2).alias("camera"), v.alias("observation")
+        ),
+    )
+
+
+def full_annotations(rows: DataFrame, text: str, name: str = "annotation") -> DataFrame:
+    """Adds ``name``, a (value, error) of the texts: an episode's title, an identity section and numbered segments, each with its fields, subsections
+    and evidence, and the span of each section in characters of the text.
+
+    Fields are in any order, each once; unknown and missing ones, prose between fields and fenced
+    texts are errors.  'None' is null where a field may have no value.  Null has the error 'unfenced',
+    as has a text with a fence.  Numbers have at most nine digits.  The sections are read in a column of
+    their own, once for each text, as all values and rules refer to them.
+    """
+    unix = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    marks = r"(?m)^(?=## (?:Identity|Segment \d{1,9})[ \t]*\r?$)"
+    cut = rows.withColumn("_parts", F.split(unix, marks))
+    cut = cut.withColumn("_lengths", F.transform(F.split(text, marks), lambda p: F.length(p)))
+    parts, lengths = F.col("_parts"), F.col("_lengths")
+    sections = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    heads = F.transform(sections, lambda s: F.regexp_extract(s, r"^## (Identity|Segment \d{1,9})", 1))
+    cut = cut.withColumn("_heads", heads)
+    cut = cut.withColumn("_read", F.transform(sections, lambda s: _section(F.regexp_replace(s, r"^## [^\n]*(?:\n|$)", ""))))
+    heads, read, title = F.col("_heads"), F.col("_read"), F.get(parts, F.lit(0))
+    identity = F.get(read, F.lit(0))
+    segments = F.slice(read, 2, F.greatest(F.size(read), F.lit(1)))
+    each = lambda rule: F.forall(segments, rule)
+    same = lambda found, wanted: F.array_sort(found) == F.array_sort(wanted)
+    optional = lambda s: F.array_union(_texts(SEGMENT_FIELDS), F.array_intersect(s["fields"]["names"], _texts(("Uncertain fields",))))
+    yes = lambda s, n: F.lower(_value(s, n)) == "yes"
+    uncertain = lambda s: F.coalesce(_list(_value(s, "Uncertain fields")), F.array().cast("array<string>"))
+    none = lambda s, n: F.nullif(_value(s, n), F.lit("None"))
+    body = lambda s, n: F.get(s["bodies"], (F.array_position(s["heads"], n) - 1).cast("int"))
+    bound = lambda s, i: F.regexp_extract(_value(s, "Frames"), SPAN, i).try_cast("int")
+    segment = lambda s: F.struct(
+        bound(s, 1).alias("start"), bound(s, 2).alias("end"), _value(s, "Action ID").alias("action_id"), _value(s, "Action").alias("action"),
+        none(s, "Object").alias("object"), none(s, "Destination").alias("destination"), yes(s, "Failure").alias("failure"),
+        _list(_value(s, "Categories")).alias("categories"), none(s, "Recovery").alias("recovery"), none(s, "Severity").alias("severity"),
+        none(s, "Resetability").alias("resetability"), yes(s, "Review required").alias("review_required"),
+        F.coalesce(none(s, "Uncertainty"), F.lit("")).alias("uncertainty"), uncertain(s).alias("uncertain_fields"),
+        body(s, "Observed result").alias("observed_result"), body(s, "Boundary reason").alias("boundary_reason"),
+        body(s, "What happened").alias("what_happened"), _evidence(s).alias("evidence"),
+    )
+    until = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n)
+    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lengths) - 1, F.lit(1))), lambda i: F.struct(until(i).alias("start"), until(i + 1).alias("end")))
+    value = F.struct(
+        F.regexp_extract(title, r"^# Episode: ([^\n]+)\n", 1).alias("episode"),
+        F.struct(
+            *(_value(identity, n).alias(n.lower().replace(" ", "_")) for n in IDENTITY_FIELDS[:3]),
+            F.coalesce(none(identity, "Uncertainty"), F.lit("")).alias("uncertainty"), _evidence(identity).alias("evidence"),
+        ).alias("identity"),
+        F.transform(segments, segment).alias("segments"), spans.alias("spans"),
+    )
+    numbers = F.transform(F.slice(heads, 2, F.greatest(F.size(heads), F.lit(1))), lambda h: F.regexp_extract(h, r"(\d+)", 1).try_cast("int"))
+    result = checked(
+        value,
+        {
+            "unfenced": ~F.col(text).contains("```"),
+            "title": title.rlike(r"^# Episode: [^\n]+\n\s*$"),
+            "identity": (F.size(sections) >= 2) & (F.get(heads, F.lit(0)) == "Identity"),
+            "numbering": numbers == F.sequence(F.lit(1), F.greatest(F.size(sections) - 1, F.lit(1))),
+            "bullets": F.forall(read, lambda s: (s["fields"]["rest"] == 0) & (s["evidence"]["rest"] == 0)),
+            "repeated": F.forall(read, lambda s: (F.size(F.array_distinct(s["fields"]["names"])) == F.size(s["fields"]["names"]))
+                & (F.size(F.array_distinct(s["evidence"]["names"])) == F.size(s["evidence"]["names"]))),
+            "fields": same(identity["fields"]["names"], _texts(IDENTITY_FIELDS)) & each(lambda s: same(s["fields"]["names"], optional(s))),
+            "subsections": (identity["heads"] == _texts(("Evidence",))) & each(lambda s: same(s["heads"], _texts(SUBSECTIONS))),
+            "evidence": F.forall(read, lambda s: F.forall(s["evidence"]["names"], lambda n: n.rlike(r"^Frame \d{1,9}, camera .+$"))),
+            "answers": each(lambda s: F.lower(_value(s, "Failure")).isin("yes", "no") & F.lower(_value(s, "Review required")).isin("yes", "no")),
+            "frames": each(lambda s: _value(s, "Frames").rlike(SPAN)),
+            "uncertain": each(lambda s: (F.size(F.array_except(uncertain(s), _texts(UNCERTAIN_FIELDS))) == 0) & (F.size(F.array_distinct(uncertain(s))) == F.size(uncertain(s)))),
+            "review": each(lambda s: ~F.array_contains(s["fields"]["names"], "Uncertain fields") | (yes(s, "Review required") == (F.size(uncertain(s)) > 0))),
+        },
+    )
+    return cut.withColumn(name, result).drop("_parts", "_lengths", "_heads", "_read")

@@ -153,3 +153,67 @@ def prs13(spark, d):
     status = F.when(F.col("role") == "user", "complete").otherwise("cut")
     answer = pr.response_text(F.to_json(F.struct(status.alias("status"), parts.alias("content"))))
     return table(spark, d, "conversations").select("conv_id", "turn", answer["text"].alias("text"), answer["complete"].alias("complete"))
+
+
+ANNOTATION = """# Episode: {id}
+
+## Identity
+
+- Requested object: cup
+- Manipulated object: bowl
+- Match status: differs
+- Uncertainty: None
+
+### Evidence
+
+- Frame {n}, camera left: a bowl
+  with a rim
+
+## Segment 1
+
+- Frames: 0–{n}
+- Action ID: a1
+- Action: lift
+- Object: None
+- Destination: shelf
+- Failure: {failure}
+- Categories: grasp, other
+- Recovery: None
+- Severity: low
+- Resetability: None
+- Review required: No
+- Uncertainty: None
+
+### Observed result
+
+{status}
+
+### Boundary reason
+
+stop
+
+### What happened
+
+slip
+
+### Evidence
+
+- Frame 0, camera left: {status}
+"""
+
+
+@query("prs05_full_annotation", f"""with texts as (select o_orderkey as id, o_custkey % 90 + 1 as n, o_orderstatus as s,
+        replace(replace(replace(replace('{ANNOTATION}', '{{id}}', o_orderkey::varchar), '{{n}}', (o_custkey % 90 + 1)::varchar),
+            '{{failure}}', case o_orderstatus when 'P' then 'perhaps' when 'F' then 'Yes' else 'No' end), '{{status}}', o_orderpriority) as t, o_orderpriority as p from orders)
+    select id, case when s = 'P' then 'answers' end as error, case when s <> 'P' then n end as "end", case when s <> 'P' then s = 'F' end as failure,
+        case when s <> 'P' then p end as observed, case when s <> 'P' then position('## Segment 1' in t) - 1 end as segment_start, case when s <> 'P' then length(t) end as segment_end from texts""")
+def prs05(spark, d):
+    text = F.lit(ANNOTATION)
+    status = F.when(F.col("o_orderstatus") == "P", "perhaps").when(F.col("o_orderstatus") == "F", "Yes").otherwise("No")
+    filled = {"id": F.col("o_orderkey").cast("string"), "n": (F.col("o_custkey") % 90 + 1).cast("string"), "failure": status, "status": F.col("o_orderpriority")}
+    for name, value in filled.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    read = pr.full_annotations(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")), "text", "x")
+    first, span = F.get("x.value.segments", F.lit(0)), F.get("x.value.spans", F.lit(1))
+    return read.select("id", "x.error", first["end"].alias("end"), first["failure"].alias("failure"), first["observed_result"].alias("observed"),
+        span["start"].alias("segment_start"), span["end"].alias("segment_end"))

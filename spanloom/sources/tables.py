@@ -74,8 +74,8 @@ def write_once(df: DataFrame, path: str) -> bool:
     spark = df.sparkSession
     try:
         there = spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         write_new(df, path)
         return True

@@ -6,9 +6,12 @@ once per id; an id that isn't expected, or comes again, is reported.
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -40,8 +43,8 @@ def ingest_once(stream: DataFrame, expected: DataFrame, key: str, table_path: st
         known = batch.join(expected.select(key), key, "left_semi")
         try:
             known = known.join(spark.read.parquet(table_path).select(key), key, "left_anti")
-        except Exception as error:  # noqa: BLE001  the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:  # the first batch has no table yet
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
         known.write.mode("append").parquet(table_path)
         unknown = batch.join(expected.select(key), key, "left_anti")
@@ -99,17 +102,19 @@ def admit_within_budget(stream: DataFrame, budget: float) -> DataFrame:
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out = []
+        total, out = math.fsum(held.values()), []
         for pdf in pdfs:
             for i, ceiling, actual in zip(pdf["id"], pdf["ceiling"], pdf["actual"], strict=True):
                 if actual == actual and actual is not None:
                     if i in held:
+                        total += float(actual) - held[i]
                         held[i] = float(actual)
                 elif i not in held:
-                    fits = sum(held.values()) + ceiling <= budget
+                    fits = total + ceiling <= budget
                     if fits:
+                        total += float(ceiling)
                         held[int(i)] = float(ceiling)
-                    out.append((key[0], int(i), sum(held.values()), fits))
+                    out.append((key[0], int(i), total, fits))
         state.update((list(held), list(held.values())))
         yield pd.DataFrame(out, columns=["account", "id", "reserved", "admitted"])
 
@@ -126,23 +131,26 @@ def sequential_queue(stream: DataFrame) -> DataFrame:
     that is refused for capacity goes to the end of its queue, and the next one starts."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        waiting = list(state.get[0]) if state.exists else []
-        out = []
+        waiting = deque(state.get[0]) if state.exists else deque()
+        known, out = set(waiting), []
         for pdf in pdfs:
             for i, event in zip(pdf["id"], pdf["event"], strict=True):
                 i = int(i)
-                if event == "submit" and i not in waiting:
+                if event == "submit" and i not in known:
                     waiting.append(i)
+                    known.add(i)
                     if len(waiting) == 1:
                         out.append((key[0], i, "started"))
                 elif waiting and i == waiting[0] and event in ("done", "full"):
-                    waiting.pop(0)
+                    waiting.popleft()
                     if event == "full":
                         waiting.append(i)
+                    else:
+                        known.remove(i)
                     out.append((key[0], i, "finished" if event == "done" else "requeued"))
                     if waiting:
                         out.append((key[0], waiting[0], "started"))
-        state.update((waiting,))
+        state.update((list(waiting),))
         yield pd.DataFrame(out, columns=["queue", "id", "event"])
 
     return stream.groupBy("queue").applyInPandasWithState(
@@ -159,15 +167,15 @@ def frame_requests(stream: DataFrame, most: int = 8, rounds: int = 2) -> DataFra
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen, counts = (list(x) for x in state.get) if state.exists else ([], [0] * rounds)
-        out = []
+        seen, out = set(seen), []
         for pdf in pdfs:
             for r, f in sorted(zip(pdf["round"], pdf["frame"], strict=True)):
                 granted = r < rounds and counts[int(r)] < most and f not in seen
                 if granted:
                     counts[int(r)] += 1
-                    seen.append(int(f))
+                    seen.add(int(f))
                 out.append((key[0], int(f), granted))
-        state.update((seen, counts))
+        state.update((sorted(seen), counts))
         yield pd.DataFrame(out, columns=["episode", "frame", "granted"])
 
     return stream.groupBy("episode").applyInPandasWithState(
