@@ -392,8 +392,8 @@ def full_annotations(rows: DataFrame, text: str, name: str = "annotation") -> Da
         F.transform(segments, segment).alias("segments"), spans.alias("spans"),
     )
     numbers = F.transform(F.slice(heads, 2, F.greatest(F.size(heads), F.lit(1))), lambda h: F.regexp_extract(h, r"(\d+)", 1).try_cast("int"))
-    result = checked(
-        value,
+    error = checked(
+        F.lit(True),
         {
             "unfenced": ~F.col(text).contains("```"),
             "title": title.rlike(r"^# Episode: [^\n]+\n\s*$"),
@@ -411,4 +411,6 @@ def full_annotations(rows: DataFrame, text: str, name: str = "annotation") -> Da
             "review": each(lambda s: ~F.array_contains(s["fields"]["names"], "Uncertain fields") | (yes(s, "Review required") == (F.size(uncertain(s)) > 0))),
         },
     )
-    return cut.withColumn(name, result).drop("_parts", "_lengths", "_heads", "_read")
+    cut = cut.withColumn("_error", error["error"])
+    result = F.struct(F.when(F.col("_error").isNull(), value).alias("value"), F.col("_error").alias("error"))
+    return cut.withColumn(name, result).drop("_parts", "_lengths", "_heads", "_read", "_error")
