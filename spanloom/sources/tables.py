@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Temporary folders of local sessions without spark.checkpoint.dir, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir; a local
     session without that setting gets a temporary one."""
@@ -23,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spanloom-")
+        found = _own[app]
     return found.rstrip("/")
 
 
