@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,38 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved, shared_dir
+
+__all__ = ["arrow_schema", "documents", "map_rows", "saved", "scratch_path", "shared_dir", "shuffle_partitions", "spread_join", "text_of"]
+
 #: A list that grows to this many rows is handed on as one Arrow batch.
 ROWS_PER_BATCH = 4096
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see.
-
-    Read from ``spark.checkpoint.dir``.  Only a local session without that
-    setting (a test) gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: A key with at least one in so many rows is joined by broadcast.
 SPREAD = 1000
 

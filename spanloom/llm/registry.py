@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, fixity, near_dedup
-from . import packing, pieces, quality, substring_dedup, token_files, toxicity
+from . import exact_dedup, fingerprints, fixity, hard_negatives, near_dedup
+from . import packing, pieces, quality, sort_means, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_centroid_clusters": sort_means.op13_centroid_clusters,
 }
 
 ORACLE_SQL = {
     "op2_fixity": fixity.OP2_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_centroid_clusters": sort_means.OP13_SQL,
     "op7_exact_dedup": """
         with d as (
             select doc_id, length(coalesce(text, '')) as chars,
