@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, fixity, hard_negatives, near_dedup
+from . import exact_dedup, fingerprints, fixity, hard_negatives, near_dedup, ppm
 from . import packing, pieces, quality, sort_means, substring_dedup, token_files, toxicity
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op8_token_files": token_files.op8_token_files,
+    "op11_lm_scores": ppm.op11_lm_scores,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_centroid_clusters": sort_means.op13_centroid_clusters,
 }
