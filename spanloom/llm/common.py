@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import saved, shared_dir
 
-__all__ = ["arrow_schema", "documents", "map_rows", "saved", "scratch_path", "shared_dir", "shuffle_partitions", "spread_join", "text_of"]
+__all__ = ["arrow_schema", "documents", "map_rows", "saved", "scratch_path", "shared_dir", "shuffle_partitions", "spread_join", "text_of", "tuples"]
 
 #: A list that grows to this many rows is handed on as one Arrow batch.
 ROWS_PER_BATCH = 4096
@@ -62,6 +62,14 @@ def map_rows(
     return df.mapInArrow(_Rows(rows, schema), schema)
 
 
+def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches, some Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
 class _Rows:
     def __init__(self, rows, schema):
         self.rows = rows
@@ -69,15 +77,8 @@ class _Rows:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = arrow_schema(self.schema)
-
-        def tuples():
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(at, SLICE)
-                    yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
-
         held: list[tuple] = []
-        for row in self.rows(tuples()):
+        for row in self.rows(tuples(batches)):
             held.append(row)
             if len(held) >= ROWS_PER_BATCH:
                 yield _batch(held, kinds)

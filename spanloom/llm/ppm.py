@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, saved, shuffle_partitions, text_of
+from .common import documents, saved, shuffle_partitions, text_of, tuples
 
 #: Bytes of context, and of texts in a block and in a piece that is worked on at once.
 ORDER, BLOCK, PIECE = 5, 1 << 25, 1 << 20
@@ -43,7 +43,8 @@ END = b"\n"
 #: Bytes that can follow: all but white space, and the space and the end.
 SYMBOLS = 256 - 6 + 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-ROWS = 1 << 16
+#: Rows of a batch, and texts whose words are looked up at once.
+ROWS, TEXTS = 1 << 16, 4096
 
 DIGEST = "block long, gram long, word binary, n long, doc_id long, held_out boolean, body binary"
 _DIGEST = pa.schema([
@@ -116,7 +117,7 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def counted(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order and their counts; some 8 MB of codes are sorted at a time."""
+    """Distinct codes in order and their counts; those of some 4 MB of texts are sorted at a time."""
     all_, held, size = [], [], 0
     parts = coded(bodies, order)
     while True:
@@ -124,15 +125,17 @@ def counted(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
         if code is not None:
             held.append(code)
             size += len(code)
-        if held and (code is None or size >= 8 * PIECE):
-            code_ = np.sort(np.concatenate(held))
+        if held and (code is None or size >= 4 * PIECE):
+            code_ = np.concatenate(held)
+            held.clear()
+            code_.sort()
             first = np.flatnonzero(np.r_[True, code_[1:] != code_[:-1]])
             n = np.diff(np.r_[first, len(code_)])
             skip = int(code_[0] == 0)
             all_.append((code_[first[skip:]], n[skip:]))
-            if len(all_) > 3:
+            if len(all_) > 4:
                 all_ = [_added(all_)]
-            held, size = [], 0
+            size = 0
         if code is None:
             return _added(all_)
 
@@ -149,6 +152,17 @@ def words_of(bodies: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return lengths, words
 
 
+def counted_words(bodies: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words and their counts, some texts at a time."""
+    each = [words_of(bodies[at : at + TEXTS])[1].value_counts() for at in range(0, len(bodies), TEXTS)]
+    if not each:
+        return pa.array([], pa.binary()), np.empty(0, np.int64)
+    words = pa.concat_arrays([c.field("values") for c in each]).dictionary_encode()
+    counts = np.concatenate([c.field("counts").to_numpy(zero_copy_only=False) for c in each])
+    places = words.indices.to_numpy(zero_copy_only=False)
+    return words.dictionary, np.bincount(places, counts, len(words.dictionary)).astype(np.int64)
+
+
 def _digest(docs: DataFrame, order: int, folds: int) -> DataFrame:
     """For each block of texts: its distinct strings and words with their counts in training texts (0: none), and the texts."""
 
@@ -164,11 +178,11 @@ def _digest(docs: DataFrame, order: int, folds: int) -> DataFrame:
         for at in range(0, len(grams), ROWS):
             part = slice(at, at + ROWS)
             yield rows(len(grams[part]), block=[number] * len(grams[part]), gram=grams[part], n=n[part])
-        seen = words_of(train)[1].value_counts()
-        new = words_of(rest)[1].unique()
-        new = new.filter(pc.invert(pc.is_in(new, seen.field("values"))))
-        words = pa.concat_arrays([seen.field("values"), new, pa.array([END], pa.binary())])
-        n = np.concatenate([seen.field("counts").to_numpy(zero_copy_only=False), np.zeros(len(new), np.int64), [len(train)]])
+        seen, n = counted_words(train)
+        new = counted_words(rest)[0]
+        new = new.filter(pc.invert(pc.is_in(new, seen)))
+        words = pa.concat_arrays([seen, new, pa.array([END], pa.binary())])
+        n = np.concatenate([n, np.zeros(len(new), np.int64), [len(train)]])
         for at in range(0, len(words), ROWS):
             part = words.slice(at, ROWS)
             yield rows(len(part), block=[number] * len(part), word=part, n=n[at : at + ROWS])
@@ -178,15 +192,14 @@ def _digest(docs: DataFrame, order: int, folds: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, size, number = [], 0, None
-        for batch in batches:
-            for part, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                number = part << 24 if number is None else number
-                body = normalised(text)
-                texts.append((doc_id, doc_id is None or zlib.crc32(str(doc_id).encode()) % folds == 0, body))
-                size += len(body)
-                if size >= BLOCK:
-                    yield from block(number, texts)
-                    texts, size, number = [], 0, number + 1
+        for part, doc_id, text in tuples(batches):
+            number = part << 24 if number is None else number
+            body = normalised(text)
+            texts.append((doc_id, doc_id is None or zlib.crc32(str(doc_id).encode()) % folds == 0, body))
+            size += len(body)
+            if size >= BLOCK:
+                yield from block(number, texts)
+                texts, size, number = [], 0, number + 1
         if texts:
             yield from block(number, texts)
 
@@ -255,7 +268,8 @@ class _Scores:
                     if ready is None:
                         ready = self.tables(grams, words)
                         grams, words = [], []
-                    yield self.scored(part, *ready)
+                    for at in range(0, part.num_rows, TEXTS):
+                        yield self.scored(part.slice(at, TEXTS), *ready)
 
     def tables(self, grams: list, words: list) -> tuple:
         gram, value = (np.concatenate(x) for x in zip(*grams, strict=True))
