@@ -34,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage."""
+def saved(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
