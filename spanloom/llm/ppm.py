@@ -12,7 +12,7 @@ shorter one, what is excluded is one sum for each context.
 So a byte's probability depends only on itself and the ``order`` bytes before it, and is
 settled once for each such string of the whole corpus: counts, the trie's nodes and the chains
 of escapes are joins and sums over strings, not over texts.  Tasks hand in the distinct strings
-and words of a block of some 32 MB of texts; the settled ones come back to the block, where the
+and words of a block of some 24 MB of texts; the settled ones come back to the block, where the
 texts are scored by array look-ups.  Nothing is broadcast, and nothing of the corpus meets in
 one task; a common string has at most one row a block.
 
@@ -30,13 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, saved, shuffle_partitions, text_of, tuples
 
 #: Bytes of context, and of texts in a block and in a piece that is worked on at once.
-ORDER, BLOCK, PIECE = 5, 1 << 25, 1 << 20
+ORDER, BLOCK, PIECE = 5, 3 << 23, 1 << 20
 #: A string of ORDER + 1 bytes and the number of one of so many texts of a piece fit a 64-bit number.
 TEXT_BITS = 15
 END = b"\n"
@@ -117,7 +117,7 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def counted(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order and their counts; those of some 4 MB of texts are sorted at a time."""
+    """Distinct codes in order and their counts; those of some 2 MB of texts are sorted at a time."""
     all_, held, size = [], [], 0
     parts = coded(bodies, order)
     while True:
@@ -125,7 +125,7 @@ def counted(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
         if code is not None:
             held.append(code)
             size += len(code)
-        if held and (code is None or size >= 4 * PIECE):
+        if held and (code is None or size >= 2 * PIECE):
             code_ = np.concatenate(held)
             held.clear()
             code_.sort()
@@ -261,9 +261,9 @@ class _Scores:
                     grams, words, ready = [], [], None
                 part, tag = batch.slice(lo, hi - lo), keys[1][lo]
                 if tag == 0:
-                    grams.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "value")])
+                    grams.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("number", "value")])
                 elif tag == 1:
-                    words.append((part.column("word"), part.column("value").to_numpy(zero_copy_only=False)))
+                    words.append((part.column("bytes"), part.column("value").to_numpy(zero_copy_only=False)))
                 else:
                     if ready is None:
                         ready = self.tables(grams, words)
@@ -279,7 +279,7 @@ class _Scores:
         return gram[order], value[order], pa.concat_arrays([w for w, _ in words]), count > 0, base
 
     def scored(self, part: pa.RecordBatch, gram: np.ndarray, value: np.ndarray, words: pa.Array, known: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
-        bodies = part.column("body").to_pylist()
+        bodies = part.column("bytes").to_pylist()
         score = np.zeros(len(bodies))
         for texts, place, code in coded(bodies, self.order):
             # sorted with the places of their texts in the low bits, equal codes stand together
@@ -297,7 +297,8 @@ class _Scores:
         text = np.repeat(np.arange(len(bodies)), lengths)
         n_known = np.bincount(text[known[ids]], minlength=len(bodies)) + int(known[end])
         base_score = np.bincount(text, base[ids], len(bodies)) + base[end]
-        columns = [part.column("doc_id"), part.column("held_out"), *map(pa.array, (lengths + 1, n_known, base_score, score))]
+        held = pc.equal(part.column("value"), 1.0)
+        columns = [part.column("number"), held, *map(pa.array, (lengths + 1, n_known, base_score, score))]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
@@ -309,19 +310,22 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = 10) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
     blocks = int(size // BLOCK) + 1
-    digest = saved(_digest(docs.coalesce(max(blocks, shuffle_partitions(docs.sparkSession) // 4)), order, folds), "digest")
-    strings, words = digest.where("gram is not null").select("block", "gram", "n"), digest.where("word is not null").select("block", "word", "n")
+    digest = saved(_digest(docs.coalesce(max(blocks, shuffle_partitions(docs.sparkSession) // 4)), order, folds), "digest", compression="zstd")
+    strings = digest.where("gram is not null").select("block", "gram", "n")
     grams = saved(strings.groupBy("gram").agg(F.sum("n").alias("c")), "strings")
-    counts = saved(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    total, kinds = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    alike = Window.partitionBy("word")  # at most one row a block
+    counted_ = F.sum("n").over(alike).alias("c"), (F.row_number().over(alike.orderBy("block")) == 1).alias("first")
+    words = saved(digest.where("word is not null").select("block", "word", *counted_), "words", compression="zstd")
+    total, kinds = words.where("first").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    # one shape for strings, words and texts: number, value, bytes
+    none = F.lit(None)
     back = [
-        strings.select("block", "gram").join(_settled(grams, order), "gram").select("block", F.lit(0).alias("tag"), "gram", "value"),
-        words.select("block", "word").join(counts, "word").select("block", F.lit(1).alias("tag"), "word", F.col("c").cast("double").alias("value")),
-        digest.where("body is not null").select("block", F.lit(2).alias("tag"), "doc_id", "held_out", "body"),
+        strings.join(_settled(grams, order), "gram").select("block", F.lit(0).alias("tag"), F.col("gram").alias("number"), "value", none.cast("binary").alias("bytes")),
+        words.select("block", F.lit(1), none.cast("long"), F.col("c").cast("double"), "word"),
+        digest.where("body is not null").select("block", F.lit(2), "doc_id", F.col("held_out").cast("double"), "body"),
     ]
-    rows = back[0].unionByName(back[1], allowMissingColumns=True).unionByName(back[2], allowMissingColumns=True)
     parts = max(shuffle_partitions(docs.sparkSession), blocks)
-    dealt = rows.repartition(parts, "block").sortWithinPartitions("block", "tag")
+    dealt = back[0].union(back[1]).union(back[2]).repartition(parts, "block").sortWithinPartitions("block", "tag")
     scored = dealt.mapInArrow(_Scores(order, total or 0, kinds or 0), SCORED)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     return scored.withColumn("train_tokens", F.lit(total or 0).cast("long")).select(*names)
