@@ -179,16 +179,30 @@ def tl13(spark, d):
 def tl14(spark, d):
     """The largest total IoU (in millionths) first, then the most pairs: three weak pairs may give
     way to one good one."""
-    pairs = tl.overlaps(quiet(spark, d, "a"), quiet(spark, d, "b")).where(F.col("iou") >= LEAST)
-    pairs = pairs.select("episode", F.col("left_start").alias("left"), F.col("right_start").alias("right"), F.round(F.col("iou") * 1000000).alias("score"))
-    found = matching.matched(pairs, ["episode"], "alignment").groupBy("episode")
-    return found.agg(F.count(F.lit(1)).alias("matched"), (F.sum("score") / 1000000).alias("total"))
+    pairs = tl.overlaps(quiet(spark, d, "a"), quiet(spark, d, "b")).where(F.col("iou") >= LEAST).withColumn("millionths", F.round(F.col("iou") * 1000000))
+    found = matching.settled_segments(pairs, "millionths", "alignment", ["episode"]).groupBy("episode")
+    return found.agg(F.count(F.lit(1)).alias("matched"), (F.sum("millionths") / 1000000).alias("total"))
 
 
-@query("tl15_assignment", ORDERED)
+#: A set of pairs for each set of left elements that are used, by the right elements in order: all assignments, crossing ones too.
+ASSIGNMENTS = f"""with recursive {FRAMES}{"".join(map(runs_sql, "ab"))}, l as ({segments_of("a")}), r as ({segments_of("b")}), w as (
+        select * from (select x.k, x.i, y.i as j, greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / (greatest(x.e, y.e) - least(x.s, y.s))::double as iou
+        from l x join r y on x.k = y.k) where iou >= {LEAST}
+    ), rights as (select k, j, row_number() over (partition by k order by j) as n from (select distinct k, j from w)), sets(k, n, used, v) as (
+        select distinct k, 0::bigint, []::bigint[], 0::double from w
+        union all
+        select k, n, used, max(v) over (partition by k, n, used) from (
+            select k, n, used, v, row_number() over (partition by k, n, used order by v desc) as q from (
+                select s.k, s.n + 1 as n, list_sort(list_append(s.used, w.i)) as used, s.v + 1000 + w.iou as v
+                from sets s join rights t on t.k = s.k and t.n = s.n + 1 join w on w.k = s.k and w.j = t.j where not list_contains(s.used, w.i)
+                union all select s.k, s.n + 1, s.used, s.v from sets s join rights t on t.k = s.k and t.n = s.n + 1)) where q = 1
+    ) select k as episode, floor(max(v) / 1000)::bigint as matched, round(max(v) - 1000 * floor(max(v) / 1000), 6) as total from sets group by k"""
+
+
+@query("tl15_assignment", ASSIGNMENTS)
 def tl15(spark, d):
-    """Most pairs, then the largest total; overlapping segments of two tracks can't cross, so
-    the ordered program finds the best assignment."""
+    """Most pairs, then the largest total, over all assignments.  Segments of a track don't overlap, so two pairs
+    that overlap can't cross, and the ordered program finds the best assignment; its SQL tries all."""
     return per_episode(event_pairs(spark, d, "ordered"))
 
 
@@ -217,29 +231,75 @@ def tl17(spark, d):
     return pairs.select("episode", "left_start", "right_start", F.round("iou", 6).alias("iou"))
 
 
-@query("ag09_event_metrics", GREEDY + """ , n as (select (select count(*) from l) as nl, (select count(*) from r) as nr)
-    select t.least as least, count(*) as matched, round(2 * count(*) / (any_value(nl) + any_value(nr))::double, 6) as f1,
-        round(count(*) / any_value(nl)::double, 6) as "precision", round(count(*) / any_value(nr)::double, 6) as recall,
-        round(avg(abs(c.xs - c.ys) / fps), 6) as onset_mae, round(avg((c.xs - c.ys) / fps), 6) as onset_signed,
-        round(quantile_cont(abs(c.xs - c.ys) / fps, 0.5), 6) as onset_median, round(avg(abs(l.e - r.e) / fps), 6) as offset_mae
-    from chosen c join l on l.k = c.k and l.i = c.i join r on r.k = c.k and r.i = c.j join episodes on episode = c.k cross join n
-    cross join (values (0.1::double), (0.3::double), (0.5::double)) t(least) where c.iou >= t.least group by t.least""")
+def pairs_sql(left: str, right: str, levels: str, candidate: str, gain: str, tracks: str = "ab", more: str = "") -> str:
+    """The pairs (k, i, j, level) of a best ordered matching for each key k and level, with their lists carried along.
+
+    left, right: selects of (k, i, s, e) with i from 1 in order; candidate, gain: expressions of a pair
+    (xs, ys, i, j, iou, level).
+    """
+    return f"""with recursive {FRAMES}{''.join(map(runs_sql, tracks))}{more}, l as ({left}), r as ({right}), levels(level) as (values {levels}), w as (
+        select *, {gain} as gain from (select x.k, level, x.i, y.i as j, x.s as xs, y.s as ys,
+            greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / (greatest(x.e, y.e) - least(x.s, y.s))::double as iou
+        from l x join r y on x.k = y.k cross join levels) where {candidate}
+    ), sizes as (select k, max(i) as n from l group by k), ends as (select k, max(i) as m from r group by k), dp(k, level, i, j, v, pairs) as (
+        select k, level, 0::bigint, i, 0::double, []::bigint[] from r cross join levels
+        union all
+        select k, level, i + 1, j, max(c) over u, arg_max(cp, c) over u from (
+            select k, level, i, j, greatest(v, with_) as c, case when with_ > v then list_append(old, (i + 1) * 10000 + j) else pairs end as cp from (
+                select d.*, lag(d.v, 1, 0::double) over o + w.gain as with_, lag(d.pairs, 1, []::bigint[]) over o as old
+                from dp d join sizes on sizes.k = d.k and d.i < sizes.n
+                left join w on w.k = d.k and w.level = d.level and w.i = d.i + 1 and w.j = d.j window o as (partition by d.k, d.level order by d.j)))
+        window u as (partition by k, level order by j rows unbounded preceding)
+    ), chosen as (
+        select k, level, p // 10000 as i, p % 10000 as j from (select dp.k, level, unnest(pairs) as p from dp join sizes on sizes.k = dp.k and n = i join ends on ends.k = dp.k and m = j)
+    ), pairs as (select c.k, c.level, l.s as ls, l.e as le, r.s as rs, r.e as re from chosen c join l on l.k = c.k and l.i = c.i join r on r.k = c.k and r.i = c.j)"""
+
+
+LEVELS = (0.1, 0.3, 0.5)
+
+
+@query("ag09_event_metrics", pairs_sql(segments_of("a"), segments_of("b"), "(0.1::double), (0.3), (0.5)", "iou >= level", "1000 + iou - 1e-6 * abs(xs - ys) - 1e-9 * ys") + """,
+    off as (select level, (rs - ls) / fps as onset, (re - le) / fps as offset_ from pairs join episodes on episode = k),
+    best as (select x.k, 'a' as track, any_value(x.e - x.s) as n, max(coalesce(greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / (greatest(x.e, y.e) - least(x.s, y.s))::double, 0)) as iou
+        from l x left join r y on x.k = y.k group by x.k, x.i
+        union all select x.k, 'b', any_value(x.e - x.s), max(coalesce(greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / (greatest(x.e, y.e) - least(x.s, y.s))::double, 0))
+        from r x left join l y on x.k = y.k group by x.k, x.i),
+    cover as (select count(*) filter (track = 'a') as na, count(*) filter (track = 'b') as nb, avg(iou) filter (track = 'a') as ca, avg(iou) filter (track = 'b') as cb,
+        sum(iou * n / fps) filter (track = 'a') / sum(n / fps) filter (track = 'a') as wa, sum(iou * n / fps) filter (track = 'b') / sum(n / fps) filter (track = 'b') as wb
+        from best join episodes on episode = k)
+    select o.level as least, count(*) as matched, any_value(na) as left_events, any_value(nb) as right_events, round(2 * count(*) / (any_value(na) + any_value(nb))::double, 6) as f1,
+        round(count(*) / any_value(nb)::double, 6) as "precision", round(count(*) / any_value(na)::double, 6) as recall,
+        round(avg((abs(onset) + abs(offset_)) / 2), 6) as mae, any_value(med) as median_error, round(avg(onset), 6) as onset_signed, round(avg(offset_), 6) as offset_signed,
+        round(any_value(ca), 6) as left_best_iou, round(any_value(cb), 6) as right_best_iou, round(any_value(wa), 6) as left_best_iou_by_time, round(any_value(wb), 6) as right_best_iou_by_time
+    from off o cross join cover join (select level, round(quantile_cont(x, 0.5), 6) as med from (
+        select level, unnest([abs(onset), abs(offset_)]) as x from off) group by level) m on m.level = o.level group by o.level""")
 def ag09(spark, d):
-    """Greedy pairs at 0.1 hold those of every larger threshold; errors are in seconds."""
-    a, b = quiet(spark, d, "a"), quiet(spark, d, "b")
-    sizes = a.agg(F.count(F.lit(1)).alias("nl")).crossJoin(b.agg(F.count(F.lit(1)).alias("nr")))  # single rows
-    pairs = event_pairs(spark, d, "greedy").join(episodes(spark, d).select("episode", "fps"), "episode")
-    onset, offset = ((F.col(f"left_{x}") - F.col(f"right_{x}")) / F.col("fps") for x in ("start", "end"))
-    pairs = pairs.select("iou", onset.alias("onset"), offset.alias("offset"), F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5)))).alias("least"))
-    n = F.count(F.lit(1))
-    found = pairs.where("iou >= least").groupBy("least").agg(
-        n.alias("matched"), F.avg(F.abs("onset")).alias("onset_mae"), F.avg("onset").alias("onset_signed"),
-        F.percentile(F.abs("onset"), F.lit(0.5)).alias("onset_median"), F.avg(F.abs("offset")).alias("offset_mae"),
-    )
-    found = found.crossJoin(F.broadcast(sizes)).withColumns(  # one row
-        {"f1": ag.ratio(2 * F.col("matched"), F.col("nl") + F.col("nr")), "precision": ag.ratio(F.col("matched"), F.col("nl")), "recall": ag.ratio(F.col("matched"), F.col("nr"))}
-    ).drop("nl", "nr")
-    return rounded(found, "f1", "precision", "recall", "onset_mae", "onset_signed", "onset_median", "offset_mae")
+    """Matched anew at each threshold: most pairs, then the largest IoU (of equal ones the closer and the earlier onset).
+
+    Precision and recall are of track b against track a; errors are b less a, in seconds; the best IoU of each
+    segment, matched or not, is averaged over segments and over their time.
+    """
+    a, b, eps = quiet(spark, d, "a"), quiet(spark, d, "b"), episodes(spark, d).select("episode", "fps")
+    every = tl.overlaps(a, b)
+    levels = F.explode(F.array(*map(F.lit, LEVELS))).alias("least")
+    hair = F.abs(F.col("left_start") - F.col("right_start")) * 1e-6 + F.col("right_start") * 1e-9
+    pairs = matching.settled_segments(every.select("*", levels).where("iou >= least"), F.col("iou") - hair, "ordered", ["episode", "least"])
+    onset, offset = ((F.col(f"right_{x}") - F.col(f"left_{x}")) / F.col("fps") for x in ("start", "end"))
+    off = pairs.join(eps, "episode").select("least", onset.alias("onset"), offset.alias("offset"))
+    sizes = off.groupBy("least").agg(F.count(F.lit(1)).alias("matched"), F.avg("onset").alias("onset_signed"), F.avg("offset").alias("offset_signed"))
+    errors = off.select("least", F.explode(F.array(F.abs("onset"), F.abs("offset"))).alias("e")).groupBy("least")
+    errors = errors.agg(F.avg("e").alias("mae"), F.percentile("e", F.lit(0.5)).alias("median_error"))  # few distinct errors: whole frames
+    cover = None
+    for side, track in (("left", a), ("right", b)):
+        found = every.groupBy("episode", F.col(f"{side}_start").alias("start")).agg(F.max("iou").alias("iou"))
+        rows = track.join(found, ["episode", "start"], "left").join(eps, "episode").na.fill(0.0, ["iou"])
+        seconds = (F.col("end") - F.col("start")) / F.col("fps")
+        one = rows.agg(F.count(F.lit(1)).alias(f"{side}_events"), F.avg("iou").alias(f"{side}_best_iou"), (F.sum(F.col("iou") * seconds) / F.sum(seconds)).alias(f"{side}_best_iou_by_time"))
+        cover = one if cover is None else cover.crossJoin(one)  # single rows
+    found = sizes.join(errors, "least").crossJoin(F.broadcast(cover))  # one row
+    n, left, right = F.col("matched"), F.col("left_events"), F.col("right_events")
+    found = found.withColumns({"f1": ag.ratio(2 * n, left + right), "precision": ag.ratio(n, right), "recall": ag.ratio(n, left)})
+    return rounded(found, *(c for c in found.columns if c not in ("least", "matched", "left_events", "right_events")))
 
 
 def boundary_frames(spark, d, track):
@@ -265,28 +325,57 @@ def tl18(spark, d):
     return matching.match_points(boundary_frames(spark, d, "a"), boundary_frames(spark, d, "b"), 5, "nearest")
 
 
-def boundary_program(seconds: float) -> str:
-    """Most boundaries within the tolerance, then the smallest total distance."""
-    points = "select episode * 2 + (d > 0)::int as k, row_number() over (partition by episode, d order by frame) as i, frame as s, frame + 1 as e from boundaries_{t}"
-    text = program_sql(points.format(t="a"), points.format(t="b"), "abs(xs - ys) <= (10 + 5 * ((k // 2) % 3)) * {s} + 1e-9".replace("{s}", str(seconds)), "1000000 - abs(xs - ys)", "")
-    return text.replace(", l as (", f", {BOTH}, l as (", 1) + f""" select {seconds}::double as seconds, sum(matched)::bigint as matched,
-        round(2 * sum(matched) / ((select count(*) from l) + (select count(*) from r))::double, 6) as f1, round(sum(off / fps) / sum(matched), 6) as mae from (
-            select k // 2 as episode, ceil(v / 1000000) as matched, ceil(v / 1000000) * 1000000 - v as off from optimum) join episodes using (episode)"""
+SECONDS = (0.1, 0.25, 0.5, 1.0)
+POINTS = "select episode * 2 + (d > 0)::int as k, row_number() over (partition by episode, d order by frame) as i, frame as s, frame + 1 as e from boundaries_{t}"
+#: Most boundaries of one direction within the tolerance, then the smallest total distance, then the earlier ones of b.
+BOUNDARY_PAIRS = pairs_sql(
+    POINTS.format(t="a"), POINTS.format(t="b"), "(0.1::double), (0.25), (0.5), (1.0)", "abs(xs - ys) <= (10 + 5 * ((k // 2) % 3)) * level + 1e-9",
+    "1000000 - abs(xs - ys) - 1e-4 * j", "", f", {BOTH}",
+)
 
 
-@query("ag08_ag10_boundary_f1", " union all ".join(f"({boundary_program(s)})" for s in (0.25, 0.5, 1.0)))
-def ag08(spark, d):
-    """Boundaries matched in order within 0.25, 0.5 and 1 second, pooled over episodes."""
+def boundary_pairs(spark, d):
+    """(keys, pairs, left and right boundaries) at each tolerance."""
     eps = episodes(spark, d).select("episode", "fps")
-    a, b = boundary_frames(spark, d, "a"), boundary_frames(spark, d, "b")
-    seconds = F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0)))).alias("seconds")
-    each = lambda rows: rows.join(eps, "episode").select("episode", "direction", "frame", "fps", seconds)
+    seconds = F.explode(F.array(*map(F.lit, SECONDS))).alias("seconds")
+    a, b = (boundary_frames(spark, d, t).join(eps, "episode").select("episode", "direction", "frame", "fps", seconds) for t in "ab")
     keys = ["episode", "direction", "seconds"]
-    pairs = matching.match_points(each(a), each(b), F.col("seconds") * F.col("fps"), keys=keys).join(eps, "episode")
-    sizes = a.agg(F.count(F.lit(1)).alias("nl")).crossJoin(b.agg(F.count(F.lit(1)).alias("nr")))  # single rows
-    out = pairs.groupBy("seconds").agg(F.count(F.lit(1)).alias("matched"), F.avg(F.col("distance") / F.col("fps")).alias("mae"))
-    out = out.crossJoin(F.broadcast(sizes)).withColumn("f1", ag.ratio(2 * F.col("matched"), F.col("nl") + F.col("nr")))  # one row
-    return rounded(out, "mae", "f1").select("seconds", "matched", "f1", "mae")
+    return keys, matching.match_points(a, b, F.col("seconds") * F.col("fps"), keys=keys).join(eps, "episode"), a, b
+
+
+@query("ag08_ag10_boundary_f1", BOUNDARY_PAIRS + """
+    select d as direction, n.level as seconds, left_n, right_n, coalesce(matched, 0) as matched, round(coalesce(matched, 0) / right_n::double, 6) as "precision",
+        round(coalesce(matched, 0) / left_n::double, 6) as recall, round(2 * coalesce(matched, 0) / (left_n + right_n)::double, 6) as f1, mae, signed
+    from (select level, (k % 2) * 2 - 1 as d, count(*) as left_n from l cross join levels group by 1, 2) n
+    join (select level, (k % 2) * 2 - 1 as d, count(*) as right_n from r cross join levels group by 1, 2) m using (level, d)
+    left join (select level, (k % 2) * 2 - 1 as d, count(*) as matched, round(avg(abs(ls - rs) / fps), 6) as mae, round(avg((rs - ls) / fps), 6) as signed
+        from pairs join episodes on episode = k // 2 group by 1, 2) p using (level, d)""")
+def ag08(spark, d):
+    """Onsets (direction 1) and offsets (-1) matched in order within four tolerances, pooled over episodes;
+    signed errors are b less a."""
+    _, pairs, a, b = boundary_pairs(spark, d)
+    off = (F.col("right_frame") - F.col("left_frame")) / F.col("fps")
+    by = ["direction", "seconds"]
+    found = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("matched"), F.avg(F.abs(off)).alias("mae"), F.avg(off).alias("signed"))
+    sizes = [x.groupBy(*by).agg(F.count(F.lit(1)).alias(name)) for x, name in ((a, "left_n"), (b, "right_n"))]
+    out = sizes[0].join(sizes[1], by).join(found, by, "left").na.fill(0, ["matched"])
+    n = F.col("matched")
+    out = out.withColumns({"precision": ag.ratio(n, F.col("right_n")), "recall": ag.ratio(n, F.col("left_n")), "f1": ag.ratio(2 * n, F.col("left_n") + F.col("right_n"))})
+    return rounded(out, "precision", "recall", "f1", "mae", "signed")
+
+
+@query("ag08_unmatched_boundaries", BOUNDARY_PAIRS + """
+    select x.k // 2 as episode, (x.k % 2) * 2 - 1 as direction, x.level as seconds, side, x.s as frame from (
+        select l.*, level, 'left' as side from l cross join levels union all select r.*, level, 'right' from r cross join levels) x
+    anti join (select k, level, 'left' as side, ls as s from pairs union all select k, level, 'right', rs from pairs) p on p.k = x.k and p.level = x.level and p.side = x.side and p.s = x.s""")
+def ag08_unmatched(spark, d):
+    """The boundaries of either track without a partner, a row each."""
+    keys, pairs, *sides = boundary_pairs(spark, d)
+    rows = [
+        x.select(*keys, "frame").join(pairs.select(*keys, F.col(f"{side}_frame").alias("frame")), [*keys, "frame"], "left_anti").withColumn("side", F.lit(side))
+        for x, side in zip(sides, ("left", "right"), strict=True)
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query("ag08_exact_boundaries", sql("""select count(*) filter (da = db) as matched, count(*) filter (da <> 0) as n_left, count(*) filter (db <> 0) as n_right from (
@@ -348,9 +437,8 @@ def ag12_events(spark, d):
     a, b = (tl.clip(positives(spark, d, t), eps) for t in "ab")
     least = F.explode(F.array(*map(F.lit, (0.3, 0.5, 0.7)))).alias("least")
     pairs = tl.overlaps(a.drop("state"), b.drop("state"), ["episode", "window"]).select("*", least).where("iou >= least")
-    pairs = pairs.select("episode", "window", "least", F.col("left_start").alias("left"), F.col("right_start").alias("right"), F.col("iou").alias("score"))
     sizes = a.agg(F.count(F.lit(1)).alias("nl")).crossJoin(b.agg(F.count(F.lit(1)).alias("nr")))  # single rows
-    hits = matching.matched(pairs, ["episode", "window", "least"], "ordered").groupBy("least").agg(F.count(F.lit(1)).alias("matched"))
+    hits = matching.settled_segments(pairs, "iou", "ordered", ["episode", "window", "least"]).groupBy("least").agg(F.count(F.lit(1)).alias("matched"))
     out = hits.crossJoin(F.broadcast(sizes))  # one row
     return out.select("least", "matched", F.round(2 * F.col("matched") / (F.col("nl") + F.col("nr")), 6).alias("event_f1"))
 
