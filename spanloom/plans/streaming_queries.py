@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import shared_dir
-from ..streaming import journal
+from ..streaming import effects, journal, processors
 from .binding import table
 
 QUERIES, SQL = {}, {}
@@ -46,53 +46,140 @@ def finished(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+def timed(spark: SparkSession, rows: DataFrame, order: str, files: int = 4, cuts: list[float] | None = None) -> tuple[DataFrame, str]:
+    """(rows as a stream of files in order of time, a folder for this query's sink)."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    processors.in_order(rows, order, f"{folder}/in", files, cuts)
+    processors.use_map_state(spark)
+    return journal.read_journal(spark, f"{folder}/in", rows.schema), folder
+
+
 @query("st01_st07_live_rollup", "select event_type as status, count(*) as n from events group by 1")
 def st01(spark, d):
     rows, folder = stream(spark, d, table(spark, d, "events").select("event_id", F.col("event_type").alias("status")))
     return finished(journal.status_counts(rows), folder, "complete")
 
 
-@query("st02_st03_ingest_once", "select event_id as custom_id, event_type as body from events where event_id % 3 <> 0")
+@query("st01_until_terminal", """select user_id as job, event_type as status, n as updates from (
+    select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as n,
+        sum((event_type in ('purchase', 'error'))::int) over (partition by user_id order by ts, event_id rows unbounded preceding) as ends from events)
+    where event_type in ('purchase', 'error') and ends = 1""")
+def st01_terminal(spark, d):
+    """A user is a job, done with the first purchase or error; the stream ends when all that have one are done."""
+    events, ends = table(spark, d, "events"), ("purchase", "error")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    updates = events.select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), "ts", F.row_number().over(order).cast("long").alias("at"))
+    jobs = events.where(F.col("event_type").isin(*ends)).agg(F.count_distinct("user_id")).first()[0]
+    rows, folder = timed(spark, updates, "ts")
+    processors.watch_until_terminal(rows.drop("ts"), jobs, folder, ends)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query("st02_st03_ingest_once", """select event_id as custom_id, event_type as body, case when event_id % 3 <> 0 then 'accepted' else 'unknown' end as outcome from events
+    union all select event_id, event_type || '!', case when event_id % 3 <> 0 then 'repeated' else 'unknown' end from events where event_id % 10 = 0""")
 def st02(spark, d):
+    """Ids divisible by three aren't expected; every tenth id comes again, with another body."""
     events = table(spark, d, "events").select(F.col("event_id").alias("custom_id"), F.col("event_type").alias("body"))
-    rows, folder = stream(spark, d, events.union(events.where("custom_id % 10 = 0")))
+    again = events.where("custom_id % 10 = 0").withColumn("body", F.concat("body", F.lit("!")))
+    rows, folder = stream(spark, d, events.union(again))
     journal.ingest_once(rows, events.where("custom_id % 3 <> 0"), "custom_id", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    taken = spark.read.parquet(f"{folder}/out").withColumn("reason", F.lit("accepted")).unionByName(spark.read.parquet(f"{folder}/out-rejected"))
+    # which of two bodies comes first depends on the batches, so the first of an id counts as the accepted one
+    first = F.min("body").over(Window.partitionBy("custom_id"))
+    outcome = F.when(F.col("reason") == "unknown", "unknown").when(F.col("body") == first, "accepted").otherwise("repeated")
+    return taken.select("custom_id", "body", outcome.alias("outcome"))
 
 
-@query("st05_chained_parts", "select user_id as episode, count(*) as released from events group by user_id")
-def st05(spark, d):
-    return released(spark, d, numbered(spark, d))
+def _receipt(pdf):
+    return [f"r-{token[:16]}" for token in pdf["token"]]
 
 
-def numbered(spark, d):
-    from pyspark.sql import Window
+@query("st03_effect_journal", """select custom_id, 'r-' || substr(sha256(batch || ':' || custom_id), 1, 16) as remote, 'sent' as state, batch from (
+    select event_id as custom_id, (event_id % 4)::int as batch from events)""")
+def st03(spark, d):
+    """Each id is sent once, though every fifth comes in a later batch as well."""
+    events = table(spark, d, "events").select(F.col("event_id").alias("custom_id"))
+    files = events.withColumn("part", F.col("custom_id") % 4).union(events.where("custom_id % 5 = 0").withColumn("part", F.col("custom_id") % 4 + 1))
+    rows, folder = timed(spark, files, "part", cuts=[1.0, 2.0, 3.0, 4.0])
+    nothing = lambda spark: spark.createDataFrame([], "custom_id long, token string, remote string")
+    effects.journalled(rows.drop("part"), "custom_id", _receipt, nothing, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/settled").select("custom_id", "remote", "state", F.col("batch").cast("int").alias("batch"))
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select(F.col("user_id").alias("episode"), (F.row_number().over(w) - 1).cast("long").alias("part"), F.lit(True).alias("valid"))
+
+PARTS = """numbered as (select user_id as episode, row_number() over (partition by user_id order by ts, event_id) - 1 as part, event_type, event_id from events)"""
 
 
-def released(spark, d, parts):
-    rows, folder = stream(spark, d, parts)
-    done = finished(journal.chained_parts(rows), folder)
-    return done.where("state = 'released'").groupBy("episode").agg(F.count_distinct("part").alias("released"))
+@query("st05_chained_parts", f"""with {PARTS}, fails as (select episode, part, case when event_type = 'error' then 1 + event_id % 3 else 0 end as n from numbered),
+    stops as (select episode, min(part) as stop from fails where n > 2 group by episode)
+    select episode, count(*) filter (stop is null or part < stop) as released, coalesce(sum(least(n, 2)) filter (stop is null or part <= stop), 0)::bigint as repairs, any_value(stop) as stopped_at
+    from fails left join stops using (episode) group by episode""")
+def st05(spark, d):
+    """A part whose event is an error fails once to three times before it is valid; three failures stop the episode."""
+    parts = numbered(spark, d)
+    fails = F.when(F.col("event_type") == "error", 1 + F.col("event_id") % 3).otherwise(0)
+    tries = parts.withColumn("attempt", F.explode(F.sequence(F.lit(0).cast("long"), fails.cast("long")))).withColumn("valid", F.col("attempt") == fails)
+    rows, folder = timed(spark, tries.select("episode", "part", "valid", (F.col("part") * 10 + F.col("attempt")).alias("at")), "at")
+    done = finished(journal.chained_parts(rows, order="at"), folder)
+    state = lambda name: F.col("state") == name
+    return done.groupBy("episode").agg(
+        F.count_if(state("released")).alias("released"), F.count_if(state("repair")).alias("repairs"), F.min(F.when(state("stopped"), F.col("part"))).alias("stopped_at")
+    )
 
 
-@query("st10_budget_admission", "select event_type as account, 7 as admitted from events group by 1 having count(*) >= 7")
+def numbered(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("episode"), (F.row_number().over(w) - 1).cast("long").alias("part"), "event_type", "event_id")
+
+
+@query("st08_deadlines", """with jobs as (select user_id, min(ts) as start from events group by user_id), mark as (select max(ts) as m from events),
+    reports as (select user_id, ts, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events),
+    done as (select user_id, min(ts) as done_at from reports join jobs using (user_id) where n > 1 and event_type = 'purchase' and ts <= start + interval 4 hour group by user_id)
+    select user_id as job, 'published' as outcome, count(*) as n from done group by 1
+    union all select user_id, 'late', 1 from jobs anti join done using (user_id) where start + interval 4 hour <= (select m from mark)
+    union all select user_id, 'invalid', count(*) from reports join jobs using (user_id) left join done using (user_id)
+        where n > 1 and event_type = 'error' and ts <= start + interval 4 hour and (done_at is null or ts < done_at) group by user_id""")
+def st08(spark, d):
+    """A user's first event starts a job of four hours, purchases are valid reports and errors invalid ones."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n = 1 or event_type in ('purchase', 'error')")
+    kind = F.when(F.col("n") == 1, "started").otherwise("report")
+    rows = rows.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.lit(4 * 3_600_000).cast("long").alias("allowed_ms"), (F.col("event_type") == "purchase").alias("valid"))
+    reports, folder = timed(spark, rows, "ts", files=6)
+    found = processors.finished(processors.watched_jobs(reports), folder)
+    return found.where("outcome <> 'ignored'").groupBy("job", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+BUDGET = 75.0
+
+
+@query("st10_budget_admission", f"""with recursive asks as (
+        select user_id, event_id as id, row_number() over (partition by user_id order by ts, event_id) as n, 5 + event_id % 11 as ceiling, 1 + event_id % 5 as actual from events
+    ), steps as (
+        select user_id, id, n * 2 as k, ceiling::double as ceiling, null::double as actual from asks
+        union all select user_id, id, (n + 3) * 2 + 1, null, actual::double from asks
+    ), ordered as (select *, row_number() over (partition by user_id order by k) as s from steps), run(user_id, s, total, open, id, admitted) as (
+        select distinct user_id, 0::bigint, 0::double, map([]::bigint[], []::double[]), null::bigint, null::boolean from asks
+        union all
+        select r.user_id, r.s + 1, case when o.actual is not null and len(r.open[o.id]) > 0 then total + o.actual - r.open[o.id][1] when o.actual is null and total + ceiling <= {BUDGET} then total + ceiling else total end,
+            case when o.actual is null and total + ceiling <= {BUDGET} then map_concat(r.open, map([o.id], [ceiling::double])) else r.open end,
+            case when o.actual is null then o.id end, case when o.actual is null then total + ceiling <= {BUDGET} end
+        from run r join ordered o on o.user_id = r.user_id and o.s = r.s + 1
+    ) select user_id::varchar as account, id, total as reserved, admitted from run where id is not null""".replace("r.open[o.id][1]", "r.open[o.id]").replace("len(r.open[o.id]) > 0", "r.open[o.id] is not null"))
 def st10(spark, d):
-    asks = table(spark, d, "events").select(
-        F.col("event_type").alias("account"), F.col("event_id").alias("id"), F.lit(10.0).alias("ceiling"), F.lit(None).cast("double").alias("actual")
-    )
-    rows, folder = stream(spark, d, asks)
-    done = finished(journal.admit_within_budget(rows, 75.0), folder)
-    return done.where("admitted").groupBy("account").agg(F.count(F.lit(1)).cast("int").alias("admitted"))
+    """Each request's actual cost comes three requests after it, and is lower than its ceiling or not."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    asks = table(spark, d, "events").select(F.col("user_id").cast("string").alias("account"), F.col("event_id").alias("id"), F.row_number().over(w).cast("long").alias("n"))
+    nothing = F.lit(None).cast("double")
+    rows = asks.select("account", "id", (F.col("n") * 2).alias("at"), (5 + F.col("id") % 11).cast("double").alias("ceiling"), nothing.alias("actual"))
+    rows = rows.union(asks.select("account", "id", ((F.col("n") + 3) * 2 + 1).alias("at"), nothing, (1 + F.col("id") % 5).cast("double")))
+    rows = rows.withColumn("at", F.timestamp_seconds(F.col("at") * 60))
+    requests, folder = timed(spark, rows, "at")
+    return processors.finished(processors.admit_within_budget(requests, BUDGET), folder)
 
 
 @query("st12_verified_prefix", """select user_id as episode, count(*) as verified from (
     select user_id, event_id, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id) as broken from events) where broken = 0 group by user_id""")
 def st12(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     broken = F.sum((F.col("event_type") == "signup").cast("int")).over(w)
     rows = table(spark, d, "events").withColumn("broken", broken).where("broken = 0")
@@ -133,7 +220,7 @@ def st11(spark, d):
 
 @query("st06_producer_consumer", "select user_id as episode, row_number() over (partition by user_id order by ts, event_id) - 1 as part from events")
 def st06(spark, d):
-    rows, folder = stream(spark, d, numbered(spark, d).drop("valid"))
+    rows, folder = stream(spark, d, numbered(spark, d))
     done = journal.prepared_and_checked(rows, lambda items: items.withColumn("valid", F.col("part") >= 0), folder)
     return done.where("state = 'released'").select("episode", "part")
 

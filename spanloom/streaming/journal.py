@@ -6,13 +6,12 @@ once per id; an id that isn't expected, or comes again, is reported.
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -32,23 +31,33 @@ def read_journal(spark: SparkSession, path: str, schema, files_per_batch: int =
 
 
 def ingest_once(stream: DataFrame, expected: DataFrame, key: str, table_path: str, checkpoint: str):
-    """Add each expected id once to the table; others go to ``<table>-rejected``.
+    """Add each expected id once to the table; all other rows go to ``<table>-rejected`` with a reason.
 
-    Idempotent: a batch that is run again after a failure finds its ids there.
+    ``unknown``: the id isn't expected, or is null; ``repeated``: the id came in an earlier batch, or with a row
+    that comes first in the order of all columns; equal rows are repeats as well.  A batch writes its own
+    folder (batch=n) of either table, so that one that runs again after a failure adds nothing.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates([key])
-        known = batch.join(expected.select(key), key, "left_semi")
+        columns = batch.columns
+        ids = expected.select(F.col(key).alias("_id")).where("_id is not null").distinct().withColumn("_known", F.lit(True))
+        rows = batch.join(ids, F.col(key) == F.col("_id"), "left")
         try:
-            known = known.join(spark.read.parquet(table_path).select(key), key, "left_anti")
+            before = spark.read.parquet(table_path).where(F.col("batch") != batch_id).select(F.col(key).alias("_old")).distinct()
+            rows = rows.join(before, F.col(key) == F.col("_old"), "left")
         except AnalysisException as error:  # the first batch has no table yet
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        known.write.mode("append").parquet(table_path)
-        unknown = batch.join(expected.select(key), key, "left_anti")
-        unknown.write.mode("overwrite").parquet(f"{table_path}-rejected/batch={batch_id}")
+            rows = rows.withColumn("_old", F.lit(None).cast(batch.schema[key].dataType))
+        once = Window.partitionBy(key).orderBy(*columns)  # the repeats of an id in one batch
+        reason = F.when(F.col("_known").isNull(), "unknown").when(F.col("_old").isNotNull() | (F.row_number().over(once) > 1), "repeated")
+        rows = rows.withColumn("reason", reason).select(*columns, "reason").persist()
+        try:
+            rows.where("reason is null").drop("reason").write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+            rows.where("reason is not null").write.mode("overwrite").parquet(f"{table_path}-rejected/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -61,65 +70,41 @@ def status_counts(stream: DataFrame, status: str = "status") -> DataFrame:
 CHAIN = "episode long, part long, state string"
 
 
-def chained_parts(stream: DataFrame, repairs: int = 2) -> DataFrame:
+def chained_parts(stream: DataFrame, repairs: int = 2, order: str | None = None) -> DataFrame:
     """Release parts of an episode in order: part k only after k - 1 was valid.
 
-    Input (episode, part, valid); a part that fails more than ``repairs`` times
-    stops its episode.  Parts that come early wait in the state.
+    Input (episode, part, valid), in a micro-batch taken by the column ``order``.  A part may fail ``repairs`` times and come again; one failure more
+    stops its episode, which says so once and releases nothing any more.  Parts that come early wait
+    in the state; failures of a part that turned out valid are forgotten.
     """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        following, failures, waiting = state.get if state.exists else (0, 0, [])
-        waiting, out = set(waiting), []
-        for pdf in pdfs:
+        following, stopped, waiting, failed, counts = state.get if state.exists else (0, False, [], [], [])
+        waiting, failures, out = set(waiting), dict(zip(failed, counts, strict=True)), []
+        rows = pd.concat(list(pdfs))
+        for pdf in [rows.sort_values(order, kind="stable") if order else rows]:
             for part, valid in zip(pdf["part"], pdf["valid"], strict=True):
+                part = int(part)
+                if stopped or part < following:  # nothing more, or released before
+                    continue
                 if valid:
-                    if part >= following:  # else released before
-                        waiting.add(int(part))
-                else:
-                    failures += 1
-                    out.append((key[0], int(part), "repair" if failures <= repairs else "stopped"))
-        while following in waiting and failures <= repairs:
-            out.append((key[0], following, "released"))
-            waiting.remove(following)
-            following += 1
-        state.update((following, failures, sorted(waiting)))
+                    waiting.add(part)
+                    failures.pop(part, None)
+                elif part not in waiting:
+                    failures[part] = failures.get(part, 0) + 1
+                    stopped = failures[part] > repairs
+                    out.append((key[0], part, "stopped" if stopped else "repair"))
+                while following in waiting and not stopped:
+                    out.append((key[0], following, "released"))
+                    waiting.remove(following)
+                    following += 1
+        if stopped:
+            waiting, failures = set(), {}
+        state.update((following, stopped, sorted(waiting), list(failures), list(failures.values())))
         yield pd.DataFrame(out, columns=["episode", "part", "state"])
 
     return stream.groupBy("episode").applyInPandasWithState(
-        step, CHAIN, "following long, failures long, waiting array<long>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-ADMITTED = "account string, id long, reserved double, admitted boolean"
-
-
-def admit_within_budget(stream: DataFrame, budget: float) -> DataFrame:
-    """Admit requests (account, id, ceiling, actual) while reservations fit the budget.
-
-    A row with an actual cost replaces the request's reservation.
-    """
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        total, out = math.fsum(held.values()), []
-        for pdf in pdfs:
-            for i, ceiling, actual in zip(pdf["id"], pdf["ceiling"], pdf["actual"], strict=True):
-                if actual == actual and actual is not None:
-                    if i in held:
-                        total += float(actual) - held[i]
-                        held[i] = float(actual)
-                elif i not in held:
-                    fits = total + ceiling <= budget
-                    if fits:
-                        total += float(ceiling)
-                        held[int(i)] = float(ceiling)
-                    out.append((key[0], int(i), total, fits))
-        state.update((list(held), list(held.values())))
-        yield pd.DataFrame(out, columns=["account", "id", "reserved", "admitted"])
-
-    return stream.groupBy("account").applyInPandasWithState(
-        step, ADMITTED, "ids array<long>, amounts array<double>", "append", GroupStateTimeout.NoTimeout
+        step, CHAIN, "following long, stopped boolean, waiting array<long>, failed array<long>, counts array<long>", "append", GroupStateTimeout.NoTimeout
     )
 
 
