@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as tx
 from ..operators import sampling as sp
 from ..operators import timeline as tl
@@ -545,11 +546,58 @@ def prj18(spark, d):
     return positives(spark, d, "a").join(windows, "episode").where(inside).select("episode", "window", "start", "end")
 
 
-@query("prj24_nested_identities", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+#: Objects in lists in objects, as deep as the event's number says, with one identity inside another.
+NESTED = """concat(repeat('{"x":[1,', event_id % 6), '{"dataset":"', event_type, '","episode_index":"', user_id, '","then":[{"dataset":null,"episode_index":', event_id, '},{"dataset":"no"}]}', repeat(']}', event_id % 6))"""
+
+
+@query("prj24_nested_identities", f"""with recursive texts as (select event_id, {NESTED} as text from events), nodes(event_id, node) as (
+        select event_id, text::json from texts
+        union all
+        select event_id, unnest(case when json_type(node) = 'ARRAY' then json_extract(node, '$[*]') else json_extract(node, '$.*') end) from nodes where json_type(node) in ('ARRAY', 'OBJECT')
+    ) select event_id, json_extract_string(node, '$.dataset') as name, json_extract_string(node, '$.episode_index')::bigint as number from nodes
+    where json_type(node) = 'OBJECT' and json_exists(node, '$.dataset') and json_exists(node, '$.episode_index')""")
 def prj24(spark, d):
-    # a known path of a variant; deeper trees are exploded level by level
-    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
-    return table(spark, d, "events").select("event_id", k.alias("k"))
+    """Identities at any depth, by a table function."""
+    texts = table(spark, d, "events").select("event_id", F.expr(NESTED).alias("text"))
+    found = tables.Identities(F.col("text").outer(), F.lit("dataset"), F.lit("episode_index"))
+    return texts.lateralJoin(found).select("event_id", "name", "number")
+
+
+@query("udtf_segment_frames", sql('select episode, frame from frames where a', "a"))
+def udtf_frames(spark, d):
+    """The frames of the positive segments of track a, by a table function."""
+    segments = positives(spark, d, "a")
+    return segments.lateralJoin(tables.SegmentFrames(F.col("start").outer(), F.col("end").outer())).select("episode", "frame")
+
+
+@query("udtf_state_runs", sql("select * from runs_p", "p"))
+def udtf_runs(spark, d):
+    """Runs of a track with unknowns, by a polymorphic table function over each episode's sorted frames."""
+    rows = frames(spark, d).select("episode", "frame", "p")
+    return tables.StateRuns(rows.asTable(), F.lit("episode"), F.lit("p"))
+
+
+@query("src09_episode_tree", """select event_type as dataset, user_id as episode, count(*) as frames, round(sum(value), 4) as total from events
+    where event_type like 'p%' and user_id between 3 and 400 and value > 20 group by 1, 2""")
+def src09_tree(spark, d):
+    """A tree of episodes, written from the events and read through the data source with its filters pushed."""
+    from ..sources import trees
+
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").alias("episode"), "event_id", "value")
+    events.repartition("dataset", "episode").write.partitionBy("dataset", "episode").parquet(folder)
+    rows = trees.episode_tree(spark, folder, "value").where(F.col("dataset").startswith("p") & (F.col("episode") >= 3) & (F.col("episode") <= 400) & (F.col("value") > 20))
+    return rows.groupBy("dataset", "episode").agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("src13_first_unfinished", """select event_type as dataset, count(distinct user_id) as episodes, min(user_id) filter (not done) as first_unfinished from (
+    select event_type, user_id, max(value) over (partition by event_type, user_id) > 100 as done from events) group by 1""")
+def src13(spark, d):
+    """An episode is finished once a value of it is over 100."""
+    from ..sources import trees
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").alias("episode"), "value")
+    return trees.catalogue(rows, rows.where("value > 100"))
 
 
 @query("ag37_fitted_threshold", """with x as (select doc_id, n_chars, toxic from documents join labels using (doc_id)), best as (
