@@ -56,7 +56,7 @@ class TreeReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Filters on the two columns that the tree itself tells stay here, all others are Spark's."""
         for f in filters:
-            of_tree = tuple(f.attribute) in (("dataset",), ("episode",))
+            of_tree = getattr(f, "attribute", None) in (("dataset",), ("episode",))
             if of_tree and isinstance(f, IsNotNull):
                 continue  # neither is ever null
             if of_tree and type(f) in _RULES:
@@ -80,6 +80,8 @@ class TreeReader(DataSourceReader):
                     continue
                 own = [entry] if entry.type == fs.FileType.File else system.get_file_info(fs.FileSelector(entry.path))
                 found.setdefault((dataset, int(match[1])), []).extend(f.path for f in own if f.path.endswith(".parquet"))
+        if not found:  # Spark reads a source without partitions with None
+            return [Episode("", 0, ())]
         return [Episode(*key, tuple(sorted(files))) for key, files in sorted(found.items())]
 
     def read(self, partition: Episode) -> Iterator[pa.RecordBatch]:
@@ -103,9 +105,9 @@ class EpisodeTree(DataSource):
 
     def schema(self) -> T.StructType:
         """Two columns from the tree, and those of the first file."""
-        first = next(iter(TreeReader(self.options["path"], T.StructType()).partitions()), None)
+        first = TreeReader(self.options["path"], T.StructType()).partitions()[0]
         own = T.StructType()
-        if first is not None:
+        if first.files:
             system, _ = opened(self.options["path"])
             with system.open_input_file(first.files[0]) as file:
                 own = from_arrow_schema(pq.read_schema(file))
