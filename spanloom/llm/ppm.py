@@ -44,7 +44,7 @@ END = b"\n"
 SYMBOLS = 256 - 6 + 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows of a batch, and texts whose words are looked up at once.
-ROWS, TEXTS = 1 << 16, 4096
+ROWS, TEXTS = 1 << 16, 2048
 
 DIGEST = "block long, gram long, word binary, n long, doc_id long, held_out boolean, body binary"
 _DIGEST = pa.schema([
@@ -324,7 +324,7 @@ def scores(docs: DataFrame, order: int = ORDER, folds: int = 10) -> DataFrame:
         words.select("block", F.lit(1), none.cast("long"), F.col("c").cast("double"), "word"),
         digest.where("body is not null").select("block", F.lit(2), "doc_id", F.col("held_out").cast("double"), "body"),
     ]
-    parts = max(shuffle_partitions(docs.sparkSession), blocks)
+    parts = max(shuffle_partitions(docs.sparkSession), 4 * blocks)  # few tasks get two blocks
     dealt = back[0].union(back[1]).union(back[2]).repartition(parts, "block").sortWithinPartitions("block", "tag")
     scored = dealt.mapInArrow(_Scores(order, total or 0, kinds or 0), SCORED)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
