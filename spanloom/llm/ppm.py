@@ -12,7 +12,7 @@ shorter one, what is excluded is one sum for each context.
 So a byte's probability depends only on itself and the ``order`` bytes before it, and is
 settled once for each such string of the whole corpus: counts, the trie's nodes and the chains
 of escapes are joins and sums over strings, not over texts.  Tasks hand in the distinct strings
-and words of a block of some 24 MB of texts; the settled ones come back to the block, where the
+and words of a block of 24 to 40 MB of texts; the settled ones come back to the block, where the
 texts are scored by array look-ups.  Nothing is broadcast, and nothing of the corpus meets in
 one task; a common string has at most one row a block.
 
@@ -197,7 +197,7 @@ def _digest(docs: DataFrame, order: int, folds: int) -> DataFrame:
             body = normalised(text)
             texts.append((doc_id, doc_id is None or zlib.crc32(str(doc_id).encode()) % folds == 0, body))
             size += len(body)
-            if size >= BLOCK:
+            if size >= BLOCK * 5 // 3:  # a partition of about one block stays whole
                 yield from block(number, texts)
                 texts, size, number = [], 0, number + 1
         if texts:
