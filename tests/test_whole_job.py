@@ -52,7 +52,7 @@ def test_prj11_covers_every_frame(spark, sf):
 def test_st05_goes_beyond_the_twentieth_part(spark, sf):
     found = QUERIES["st05_chained_parts"](spark, sf).collect()
     assert max(r.released for r in found) > 20
-    assert {r.stopped_at is None for r in found} == {True, False}
+    assert any(r.stopped_at is not None and r.repairs > 2 for r in found)
 
 
 def test_chained_parts_of_long_episodes(spark, tmp_path):
