@@ -18,9 +18,12 @@ def slug(text: Column) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """A key in which numbers inside names sort by value (up to twelve digits)."""
+    """A key in which numbers inside names sort by value, however long: their length in six digits, then
+    their digits without leading zeros."""
     parts = F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.concat_ws("", F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p)))
+    plain = lambda p: F.regexp_replace(p, r"^0+(?=.)", "")
+    number = lambda p: F.concat(F.lpad(F.length(plain(p)).cast("string"), 6, "0"), plain(p))
+    return F.concat_ws("", F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), number(p)).otherwise(p)))
 
 
 def words(text: Column) -> Column:

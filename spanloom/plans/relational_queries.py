@@ -486,9 +486,15 @@ def ag34(spark, d):
     )
 
 
-@query("fn_sort_natural", "select p_partkey, lpad(regexp_extract(p_brand, '\\d+'), 12, '0') as k from part")
+@query("fn_sort_natural", """with names as (select p_partkey, 'file_0' || p_partkey || '_' || p_size || repeat('7', (p_partkey % 15)::int) as name from part), parts as (
+        select p_partkey, name, p_partkey as a, (p_size || repeat('7', (p_partkey % 15)::int))::hugeint as b from names join part using (p_partkey))
+    select x.p_partkey, x.name, x.b > y.b as after from parts x join parts y on y.p_partkey = x.p_partkey + 1""")
 def fn_natural(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.substring(tx.natural_key(F.col("p_brand")), 7, 12).alias("k"))
+    """Whether the last number of a name is larger than the next name's, by the keys of the two."""
+    last = F.concat(F.col("p_size").cast("string"), F.expr("repeat('7', cast(p_partkey % 15 as int))"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("file_0"), "p_partkey", F.lit("_"), last).alias("name"), tx.natural_key(last).alias("key"))
+    following = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("key").alias("_next"))
+    return rows.join(following, "p_partkey").select("p_partkey", "name", (F.col("key") > F.col("_next")).alias("after"))
 
 
 @query("src05_projected_scan", "select event_id, value > 100 or event_type = 'error' as contact from events where user_id = 7")

@@ -258,3 +258,11 @@ def test_quota_take_is_the_greedy_choice(spark):
             chosen.append(queues[o].pop(0))
             taken[o] += 1
         assert sorted(r.id for r in found if r.g == g) == sorted(chosen)
+
+
+def test_numbers_of_any_length_sort_by_value(spark):
+    names = [f"a{n}.txt" for n in (9, 10, 1234567890123, 1234567890124, 9999999999999, 10**30, 10**30 + 1)]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "n string").orderBy(text.natural_key(F.col("n"))).collect()
+    assert [r.n for r in rows] == names
+    padded = spark.createDataFrame([("x010",), ("x9",)], "n string").orderBy(text.natural_key(F.col("n"))).collect()
+    assert [r.n for r in padded] == ["x9", "x010"]
