@@ -8,6 +8,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+from .quantiles import quantiles
+from .shifts import below, null_statistics, pieces
+from .timeline import to_runs
+
 
 def running(rows: DataFrame, order: str, sums: Sequence[str], keys: Sequence[str] = (), parts: int = 256) -> DataFrame:
     """Adds ``before_<c>``, the sum of c over the rows before this one in ``order`` (a number) within
@@ -112,30 +117,38 @@ def paired_bootstrap(
 
 def shift_null(frames: DataFrame, a: str, b: str, keys: Sequence[str] = ("episode",)) -> DataFrame:
     """Overlap of two tracks against all circular shifts of one: observed, the null's mean (the
-    product of the tracks' shares) and the share of shifts that reach the observed value.
+    product of the tracks' shares) and the share of shifts that reach the observed value."""
+    sizes = track_sizes(frames, a, b, keys)
+    cut = pieces(to_runs(frames, a, keys).where("state"), to_runs(frames, b, keys).where("state"), sizes, keys)
+    value, slope, count = F.col("value"), F.col("slope"), F.col("until") - F.col("shift")
+    reached = cut.groupBy(*keys).agg(F.sum(count - below(F.col("observed"), value, slope, count)).alias("reached"))
+    return sizes.join(reached, list(keys)).select(
+        *keys, "observed", (F.col("na") * F.col("nb") / F.col("n_frames")).alias("null_mean"), (F.col("reached") / F.col("n_frames")).alias("share")
+    )
 
-    Only pairs of positive frames are formed; a shift without any has an overlap of 0.
-    """
-    n = F.col("n_frames")
-    sizes = frames.groupBy(*keys, "n_frames").agg(
+
+def shift_null_bands(frames: DataFrame, a: str, b: str, exclusions: Sequence[float], keys: Sequence[str] = ("episode",)) -> DataFrame:
+    """Dice of two tracks against its null over circular shifts, without those nearer to 0 than each
+    exclusion: see ``shifts.null_statistics``."""
+    sizes = track_sizes(frames, a, b, keys)
+    cut = pieces(to_runs(frames, a, keys).where("state"), to_runs(frames, b, keys).where("state"), sizes, keys)
+    return null_statistics(saved(cut, "pieces"), sizes, exclusions, keys)
+
+
+def track_sizes(frames: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
+    return frames.groupBy(*keys, "n_frames").agg(
         F.count_if(F.col(a)).alias("na"), F.count_if(F.col(b)).alias("nb"), F.count_if(F.col(a) & F.col(b)).alias("observed")
     )
-    x = frames.where(F.col(a)).select(*keys, "n_frames", F.col("frame").alias("fa"))
-    y = frames.where(F.col(b)).select(*keys, F.col("frame").alias("fb"))
-    shifts = x.join(y, list(keys)).groupBy(*keys, F.pmod(F.col("fa") - F.col("fb"), n).alias("shift"))
-    shifts = shifts.agg(F.count(F.lit(1)).alias("overlap")).join(sizes.select(*keys, "observed"), list(keys))
-    reached = shifts.groupBy(*keys).agg(F.count_if(F.col("overlap") >= F.col("observed")).alias("reached"))
-    return (
-        sizes.join(reached, list(keys), "left")
-        .withColumn("null_mean", F.col("na") * F.col("nb") / n)
-        .withColumn("share", F.when(F.col("observed") == 0, 1.0).otherwise(F.coalesce("reached", F.lit(0)) / n))
-        .select(*keys, "observed", "null_mean", "share")
-    )
 
 
 def summary(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, mean, population deviation, 5 %, median and 95 % with linear interpolation."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), q.alias("q")
-    ).select(*keys, "n", "mean", "sd", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"))
+    """n, mean, population deviation, 5 %, median and 95 % with linear interpolation.  Keys without a value
+    have an n of 0 and nulls."""
+    moments = rows.groupBy(*keys).agg(F.count(value).alias("_count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    marks = quantiles(rows, value, [0.05, 0.5, 0.95], keys).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return moments.join(marks, same, "left").select(
+        *keys, F.col("_count").alias("n"), "mean", "sd", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95")
+    )

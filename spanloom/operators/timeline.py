@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 KEYS = ("episode",)
 
 
@@ -26,14 +28,7 @@ def to_frames(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def to_runs(frames: DataFrame, state: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Maximal runs of equal state; a null (unknown) or missing frame ends a run."""
-    known = frames.where(F.col(state).isNotNull())
-    row = F.row_number().over(Window.partitionBy(*keys, state).orderBy("frame"))
-    return (
-        known.withColumn("_island", F.col("frame") - row)
-        .groupBy(*keys, state, "_island")
-        .agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end"))
-        .select(*keys, "start", "end", F.col(state).alias("state"))
-    )
+    return scans.runs(frames, state, keys)
 
 
 def coalesce_segments(
@@ -231,9 +226,8 @@ def majority(observations: DataFrame, keys: Sequence[str], state: str) -> DataFr
 
 
 def forward_fill(rows: DataFrame, column: str, keys: Sequence[str], order: str) -> DataFrame:
-    """Nulls replaced by the last known value before them."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(window))
+    """Nulls replaced by the last known value before them; ``order`` is a number, as of frames."""
+    return scans.last_known(rows, column, keys, [order], scans.frames_block(order))
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -246,17 +240,14 @@ def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS) -
     )
 
 
-def as_of(events: DataFrame, states: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def as_of(events: DataFrame, states: DataFrame, keys: Sequence[str] = KEYS, block: Column | None = None) -> DataFrame:
     """For each event (keys..., at) the value of the last state (keys..., at, value) not after it.
 
-    One sort per key: both sides are put in one sequence and the value is carried forward.
+    Both sides are put in one sequence and the value is carried forward, inside blocks first:
+    ``block`` is a column of ``at`` that never falls, such as its day; without it, a key is one block.
     """
     both = states.select(*keys, "at", "value", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("id")).unionByName(
         events.select(*keys, "at", F.lit(None).cast(states.schema["value"].dataType).alias("value"), F.lit(1).alias("_side"), "id")
     )
-    window = Window.partitionBy(*keys).orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        both.withColumn("value", F.last("value", ignorenulls=True).over(window))
-        .where("_side = 1")
-        .select(*keys, "id", "at", "value")
-    )
+    filled = scans.last_known(both, "value", keys, ["at", "_side"], F.lit(0) if block is None else block)
+    return filled.where("_side = 1").select(*keys, "id", "at", "value")

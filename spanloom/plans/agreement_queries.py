@@ -565,6 +565,22 @@ def ag21(spark, d):
     return rounded(stats.shift_null(frames(spark, d), "a", "b"), "null_mean", "share")
 
 
+@query("ag21_shift_null_bands", sql("""select e.episode, exclusion, count(*) as shifts, round(any_value(2 * obs / den), 6) as raw, round(avg(2 * coalesce(ov, 0) / den), 6) as null_mean,
+    round(stddev_pop(2 * coalesce(ov, 0) / den), 6) as null_sd, round((count(*) filter (coalesce(ov, 0) < obs) + 0.5 * count(*) filter (coalesce(ov, 0) = obs)) / count(*)::double, 6) as percentile,
+    round(any_value(2 * obs / den) - avg(2 * coalesce(ov, 0) / den), 6) as excess,
+    round(case when stddev_pop(2 * coalesce(ov, 0) / den) >= 1e-8 then (any_value(2 * obs / den) - avg(2 * coalesce(ov, 0) / den)) / stddev_pop(2 * coalesce(ov, 0) / den) end, 6) as z,
+    round(case when 1 - avg(2 * coalesce(ov, 0) / den) > 1e-10 then (any_value(2 * obs / den) - avg(2 * coalesce(ov, 0) / den)) / (1 - avg(2 * coalesce(ov, 0) / den)) end, 6) as anchor,
+    round(quantile_cont(2 * coalesce(ov, 0) / den, 0.05), 6) as null_q05, round(quantile_cont(2 * coalesce(ov, 0) / den, 0.5), 6) as null_q50, round(quantile_cont(2 * coalesce(ov, 0) / den, 0.95), 6) as null_q95
+    from (select episode, n_frames, (count(*) filter (a) + count(*) filter (b))::double as den, count(*) filter (a and b) as obs from frames group by 1, 2) e
+    cross join (values (0::double), (0.05::double), (0.1::double), (0.25::double)) bands(exclusion), lateral (select unnest(range(n_frames)) as k) shifts
+    left join (select x.episode, (x.frame - y.frame + x.n_frames) % x.n_frames as k, count(*) as ov from frames x join frames y on x.episode = y.episode and x.a and y.b group by 1, 2) o
+        on o.episode = e.episode and o.k = shifts.k
+    where den > 0 and shifts.k between ceil(exclusion * n_frames) and floor((1 - exclusion) * n_frames) group by e.episode, exclusion"""))
+def ag21_bands(spark, d):
+    found = stats.shift_null_bands(frames(spark, d), "a", "b", [0.0, 0.05, 0.1, 0.25])
+    return rounded(found, "raw", "null_mean", "null_sd", "percentile", "excess", "z", "anchor", "null_q05", "null_q50", "null_q95")
+
+
 @query("ag22_auroc", """select round((sum(case when toxic = 1 then r else 0 end) - np * (np + 1) / 2) / (np * nn), 6) as auroc, np::bigint as positives, nn::bigint as negatives from (
     select toxic, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0 as r, sum(toxic) over () as np, sum(1 - toxic) over () as nn
     from labels join documents using (doc_id)) group by np, nn""")

@@ -170,7 +170,7 @@ def jn19(spark, d):
     ev = table(spark, d, "events").withColumn("at", F.col("ts"))
     clicks = ev.where("event_type = 'click'").select("user_id", "at", F.col("event_id").alias("id"))
     bought = ev.where("event_type = 'purchase'").select("user_id", "at", "value")
-    return tl.as_of(clicks, bought, ["user_id"]).select("id", "value")
+    return tl.as_of(clicks, bought, ["user_id"], F.to_date("at")).select("id", "value")
 
 
 @query("prj10_reasons", """select case when n_chars < 200 then 'short' when lang <> 'en' then 'language' when source = 'src0' then 'source' else 'eligible' end as reason, count(*) as n from documents group by 1""")

@@ -259,10 +259,12 @@ def wn08(spark, d):
 @query("wn11_median_period", sql("""select episode, round(quantile_cont(gap, 0.5), 3) as median_gap from (
     select episode, (epoch_us(lead(ts) over (partition by episode order by frame)) - epoch_us(ts)) / 1000000.0 as gap from frames) where gap is not null group by episode"""))
 def wn11(spark, d):
+    from ..operators.quantiles import quantiles
+
     w = Window.partitionBy("episode").orderBy("frame")
     gap = (F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
     rows = frames(spark, d).withColumn("gap", gap).where("gap is not null")
-    return rows.groupBy("episode").agg(F.round(F.percentile("gap", 0.5), 3).alias("median_gap"))
+    return quantiles(rows, "gap", [0.5], ["episode"]).select("episode", F.round(F.col("q")[0], 3).alias("median_gap"))
 
 
 @query("wn12_scored_once", sql("""select episode, count(*) as frames, max(n) as most from (
