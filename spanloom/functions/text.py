@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import saved
+from .sequences import common_subsequence, edit_distance, edit_similarity  # noqa: F401
+
 
 def normal(text: Column) -> Column:
     """Lower case, white space collapsed."""
@@ -56,43 +59,6 @@ def redacted(text: Column, secret: Column) -> Column:
     return F.replace(text, secret, F.lit("[redacted]"))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays of labels, row by row with higher-order functions."""
-    start = F.sequence(F.lit(0), F.size(b))
-
-    def next_row(row: Column, x: Column) -> Column:
-        # place j: least of insertion (from the left), deletion and substitution
-        def cell(acc: Column, j: Column) -> Column:
-            cost = F.when(F.element_at(b, j) == x, 0).otherwise(1)
-            best = F.least(
-                F.element_at(acc, -1) + 1, F.element_at(row, j + 1) + 1, F.element_at(row, j) + cost
-            )
-            return F.concat(acc, F.array(best))
-
-        first = F.array(F.element_at(row, 1) + 1)
-        places = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, first, cell)
-
-    return F.element_at(F.aggregate(a, start, next_row), -1)
-
-
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays."""
-    zeros = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def next_row(row: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            best = F.when(F.element_at(b, j) == x, F.element_at(row, j) + 1).otherwise(
-                F.greatest(F.element_at(acc, -1), F.element_at(row, j + 1))
-            )
-            return F.concat(acc, F.array(best))
-
-        places = F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(a, zeros, next_row), -1)
-
-
 def token_f1(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """Multiset F1 of the words of two text columns, by counting words, not by loops; null where neither has words."""
     each = F.explode_outer(
@@ -108,6 +74,11 @@ def token_f1(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFra
 def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word, weight): unit-length TF-IDF vectors with smoothed idf ln((1 + N) / (1 + df)) + 1."""
     counts = docs.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
+    return _weights(counts, docs, key)
+
+
+def _weights(counts: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """Unit-length TF-IDF weights of counted terms (key, word, tf)."""
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     weighed = counts.join(df, "word").crossJoin(F.broadcast(n))  # n is one row
@@ -116,6 +87,58 @@ def tf_idf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return weighed.join(length, key).select(key, "word", (F.col("w") / F.col("length")).alias("weight"))
 
 
+def char_grams(text: Column, size: int = 4) -> Column:
+    """All runs of ``size`` characters of the normal text; a shorter one is one run, an empty one none."""
+    plain = normal(text)
+    starts = F.sequence(F.lit(1), F.length(plain) - size + 1)
+    runs = F.transform(starts, lambda i: F.substring(plain, i, F.lit(size)))
+    return F.when(F.length(plain) >= size, runs).when(F.length(plain) > 0, F.array(plain)).otherwise(F.array().cast("array<string>"))
+
+
+def similar_texts(docs: DataFrame, key: str, text: str, least: float, grams=words) -> DataFrame:
+    """(left, right, cosine) with left < right: pairs of keys whose texts' TF-IDF vectors have a cosine of
+    ``least`` or more (above 0).  ``grams`` gives a text's terms: ``words`` or ``char_grams``.
+
+    An inverted index over the rarest terms only: in one order of all terms, a vector's terms are listed
+    until what remains is shorter than ``least``.  Vectors that first meet in a term beyond either list
+    have too little left to reach it (Cauchy-Schwarz), so pairs are formed only in listed terms,
+    and each is then scored on its whole vectors.  Texts with equal terms and counts are copies: the one
+    with the least key stands for them in all pairs, and each other is paired with it alone, at 1.
+    Null and empty texts have no vector and are in no pair; keys are distinct.
+    """
+    counts = docs.select(key, F.explode(grams(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
+    weighed = saved(_weights(counts, docs, key), "weights")
+    df = weighed.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    vector = F.array_sort(F.collect_list(F.struct("df", "word", "weight")))
+    vectors = weighed.join(df, "word").groupBy(key).agg(vector.alias("v"))
+    content = F.sha2(F.to_json(F.transform("v", lambda x: F.struct(x["word"], F.round(x["weight"], 12)))), 256)
+    vectors = saved(vectors.withColumn("_content", content), "vectors")
+    members = vectors.select(key, "_content")
+    texts = vectors.groupBy("_content").agg(F.min_by("v", key).alias("v"), F.min(key).alias("_first"))
+    # what remains of the squared length before each term; a little slack for rounding
+    parts = F.aggregate(
+        "v", F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<string>").alias("listed")),
+        lambda acc, x: F.struct(
+            (acc["rest"] - x["weight"] * x["weight"]).alias("rest"),
+            F.when(acc["rest"] >= least * least - 1e-9, F.concat(acc["listed"], F.array(x["word"]))).otherwise(acc["listed"]).alias("listed"),
+        ),
+    )
+    listed = texts.select("_content", F.explode(parts["listed"]).alias("word"))
+    left, right = listed.withColumnRenamed("_content", "_l"), listed.withColumnRenamed("_content", "_r")
+    pairs = left.join(right, "word").where("_l < _r").select("_l", "_r").distinct()
+    entries = lambda side: texts.select(F.col("_content").alias(side), F.map_from_entries(
+        F.transform("v", lambda x: F.struct(x["word"], x["weight"]))).alias(f"{side}v"))
+    both = pairs.join(entries("_l"), "_l").join(entries("_r"), "_r")
+    shared = F.array_intersect(F.map_keys("_lv"), F.map_keys("_rv"))
+    cosine = F.aggregate(shared, F.lit(0.0), lambda s, w: s + F.element_at("_lv", w) * F.element_at("_rv", w))
+    found = both.select("_l", "_r", cosine.alias("cosine")).where(F.col("cosine") >= least - 1e-12)
+    ends = lambda side: texts.select(F.col("_content").alias(side), F.col("_first").alias(f"{side}k"))
+    first = found.join(ends("_l"), "_l").join(ends("_r"), "_r")
+    first = first.select(F.least("_lk", "_rk").alias("left"), F.greatest("_lk", "_rk").alias("right"), "cosine")
+    copies = members.join(texts.select("_content", "_first"), "_content").where(F.col(key) > F.col("_first"))
+    return first.unionByName(copies.select(F.col("_first").alias("left"), F.col(key).alias("right"), F.lit(1.0).alias("cosine")))
+
+
 def citations(text: Column) -> Column:
     """Frame numbers and ranges that a text cites, as [first, last] pairs."""
     found = F.regexp_extract_all(text, F.lit(r"(\d+(?:\s*[-–]\s*\d+)?)"), F.lit(1))

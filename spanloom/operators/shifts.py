@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
 from .quantiles import quantiles
 from .scans import BLOCK, frames_block, sums_before
 
@@ -50,6 +51,7 @@ def pieces(left: DataFrame, right: DataFrame, sizes: DataFrame, keys: Sequence[s
     starts = circles.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(width).cast("long"))).alias("shift"))
     knots = bends.where("shift <> 0").unionByName(starts.withColumn("bend", F.lit(0).cast("long")))
     knots = knots.groupBy(*keys, "shift").agg(F.sum("bend").alias("bend")).withColumn("_moment", F.col("bend") * F.col("shift"))
+    knots = saved(knots, "knots")  # read three times below
     block = frames_block("shift", width)
     walked = sums_before(knots, ["shift"], ["bend", "_moment"], keys, block)
     # the walk comes back to its start after n shifts, which gives the first slope
@@ -100,13 +102,14 @@ def null_statistics(
     count, slope, value, seen = F.col("_count"), F.col("slope"), F.col("value"), F.col("observed")
     off, m, s = value - F.col("_centre"), count.cast("double"), slope.cast("double")
     total = m * off + s * m * (m - 1) / 2
+    overlap = value * count + slope * F.shiftright(count * (count - 1), 1)  # whole numbers
     squares = m * off * off + off * s * m * (m - 1) + s * s * (m - 1) * m * (2 * m - 1) / 6
     less = below(seen, value, slope, count)
     equal = below(seen + 1, value, slope, count) - less
     group = [*keys, "exclusion"]
     sums = kept.groupBy(*group).agg(
-        F.sum("_count").alias("shifts"), F.sum(total).alias("_t"), F.sum(squares).alias("_s"), F.sum(less).alias("_less"),
-        F.sum(equal).alias("_equal"), F.first("observed").alias("_seen"), F.first("_den").alias("_den"), F.first("_centre").alias("_centre"),
+        F.sum("_count").alias("shifts"), F.sum(overlap).alias("_overlap"), F.sum(total).alias("_t"), F.sum(squares).alias("_s"), F.sum(less).alias("_less"),
+        F.sum(equal).alias("_equal"), F.first("observed").alias("_seen"), F.first("_den").alias("_den"),
     )
     end = value + slope * (count - 1)
     steps = F.when(slope == 0, F.array(value)).otherwise(F.sequence(value, end, F.when(slope == 0, 1).otherwise(slope)))
@@ -115,13 +118,14 @@ def null_statistics(
     scale, mean_off = 2 / F.col("_den"), F.col("_t") / F.col("shifts")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_s") / F.col("shifts") - mean_off * mean_off))
     done = sums.select(
-        *group, "_den", "shifts", (F.col("_seen") * scale).alias("raw"), ((mean_off + F.col("_centre")) * scale).alias("null_mean"),
+        *group, "_den", "shifts", (2 * F.col("_seen") / F.col("_den")).alias("raw"),
+        (2 * F.col("_overlap") / (F.col("_den") * F.col("shifts"))).alias("null_mean"),
         (spread * scale).alias("null_sd"), ((F.col("_less") + F.col("_equal") / 2) / F.col("shifts")).alias("percentile"),
     )
     excess = F.col("raw") - F.col("null_mean")
     anchor = F.when(1 - F.col("null_mean") > 1e-10, excess / (1 - F.col("null_mean")))
     z = F.when(F.col("null_sd") >= 1e-8, excess / F.col("null_sd"))
-    quantile = [(F.col("q")[i] * scale).alias(f"null_q{name}") for i, name in enumerate(("05", "50", "95"))]
+    quantile = [(2 * F.col("q")[i] / F.col("_den")).alias(f"null_q{name}") for i, name in enumerate(("05", "50", "95"))]
     return done.join(marks, group).select(
         *group, "shifts", "raw", "null_mean", "null_sd", "percentile", excess.alias("excess"), z.alias("z"), anchor.alias("anchor"), *quantile
     )

@@ -118,8 +118,7 @@ def paired_bootstrap(
 def shift_null(frames: DataFrame, a: str, b: str, keys: Sequence[str] = ("episode",)) -> DataFrame:
     """Overlap of two tracks against all circular shifts of one: observed, the null's mean (the
     product of the tracks' shares) and the share of shifts that reach the observed value."""
-    sizes = track_sizes(frames, a, b, keys)
-    cut = pieces(to_runs(frames, a, keys).where("state"), to_runs(frames, b, keys).where("state"), sizes, keys)
+    sizes, cut = _shifted(frames, a, b, keys)
     value, slope, count = F.col("value"), F.col("slope"), F.col("until") - F.col("shift")
     reached = cut.groupBy(*keys).agg(F.sum(count - below(F.col("observed"), value, slope, count)).alias("reached"))
     return sizes.join(reached, list(keys)).select(
@@ -130,15 +129,22 @@ def shift_null(frames: DataFrame, a: str, b: str, keys: Sequence[str] = ("episod
 def shift_null_bands(frames: DataFrame, a: str, b: str, exclusions: Sequence[float], keys: Sequence[str] = ("episode",)) -> DataFrame:
     """Dice of two tracks against its null over circular shifts, without those nearer to 0 than each
     exclusion: see ``shifts.null_statistics``."""
-    sizes = track_sizes(frames, a, b, keys)
-    cut = pieces(to_runs(frames, a, keys).where("state"), to_runs(frames, b, keys).where("state"), sizes, keys)
+    sizes, cut = _shifted(frames, a, b, keys)
     return null_statistics(saved(cut, "pieces"), sizes, exclusions, keys)
 
 
+def _shifted(frames: DataFrame, a: str, b: str, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    tracks = saved(frames.select(*keys, "n_frames", "frame", a, b), "tracks")  # read three times
+    sizes = track_sizes(tracks, a, b, keys)
+    left, right = (to_runs(tracks.where(c), c, keys) for c in (a, b))
+    return sizes, pieces(left, right, sizes, keys)
+
+
 def track_sizes(frames: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
-    return frames.groupBy(*keys, "n_frames").agg(
+    counts = frames.groupBy(*keys, "n_frames").agg(
         F.count_if(F.col(a)).alias("na"), F.count_if(F.col(b)).alias("nb"), F.count_if(F.col(a) & F.col(b)).alias("observed")
     )
+    return saved(counts, "sizes")
 
 
 def summary(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -479,6 +479,36 @@ def fn_track_edit(spark, d):
     return rows.select("episode", tx.edit_distance(F.col("s.a"), F.col("s.p")).alias("distance"))
 
 
+def similar_sql(terms: str) -> str:
+    return f"""with t as (select item_id, unnest({terms}) as word from benchmark), c as (select item_id, word, count(*) as tf from t group by 1, 2),
+    w as (select item_id, word, tf * (ln((1 + (select count(*) from benchmark)) / (1 + count(*) over (partition by word))::double) + 1) as w from c),
+    r as (select item_id, min(item_id) over (partition by bag) as rep from (select item_id, string_agg(word || chr(1) || tf, chr(2) order by word) as bag from c group by 1)),
+    u as (select item_id, word, w / sqrt(sum(w * w) over (partition by item_id)) as w from w join r using (item_id) where item_id = rep)
+    select x.item_id as "left", y.item_id as "right", round(sum(x.w * y.w), 6) as cosine from u x join u y on x.word = y.word and x.item_id < y.item_id group by 1, 2 having sum(x.w * y.w) >= 0.2
+    union all select rep, item_id, 1.0::double from r where item_id > rep"""
+
+
+@query("fn_similar_by_words", similar_sql("regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"))
+def fn_similar_words(spark, d):
+    return tx.similar_texts(table(spark, d, "benchmark"), "item_id", "text", 0.2).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("fn_similar_by_characters", similar_sql("""(select case when length(p) >= 4 then list_transform(range(1, length(p) - 2), lambda i: substring(p, i, 4)) when length(p) > 0 then [p] else [] end
+    from (select trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as p))"""))
+def fn_similar_characters(spark, d):
+    return tx.similar_texts(table(spark, d, "benchmark"), "item_id", "text", 0.2, tx.char_grams).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("fn_label_edit_similarity", sql("""select episode, round(1 - levenshtein(x, y) / greatest(length(x), length(y))::double, 6) as similarity from (select episode,
+    string_agg(case when a then 'y' else 'n' end, '' order by frame) as x, coalesce(string_agg(case when p then 'y' else 'n' end, '' order by frame) filter (p is not null), '') as y from frames group by episode)"""))
+def fn_edit_similarity(spark, d):
+    # a track against the known part of another: the lengths differ
+    label = lambda c: F.when(F.col(c), "y").otherwise("n")
+    track = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("frame", label(c).alias("l")))))["l"]
+    rows = frames(spark, d).groupBy("episode").agg(track("a").alias("a"), track("p").alias("p"))
+    return rows.select("episode", F.round(tx.edit_similarity(F.col("a"), F.col("p")), 6).alias("similarity"))
+
+
 @query("ag34_text_statistics", """select doc_id, len(regexp_extract_all(text, '[^ ]+')) as words, len(regexp_extract_all(text, ' the ')) as the_count from documents""")
 def ag34(spark, d):
     return table(spark, d, "documents").select(
