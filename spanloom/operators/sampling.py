@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shards import next_fit_shards  # noqa: F401
+
 
 def hash_key(seed: str, *columns: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *columns), 256)
@@ -94,24 +96,6 @@ def first_of_each(rows: DataFrame, key: Sequence[str], order: Sequence[str]) ->
     return rows.withColumn("_r", F.row_number().over(window)).where("_r = 1").drop("_r")
 
 
-def next_fit_shards(rows: DataFrame, group: str, order: Sequence[str], size: str, most: float, most_rows: int) -> DataFrame:
-    """Pack each group's rows, in order, into shards; a shard closes when the next row would
-    overflow its size or count.  The state is sequential, so a group is one task's stream."""
-    schema = rows.select(group, *order, size).schema.add("shard", "long")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        shards, shard, used, n = [], 0, 0.0, 0
-        for s in pdf[size]:
-            if n and (used + s > most or n + 1 > most_rows):
-                shard, used, n = shard + 1, 0.0, 0
-            used, n = used + s, n + 1
-            shards.append(shard)
-        return pdf.assign(shard=shards)
-
-    return rows.select(group, *order, size).groupBy(group).applyInPandas(deal, schema)
-
-
 def closest_subset(sizes: dict[str, int], target: int) -> set[str]:
     """Groups whose sizes sum up closest to the target, an undershoot before an overshoot.
 

@@ -397,10 +397,14 @@ def sl14(spark, d):
     return rows.select("o_custkey", "o_orderkey")
 
 
-@query("snk06_next_fit_shards")
+@query("snk06_next_fit_shards", """with recursive r as (select strftime(o_orderdate, '%Y-%m') as day, o_orderkey, o_totalprice, row_number() over (partition by strftime(o_orderdate, '%Y-%m') order by o_orderkey) as i from orders),
+    w(day, i, used, n, shard) as (select day, i, o_totalprice::double, 1, 0::bigint from r where i = 1
+        union all select r.day, r.i, case when full_ then o_totalprice else used + o_totalprice end, case when full_ then 1 else n + 1 end, case when full_ then shard + 1 else shard end
+        from (select r.day, r.i, r.o_totalprice::double as o_totalprice, w.used, w.n, w.shard, w.used + r.o_totalprice::double > 1000000 or w.n + 1 > 5 as full_ from w join r on r.day = w.day and r.i = w.i + 1) r)
+    select day, o_orderkey, o_totalprice, shard from w join r using (day, i)""")
 def snk06(spark, d):
     rows = table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM"))
-    return sp.next_fit_shards(rows, "day", ["o_orderkey"], "o_totalprice", 1_000_000.0, 5)
+    return sp.next_fit_shards(rows, "day", ["o_orderkey"], "o_totalprice", 1_000_000.0, 5, F.floor(F.col("o_orderkey") / 65_536))
 
 
 @query("so01_union_with_duplicates", """select id, count(*) as times from (select o_orderkey as id from orders union all select l_orderkey from lineitem) group by id having count(*) > 1""")
