@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -109,27 +111,73 @@ def closest_subset(sizes: dict[str, int], target: int) -> set[str]:
     return set(reached[best])
 
 
+def closest_pairs(lefts: list[tuple], rights: list[tuple]) -> list[tuple]:
+    """(gap, left key, right key), taken greedily from lists of (value, key): the least |ln(value ratio)|
+    first, then the lesser keys, each row once.
+
+    Rows of equal value are one place.  The next pair is in one place or in two neighbouring ones,
+    one of each side, so a heap of neighbours and a linked list of places do, and memory is linear.
+    """
+    places = sorted({v for v, _ in lefts} | {v for v, _ in rights})
+    number = {v: i for i, v in enumerate(places)}
+    keys: list[tuple[list, list]] = [([], []) for _ in places]
+    for side, rows in enumerate((lefts, rights)):
+        for v, key in sorted(rows, reverse=True):  # the least key is the last
+            keys[number[v]][side].append(key)
+    before, after = list(range(-1, len(places) - 1)), list(range(1, len(places) + 1))
+    heap: list[tuple] = []
+
+    def offer(i: int, j: int) -> None:
+        """Both ways in which place i's and place j's rows make a pair."""
+        if 0 <= i and j < len(places):
+            for a, b in {(i, j), (j, i)}:
+                if keys[a][0] and keys[b][1]:
+                    gap = abs(math.log(places[a] / places[b]))
+                    heapq.heappush(heap, (gap, keys[a][0][-1], keys[b][1][-1], a, b))
+
+    for i in range(len(places)):
+        offer(i, i)
+        offer(i, after[i])
+    found = []
+    while heap:
+        gap, x, y, a, b = heapq.heappop(heap)
+        if not keys[a][0] or not keys[b][1] or keys[a][0][-1] != x or keys[b][1][-1] != y:
+            continue  # one of the rows is taken; what is left there has been offered anew
+        found.append((gap, x, y))
+        keys[a][0].pop()
+        keys[b][1].pop()
+        for i in {a, b}:
+            if not keys[i][0] and not keys[i][1]:
+                left, right = before[i], after[i]
+                if left >= 0:
+                    after[left] = right
+                if right < len(places):
+                    before[right] = left
+                offer(left, right)
+            else:
+                offer(i, i)
+                offer(before[i], i)
+                offer(i, after[i])
+    return found
+
+
 def matched_pairs(left: DataFrame, right: DataFrame, stratum: str, value: str, key: str) -> DataFrame:
-    """Pairs one of each side within a stratum, by ascending |ln(value ratio)|, each once."""
+    """Pairs one of each side within a stratum, by ascending |ln(value ratio)|, then keys, each row once.
+
+    A row whose value is null, NaN, infinite, zero or negative has no ratio and is in no pair, as is one
+    without a key; null is a stratum.  Keys are distinct within a side.  A stratum is one task, in memory that
+    grows with its rows.
+    """
     schema = f"{stratum} string, left_key long, right_key long, distance double"
 
     def pair(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        gaps = np.abs(np.log(a[value].to_numpy()[:, None] / b[value].to_numpy()[None]))
-        order = sorted((g, x, y) for row, x in zip(gaps.tolist(), a[key], strict=True) for g, y in zip(row, b[key], strict=True))
-        used, rows = (set(), set()), []
-        for g, x, y in order:
-            if x not in used[0] and y not in used[1]:
-                used[0].add(x)
-                used[1].add(y)
-                rows.append((k[0], x, y, g))
-        return pd.DataFrame(rows, columns=[stratum, "left_key", "right_key", "distance"])
-
-    columns = [stratum, key, value]
+        sides = [list(zip(part[value].tolist(), part[key].tolist(), strict=True)) for part in (pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1])]
+        return pd.DataFrame([(k[0], x, y, gap) for gap, x, y in closest_pairs(*sides)], columns=[stratum, "left_key", "right_key", "distance"])
+
+    columns = [stratum, F.col(key).cast("long").alias(key), F.col(value).cast("double").alias(value)]
     both = left.select(*columns, F.lit(0).alias("_side")).union(right.select(*columns, F.lit(1).alias("_side")))
-    return both.groupBy(stratum).applyInPandas(pair, schema)
+    usable = (F.col(value) > 0) & (F.col(value) < float("inf")) & F.col(key).isNotNull()
+    return both.where(usable).groupBy(stratum).applyInPandas(pair, schema)
 
 
 def quota_take(rows: DataFrame, group: str, outcome: str, order: Sequence[str], count: int) -> DataFrame:

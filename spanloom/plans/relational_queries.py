@@ -127,7 +127,7 @@ def jn13(spark, d):
 
 @query("jn14_matched_pairs")
 def jn14(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("len", F.col("n_chars").cast("double")).where("len > 0")
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumn("len", F.col("n_chars").cast("double"))
     return sp.matched_pairs(docs.where("quality = 0"), docs.where("quality = 1"), "source", "len", "doc_id")
 
 
