@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .timeline import within
+
 #: What a ratio without cases is: undefined, 0 or 1.
 ZERO = {"null": None, "zero": 0.0, "one": 1.0}
 
@@ -132,3 +134,74 @@ def defined_mean(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] =
         known = F.when(~F.isnan(c), F.col(c))
         aggs += [F.avg(known).alias(f"mean_{c}"), F.count(known).alias(f"n_{c}")]
     return rows.groupBy(*keys).agg(*aggs)
+
+
+def state_agreement(frames: DataFrame, left: Sequence[str], right: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Agreement of two labelers on two axes (such as progress and failure) and on their four joint states.
+
+    Frames are counted by pair of states first, at most 16 rows for each key.  Frames with an unknown axis take no part.
+    """
+    code = lambda axes: F.col(axes[0]).cast("int") * 2 + F.col(axes[1]).cast("int")
+    coded = frames.select(*keys, code(left).alias("l"), code(right).alias("r")).where("l is not null and r is not null")
+    counts = coded.groupBy(*keys, "l", "r").agg(F.count(F.lit(1)).alias("k"))
+    where = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    bit = lambda side, axis: F.col(side).bitwiseAND(2 - axis) > 0
+    sums = {"frames": F.sum("k"), "joint": where(F.col("l") == F.col("r"))}
+    for axis in (0, 1):
+        sums[f"same_{axis}"] = where(bit("l", axis) == bit("r", axis))
+        sums[f"both_{axis}"] = where(bit("l", axis) & bit("r", axis))
+        sums[f"either_{axis}"] = where(bit("l", axis)) + where(bit("r", axis))
+    for state in range(4):
+        sums[f"chance_{state}"] = where(F.col("l") == state).cast("double") * where(F.col("r") == state).cast("double")
+    per = counts.groupBy(*keys).agg(*(c.alias(name) for name, c in sums.items()))
+    n, accuracy = F.col("frames").cast("double"), F.col("joint") / F.col("frames")
+    chance = (F.col("chance_0") + F.col("chance_1") + F.col("chance_2") + F.col("chance_3")) / (n * n)
+    return per.select(
+        *keys, "frames", ((F.col("same_0") + F.col("same_1")) / (2 * n)).alias("axis_accuracy"), accuracy.alias("joint_accuracy"),
+        ratio(accuracy - chance, 1 - chance).alias("joint_kappa"),
+        *(ratio(2 * F.col(f"both_{axis}"), f"either_{axis}").alias(f"dice_{axis}") for axis in (0, 1)),
+    )
+
+
+def type_agreement(frames: DataFrame, left: Sequence[str], right: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Agreement on several labels at once, a boolean column each; a null is a label that isn't set.
+
+    Jaccard is over the frames that have any label, ``exact`` over all; ``macro_dice`` is the mean over the labels that
+    either side uses (their number: ``eligible``), ``micro_dice`` pools them.
+    """
+    on = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    both, either = (sum((f(on(x), on(y)) for x, y in zip(left, right, strict=True)), F.lit(0)) for f in (F.least, F.greatest))
+    sized = frames.withColumns({"_both": both, "_either": either})
+    per = sized.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("frames"), F.avg(F.when(F.col("_either") > 0, F.col("_both") / F.col("_either"))).alias("jaccard"),
+        F.avg((F.col("_either") > 0).cast("double")).alias("nonempty"), F.avg((F.col("_both") == F.col("_either")).cast("double")).alias("exact"),
+        F.array(*(ratio(2 * F.sum(F.least(on(x), on(y))), F.sum(on(x) + on(y))) for x, y in zip(left, right, strict=True))).alias("dice"),
+        ratio(2 * F.sum("_both"), F.sum(F.col("_both") + F.col("_either"))).alias("micro_dice"),
+    )
+    defined = F.array_compact("dice")
+    total = F.aggregate(defined, F.lit(0.0), lambda s, x: s + x)
+    macro = F.when(F.size(defined) > 0, total / F.size(defined))
+    return per.select(*keys, "frames", "jaccard", "nonempty", "exact", macro.alias("macro_dice"), "micro_dice", F.size(defined).cast("long").alias("eligible"))
+
+
+def tolerant_hits(refs: DataFrame, preds: DataFrame, gap: int, keys: Sequence[str] = ("episode",)) -> DataFrame:
+    """(side, category, segments, hit, same_category): segments (keys..., start, end, categories) that have one of the
+    other side at most ``gap`` frames away, and of those the ones that share a category with such a one.
+
+    A row for all segments of each side and one for each category of the references; a segment without categories
+    counts as ``none``, one with several in each.  Segments are told apart by their start.
+    """
+    pairs = within(refs.select(*keys, "start", "end", "categories"), preds.select(*keys, "start", "end", "categories"), gap, keys)
+    shared = F.coalesce(F.arrays_overlap("left_categories", "right_categories"), F.lit(False))
+    sides = []
+    for side, rows, start in (("reference", refs, "left_start"), ("predicted", preds, "right_start")):
+        near = pairs.groupBy(*keys, F.col(start).alias("start")).agg(F.max(shared).alias("_same"))
+        found = rows.join(near, [*keys, "start"], "left")
+        kinds = F.transform(F.coalesce("categories", F.array()), lambda c: c.cast("string"))
+        named = F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("none")))
+        listed = F.concat(F.array(F.lit("all")), F.array_distinct(named)) if side == "reference" else F.array(F.lit("all"))
+        sides.append(found.select(F.lit(side).alias("side"), F.explode(listed).alias("category"), "_same"))
+    both = sides[0].unionByName(sides[1])
+    return both.groupBy("side", "category").agg(
+        F.count(F.lit(1)).alias("segments"), F.count("_same").alias("hit"), F.count_if("_same").alias("same_category")
+    )

@@ -80,6 +80,23 @@ def evenly(n: Column, k: int) -> Column:
     return F.array_distinct(places)
 
 
+def capped_frames(n: Column, fps: Column, rate: float, cap: int) -> Column:
+    """Frames at ``rate`` a second and the last one, at most ``cap`` (2 or more) of them or, where the last one
+    comes on top, one more stride apart; null without frames or clock."""
+    stride = F.greatest(F.lit(1), F.ceil(fps / rate), F.ceil((n - 1) / (cap - 1))).cast("long")
+    frames = F.array_union(F.sequence(F.lit(0).cast("long"), n - 1, stride), F.array(n - 1))
+    return F.when((n > 0) & (fps > 0), frames)
+
+
+def evenly_from(pool: Column, k: Column) -> Column:
+    """k of the frames of a sorted pool, from its first to its last, places rounded half up in whole numbers; all of
+    them if there are fewer, the first for one, none for none."""
+    size, count = F.size(pool).cast("long"), F.least(k.cast("long"), F.size(pool).cast("long"))
+    place = lambda i: F.floor((i * (size - 1) * 2 + (count - 1)) / (2 * (count - 1))).cast("int")
+    several = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(count - 1, F.lit(0))), lambda i: F.get(pool, place(i)))
+    return F.when(count > 1, several).when(count == 1, F.slice(pool, 1, 1)).otherwise(F.slice(pool, 1, 0))
+
+
 def prefix_within_budget(rows: DataFrame, cost: str, budget: float, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows, in order, whose running cost stays within the budget."""
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -77,3 +77,14 @@ def runs(frames: DataFrame, state: str, keys: Sequence[str], width: int = BLOCK)
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .select(*keys, "start", "end", F.col(state).alias("state"))
     )
+
+
+def previous(rows: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "previous") -> DataFrame:
+    """Adds ``name``: the column's value in the row before this one within the keys, null for the first."""
+    placed = rows.withColumn("_block", block)
+    ends = placed.groupBy(*keys, "_block").agg(F.max_by(column, F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block")))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    shifted = placed.withColumns({"_in": F.lag(column).over(inside), "_opens": F.row_number().over(inside) == 1})
+    joined = _with_blocks(shifted, ends, keys, ["_carry"])
+    return joined.select(*rows.columns, F.when(F.col("_opens"), F.col("_carry")).otherwise(F.col("_in")).alias(name))

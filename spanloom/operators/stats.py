@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import saved
+from . import scans
 from .quantiles import quantiles
 from .shifts import below, null_statistics, pieces
 from .timeline import to_runs
@@ -78,6 +79,90 @@ def best_threshold(rows: DataFrame, score: str, label: Column) -> DataFrame:
     return swept.orderBy(F.col("f1").desc(), score).limit(1).select(F.col(score).alias("threshold"), "f1")
 
 
+def pairwise_auroc(rows: DataFrame, score: str, group: str, groups: Sequence[str]) -> DataFrame:
+    """(left_group, right_group, auroc) for each two of the named groups, in their order: how often a score of the left
+    one is above one of the right one, ties at half.  Rows of other groups or without a score take no part.
+
+    Rows are counted by group and distinct score; each count then goes to the comparisons of its group.
+    """
+    pairs = [(x, y) for i, x in enumerate(groups) for y in groups[i + 1 :]]
+    compared = F.array(*(F.struct(F.lit(x).alias("left_group"), F.lit(y).alias("right_group")) for x, y in pairs))
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    sides = counts.withColumn("c", F.explode(F.filter(compared, lambda c: (c["left_group"] == F.col("_g")) | (c["right_group"] == F.col("_g")))))
+    side = lambda name: F.sum(F.when(F.col(f"c.{name}") == F.col("_g"), F.col("_n")).otherwise(0))
+    keys = ["left_group", "right_group"]
+    met = sides.groupBy("c.left_group", "c.right_group", "_s").agg(side("left_group").alias("p"), side("right_group").alias("n"))
+    wins = running(met, "_s", ["n"], keys).withColumn("w", F.col("p") * (F.col("before_n") + F.col("n") / 2))
+    return wins.groupBy(*keys).agg(F.try_divide(F.sum("w"), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
+
+
+def fitted_thresholds(rows: DataFrame, score: str, label: Column) -> DataFrame:
+    """(rule, threshold, value): two ways to fit a threshold on scores.
+
+    ``midpoint_f1`` predicts above the threshold; candidates lie between neighbouring scores and just outside them, and
+    of those within 1e-12 of the largest F1 the nearest to 0.5 is taken, then the lower.  ``balanced`` predicts at or
+    above it; candidates are 0, 1 and the scores, and the lowest one of the largest balanced accuracy is taken (no row
+    where a class is missing).  Rows without a score take no part; a label that is null is negative.
+    """
+    positive = F.coalesce(label, F.lit(False))
+    seen = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("k"))
+    ends = rows.sparkSession.createDataFrame([(0.0, 0, 0), (1.0, 0, 0)], "s double, p long, k long")  # two rows
+    counts = seen.unionByName(ends).groupBy("s").agg(F.sum("p").alias("p"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("one"))
+    swept = saved(running(counts, "s", ["p", "k"]), "swept")
+    tp, predicted = F.col("total_p") - F.col("before_p"), F.col("total_k") - F.col("before_k")
+    negatives = F.col("total_k") - F.col("total_p")
+    balanced = swept.select(F.lit("balanced").alias("rule"), F.col("s").alias("threshold"), (0.5 * (F.try_divide(tp.cast("double"), F.col("total_p").cast("double")) + F.try_divide((F.col("before_k") - F.col("before_p")).cast("double"), negatives.cast("double")))).alias("value"))
+    balanced = balanced.where("value is not null").orderBy(F.col("value").desc(), "threshold").limit(1)
+
+    ranked = running(seen.withColumn("one", F.lit(1).cast("long")), "s", ["p", "k", "one"])
+    ranked = scans.previous(ranked, "s", [], ["s"], F.floor(F.col("before_one") / scans.BLOCK), "lower")
+    f1 = F.coalesce(F.try_divide((2 * tp).cast("double"), (predicted + F.col("total_p")).cast("double")), F.lit(0.0))
+    middle = F.when(F.col("lower").isNull(), F.col("s") - 1e-6).otherwise((F.col("lower") + F.col("s")) / 2)
+    above = ranked.agg((F.max("s") + 1e-6).alias("threshold"), F.lit(0.0).alias("value")).where("threshold is not null")
+    cuts = saved(ranked.select(middle.alias("threshold"), f1.alias("value")).unionByName(above), "cuts")
+    best = cuts.agg(F.max("value").alias("best"))
+    near = cuts.join(F.broadcast(best), F.col("value") >= F.col("best") - 1e-12)  # one row
+    midpoint = near.orderBy(F.abs(F.col("threshold") - 0.5), "threshold").limit(1).select(F.lit("midpoint_f1").alias("rule"), "threshold", "value")
+    return midpoint.unionByName(balanced)
+
+
+def held_out_thresholds(rows: DataFrame, fold: str, score: str, label: Column, digits: int = 2) -> DataFrame:
+    """(fold, threshold, fitted, held_out, n): for each fold the threshold of the largest balanced accuracy on all
+    other folds, the lowest one of equals, and what it reaches on the fold itself.
+
+    Scores are clipped to 0..1 and rounded to ``digits``, so that there are 10^digits + 1 levels; candidates are 0, 1
+    and the levels that the other folds have.  A fold's counts by level are taken from the total's, so that a fold
+    costs as many rows as there are levels.  A value without both classes is null; rows without a score take no part.
+    """
+    top = 10**digits
+    level = F.round(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * top).cast("int")
+    positive = F.coalesce(label, F.lit(False))
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(fold).alias("fold"), level.alias("level"))
+    counts = saved(counts.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q")), "levels")
+    every = Window.partitionBy("fold").orderBy("level")
+    before, whole = every.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("fold")
+
+    def swept(given: DataFrame) -> DataFrame:
+        grid = given.select("fold").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+        full = grid.join(given, ["fold", "level"], "left").fillna(0, ["p", "q"])
+        under = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+        return full.withColumns({"np": F.sum("p").over(whole), "nq": F.sum("q").over(whole), "tp": F.sum("p").over(whole) - under("p"), "tq": under("q"), "here": F.col("p") + F.col("q")})
+
+    names = ["np", "nq", "tp", "tq", "here"]
+    own = swept(counts)
+    total = counts.groupBy("level").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).withColumn("fold", F.lit(0))
+    total = swept(total).select("level", *(F.col(c).alias(f"all_{c}") for c in names))
+    both = own.join(F.broadcast(total), "level")  # 10^digits + 1 rows
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    rest = {c: F.col(f"all_{c}") - F.col(c) for c in names}
+    fitted = 0.5 * (share(rest["tp"], rest["np"]) + share(rest["tq"], rest["nq"]))
+    held = 0.5 * (share(F.col("tp"), F.col("np")) + share(F.col("tq"), F.col("nq")))
+    candidate = (rest["here"] > 0) | F.col("level").isin(0, top)
+    scored = both.where(candidate).withColumns({"fitted": fitted, "held_out": held, "n": F.col("np") + F.col("nq")})
+    chosen = scored.groupBy("fold").agg(F.max_by(F.struct("level", "fitted", "held_out", "n"), F.struct(F.coalesce("fitted", F.lit(-1.0)), -F.col("level"))).alias("b"))
+    return chosen.select("fold", (F.when(F.col("b.fitted").isNotNull(), F.col("b.level")) / top).alias("threshold"), "b.fitted", F.when(F.col("b.fitted").isNotNull(), F.col("b.held_out")).alias("held_out"), "b.n")
+
+
 def bootstrap_draws(ids: DataFrame, key: str, rounds: int, seed: str) -> DataFrame:
     """(round, key, times): draws with replacement from hashes of seed, round and slot, so that
     any engine can repeat them.  The key is a number."""

@@ -231,13 +231,76 @@ def forward_fill(rows: DataFrame, column: str, keys: Sequence[str], order: str)
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """For each target the closest point of its episode; of equal ones the lower."""
-    distance = F.abs(F.col("frame") - F.col("target"))
-    return (
-        targets.join(points.select(*keys, "frame"), list(keys))
-        .groupBy(*keys, "target")
-        .agg(F.min_by("frame", F.struct(distance, F.col("frame"))).alias("nearest"))
-    )
+    """For each different target the closest point of its episode; of equal ones the lower.  A target
+    of an episode without points has no row.
+
+    Points and targets are one sequence, in which the last point before and the first one after are
+    carried along in blocks.
+    """
+    here = points.select(*keys, F.col("frame").alias("at"), F.lit(0).alias("_side"), F.col("frame").alias("below"))
+    asked = targets.select(*keys, F.col("target").alias("at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("below")).distinct()
+    both = here.unionByName(asked).withColumns({"above": F.col("below"), "_back": -F.col("at")})
+    both = scans.last_known(both, "below", keys, ["at", "_side"], scans.frames_block("at"))
+    both = scans.last_known(both, "above", keys, ["_back", "_side"], scans.frames_block("_back"))
+    lower = F.col("at") - F.col("below") <= F.col("above") - F.col("at")
+    closest = F.coalesce(F.when(lower, F.col("below")).otherwise(F.col("above")), F.col("below"))
+    return both.where("_side = 1").select(*keys, F.col("at").alias("target"), closest.alias("nearest")).where("nearest is not null")
+
+
+def containing(points: DataFrame, segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Points (keys..., frame, ...) with each segment of their episode that holds their frame; they meet in bins."""
+    placed = points.withColumn("_bin", F.floor(F.col("frame") / BIN))
+    held = binned(segments.where("end > start"), "start", "end")
+    return placed.join(held, [*keys, "_bin"]).where("frame >= start and frame < end").drop("_bin")
+
+
+def within(left: DataFrame, right: DataFrame, gap: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Pairs of segments, as ``overlaps`` names them, with at most ``gap`` frames between them."""
+    widened = left.withColumns({"start": F.col("start") - gap - 1, "end": F.col("end") + gap + 1})
+    pairs = overlaps(widened, right, keys).drop("overlap", "iou")
+    return pairs.withColumns({"left_start": F.col("left_start") + gap + 1, "left_end": F.col("left_end") - gap - 1})
+
+
+def supported_details(segments: DataFrame, windows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(segment, window) where the segment reaches into the core, lies inside the context, and every frame that
+    it cites (``citations``) is in the context.  Without citations it is unsupported."""
+    cores = windows.withColumns({"start": F.col("core_start"), "end": F.col("core_end")})
+    pairs = overlaps(segments, cores, keys)
+    inside = (F.col("left_start") >= F.col("right_context_start")) & (F.col("left_end") <= F.col("right_context_end"))
+    seen = F.forall("left_citations", lambda f: (f >= F.col("right_context_start")) & (f < F.col("right_context_end")))
+    found = pairs.where(inside & seen & (F.size("left_citations") > 0))
+    return found.select(*keys, F.col("right_window").alias("window"), F.col("left_start").alias("start"), F.col("left_end").alias("end"))
+
+
+def nearest_clean(negatives: DataFrame, centres: DataFrame, count: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """For each episode's ``centre`` the window of ``count`` frames inside one negative segment whose middle is
+    closest to it; of equal ones the earliest.  An episode without a segment that long has no row."""
+    half = count // 2
+    long_enough = negatives.where(F.col("end") - F.col("start") >= count).join(centres, list(keys))
+    start = F.least(F.greatest(F.col("centre") - half, F.col("start")), F.col("end") - count)
+    placed = long_enough.withColumn("window_start", start)
+    away = F.abs(F.col("window_start") + half - F.col("centre"))
+    best = placed.groupBy(*keys).agg(F.min(F.struct(away.alias("away"), F.col("window_start"))).alias("b"))
+    return best.select(*keys, F.col("b.window_start").alias("window_start"), (F.col("b.window_start") + count).alias("window_end"), F.col("b.away").alias("away"))
+
+
+def coverage_faults(segments: DataFrame, episodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Maximal stretches (keys..., start, end, times) of an episode that segments cover not exactly once.
+
+    Only edges are counted: +1 where a segment starts, -1 where it ends, summed in blocks.  Segments are clamped
+    to their episode; frames outside it aren't reported.
+    """
+    n = F.col("n_frames")
+    clamped = segments.select(*keys, "start", "end").join(episodes.select(*keys, "n_frames"), list(keys))
+    clamped = clamped.select(*keys, F.greatest("start", F.lit(0)).alias("start"), F.least(F.col("end"), n).alias("end")).where("end > start")
+    edges = clamped.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))).alias("e"))
+    edges = edges.select(*keys, "e.at", "e.step", F.lit(False).alias("end_of"))
+    ends = episodes.where(n > 0).select(*keys, F.explode(F.array(F.lit(0).cast("long"), n)).alias("at"), F.lit(0).alias("step"), F.lit(True).alias("end_of"))
+    steps = edges.unionByName(ends).groupBy(*keys, "at").agg(F.sum("step").alias("step"), F.max("end_of").alias("end_of"))
+    steps = steps.where("step <> 0 or end_of").withColumn("_back", -F.col("at"))
+    times = scans.sums_before(steps, ["at"], ["step"], keys, scans.frames_block("at")).withColumn("times", F.col("before_step") + F.col("step"))
+    until = scans.previous(times, "at", keys, ["_back"], scans.frames_block("_back"), "end")
+    return until.where("end is not null and times <> 1").select(*keys, F.col("at").alias("start"), "end", "times")
 
 
 def as_of(events: DataFrame, states: DataFrame, keys: Sequence[str] = KEYS, block: Column | None = None) -> DataFrame:

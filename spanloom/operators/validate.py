@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def violations(rows: DataFrame, rules: dict[str, Column], *columns: str) -> DataFrame:
     """One row for each rule that a row breaks; a rule that is unknown for a row is broken."""
@@ -57,3 +60,24 @@ def reconcile(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def leaks(rows: DataFrame, group: str, split: str) -> DataFrame:
     """Groups that occur in more than one split."""
     return rows.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
+
+
+def zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, block: Column | None = None) -> DataFrame:
+    """(keys..., position, left, right, problem): the rows of both sides paired by their place in ``order`` within the
+    keys, from 0; the sides are structs of their other columns.  Where one is longer, the rest of it is kept with
+    the problem ``left_longer`` or ``right_longer``.  ``block`` cuts a long key, as in ``scans``."""
+    sides = []
+    for name, rows in (("left", left), ("right", right)):
+        placed = rows.withColumn("_one", F.lit(1).cast("long"))
+        placed = scans.sums_before(placed, [order], ["_one"], keys, F.lit(0) if block is None else block)
+        sides.append(placed.select(*keys, F.col("before__one").alias("position"), F.struct(*(c for c in rows.columns if c not in keys)).alias(name)))
+    both = sides[0].join(sides[1], [*keys, "position"], "full_outer")
+    return both.withColumn("problem", F.when(F.col("right").isNull(), "left_longer").when(F.col("left").isNull(), "right_longer"))
+
+
+def strictly_zipped(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, block: Column | None = None) -> DataFrame:
+    """``zipped``, failing where one side is longer."""
+    found = zipped(left, right, keys, order, block)
+    place = F.concat_ws(" ", F.col("problem"), *(F.col(k).cast("string") for k in keys))
+    kept = F.when(F.col("problem").isNull(), F.col("position")).otherwise(F.raise_error(place).cast("long"))
+    return found.select(*keys, kept.alias("position"), "left", "right")

@@ -391,8 +391,8 @@ def ag08_exact(spark, d):
     from (select r.*, lab from runs_a r join episodes using (episode) where state) x group by x.lab''', "a", "b"))
 def tl19(spark, d):
     a = positives(spark, d, "a").join(episodes(spark, d).select("episode", "lab"), "episode")
-    b = positives(spark, d, "b").select("episode", F.col("start").alias("s"), F.col("end").alias("e"))
-    near = a.join(b, "episode").where("s <= end + 9 and start <= e + 9").select("episode", "start").distinct()
+    pairs = tl.within(a, positives(spark, d, "b"), 9)
+    near = pairs.select("episode", F.col("left_start").alias("start")).distinct()
     hits = a.join(near.withColumn("near", F.lit(True)), ["episode", "start"], "left")
     return hits.groupBy("lab").agg(F.count(F.lit(1)).alias("segments"), F.count_if("near").alias("hit"))
 

@@ -66,7 +66,7 @@ def jn05(spark, d):
 @query("jn06_point_in_interval", sql('''select f.episode, f.frame, r."start", r.state from frames f join runs_c r on r.episode = f.episode and f.frame >= r."start" and f.frame < r."end" where f.a''', "c"))
 def jn06(spark, d):
     points = frames(spark, d).where("a").select("episode", "frame")
-    return points.join(runs(spark, d, "c"), "episode").where("frame >= start and frame < end").select("episode", "frame", "start", "state")
+    return tl.containing(points, runs(spark, d, "c")).select("episode", "frame", "start", "state")
 
 
 @query("jn07_nearest_frame", sql("""select episode, target, nearest from (
@@ -582,8 +582,8 @@ def prj09(spark, d):
     join runs_a r on r.episode = w.episode and r.state and r."start" < least(w.s + 32, n_frames) and r."end" > w.s and r."start" >= greatest(w.s - 8, 0) and r."end" <= least(w.s + 40, n_frames)''', "a"))
 def prj18(spark, d):
     windows = tl.core_windows(episodes(spark, d), 32, 8).drop("lab", "fps", "n_frames")
-    inside = "start < core_end and end > core_start and start >= context_start and end <= context_end"
-    return positives(spark, d, "a").join(windows, "episode").where(inside).select("episode", "window", "start", "end")
+    segments = positives(spark, d, "a").withColumn("citations", F.array(F.col("start"), F.col("end") - 1))
+    return tl.supported_details(segments, windows)
 
 
 #: Objects in lists in objects, as deep as the event's number says, with one identity inside another.
