@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,9 +129,12 @@ def _portable_files(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("path", F.regexp_extract("path", r"/data/(.*)$", 1)).select("path", "length", "sha256")
 
 
-def read_portable(spark: SparkSession, path: str, schema: str | T.StructType, key: str, split: str = "split") -> DataFrame:
-    """The rows of a portable export.  Fails if files are missing, unlisted or changed, or if a key
-    is there twice or in two splits."""
+def read_portable(
+    spark: SparkSession, path: str, schema: str | T.StructType, key: str, split: str = "split", derived: dict[str, Column] | None = None
+) -> DataFrame:
+    """The rows of a portable export.  Fails if files are missing, unlisted or changed, if a key is
+    there twice or in two splits, or if a column isn't what its expression in ``derived`` gives for the row (null
+    equals null): a target that was edited after it was rendered."""
     manifest = read_csv(spark, f"{path}/manifest")
     files = _portable_files(spark, path)
     if not unverified(files, manifest).isEmpty() or not unverified(manifest, files).isEmpty():
@@ -139,6 +142,10 @@ def read_portable(spark: SparkSession, path: str, schema: str | T.StructType, ke
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/data")
     if not rows.groupBy(key).count().where("count > 1").isEmpty():
         raise ValueError(f"{path}: {key} isn't unique")
+    if derived:
+        edited = (F.max(~F.col(name).eqNullSafe(value)).alias(name) for name, value in derived.items())
+        if wrong := [name for name, bad in rows.agg(*edited).first().asDict().items() if bad]:
+            raise ValueError(f"{path}: {', '.join(wrong)} isn't what it is derived from")
     return rows
 
 

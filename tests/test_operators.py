@@ -232,6 +232,10 @@ def test_portable_export_is_verified(spark, tmp_path):
     tables.export_portable(rows, path)
     schema = "id long, text string, split string"
     assert sorted(map(tuple, tables.read_portable(spark, path, schema, "id").collect())) == sorted(map(tuple, rows.collect()))
+    target = F.concat(F.lit("text "), F.col("id").cast("string"))
+    assert tables.read_portable(spark, path, schema, "id", derived={"text": target}).count() == 9
+    with pytest.raises(ValueError, match="text isn't what"):
+        tables.read_portable(spark, path, schema, "id", derived={"id": F.col("id"), "text": F.when(F.col("id") != 4, target)})
     changed = next(tmp_path.glob("export/data/split=eval/*.json"))
     whole = changed.read_text()
     changed.write_text(whole.replace("text", "next"))
