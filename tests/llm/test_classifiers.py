@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 from spanloom.llm import quality, toxicity
@@ -30,6 +32,30 @@ def test_op3_held_out_accuracy(spark):
     assert (both["predicted"] == both["quality"]).mean() > 0.95
 
 
+def test_op3_against_plain_log_densities(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas().set_index("doc_id")["text"].fillna("")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    x = {i: np.array(quality.statistics(text)) for i, text in docs.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in x}
+    classes = [np.array([x[i] for i, q in labels.items() if q == c and not held[i]]) for c in (0, 1)]
+    own = [np.cov(part.T, bias=True) for part in classes]
+    n = np.array([len(part) for part in classes])
+    pooled = (own[0] * n[0] + own[1] * n[1]) / n.sum()
+    density = []
+    for part, cov in zip(classes, own, strict=True):
+        cov = (1 - quality.TO_POOLED) * cov + quality.TO_POOLED * pooled
+        cov = (1 - quality.TO_DIAGONAL) * cov + quality.TO_DIAGONAL * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        away = np.array(list(x.values())) - part.mean(axis=0)
+        square = (away * np.linalg.solve(cov, away.T).T).sum(axis=1)
+        density.append(np.log(len(part) / n.sum()) - 0.5 * (np.linalg.slogdet(cov)[1] + square))
+    z = np.clip((density[1] - density[0]) / quality.TEMPERATURE, -60, 60)
+    wanted = dict(zip(x, 1 / (1 + np.exp(-z)), strict=True))
+    found = quality.op3_quality(spark, sf).collect()
+    assert len(found) == len(x) and all(r.held_out == held[r.doc_id] for r in found)
+    assert np.allclose([r.score for r in found], [wanted[r.doc_id] for r in found], atol=1e-6)
+    assert all(r.predicted == int(r.score >= 0.3) for r in found)
+
+
 def test_op3_odd_rows(odd, none):
     assert quality.document_statistics(odd).count() == len(TEXTS)
     assert all(np.isfinite(r.x).all() for r in quality.document_statistics(odd).collect())
