@@ -14,7 +14,8 @@ beyond which texts count as wholly unlike; it lies between 0 and 1.
 Cases: a null or empty text, and any text under three bytes, has a digest of no
 counts; equal texts have equal digests; rows with the same doc_id follow each
 other in the order of their texts; a null doc_id comes first; a single document
-is its own next one; an empty table gives no rows; other columns are ignored.
+is its own next one; an empty table gives no rows; other columns are ignored; a very
+long text is digested whole, in the memory of one task.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ than the one below; only rows of hashes move, never records.
 Cases: a null payload is an empty one; a null id counts as -1; rows with the same
 id lie next to each other, by their digests, and are compared as a multiset; a record
 that one replica lacks is reported as missing or extra; an empty table has no root and
-no findings; other columns are ignored.
+no findings; other columns are ignored; a very long record is hashed whole, by one task.
 """
 
 from __future__ import annotations

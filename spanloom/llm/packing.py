@@ -14,7 +14,10 @@ and the groups' sizes are summed before them.
 
 Cases: a null or empty text packs as its end id alone; repeated rows are packed
 once each; an empty table gives no rows; columns other than doc_id and text are
-ignored.
+ignored; a null doc_id stays null; a very long text is tokenised whole by one task
+and cut into full sequences and a remainder; pieces of equal length are ranked by
+groups of a hash, in a group by doc_id, start and checksum, so only equal pieces
+may change places.
 """
 
 from __future__ import annotations

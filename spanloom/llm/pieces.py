@@ -16,7 +16,8 @@ every id up in a table and drops the space in front of the text.
 
 Cases: a null or empty text has no ids and decodes to an empty text; an empty
 table gives no rows; repeated rows are encoded once each; columns other than
-doc_id and text are ignored; bytes that are no UTF-8 decode to U+FFFD.
+doc_id and text are ignored; bytes that are no UTF-8 decode to U+FFFD; a null doc_id
+stays null; a very long text is encoded whole, by one task, unit by unit.
 """
 
 from __future__ import annotations

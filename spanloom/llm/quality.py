@@ -13,7 +13,9 @@ Spark, one row for each class and pair of statistics.
 Cases: a null or empty text has the statistics of no text, and a score; labels
 that are null or belong to no document are left out; without labels of both classes
 every score is 1; rows that are repeated are scored and, when labelled,
-counted each; an empty table gives no rows; other columns are ignored.
+counted each; an empty table gives no rows; other columns are ignored; a very long
+text is read whole, by one task; rows of equal statistics have equal scores, and a
+score equal to the threshold is predicted as 1.
 """
 
 from __future__ import annotations

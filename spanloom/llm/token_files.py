@@ -12,7 +12,9 @@ Parquet writer, so any file system works and a lost executor leaves no debris.
 
 Cases: a null text counts as empty (only the end id is written); rows with the
 same doc_id are all kept, next to each other; a null doc_id sorts first; an
-empty table gives no blocks; columns other than doc_id and text are ignored.
+empty table gives no blocks; columns other than doc_id and text are ignored; a document
+is never divided, so a very long text ends its block, which is larger by its ids; of
+ids of equal frequency the smaller one ranks first.
 """
 
 from __future__ import annotations
