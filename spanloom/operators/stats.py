@@ -163,13 +163,19 @@ def held_out_thresholds(rows: DataFrame, fold: str, score: str, label: Column, d
     return chosen.select("fold", (F.when(F.col("b.fitted").isNotNull(), F.col("b.level")) / top).alias("threshold"), "b.fitted", F.when(F.col("b.fitted").isNotNull(), F.col("b.held_out")).alias("held_out"), "b.n")
 
 
+#: Draws that a task makes.
+DRAWS = 1_000_000
+
+
 def bootstrap_draws(ids: DataFrame, key: str, rounds: int, seed: str) -> DataFrame:
     """(round, key, times): draws with replacement from hashes of seed, round and slot, so that
     any engine can repeat them.  The key is a number."""
     numbered = running(ids.select(key, F.lit(1).cast("long").alias("_one")), key, ["_one"]).select(key, F.col("before__one").alias("slot"))
-    n = ids.count()
+    numbered = saved(numbered, "slots")  # read twice below
+    n = numbered.count()
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "round", "slot")), 1, 12), 16, 10).cast("long") % n
-    slots = numbered.select(F.col("slot")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    # a few rows become many: tasks are as many as draws ask for, not as the small table of slots does
+    slots = numbered.select("slot").repartition(max(1, -(-n * rounds // DRAWS))).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     drawn = slots.select("round", draw.alias("slot")).groupBy("round", "slot").agg(F.count(F.lit(1)).alias("times"))
     return drawn.join(numbered, "slot").select("round", key, "times")
 

@@ -270,3 +270,15 @@ def test_numbers_of_any_length_sort_by_value(spark):
     assert [r.n for r in rows] == names
     padded = spark.createDataFrame([("x010",), ("x9",)], "n string").orderBy(text.natural_key(F.col("n"))).collect()
     assert [r.n for r in padded] == ["x9", "x010"]
+
+
+def test_bootstrap_draws_are_spread_over_tasks(spark, monkeypatch):
+    """A small table of slots is many draws: they are dealt to tasks of at most DRAWS draws."""
+    from spanloom.operators import stats
+
+    monkeypatch.setattr(stats, "DRAWS", 100)
+    draws = stats.bootstrap_draws(spark.range(50).withColumnRenamed("id", "e"), "e", 20, "s")
+    plan = draws._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 10, true" in plan
+    rows = draws.collect()
+    assert sum(r.times for r in rows) == 1000 and {r["round"] for r in rows} == set(range(20))
