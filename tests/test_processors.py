@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanloom.streaming import effects, journal, processors
@@ -164,3 +165,74 @@ def test_what_was_sent_before_a_crash_is_reconciled(spark, tmp_path):
     states = {r.id: r.state for r in spark.read.parquet(f"{tmp_path}/settled").collect()}
     assert states == {1: "reconciled", 2: "unknown"}
     assert sent == []
+
+
+class Kept:
+    """A value state that counts its accesses."""
+
+    def __init__(self):
+        self.value, self.gets, self.updates = None, 0, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.gets += 1
+        return self.value
+
+    def update(self, value):
+        self.updates += 1
+        self.value = value
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = [], set()
+
+    def getValueState(self, name, schema):
+        self.states.append(Kept())
+        return self.states[-1]
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+def test_a_key_reads_and_writes_its_state_once_a_batch():
+    asks = [Row(id=i, micros=i, ceiling=1.0, actual=None) for i in range(100)]
+    reports = [Row(micros=0, kind="started", allowed_ms=10, valid=None)] + [Row(micros=i, kind="report", allowed_ms=10, valid=False) for i in range(1, 100)]
+    updates = [Row(at=i, status="running") for i in range(100)]
+    for processor, rows, told in ((processors._Budget(10.0, 60), asks, 100), (processors._Watch(), reports, 99), (processors._Terminal(("done",)), updates, 0)):
+        handle = Handle()
+        processor.init(handle)
+        for batch in (1, 2):
+            found = list(processor.handleInputRows((1,), iter(rows), None))
+            assert batch == 2 or len(found) == told
+            assert sum(s.gets + s.updates for s in handle.states) <= 2 * batch
+        assert len(handle.timers) <= 1
+
+
+def test_rows_in_order_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def tell(x):
+        made.add(1)
+        return x
+
+    rows = spark.range(100).select(F.udf(tell, "long")("id").alias("at"))
+    processors.in_order(rows, "at", str(tmp_path / "in"), 5)
+    assert made.value == 100
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    parts = [sorted(r.at for r in spark.read.parquet(str(f)).collect()) for f in files]
+    assert len(parts) == 5 and sum(parts, []) == list(range(100))
+
+
+def test_a_queue_takes_rows_in_order_and_tells_in_parts(spark, tmp_path):
+    events = [("q", i, e, i * 3 + n) for i in range(50) for n, e in enumerate(("submit", "full", "done"))]
+    rows = spark.createDataFrame(events[::-1], "queue string, id long, event string, at long")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = journal.read_journal(spark, str(tmp_path / "in"), rows.schema)
+    found = processors.finished(journal.sequential_queue(stream, order="at", chunk=7), str(tmp_path)).collect()
+    assert Counter(r.event for r in found) == {"started": 100, "requeued": 50, "finished": 50}
