@@ -111,13 +111,19 @@ def chained_parts(stream: DataFrame, repairs: int = 2, order: str | None = None)
 QUEUED = "queue string, id long, event string"
 
 
-def sequential_queue(stream: DataFrame) -> DataFrame:
+def sequential_queue(stream: DataFrame, order: str | None = None, chunk: int = 10_000) -> DataFrame:
     """One active job a queue.  Input (queue, id, event) with event submit, done or full: a job
-    that is refused for capacity goes to the end of its queue, and the next one starts."""
+    that is refused for capacity goes to the end of its queue, and the next one starts.
+
+    With ``order``, a queue's rows of a micro-batch are taken by that column; without it, as they come, which
+    is any order once a batch is several tasks' work.  Results leave in parts of ``chunk`` rows.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         waiting = deque(state.get[0]) if state.exists else deque()
         known, out = set(waiting), []
+        if order:
+            pdfs = [pd.concat(list(pdfs)).sort_values(order, kind="stable")]
         for pdf in pdfs:
             for i, event in zip(pdf["id"], pdf["event"], strict=True):
                 i = int(i)
@@ -135,6 +141,9 @@ def sequential_queue(stream: DataFrame) -> DataFrame:
                     out.append((key[0], i, "finished" if event == "done" else "requeued"))
                     if waiting:
                         out.append((key[0], waiting[0], "started"))
+                if len(out) >= chunk:
+                    yield pd.DataFrame(out, columns=["queue", "id", "event"])
+                    out = []
         state.update((list(waiting),))
         yield pd.DataFrame(out, columns=["queue", "id", "event"])
 
