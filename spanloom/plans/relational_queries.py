@@ -625,7 +625,7 @@ def src09_tree(spark, d):
 
     folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
     events = table(spark, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").alias("episode"), "event_id", "value")
-    events.repartition("dataset", "episode").write.partitionBy("dataset", "episode").parquet(folder)
+    trees.write_ranges(events, folder)
     rows = trees.episode_tree(spark, folder, "value").where(F.col("dataset").startswith("p") & (F.col("episode") >= 3) & (F.col("episode") <= 400) & (F.col("value") > 20))
     return rows.groupBy("dataset", "episode").agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum("value"), 4).alias("total"))
 

@@ -1,9 +1,10 @@
 """A data source over directory trees of episodes, and reads of byte ranges.
 
 A tree has a folder for each dataset and in it Parquet files for each episode, as ``dataset=a/episode=7/...`` or
-``a/episode_000007.parquet``.  Folders are listed when the query is planned: filters on ``dataset`` and
-``episode`` are pushed into the source, datasets that they rule out aren't even listed, and each episode that
-is left is an input partition.  Files are opened by pyarrow's file systems (local, HDFS, S3, GCS).
+``a/episode_000007.parquet``, or for each range of episodes, as ``dataset=a/episodes=0-4095/...`` with an
+``episode`` column in the files (``write_ranges``), which keeps the number of files in line with the rows.  Folders
+are listed when the query is planned: filters on ``dataset`` and ``episode`` are pushed into the source, datasets and
+ranges that they rule out aren't even listed, and each episode or range that is left is an input partition.  Files are opened by pyarrow's file systems (local, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from .media import inside, video_header
 
 _EPISODE = re.compile(r"episode[=_](\d+)(?:\.parquet)?$")
+_RANGE = re.compile(r"episodes=(\d+)-(\d+)$")
 _RULES = {
     EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v,
     LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v, StringStartsWith: lambda x, v: x.startswith(v),
@@ -42,7 +44,7 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 @dataclass
 class Episode(InputPartition):
     dataset: str
-    episode: int
+    episode: int | None  # None: a range of episodes, told by the files
     files: tuple[str, ...]
 
     def __post_init__(self):
@@ -67,6 +69,17 @@ class TreeReader(DataSourceReader):
     def _fits(self, column: str, value) -> bool:
         return all(_RULES[kind](value, limit) for name, kind, limit in self.kept if name == column)
 
+    def _touches(self, low: int, high: int) -> bool:
+        """Whether an episode from low to high may fit; rows are checked when they are read."""
+        for name, kind, limit in self.kept:
+            if name != "episode":
+                continue
+            if kind is EqualTo and not low <= limit <= high or kind is In and not any(low <= x <= high for x in limit):
+                return False
+            if kind in (GreaterThan, GreaterThanOrEqual) and not _RULES[kind](high, limit) or kind in (LessThan, LessThanOrEqual) and not _RULES[kind](low, limit):
+                return False
+        return True
+
     def partitions(self) -> list[Episode]:
         system, root = opened(self.path)
         found: dict[tuple, list[str]] = {}
@@ -75,6 +88,12 @@ class TreeReader(DataSourceReader):
             if folder.type != fs.FileType.Directory or folder.base_name[:1] in "._" or not self._fits("dataset", dataset):
                 continue
             for entry in system.get_file_info(fs.FileSelector(folder.path)):
+                ends = _RANGE.search(entry.base_name)
+                if ends:
+                    if self._touches(int(ends[1]), int(ends[2])):
+                        own = system.get_file_info(fs.FileSelector(entry.path))
+                        found[dataset, entry.base_name] = [f.path for f in own if f.path.endswith(".parquet")]
+                    continue
                 match = _EPISODE.search(entry.base_name)
                 if not match or not self._fits("episode", int(match[1])):
                     continue
@@ -82,16 +101,22 @@ class TreeReader(DataSourceReader):
                 found.setdefault((dataset, int(match[1])), []).extend(f.path for f in own if f.path.endswith(".parquet"))
         if not found:  # Spark reads a source without partitions with None
             return [Episode("", 0, ())]
-        return [Episode(*key, tuple(sorted(files))) for key, files in sorted(found.items())]
+        number = lambda e: e if isinstance(e, int) else None
+        return [Episode(d, number(e), tuple(sorted(files))) for (d, e), files in sorted(found.items(), key=lambda x: (x[0][0], str(x[0][1]).zfill(40)))]
 
     def read(self, partition: Episode) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.path)
         names = [f.name for f in self.schema if f.name not in ("dataset", "episode")]
         for path in partition.files:
             with pq.ParquetFile(system.open_input_file(path)) as file:
-                for batch in file.iter_batches(columns=names):
+                ranged = partition.episode is None
+                for batch in file.iter_batches(columns=[*names, "episode"] if ranged else names):
+                    if ranged:
+                        fits = [x is not None and self._fits("episode", x) for x in batch.column("episode").to_pylist()]
+                        batch = batch.filter(pa.array(fits, pa.bool_()))
                     n = batch.num_rows
-                    columns = {"dataset": pa.array([partition.dataset] * n, pa.string()), "episode": pa.array([partition.episode] * n, pa.int64())}
+                    episode = batch.column("episode").cast(pa.int64()) if ranged else pa.array([partition.episode] * n, pa.int64())
+                    columns = {"dataset": pa.array([partition.dataset] * n, pa.string()), "episode": episode}
                     columns |= {c: batch.column(c) for c in names}
                     yield pa.RecordBatch.from_arrays([columns[f.name] for f in self.schema], names=self.schema.names)
 
@@ -111,6 +136,7 @@ class EpisodeTree(DataSource):
             system, _ = opened(self.options["path"])
             with system.open_input_file(first.files[0]) as file:
                 own = from_arrow_schema(pq.read_schema(file))
+                own = T.StructType([f for f in own if f.name != "episode"])  # in the files of a range
         wanted = [c.strip() for c in self.options["columns"].split(",")] if "columns" in self.options else own.names
         return T.StructType([T.StructField("dataset", T.StringType()), T.StructField("episode", T.LongType()), *(own[c] for c in wanted)])
 
@@ -118,6 +144,13 @@ class EpisodeTree(DataSource):
         return TreeReader(self.options["path"], schema)
 
 
+def write_ranges(rows: DataFrame, path: str, width: int = 4096) -> None:
+    """Write rows (dataset, episode, ...) as a tree with a folder for each ``width`` episodes, numbered from 0."""
+    low = F.col("episode") - F.col("episode") % width
+    rows = rows.withColumn("episodes", F.concat_ws("-", low, low + (width - 1)))
+    rows.repartition("dataset", "episodes").write.partitionBy("dataset", "episodes").parquet(path)
+
+
 def episode_tree(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
     """The rows of a tree of episodes, with ``dataset`` and ``episode``."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

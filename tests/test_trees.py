@@ -110,3 +110,15 @@ def test_empty_segments_have_no_frames(spark):
     rows = spark.createDataFrame([(1, 3), (4, 4), (None, 2)], "a long, b long")
     found = rows.lateralJoin(tables.SegmentFrames(F.col("a").outer(), F.col("b").outer()))
     assert sorted(r.frame for r in found.collect()) == [1, 2]
+
+
+def test_a_tree_of_ranges_has_a_folder_for_many_episodes(spark, tmp_path):
+    rows = spark.range(200).selectExpr("if(id % 2 = 0, 'a', 'b') as dataset", "id as episode", "id * 1.5D as value")
+    trees.write_ranges(rows, str(tmp_path / "t"), width=50)
+    assert len(list((tmp_path / "t").glob("*/*"))) == 8
+    read = lambda: trees.episode_tree(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, read().select("dataset", "episode", "value").collect())) == sorted(map(tuple, rows.collect()))
+    for wanted in ("episode >= 48 and episode < 53 and dataset = 'a'", "episode in (3, 199, 500)", "episode = 100", "episode > 149", "episode > 199"):
+        got = read().where(wanted).select("dataset", "episode", "value")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.where(wanted).collect())), wanted
+    assert read().where("episode >= 48 and episode < 53 and dataset = 'a'").rdd.getNumPartitions() == 2
