@@ -257,13 +257,13 @@ LINES = """with items as (select l_orderkey, l_linenumber, max(l_returnflag) as
 
 def log_lines(spark, d):
     """A log for each order; where the last line is still open, its write was cut off."""
-    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber")  # numbers repeat in an order, a log's lines don't
+    lines = table(spark, d, "lineitem").where("l_orderkey is not null").repartition("l_orderkey")  # all steps below are within an order
+    items = lines.groupBy("l_orderkey", "l_linenumber")  # numbers repeat in an order, a log's lines don't
     items = items.agg(F.max("l_returnflag").alias("l_returnflag"), F.max("l_linestatus").alias("l_linestatus"))
-    last = items.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m"))
     status = F.when(F.col("l_returnflag") == "R", "rejected").otherwise("verified")
     text = F.concat(F.lit('{"seq":'), F.col("l_linenumber") - 1, F.lit(',"status":"'), status, F.lit('"}'))
     torn = (F.col("l_linenumber") == F.col("m")) & (F.col("l_linestatus") == "O")
-    whole = items.join(last, "l_orderkey")
+    whole = items.withColumn("m", F.max("l_linenumber").over(Window.partitionBy("l_orderkey")))
     return whole.select(F.col("l_orderkey").alias("log"), F.col("l_linenumber").cast("long").alias("line"), F.when(torn, F.substring(text, 1, 9)).otherwise(text).alias("text"))
 
 

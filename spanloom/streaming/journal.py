@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..sources.tables import saved
+
 
 def hourly(events: DataFrame, *, watermark: str | None = None) -> DataFrame:
     """Counts and sums by hour and type; for a stream, rows later than the watermark are late."""
@@ -231,6 +233,7 @@ def log_entries(lines: DataFrame, log: str, line: str, text: str) -> DataFrame:
     that was cut off) and is left out; a torn line before it raises TornLine."""
     entry = F.from_json(text, "seq long, status string", {"mode": "PERMISSIVE"})
     read = lines.select(log, line, text, entry.alias("_e")).select(log, line, text, F.col("_e.seq").alias("seq"), F.col("_e.status").alias("status"))
+    read = saved(read, "entries")  # read for the check and by the caller
     torn = F.col("seq").isNull() | F.col("status").isNull()
     last = read.groupBy(F.col(log).alias("_log")).agg(F.max(line).alias("_last"), F.max(F.when(~torn, F.col(line))).alias("_read"), F.min(F.when(torn, F.col(line))).alias("_torn"))
     if not last.where("_torn < _last or _torn = _read").isEmpty():
@@ -240,11 +243,15 @@ def log_entries(lines: DataFrame, log: str, line: str, text: str) -> DataFrame:
 
 def verified_prefix(entries: DataFrame, log: str) -> DataFrame:
     """(log, verified): the number of entries 0, 1, 2, ... that are verified without a gap.  The first
-    gap is the least successor that isn't there, found by an anti-join; logs without entry 0 have 0."""
-    good = entries.where("status = 'verified'").select(log, "seq").distinct()
-    start = entries.select(log, F.lit(-1).cast("long").alias("seq")).distinct()
-    following = good.union(start).select(log, (F.col("seq") + 1).alias("seq"))
-    return following.join(good, [log, "seq"], "left_anti").groupBy(log).agg(F.min("seq").alias("verified"))
+    gap is the least successor that isn't there; logs without entry 0 have 0.  An entry tells its own number and
+    the one after it, so a log of any length is grouped by number first."""
+    mark = lambda seq, here: F.struct(seq.cast("long").alias("seq"), here.alias("here"))
+    own = F.array(mark(F.col("seq"), F.col(log).isNotNull()), mark(F.col("seq") + 1, F.lit(False)))  # null is no log's number
+    marks = F.when(F.col("status") == "verified", own).otherwise(F.array().cast("array<struct<seq:bigint,here:boolean>>"))
+    marks = F.concat(marks, F.array(mark(F.lit(0), F.lit(False))))
+    told = entries.select(log, F.explode(marks).alias("_m")).groupBy(log, "_m.seq")
+    told = told.agg(F.bool_or("_m.here").alias("here"), F.bool_or(~F.col("_m.here")).alias("wanted"))
+    return told.where("wanted and not here").groupBy(log).agg(F.min("seq").alias("verified"))
 
 
 def rejections(entries: DataFrame, log: str, line: str, text: str) -> DataFrame:

@@ -87,3 +87,13 @@ def test_replaced_table_is_old_or_new(spark, tmp_path):
     tables.replace_table(before.where("x > 0"), path)
     assert sorted(r.x for r in tables.read_current(spark, path).collect()) == [1, 2]
     assert before.count() == 3
+
+
+def test_a_prefix_is_found_in_two_groupings(spark):
+    """Long and short logs, a gap, a rejected first entry, repeats and no log at all; no join of the entries with themselves."""
+    from spanloom.streaming import journal as jr
+
+    rows = [("a", i, "verified") for i in range(300)] + [("b", 0, "verified"), ("b", 2, "verified"), ("b", 0, "verified"), ("c", 0, "rejected"), ("c", 1, "verified"), (None, 0, "verified")]
+    found = jr.verified_prefix(spark.createDataFrame(rows, "log string, seq long, status string"), "log")
+    assert {r.log: r.verified for r in found.collect()} == {"a": 300, "b": 1, "c": 0, None: 0}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
