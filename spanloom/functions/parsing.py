@@ -302,11 +302,13 @@ def _texts(values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def _bullets(block: Column) -> Column:
+def _dense(block: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(block, r"(?m)^[ \t]*\n", ""), r"\n+[ \t]*$", "")
+
+
+def _bullets(dense: Column) -> Column:
     """Names and values of '- name: value' lines; indented lines go on with a value.  ``rest`` is what
     is no such line."""
-    dense = F.regexp_replace(block, r"(?m)^[ \t]*\n", "")
-    dense = F.regexp_replace(dense, r"\n+[ \t]*$", "")
     return F.struct(
         F.regexp_extract_all(dense, F.lit(BULLET), F.lit(1)).alias("names"),
         F.transform(F.regexp_extract_all(dense, F.lit(BULLET), F.lit(2)), lambda v: F.replace(v, F.lit("\n  "), F.lit("\n"))).alias("values"),
@@ -314,14 +316,21 @@ def _bullets(block: Column) -> Column:
     )
 
 
-def _section(block: Column) -> Column:
-    """A section behind its heading line: its bullets, subsections by name, and evidence."""
-    parts = F.split(block, r"(?m)^(?=### )")
-    named = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
-    heads = F.transform(named, lambda p: F.regexp_extract(p, r"^### ([^\n]+?)[ \t]*(?:\n|$)", 1))
-    bodies = F.transform(named, lambda p: F.regexp_replace(F.regexp_replace(p, r"^### [^\n]*\n*", ""), r"\n+$", ""))
-    evidence = F.get(bodies, (F.array_position(heads, "Evidence") - 1).cast("int"))
-    return F.struct(_bullets(F.get(parts, F.lit(0))).alias("fields"), heads.alias("heads"), bodies.alias("bodies"), _bullets(F.coalesce(evidence, F.lit(""))).alias("evidence"))
+def _sections(blocks: Column) -> Column:
+    """Sections behind their heading lines: their bullets, subsections by name, and evidence.
+
+    Each step is a transform of its own: a lambda's argument is evaluated once, an expression in its body
+    as often as it stands there.
+    """
+    head = lambda p: F.regexp_extract(p, r"^### ([^\n]+?)[ \t]*(?:\n|$)", 1)
+    body = lambda p: F.regexp_replace(F.regexp_replace(p, r"^### [^\n]*\n*", ""), r"\n+$", "")
+    named = lambda parts: F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    evidence = lambda s: F.get(s["bodies"], (F.array_position(s["heads"], "Evidence") - 1).cast("int"))
+    cut = F.transform(blocks, lambda b: F.split(b, r"(?m)^(?=### )"))
+    cut = F.transform(cut, lambda parts: F.struct(F.get(parts, F.lit(0)).alias("top"), named(parts).alias("named")))
+    cut = F.transform(cut, lambda s: F.struct(s["top"].alias("top"), F.transform(s["named"], head).alias("heads"), F.transform(s["named"], body).alias("bodies")))
+    cut = F.transform(cut, lambda s: F.struct(_dense(s["top"]).alias("top"), s["heads"].alias("heads"), s["bodies"].alias("bodies"), _dense(F.coalesce(evidence(s), F.lit(""))).alias("proof")))
+    return F.transform(cut, lambda s: F.struct(_bullets(s["top"]).alias("fields"), s["heads"].alias("heads"), s["bodies"].alias("bodies"), _bullets(s["proof"]).alias("evidence")))
 
 
 def _value(section: Column, name: str) -> Column:
@@ -360,12 +369,12 @@ def full_annotations(rows: DataFrame, text: str, name: str = "annotation") -> Da
     sections = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
     heads = F.transform(sections, lambda s: F.regexp_extract(s, r"^## (Identity|Segment \d{1,9})", 1))
     cut = cut.withColumn("_heads", heads)
-    cut = cut.withColumn("_read", F.transform(sections, lambda s: _section(F.regexp_replace(s, r"^## [^\n]*(?:\n|$)", ""))))
+    cut = cut.withColumn("_read", _sections(F.transform(sections, lambda s: F.regexp_replace(s, r"^## [^\n]*(?:\n|$)", ""))))
     heads, read, title = F.col("_heads"), F.col("_read"), F.get(parts, F.lit(0))
     identity = F.get(read, F.lit(0))
     segments = F.slice(read, 2, F.greatest(F.size(read), F.lit(1)))
     each = lambda rule: F.forall(segments, rule)
-    same = lambda found, wanted: F.array_sort(found) == F.array_sort(wanted)
+    same = lambda found, wanted: F.sort_array(found) == F.sort_array(wanted)
     optional = lambda s: F.array_union(_texts(SEGMENT_FIELDS), F.array_intersect(s["fields"]["names"], _texts(("Uncertain fields",))))
     yes = lambda s, n: F.lower(_value(s, n)) == "yes"
     uncertain = lambda s: F.coalesce(_list(_value(s, "Uncertain fields")), F.array().cast("array<string>"))

@@ -202,6 +202,10 @@ slip
 """
 
 
+#: Texts of annotations that a task reads.
+ANNOTATIONS_A_TASK = 100_000
+
+
 @query("prs05_full_annotation", f"""with texts as (select o_orderkey as id, o_custkey % 90 + 1 as n, o_orderstatus as s,
         replace(replace(replace(replace('{ANNOTATION}', '{{id}}', o_orderkey::varchar), '{{n}}', (o_custkey % 90 + 1)::varchar),
             '{{failure}}', case o_orderstatus when 'P' then 'perhaps' when 'F' then 'Yes' else 'No' end), '{{status}}', o_orderpriority) as t, o_orderpriority as p from orders)
@@ -213,7 +217,9 @@ def prs05(spark, d):
     filled = {"id": F.col("o_orderkey").cast("string"), "n": (F.col("o_custkey") % 90 + 1).cast("string"), "failure": status, "status": F.col("o_orderpriority")}
     for name, value in filled.items():
         text = F.replace(text, F.lit("{" + name + "}"), value)
-    read = pr.full_annotations(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")), "text", "x")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    orders = orders.repartition(max(1, -(-orders.count() // ANNOTATIONS_A_TASK)))  # a file's few bytes are many texts
+    read = pr.full_annotations(orders.select(F.col("o_orderkey").alias("id"), text.alias("text")), "text", "x")
     first, span = F.get("x.value.segments", F.lit(0)), F.get("x.value.spans", F.lit(1))
     return read.select("id", "x.error", first["end"].alias("end"), first["failure"].alias("failure"), first["observed_result"].alias("observed"),
         span["start"].alias("segment_start"), span["end"].alias("segment_end"))

@@ -92,3 +92,14 @@ def test_each_rule(spark):
     assert [x.error for x in read(spark, [t for texts in broken.values() for t in texts])] == wanted
     good = [once("Review required: No", "Review required: YES\n- Uncertain fields: action"), once("- Action: lift", "- Action: lift\n\n  and hold")]
     assert [x.error for x in read(spark, good)] == [None, None]
+
+
+def test_annotation_texts_are_spread_and_their_parts_read_once(spark, sf, monkeypatch):
+    from spanloom.plans import parsing_queries
+
+    monkeypatch.setattr(parsing_queries, "ANNOTATIONS_A_TASK", 500)
+    found = parsing_queries.prs05(spark, sf)
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert found.rdd.getNumPartitions() == -(-n // 500) > 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?m)^(?=### )") == 1  # subsections are cut in one place
