@@ -7,19 +7,20 @@ boundary_reason, what_happened, evidence).  Pieces of an action follow each othe
 is a row of its own, so an annotation is valid if it has none.
 
 What the segments before decide (the cursor, the number of actions so far, the participants known of
-this action) is scanned in blocks, so no window holds an episode.
+this action) is scanned in blocks, so no window holds an episode.  A row for each block tells what the
+blocks before hand on; segments are shuffled once to meet it, with no more than the scan reads.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import saved
 from . import scans
-from .validate import violations
+from .validate import broken
 
 #: Fixed values of the format.
 SEVERITIES = ("low", "medium", "catastrophic")
@@ -44,24 +45,62 @@ def _all(conditions: Sequence[Column]) -> Column:
     return out
 
 
-def with_history(segments: DataFrame) -> DataFrame:
+def _scanned(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What a segment's own block tells of the segments before it, of those to it, and whether it is the block's last.
+
+    ``_opened`` counts the actions that begin in the block, without one that begins with its first segment.
+    """
+    inside = Window.partitionBy(*keys).orderBy("start", "_this", "_who")
+    earlier, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_lag": F.lag("_this").over(inside), "_last": F.lead(F.lit(True)).over(inside).isNull(), "_head": F.first("_this.action_id").over(upto)})
+    opens = F.col("_lag").isNotNull() & ~F.col("_this.action_id").eqNullSafe(F.col("_lag.action_id"))
+    rows = rows.withColumn("_opened", F.sum(opens.cast("long")).over(upto))
+    named = {c: F.when(F.col(f"_who.{c}").isNotNull(), F.struct("_opened", F.col(f"_who.{c}").alias("name"))) for c in REFERENTS}
+    rows = rows.withColumns({f"_{c}": F.last(of, ignorenulls=True).over(earlier) for c, of in named.items()})
+    return rows.withColumns({f"_to_{c}": F.coalesce(of, f"_{c}") for c, of in named.items()})
+
+
+def _blocks(rows: DataFrame, episodes: DataFrame) -> DataFrame:
+    """A row for each block of an episode: what the blocks before hand on, and the facts of the episode.
+
+    Of the sampled frames, a block gets those between the first and the last that its segments cite.
+    """
+    block = Window.partitionBy("episode", "_block")
+    rows = rows.withColumns({"_low": F.min(F.array_min("_cited")).over(block), "_high": F.max(F.array_max("_cited")).over(block), "_end": F.max("_this.end").over(block)})
+    ends = _scanned(rows, ["episode", "_block"]).where("_last")
+    order = Window.partitionBy("episode").orderBy("_block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_carry", F.lag("_this").over(order))
+    opens = F.col("_carry").isNull() | ~F.col("_head").eqNullSafe(F.col("_carry.action_id"))
+    ends = ends.withColumn("_opens", opens.cast("long"))
+    ends = ends.withColumn("_from", F.coalesce(F.sum(F.col("_opens") + F.col("_opened")).over(earlier), F.lit(0)) + F.col("_opens"))
+    for c in REFERENTS:  # of the action that goes on from the block before
+        named = F.when(F.col(f"_to_{c}").isNotNull(), F.struct((F.col("_from") + F.col(f"_to_{c}._opened")).alias("ordinal"), f"_to_{c}.name"))
+        ends = ends.withColumn("_named", F.last(named, ignorenulls=True).over(earlier))
+        ends = ends.withColumn(f"_carry_{c}", F.when(F.col("_named.ordinal") == F.col("_from"), F.col("_named.name")))
+    sampled = F.filter("sampled", lambda x: x.between(F.col("_low"), F.col("_high"))).alias("sampled")
+    ends = ends.join(episodes, "episode", "left")
+    return ends.select("episode", "_block", "_end", "_carry", "_from", *(f"_carry_{c}" for c in REFERENTS), "n_frames", sampled, "listed")
+
+
+def with_history(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Adds ``before`` (the segment before: end, action_id, action and state), ``ordinal`` (the number of this
-    segment's action in its episode) and ``known`` (the action's participants named before).
+    segment's action in its episode) and ``known`` (the action's participants named before), and the episode's facts.
 
-    Null doesn't name a participant: A, null, B is a change from A to B.
+    Null doesn't name a participant: A, null, B is a change from A to B.  Rows are dealt once, by block: a struct
+    is never null, so that the scan and the join can share it as their key.
     """
-    block = scans.frames_block("start")
-    state = F.struct("failure", F.array_sort(F.array_distinct("categories")).alias("categories"))
-    rows = segments.withColumn("_this", F.struct("end", "action_id", "action", state.alias("state")))
-    rows = scans.previous(rows, "_this", ["episode"], ["start", "end"], block, "before")
-    opens = ~F.col("action_id").eqNullSafe(F.col("before.action_id")) | F.col("before").isNull()
-    rows = scans.sums_before(rows.withColumn("_opens", opens.cast("long")), ["start", "end"], ["_opens"], ["episode"], block)
-    rows = rows.withColumn("ordinal", F.col("before__opens") + F.col("_opens")).drop("before__opens", "_opens", "_this")
-    for c in REFERENTS:
-        rows = scans.last_known(rows.withColumn(f"_{c}", F.col(c)), f"_{c}", ["episode", "ordinal"], ["start", "end"], block)
-    rows = rows.withColumn("_known", F.struct(*(F.col(f"_{c}").alias(c) for c in REFERENTS)))
-    rows = scans.previous(rows, "_known", ["episode", "ordinal"], ["start", "end"], block, "known")
-    return rows.drop("_known", *(f"_{c}" for c in REFERENTS))
+    at = F.struct("episode", "_block").alias("_at")
+    handed = blocks.select(at, *(c for c in blocks.columns if c not in ("episode", "_block", "_end")))
+    rows = _scanned(rows.select(at, *(c for c in rows.columns if c not in ("episode", "_block"))), ["_at"]).join(handed, "_at")
+    known = (
+        F.when(F.col(f"_{c}._opened") == F.col("_opened"), F.col(f"_{c}.name")).when(F.col("_opened") == 0, F.col(f"_carry_{c}")).alias(c)
+        for c in REFERENTS
+    )
+    return rows.select(
+        "_at.episode", "start", "_this.*", *(f"_who.{c}" for c in REFERENTS), "_broken", "_proven", "_cited", "n_frames", "sampled", "listed",
+        F.coalesce("_lag", "_carry").alias("before"), (F.col("_from") + F.col("_opened")).alias("ordinal"), F.struct(*known).alias("known"),
+    )
 
 
 def atomic_violations(segments: DataFrame, episodes: DataFrame, categories: Sequence[str], cameras: Sequence[str]) -> DataFrame:
@@ -71,17 +110,10 @@ def atomic_violations(segments: DataFrame, episodes: DataFrame, categories: Sequ
     Segments of an unknown episode break ``unknown_episode``; an episode without segments breaks
     ``no_segments`` at 0.  Repeated segments break ``boundary``, as the second doesn't start where the first ends.
     """
-    known = episodes.select("episode", "n_frames", "sampled", F.lit(True).alias("listed"))
-    rows = saved(with_history(segments), "atomic").join(known, "episode", "left")
     vocabulary, places = F.array(*map(F.lit, categories)), F.array(*map(F.lit, cameras))
     kinds, failure = F.col("categories"), F.col("failure")
-    same = F.col("before.action_id").eqNullSafe(F.col("action_id")) & F.col("before").isNotNull()
-    state = F.struct("failure", F.array_sort(F.array_distinct("categories")).alias("categories"))
     consequence = [_filled("recovery"), F.col("severity").isin(*SEVERITIES), F.col("resetability").isin(*RESETS), F.size(kinds) > 0]
-    cited = lambda e: F.array_contains("sampled", e["frame"]) & F.array_contains(places, e["camera"]) & (F.length(F.trim(e["observation"])) > 0)
-    rules = {
-        "unknown_episode": F.col("listed"),
-        "boundary": (F.col("start") == F.coalesce("before.end", F.lit(0))) & (F.col("start") < F.col("end")) & (F.col("end") <= F.coalesce("n_frames", "end")),
+    alone = {
         "text": _all([_filled(c) for c in TEXTS]),
         "operation": F.col("action").rlike("^[a-z][a-z_]*$"),
         "referent": _all([_nothing(c) | _filled(c) for c in REFERENTS]),
@@ -90,16 +122,31 @@ def atomic_violations(segments: DataFrame, episodes: DataFrame, categories: Sequ
         "consequence": F.when(failure, F.coalesce(_all(consequence), F.lit(False))).otherwise(
             (F.size(kinds) == 0) & _all([_nothing(c) for c in ("recovery", "severity", "resetability")])
         ),
-        "evidence": (F.size("evidence") > 0) & F.forall("evidence", lambda e: F.coalesce(cited(e), F.lit(False))),
         "review": F.when(F.col("review_required"), _filled("uncertainty")).otherwise(F.col("uncertainty") == ""),
         "unknown_operation": ~F.col("action").eqNullSafe(F.lit(UNKNOWN)) | F.col("review_required"),
+    }
+    seen = lambda e: F.array_contains(places, e["camera"]) & (F.length(F.trim(e["observation"])) > 0)
+    # what a segment tells alone is judged where it is read: texts and evidence aren't shuffled
+    state = F.struct("failure", F.array_sort(F.array_distinct("categories")).alias("categories"))
+    rows = segments.select(
+        "episode", scans.frames_block("start").alias("_block"), "start", F.struct("end", "action_id", "action", state.alias("state")).alias("_this"),
+        F.struct(*REFERENTS).alias("_who"), broken(alone).alias("_broken"), F.col("evidence.frame").alias("_cited"),
+        ((F.size("evidence") > 0) & F.forall("evidence", lambda e: F.coalesce(seen(e), F.lit(False)))).alias("_proven"),
+    )
+    known = episodes.select("episode", "n_frames", "sampled", F.lit(True).alias("listed"))
+    blocks = saved(_blocks(rows, known), "atomic")
+    same = F.col("before.action_id").eqNullSafe(F.col("action_id")) & F.col("before").isNotNull()
+    rules = {
+        "unknown_episode": F.col("listed"),
+        "boundary": (F.col("start") == F.coalesce("before.end", F.lit(0))) & (F.col("start") < F.col("end")) & (F.col("end") <= F.coalesce("n_frames", "end")),
+        "evidence": F.col("_proven") & F.forall("_cited", lambda frame: F.coalesce(F.array_contains("sampled", frame), F.lit(False))),
         "chronology": same | F.col("action_id").eqNullSafe(F.concat(F.lit("a"), F.col("ordinal").cast("string"))),
         "operation_changed": ~same | F.col("action").eqNullSafe(F.col("before.action")),
-        "split_action": ~same | ~state.eqNullSafe(F.col("before.state")),
+        "split_action": ~same | ~F.col("state").eqNullSafe(F.col("before.state")),
         "referent_changed": _all([_nothing(c) | F.col(f"known.{c}").isNull() | (F.col(c) == F.col(f"known.{c}")) for c in REFERENTS]),
     }
-    found = violations(rows, rules, "episode", F.col("start").alias("place"))
-    ends = segments.groupBy("episode").agg(F.max("end").alias("place"))
+    found = with_history(rows, blocks).withColumn("rule", F.explode(F.concat("_broken", broken(rules)))).select("rule", "episode", F.col("start").alias("place"))
+    ends = blocks.groupBy("episode").agg(F.max("_end").alias("place"))
     tails = known.join(ends, "episode", "left").where("place is null or place <> n_frames")
     whole = F.when(F.col("place").isNull(), "no_segments").otherwise("not_at_end")
     return found.unionByName(tails.select(whole.alias("rule"), "episode", F.coalesce("place", F.lit(0)).cast("long").alias("place")))

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from . import scans
 
 
+def broken(rules: dict[str, Column]) -> Column:
+    """The names of the rules that a row breaks; a rule that is unknown for a row is broken."""
+    return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
+
+
 def violations(rows: DataFrame, rules: dict[str, Column], *columns: str) -> DataFrame:
-    """One row for each rule that a row breaks; a rule that is unknown for a row is broken."""
-    broken = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()))
-    return rows.withColumn("rule", F.explode(F.array_compact(broken))).select("rule", *columns)
+    """One row for each rule that a row breaks."""
+    return rows.withColumn("rule", F.explode(broken(rules))).select("rule", *columns)
 
 
 def first_reason(rows: DataFrame, reasons: dict[str, Column]) -> DataFrame:

@@ -5,7 +5,7 @@ An episode is a user's event sequence; labelers are boolean tracks over its fram
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import timeline as tl
@@ -15,21 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per frame: tracks a, b, p (b with missing values), the 3-class score c."""
-    by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def frames(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """One row per frame: tracks a, b, p (b with missing values), the 3-class score c, and more columns of the event."""
+    by_time = Window.partitionBy("episode").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("episode"),
+    # named before it is dealt, so that Spark knows the frames of an episode to be together
+    return table(spark, sf_dir, "events").withColumn("episode", F.col("user_id")).select(
+        "episode",
         (F.col("user_id") % 5).alias("lab"),
         (10 + 5 * (F.col("user_id") % 3)).cast("double").alias("fps"),
         "event_id", "ts", "value", "event_type",
         (F.row_number().over(by_time) - 1).cast("long").alias("frame"),
-        F.count(F.lit(1)).over(Window.partitionBy("user_id")).alias("n_frames"),
+        F.count(F.lit(1)).over(Window.partitionBy("episode")).alias("n_frames"),
         (F.col("event_type") == "error").alias("a"),
         (F.col("value") > 150).alias("b"),
         F.when(F.col("event_id") % 7 != 0, F.col("value") > 150).alias("p"),
         F.when(k < 25, 1).when(k < 50, 2).otherwise(3).cast("long").alias("c"),
+        *more,
     )
 
 

@@ -87,7 +87,7 @@ def prj04_atomic(spark, d):
     w = Window.partitionBy("episode").orderBy("frame")
     k = F.get_json_object("props", "$.k").cast("long")
     e, error = F.col("event_id"), F.col("event_type") == "error"
-    rows = frames(spark, d).join(table(spark, d, "events").select("event_id", "props"), "event_id").withColumn("k", k)
+    rows = frames(spark, d, k.alias("k")).where("event_id is not null")  # the SQL's join of an event with itself
     fresh = F.coalesce((F.lag("event_type").over(w) != F.col("event_type")).cast("long"), F.lit(1))
     rows = rows.withColumn("fresh", fresh).withColumn("nth", F.sum("fresh").over(w)).where(e % 83 != 0)
     k = F.col("k")
